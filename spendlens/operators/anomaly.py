@@ -120,14 +120,16 @@ class ClusterModel:
         return cls(PipelineModel.load(f"{path}/pipeline"), [r.cluster for r in ids.collect()])
 
 
-def train_clusters(features: DataFrame, k: int = 5, seed: int = 42, evaluate: bool = True) -> ClusterModel:
+def train_clusters(features: DataFrame, k: int = 5, seed: int = 42, evaluate: bool = True, max_share: float = 0.05,
+                   min_zscore: float = 1.5) -> ClusterModel:
     """Fit, measure and pick the anomalous clusters. Only the k statistics rows reach the driver."""
     training = without_outliers(features).select("amount", *CLUSTER_FEATURES)
     training = training.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = cluster_pipeline(k, seed).fit(training)
         clustered = model.transform(training)
-        ids = [r.cluster for r in anomalous_clusters(cluster_statistics(clustered)).collect()]
+        chosen = anomalous_clusters(cluster_statistics(clustered), max_share, min_zscore)
+        ids = [r.cluster for r in chosen.collect()]
         silhouette = None
         if evaluate:
             silhouette = ClusteringEvaluator(featuresCol="scaled_features", predictionCol="cluster").evaluate(clustered)

@@ -22,7 +22,7 @@ def _minute(ts: str) -> Column:
 
 def sliding_sums(events: DataFrame, measures: Mapping[str, Column], minutes: int, keys: Sequence[str] = (),
                  ts: str = "timestamp") -> DataFrame:
-    """Sums of ``measures`` over ``[at - minutes, at)`` for every minute ``at`` that has an event in its window.
+    """Sums of ``measures`` over ``[evaluated_at - minutes, evaluated_at)`` for every minute ``evaluated_at`` that has an event in its window.
 
     ``measures`` are sums or counts, because minutes are added up.
     """
@@ -30,7 +30,7 @@ def sliding_sums(events: DataFrame, measures: Mapping[str, Column], minutes: int
         *[column.alias(name) for name, column in measures.items()])
     first, last = F.expr("minute + INTERVAL 1 MINUTE"), F.expr(f"minute + INTERVAL {minutes} MINUTE")
     ends = F.sequence(first, last, F.expr("INTERVAL 1 MINUTE"))
-    return (per_minute.withColumn("at", F.explode(ends)).groupBy(*keys, "at")
+    return (per_minute.withColumn("evaluated_at", F.explode(ends)).groupBy(*keys, "evaluated_at")
             .agg(*[F.sum(name).alias(name) for name in measures]))
 
 
@@ -42,11 +42,11 @@ def held(evaluations: DataFrame, condition: Column, hold_minutes: int, value: Co
     one series, whose length is the number of evaluation times.
     """
     series = [F.col(k) for k in keys] or [F.lit("all")]
-    step = F.floor(F.col("at").cast("long") / (60 * step_minutes))
+    step = F.floor(F.col("evaluated_at").cast("long") / (60 * step_minutes))
     true = evaluations.filter(condition).withColumn("_peak", value)
-    island = step - F.row_number().over(Window.partitionBy(*series).orderBy("at"))
+    island = step - F.row_number().over(Window.partitionBy(*series).orderBy("evaluated_at"))
     episodes = true.withColumn("_island", island).groupBy(*keys, "_island").agg(
-        F.min("at").alias("pending_since"), F.max("at").alias("last_true"), F.max("_peak").alias("peak"))
+        F.min("evaluated_at").alias("pending_since"), F.max("evaluated_at").alias("last_true"), F.max("_peak").alias("peak"))
     firing = F.col("pending_since") + F.expr(f"INTERVAL {hold_minutes} MINUTE")
     return (episodes.withColumn("firing_since", firing).filter(F.col("last_true") >= F.col("firing_since"))
             .select(*keys, "pending_since", "firing_since", "last_true", "peak"))
@@ -101,7 +101,7 @@ def histogram_quantile(requests: DataFrame, q: float = 0.95, minutes: int = 5, k
         inside = F.col(f"le_{i}") - below
         at = low + (buckets[i] - low) * F.try_divide(rank - below, inside)
         out = F.when(F.col(f"le_{i}") >= rank, F.coalesce(at, F.lit(low))).otherwise(out)
-    return sums.withColumn("quantile", out).select(*keys, "at", "events", "quantile")
+    return sums.withColumn("quantile", out).select(*keys, "evaluated_at", "events", "quantile")
 
 
 def slow_responses(requests: DataFrame, threshold: float = 5, hold_minutes: int = 10, keys: Sequence[str] = (),
@@ -149,8 +149,8 @@ def lag_levels(lag: DataFrame, key: str, how: str, step_minutes: int = 1) -> Dat
     """Average or sum of the reported lags per key and evaluation step."""
     function = {"avg": F.avg, "sum": F.sum}[how]
     at = F.window("ts", f"{step_minutes} minutes")
-    return lag.groupBy(key, at.alias("window")).agg(function("lag").alias("lag")).select(
-        key, F.col("window.end").alias("at"), "lag")
+    return lag.groupBy(key, at.alias("window")).agg(function("lag").cast("double").alias("lag")).select(
+        key, F.col("window.end").alias("evaluated_at"), "lag")
 
 
 def high_lag(lag: DataFrame, key: str, how: str, threshold: float = 1000, hold_minutes: int = 10,

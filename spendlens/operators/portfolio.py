@@ -33,6 +33,12 @@ def _first_by(symbol: str, measure: Column) -> Column:
     return F.max_by(symbol, F.struct(measure, F.col(symbol)))
 
 
+def _rounded(c, digits: int, rounded: bool) -> Column:
+    """Reports show rounded figures; ``rounded=False`` keeps them for further calculation."""
+    value = F.col(c) if isinstance(c, str) else c
+    return F.round(value, digits) if rounded else value
+
+
 def with_allocation(positions: DataFrame) -> DataFrame:
     """Market value, profit and share of the user's total for positions that lack them."""
     valued = positions.withColumn("market_value", F.col("quantity") * F.col("current_price"))
@@ -42,23 +48,25 @@ def with_allocation(positions: DataFrame) -> DataFrame:
             .withColumn("allocation", F.coalesce(F.try_divide("market_value", "_total"), F.lit(0.0))).drop("_total"))
 
 
-def summary(positions: DataFrame) -> DataFrame:
+def summary(positions: DataFrame, rounded: bool = True) -> DataFrame:
     total = positions.groupBy("user_id").agg(
         F.count("*").alias("total_positions"), F.sum("market_value").alias("value"), F.sum(_cost()).alias("cost"),
         _first_by("symbol", F.col("market_value")).alias("largest_position"),
         _first_by("symbol", F.try_divide(F.col("unrealized_pnl"), _cost())).alias("best_performer"))
     pnl = F.col("value") - F.col("cost")
     return total.select(
-        "user_id", "total_positions", F.round("value", 2).alias("total_value"), F.round("cost", 2).alias("total_cost"),
-        F.round(pnl, 2).alias("total_pnl"),
-        F.round(C.ratio_or_zero(pnl, "cost") * 100, 2).alias("pnl_percentage"), "largest_position", "best_performer")
+        "user_id", "total_positions", _rounded("value", 2, rounded).alias("total_value"),
+        _rounded("cost", 2, rounded).alias("total_cost"),
+        _rounded(pnl, 2, rounded).alias("total_pnl"),
+        _rounded(C.ratio_or_zero(pnl, "cost") * 100, 2, rounded).alias("pnl_percentage"), "largest_position",
+        "best_performer")
 
 
 def class_allocation(positions: DataFrame) -> DataFrame:
     return positions.groupBy("user_id", "asset_type").agg(F.sum("allocation").alias("allocation"))
 
 
-def diversification(positions: DataFrame) -> DataFrame:
+def diversification(positions: DataFrame, rounded: bool = True) -> DataFrame:
     """Concentration index over asset classes; the allocation map has one entry per class."""
     per_user = class_allocation(positions).groupBy("user_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset_type", "allocation")))).alias("asset_allocation"),
@@ -69,9 +77,10 @@ def diversification(positions: DataFrame) -> DataFrame:
         .when(hhi > 0.15, "Moderate concentration. Monitor position sizes.")
         .otherwise("Well-diversified portfolio."))
     return per_user.select(
-        "user_id", "asset_allocation", F.round(hhi, 4).alias("hhi_index"),
-        F.round(C.ratio_or_zero(F.lit(1.0), hhi), 2).alias("effective_holdings"),
-        F.round((1 - hhi) * 100, 1).alias("diversification_score"), advice.alias("recommendation"))
+        "user_id", "asset_allocation", _rounded(hhi, 4, rounded).alias("hhi_index"),
+        _rounded(C.ratio_or_zero(F.lit(1.0), hhi), 2, rounded).alias("effective_holdings"),
+        _rounded((1 - hhi) * 100, 1, rounded).alias("diversification_score"),
+        advice.alias("recommendation"))
 
 
 def _class_risk(index: int) -> Column:
@@ -81,7 +90,7 @@ def _class_risk(index: int) -> Column:
     return out
 
 
-def risk(positions: DataFrame) -> DataFrame:
+def risk(positions: DataFrame, rounded: bool = True) -> DataFrame:
     """Beta, volatility, value at risk and Sharpe ratio, weighted by market value."""
     sums = positions.groupBy("user_id").agg(
         _value().alias("value"),
@@ -91,13 +100,14 @@ def risk(positions: DataFrame) -> DataFrame:
                            F.try_divide("volatility", "value").alias("volatility"))
     volatility = F.col("volatility")
     return weighted.select(
-        "user_id", F.round("beta", 3).alias("portfolio_beta"), F.round(volatility, 3).alias("portfolio_volatility"),
-        F.round(F.col("value") * volatility * QUANTILE_95, 2).alias("value_at_risk_95"),
-        F.round(F.try_divide(F.col("beta") * MARKET_RETURN - RISK_FREE, volatility), 3).alias("sharpe_ratio"),
+        "user_id", _rounded("beta", 3, rounded).alias("portfolio_beta"),
+        _rounded(volatility, 3, rounded).alias("portfolio_volatility"),
+        _rounded(F.col("value") * volatility * QUANTILE_95, 2, rounded).alias("value_at_risk_95"),
+        _rounded(F.try_divide(F.col("beta") * MARKET_RETURN - RISK_FREE, volatility), 3, rounded).alias("sharpe_ratio"),
         F.when(volatility > 0.20, "HIGH").when(volatility > 0.10, "MEDIUM").otherwise("LOW").alias("risk_level"))
 
 
-def stress(positions: DataFrame) -> DataFrame:
+def stress(positions: DataFrame, rounded: bool = True) -> DataFrame:
     """Losses in a crash and a rate rise, and the liquid share."""
     sums = positions.groupBy("user_id").agg(
         _value().alias("value"), _value("STOCK").alias("stock"), _value("BOND").alias("bond"),
@@ -105,10 +115,10 @@ def stress(positions: DataFrame) -> DataFrame:
     crash = F.col("stock") * 0.20 + F.col("bond") * 0.05
     liquidity = C.ratio_or_zero("liquid", "value")
     return sums.select(
-        "user_id", F.round(crash, 2).alias("market_crash_impact"),
-        F.round(F.try_divide(crash, F.col("value")) * 100, 2).alias("market_crash_pct"),
-        F.round(F.col("bond") * 0.10, 2).alias("interest_rate_rise_impact"),
-        F.round(liquidity * 100, 2).alias("liquidity_ratio"),
+        "user_id", _rounded(crash, 2, rounded).alias("market_crash_impact"),
+        _rounded(F.try_divide(crash, F.col("value")) * 100, 2, rounded).alias("market_crash_pct"),
+        _rounded(F.col("bond") * 0.10, 2, rounded).alias("interest_rate_rise_impact"),
+        _rounded(liquidity * 100, 2, rounded).alias("liquidity_ratio"),
         F.when(liquidity > 0.20, "GOOD").otherwise("POOR").alias("liquidity_rating"))
 
 
@@ -119,12 +129,13 @@ def _returns(positions: DataFrame) -> DataFrame:
     return total.withColumn("gain", gain).withColumn("annualized", F.pow(F.col("gain") + 1, F.lit(1 / YEARS)) - 1)
 
 
-def performance(positions: DataFrame) -> DataFrame:
+def performance(positions: DataFrame, rounded: bool = True) -> DataFrame:
     annualized = F.col("annualized")
     return _returns(positions).select(
-        "user_id", F.round("value", 2).alias("total_value"), F.round("pnl", 2).alias("total_pnl"),
-        F.round(F.col("gain") * 100, 2).alias("total_return_pct"),
-        F.round(annualized * 100, 2).alias("annualized_return_pct"),
+        "user_id", _rounded("value", 2, rounded).alias("total_value"),
+        _rounded("pnl", 2, rounded).alias("total_pnl"),
+        _rounded(F.col("gain") * 100, 2, rounded).alias("total_return_pct"),
+        _rounded(annualized * 100, 2, rounded).alias("annualized_return_pct"),
         F.when(annualized > 0.10, "EXCELLENT").when(annualized > 0.05, "GOOD").when(annualized > 0, "FAIR")
         .otherwise("POOR").alias("performance_rating"))
 
@@ -185,14 +196,15 @@ def target_deviation(positions: DataFrame, profiles: DataFrame) -> DataFrame:
                     (current - F.col("target")).alias("deviation")))
 
 
-def rebalance(positions: DataFrame, profiles: DataFrame) -> DataFrame:
+def rebalance(positions: DataFrame, profiles: DataFrame, rounded: bool = True) -> DataFrame:
     """Trades for classes more than 5 points off target."""
     off = F.abs("deviation")
     return target_deviation(positions, profiles).filter(off > 0.05).select(
-        "user_id", "asset_class", C.percent("current").alias("current"), C.percent("target").alias("target"),
-        C.percent("deviation").alias("deviation"),
+        "user_id", "asset_class", _rounded(F.col("current") * 100, 1, rounded).alias("current"),
+        _rounded(F.col("target") * 100, 1, rounded).alias("target"),
+        _rounded(F.col("deviation") * 100, 1, rounded).alias("deviation"),
         F.when(F.col("deviation") > 0, "SELL").otherwise("BUY").alias("action"),
-        F.abs(F.round(F.col("value") * F.col("deviation"), 2)).alias("amount"),
+        F.abs(_rounded(F.col("value") * F.col("deviation"), 2, rounded)).alias("amount"),
         F.when(off > 0.10, "high").otherwise("medium").alias("priority"))
 
 
