@@ -27,7 +27,9 @@ PAGE_TEXT_SQL = r"""trim(regexp_replace(replace(replace(replace(replace(replace(
   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
 
 
-@query("s7_page_text")
+@query("s7_page_text", f"""
+SELECT sha256(content) AS doc_id, length(content) AS n_chars, url AS source, 'general' AS category
+FROM (SELECT url, {PAGE_TEXT_SQL} AS content FROM pages)""")
 def s7_page_text(spark, sf_dir):
     """Documents from html: visible text with source, type and category."""
     return page_corpus(spark, sf_dir).select(

@@ -1,0 +1 @@
+"""Structured Streaming jobs over the same operators as the batch queries."""
