@@ -94,9 +94,12 @@ def paged_lists(rows: DataFrame, keys: Sequence[str], item: Column, name: str, s
     ``spread_by`` tells the rows of a key apart (the transaction id); the page follows from it, so a recomputed task
     gives the same pages.
     """
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / page_rows).cast("int").alias("_pages"))
-    page = F.pmod(F.xxhash64(*spread_by), F.col("_pages")).cast("int")
-    return (rows.join(sizes, list(keys)).withColumns({"page": page, "_item": item})
+    hot = (rows.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > page_rows)
+           .select(*keys, F.ceil(F.col("_rows") / page_rows).alias("_pages")))
+    page = F.pmod(F.xxhash64(*spread_by), F.coalesce("_pages", F.lit(1))).cast("int")
+    # The join leaves all pages of a key together, hence the explicit shuffle.
+    return (rows.join(hot, list(keys), "left").withColumns({"page": page, "_item": item})
+            .select(*keys, "page", "_item").repartition(*keys, "page")
             .groupBy(*keys, "page").agg(F.array_sort(F.collect_list("_item")).alias(name)))
 
 

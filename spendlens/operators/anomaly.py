@@ -66,7 +66,7 @@ def behaviour_anomalies(aggregates: DataFrame, as_of=None, recency: str = "1 HOU
 
 def transaction_features(tx: DataFrame) -> DataFrame:
     """Time, behaviour and merchant features of every transaction, without NULLs."""
-    out = merchant_features(behaviour_features(tx)).withColumns({
+    out = merchant_features(behaviour_features(tx), tx).withColumns({
         "hour": F.hour("timestamp"), "day_of_week": F.dayofweek("timestamp"),
     }).withColumns({"is_weekend": C.is_weekend("day_of_week"), "is_night": C.is_night("hour")})
     # What stands in for a missing feature.

@@ -4,9 +4,10 @@
 of the data. Here the rows are first rolled up to one row per (user, second), with map-side combining, and windows
 run over pieces of known size:
 
-* a trailing range is a window per (user, span of days). The last seconds of a span are copied into the next one, so
-  a frame never reaches outside its piece;
-* a running total is a window per (user, day) plus the totals of the earlier days, which is one row per day;
+* a trailing range is a window per (user, piece of days). The last seconds of a piece are copied into the next one,
+  so a frame never reaches outside its piece;
+* a running total is a window per (user, piece) plus the totals of the earlier pieces, one row per piece;
+* a session is put together from the sessions of single days, of which a day has at most 48;
 * a frame of rows is a window per (user, block of consecutive rows), the block number coming from the running count.
 
 A piece holds at most a few hundred thousand roll-up rows whatever the user does. Raw rows are only shuffled by
@@ -17,7 +18,7 @@ Sums are kept in whole cents, so they do not depend on the order of addition.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -29,70 +30,90 @@ SESSION_GAP = 1_800
 ROWS_PER_BLOCK = 100_000
 
 
+# --- roll-ups ---------------------------------------------------------------------------------------
+
 def _cents() -> Column:
     return F.round(F.col("amount") * 100).cast("long")
 
 
-def per_second(tx: DataFrame) -> DataFrame:
-    """One row per user and second: rows ``n``, known amounts ``m``, sums, extremes and time limits."""
-    return tx.groupBy("user_id", C.epoch_second().alias("sec")).agg(
-        F.count("*").alias("n"),
-        F.count("amount").alias("m"),
-        F.sum(_cents()).alias("cents"),
-        F.sum(F.col("amount") * F.col("amount")).alias("squares"),
-        F.min("amount").alias("low"),
-        F.max("amount").alias("high"),
-        F.min("timestamp").alias("first_ts"),
-        F.max("timestamp").alias("last_ts"),
-    )
+def _measures() -> dict[str, tuple[str, Column]]:
+    """What a group of transactions is reduced to, and how two groups combine."""
+    return {
+        "n": ("sum", F.count("*")),
+        "m": ("sum", F.count("amount")),
+        "cents": ("sum", F.sum(_cents())),
+        "squares": ("sum", F.sum(F.col("amount") * F.col("amount"))),
+        "low": ("min", F.min("amount")),
+        "high": ("max", F.max("amount")),
+        "last_sec": ("max", F.max(C.epoch_second())),
+        "first_ts": ("min", F.min("timestamp")),
+        "last_ts": ("max", F.max("timestamp")),
+    }
+
+
+def _combine(kind: str, column) -> Column:
+    return {"sum": F.sum, "min": F.min, "max": F.max}[kind](column)
+
+
+def _piece(sec: Column, length: int) -> Column:
+    return F.floor(sec / length)
 
 
-# --- building blocks --------------------------------------------------------------------------------
+def per_second(tx: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per user and second."""
+    measures = _measures()
+    return tx.groupBy("user_id", C.epoch_second().alias("sec")).agg(*[measures[n][1].alias(n) for n in names])
 
-def trailing(seconds: DataFrame, ranges: Mapping[str, int], measures: Mapping[str, str]) -> DataFrame:
-    """Sums over ``[sec - range, sec]`` for every (user, second).
 
-    ``ranges``: name -> seconds; ``measures``: name -> column. Adds ``{measure}_{range}`` columns.
+def per_piece(tx: DataFrame, names: Sequence[str], length: int) -> DataFrame:
+    """One row per user and piece of time, straight from the rows."""
+    measures = _measures()
+    return tx.groupBy("user_id", _piece(C.epoch_second(), length).alias("piece")).agg(
+        *[measures[n][1].alias(n) for n in names])
+
+
+def second_features(tx: DataFrame, ranges: Mapping[str, int], trailing: Sequence[str],
+                    before: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Figures at every (user, second).
+
+    ``{measure}_{range}`` sums over ``[sec - range, sec]``; ``{measure}_before`` combines all earlier seconds of the
+    user (sums start at 0, extremes at NULL); ``keep`` are measures of the second itself.
     """
     reach = max(ranges.values())
-    span = max(DAY, 4 * reach)
-    piece = F.floor(F.col("sec") / span)
-    copies = F.when(F.col("sec") >= (piece + 1) * span - reach, F.array(piece, piece + 1)).otherwise(F.array(piece))
-    spread = seconds.withColumn("_piece", F.explode(copies))
-    out = {}
-    for range_name, length in ranges.items():
-        w = Window.partitionBy("user_id", "_piece").orderBy("sec").rangeBetween(-length, 0)
-        for name, column in measures.items():
-            out[f"{name}_{range_name}"] = F.sum(column).over(w)
-    return spread.withColumns(out).filter(F.col("_piece") == piece).drop("_piece")
-
-
-def running_before(seconds: DataFrame, measures: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """Totals of all earlier seconds of the user.
-
-    ``measures``: output name -> (``sum`` | ``min`` | ``max``, column). Sums start at 0, extremes at NULL.
-    """
-    functions = {"sum": F.sum, "min": F.min, "max": F.max}
-    days = seconds.withColumn("_day", F.floor(F.col("sec") / DAY))
-    inside = Window.partitionBy("user_id", "_day").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy("user_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    totals = days.groupBy("user_id", "_day").agg(
-        *[functions[kind](column).alias(f"_all_{name}") for name, (kind, column) in measures.items()])
-    earlier_days = totals.select(
-        "user_id", "_day",
-        *[functions[kind](f"_all_{name}").over(across).alias(f"_past_{name}")
-          for name, (kind, _) in measures.items()])
-    joined = days.withColumns({
-        f"_today_{name}": functions[kind](column).over(inside) for name, (kind, column) in measures.items()
-    }).join(earlier_days, ["user_id", "_day"], "left")
+    length = max(DAY, 4 * reach)
+    own = _piece(F.col("sec"), length)
+    seconds = per_second(tx, list(dict.fromkeys([*trailing, *before, *keep])))
+    near_end = F.col("sec") >= (own + 1) * length - reach
+    spread = seconds.withColumn("piece", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
+    group = Window.partitionBy("user_id", "piece").orderBy("sec")
+    out = spread.withColumns({
+        f"{name}_{label}": F.sum(name).over(group.rangeBetween(-span, 0))
+        for label, span in ranges.items() for name in trailing
+    }).filter(F.col("piece") == own)
+    names = ["user_id", "sec", *keep, *[f"{name}_{label}" for label in ranges for name in trailing]]
+    if before:
+        out = _add_before(out, per_piece(tx, before, length), before)
+        names += [f"{name}_before" for name in before]
+    return out.select(*names)
+
+
+def _add_before(seconds: DataFrame, pieces: DataFrame, names: Sequence[str]) -> DataFrame:
+    kinds = {name: _measures()[name][0] for name in names}
+    inside = Window.partitionBy("user_id", "piece").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("user_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    past = pieces.select("user_id", "piece",
+                         *[_combine(kind, name).over(across).alias(f"_past_{name}") for name, kind in kinds.items()])
+    joined = seconds.withColumns({
+        f"_here_{name}": _combine(kind, name).over(inside) for name, kind in kinds.items()
+    }).join(past, ["user_id", "piece"], "left")
 
     def combined(name: str, kind: str) -> Column:
-        today, past = F.col(f"_today_{name}"), F.col(f"_past_{name}")
+        here, earlier = F.col(f"_here_{name}"), F.col(f"_past_{name}")
         if kind == "sum":
-            return F.coalesce(today, F.lit(0)) + F.coalesce(past, F.lit(0))
-        return (F.greatest if kind == "max" else F.least)(today, past)
+            return F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0))
+        return (F.greatest if kind == "max" else F.least)(here, earlier)
 
-    return joined.select(*seconds.columns, *[combined(n, k).alias(n) for n, (k, _) in measures.items()])
+    return joined.withColumns({f"{name}_before": combined(name, kind) for name, kind in kinds.items()})
 
 
 def _join_seconds(tx: DataFrame, seconds: DataFrame) -> DataFrame:
@@ -106,9 +127,12 @@ def _within_second(*order: str):
 
 # --- trailing spend and velocity ----------------------------------------------------------------------
 
+SPEND_RANGES = {"1h": HOUR, "24h": DAY}
+
+
 def trailing_spend(tx: DataFrame) -> DataFrame:
     """Spend of the last hour and the last 24 hours at every transaction, both ends included."""
-    sums = trailing(per_second(tx), {"1h": HOUR, "24h": DAY}, {"cents": "cents"}).select(
+    sums = second_features(tx, SPEND_RANGES, ["cents"]).select(
         "user_id", "sec", (F.col("cents_1h") / 100).alias("hourly_spending"),
         (F.col("cents_24h") / 100).alias("daily_spending"))
     return _join_seconds(tx, sums).drop("sec")
@@ -120,7 +144,7 @@ def velocity_metrics(tx: DataFrame) -> DataFrame:
     All rows of a second share one value, so the figures are aggregated from the roll-up with its row counts as
     weights and the raw rows are not read again.
     """
-    sums = trailing(per_second(tx), {"1h": HOUR, "24h": DAY}, {"cents": "cents"})
+    sums = second_features(tx, SPEND_RANGES, ["cents"], keep=["n"])
     aggregates, results = [F.sum("n").alias("n")], []
     for name, column in (("hourly", "cents_1h"), ("daily", "cents_24h")):
         value = F.col(column) / 100
@@ -142,23 +166,40 @@ def velocity_metrics(tx: DataFrame) -> DataFrame:
 
 def _deviation(n: Column, total: Column, squares: Column, low: Column, high: Column) -> Column:
     """Sample deviation from sums; exactly 0 when all values are equal, NULL for fewer than two."""
-    variance = (squares - total * total / n) / (n - 1)
+    variance = F.try_divide(squares - F.try_divide(total * total, n), n - 1)
     return F.when(n < 2, None).when(low == high, 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))
 
 
 # --- sessions ---------------------------------------------------------------------------------------
 
-def _numbered_seconds(tx: DataFrame, gap: int) -> DataFrame:
-    seconds = running_before(per_second(tx), {"previous": ("max", "sec")})
-    opened = seconds.withColumn("_opens", (F.col("sec") - F.col("previous") > gap).cast("int"))
-    opened = opened.fillna({"_opens": 0})
-    numbered = running_before(opened, {"_opened_before": ("sum", "_opens")})
-    return numbered.withColumn("session_id", F.col("_opened_before") + F.col("_opens"))
+SESSION_MEASURES = ["n", "cents", "first_ts", "last_ts"]
+
+
+def _seconds_by_day(tx: DataFrame, gap: int, names: Sequence[str]) -> DataFrame:
+    """Seconds numbered by the session of their day: a pause longer than ``gap`` starts the next one."""
+    days = per_second(tx, names).withColumn("day", _piece(F.col("sec"), DAY))
+    w = Window.partitionBy("user_id", "day").orderBy("sec")
+    opens = (F.col("sec") - F.lag("sec").over(w) > gap).cast("int")
+    return days.withColumn("_opens", F.coalesce(opens, F.lit(0))).withColumn("part", F.sum("_opens").over(w))
+
+
+def _day_sessions(tx: DataFrame, gap: int, names: Sequence[str]) -> DataFrame:
+    """Sessions of single days with the number of the whole session they belong to.
+
+    A day has at most ``DAY / gap`` of them, so they are numbered in one window per user.
+    """
+    kinds = _measures()
+    parts = _seconds_by_day(tx, gap, names).groupBy("user_id", "day", "part").agg(
+        F.min("sec").alias("start_sec"), F.max("sec").alias("end_sec"),
+        *[_combine(kinds[name][0], name).alias(name) for name in names])
+    w = Window.partitionBy("user_id").orderBy("start_sec")
+    opens = (F.col("start_sec") - F.lag("end_sec").over(w) > gap).cast("int")
+    return parts.withColumn("_opens", F.coalesce(opens, F.lit(0))).withColumn("session_id", F.sum("_opens").over(w))
 
 
 def sessions(tx: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
     """Sessions of a user: a pause longer than ``gap`` seconds starts the next one. Numbered from 0."""
-    return _numbered_seconds(tx, gap).groupBy("user_id", "session_id").agg(
+    return _day_sessions(tx, gap, SESSION_MEASURES).groupBy("user_id", "session_id").agg(
         F.sum("n").alias("session_transaction_count"),
         (F.sum("cents") / 100).alias("session_total_amount"),
         F.min("first_ts").alias("session_start"),
@@ -168,8 +209,9 @@ def sessions(tx: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
 
 def session_transactions(tx: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
     """The transactions with the session they belong to, one row each."""
-    numbers = _numbered_seconds(tx, gap).select("user_id", "sec", "session_id")
-    return _join_seconds(tx, numbers).drop("sec")
+    numbers = _day_sessions(tx, gap, ["n"]).select("user_id", "day", "part", "session_id")
+    seconds = _seconds_by_day(tx, gap, ["n"]).join(numbers, ["user_id", "day", "part"])
+    return _join_seconds(tx, seconds.select("user_id", "sec", "session_id")).drop("sec")
 
 
 # --- features at every transaction --------------------------------------------------------------------
@@ -179,26 +221,22 @@ def behaviour_features(tx: DataFrame) -> DataFrame:
 
     The running figures include the current row and every row with the same timestamp.
     """
-    totals = running_before(per_second(tx), {
-        "previous_sec": ("max", "sec"), "m_before": ("sum", "m"), "cents_before": ("sum", "cents"),
-        "squares_before": ("sum", "squares"), "low_before": ("min", "low"), "high_before": ("max", "high"),
-    })
-    seconds = trailing(totals, {"1h": HOUR}, {"n": "n", "m": "m", "cents": "cents"}).select(
-        "user_id", "sec", "previous_sec", "m_before", "cents_before", "squares_before", "low_before", "high_before",
-        "n_1h", "m_1h", "cents_1h")
+    seconds = second_features(tx, {"1h": HOUR}, ["n", "m", "cents"],
+                              before=["m", "cents", "squares", "low", "high", "last_sec"])
     here = _within_second("timestamp")
-    m = F.col("m_before") + F.count("amount").over(here)
-    total = (F.col("cents_before") + F.coalesce(F.sum(_cents()).over(here), F.lit(0))) / 100
-    squares = F.col("squares_before") + F.coalesce(F.sum(F.col("amount") * F.col("amount")).over(here), F.lit(0.0))
-    low = F.least("low_before", F.min("amount").over(here))
-    high = F.greatest("high_before", F.max("amount").over(here))
     first = F.row_number().over(_within_second("timestamp", "transaction_id")) == 1
     rows = _join_seconds(tx, seconds).withColumns({
-        "_m": m, "_total": total, "_squares": squares, "_low": low, "_high": high, "_first": first,
+        "_m": F.col("m_before") + F.count("amount").over(here),
+        "_total": (F.col("cents_before") + F.coalesce(F.sum(_cents()).over(here), F.lit(0))) / 100,
+        "_squares": F.col("squares_before")
+        + F.coalesce(F.sum(F.col("amount") * F.col("amount")).over(here), F.lit(0.0)),
+        "_low": F.least("low_before", F.min("amount").over(here)),
+        "_high": F.greatest("high_before", F.max("amount").over(here)),
+        "_first": first,
     })
     deviation = _deviation(F.col("_m"), F.col("_total"), F.col("_squares"), F.col("_low"), F.col("_high"))
     average_1h = F.try_divide(F.col("cents_1h") / 100, F.col("m_1h"))
-    pause = F.when(F.col("_first"), F.col("sec") - F.col("previous_sec")).otherwise(F.lit(0))
+    pause = F.when(F.col("_first"), F.col("sec") - F.col("last_sec_before")).otherwise(F.lit(0))
     return rows.select(
         *tx.columns,
         C.zscore("amount", F.try_divide(F.col("_total"), F.col("_m")), deviation).alias("amount_zscore"),
@@ -209,9 +247,12 @@ def behaviour_features(tx: DataFrame) -> DataFrame:
     )
 
 
-def merchant_features(tx: DataFrame) -> DataFrame:
-    """Count and average per (user, merchant) on every row; a missing merchant is a merchant of its own."""
-    stats = tx.groupBy(F.col("user_id").alias("_user"), F.col("merchant").alias("_merchant")).agg(
+def merchant_features(tx: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Count and average per (user, merchant) on every row; a missing merchant is a merchant of its own.
+
+    ``history`` is the frame to count in when ``tx`` carries other computed columns.
+    """
+    stats = (tx if history is None else history).groupBy(F.col("user_id").alias("_user"), F.col("merchant").alias("_merchant")).agg(
         F.count("*").alias("merchant_frequency"), F.avg("amount").alias("avg_merchant_amount"))
     same = (F.col("user_id") == F.col("_user")) & F.col("merchant").eqNullSafe(F.col("_merchant"))
     return tx.join(stats, same, "left").drop("_user", "_merchant")
@@ -223,11 +264,10 @@ def recent_history(tx: DataFrame, rows: int = 10, rows_per_block: int = ROWS_PER
     The running count numbers the transactions of a user; blocks of consecutive numbers are framed on their own,
     each starting with a copy of the last ``rows`` rows of the block before it.
     """
-    counted = running_before(per_second(tx), {"n_before": ("sum", "n")})
-    seconds = trailing(counted, {"1h": HOUR}, {"n": "n"}).select("user_id", "sec", "n_before", "n_1h")
+    seconds = second_features(tx, {"1h": HOUR}, ["n"], before=["n"])
     number = F.col("n_before") + F.row_number().over(_within_second("timestamp", "transaction_id")) - 1
     numbered = _join_seconds(tx, seconds).withColumn("_number", number)
-    block, position = F.floor(F.col("_number") / rows_per_block), F.col("_number") % rows_per_block
+    block, position = _piece(F.col("_number"), rows_per_block), F.col("_number") % rows_per_block
     own = F.struct(block.alias("block"), F.lit(False).alias("copy"))
     next_block = F.struct((block + 1).alias("block"), F.lit(True).alias("copy"))
     copies = F.when(position >= rows_per_block - rows, F.array(own, next_block)).otherwise(F.array(own))
