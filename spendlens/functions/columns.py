@@ -41,6 +41,14 @@ def zscore(value, mean, stddev) -> Column:
     return F.try_divide(_col(value) - _col(mean), _col(stddev))
 
 
+def deviation_from_sums(n, total, squares, low, high) -> Column:
+    """Sample deviation; exactly 0 when all values are equal, NULL for fewer than two."""
+    n, total, squares = _col(n), _col(total), _col(squares)
+    variance = F.try_divide(squares - F.try_divide(total * total, n), n - 1)
+    return (F.when(n < 2, None).when(_col(low) == _col(high), 0.0)
+            .otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))))
+
+
 def ratio_or_zero(numerator, denominator) -> Column:
     """0 unless the denominator is positive."""
     d = _col(denominator)

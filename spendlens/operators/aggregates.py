@@ -40,13 +40,55 @@ def _spend(suffix: str = "", stddev: bool = True) -> list[Column]:
 
 def sliding_spend(tx: DataFrame, duration: str = "5 minutes", slide: str = "1 minute",
                   watermark: str | None = None, suffix: str = "") -> DataFrame:
-    """Count, sum, average and deviation per sliding window, user and category."""
+    """Count, sum, average and deviation per sliding window, user and category.
+
+    A batch with overlapping windows takes the shorter way of ``_overlapping_spend``.
+    """
+    length, step = _seconds(duration), _seconds(slide)
+    if not tx.isStreaming and length > step and length % step == 0:
+        return _overlapping_spend(tx, length, step, suffix)
     return split_window(
         _watermarked(tx, watermark)
         .groupBy(F.window("timestamp", duration, slide), "user_id", "category")
         .agg(*_spend(suffix)))
 
 
+def _seconds(duration: str) -> int:
+    number, unit = duration.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}[unit.rstrip("s")]
+
+
+def _overlapping_spend(tx: DataFrame, length: int, step: int, suffix: str) -> DataFrame:
+    """Sliding windows put together from steps.
+
+    Grouping by window directly shuffles every transaction once per window it falls into. Here the transactions are
+    combined per step first, and the steps are shuffled once by (user, category, piece of time), a step near the
+    start of a piece also going to the piece before. Copying them into their windows then stays inside the task,
+    because the windows of a piece are grouped where the piece is.
+    """
+    span = 64 * length
+    step_start = F.floor(C.epoch_second() / step) * step
+    steps = tx.filter("timestamp IS NOT NULL").groupBy("user_id", "category", step_start.alias("at")).agg(
+        F.count("*").alias("n"), F.count("amount").alias("m"), F.sum("amount").alias("total"),
+        F.sum(F.col("amount") * F.col("amount")).alias("squares"),
+        F.min("amount").alias("low"), F.max("amount").alias("high"))
+    first_window = F.col("at") - (length - step)
+    early, late = F.floor(first_window / span), F.floor(F.col("at") / span)
+    pieces = steps.withColumn("piece", F.explode(
+        F.when(early == late, F.array(late)).otherwise(F.array(early, late)))).repartition("user_id", "category", "piece")
+    windows = (pieces.withColumn("start", F.explode(F.sequence(first_window, F.col("at"), F.lit(step))))
+               .filter(F.floor(F.col("start") / span) == F.col("piece"))
+               .groupBy("user_id", "category", "piece", "start")
+               .agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("total").alias("total"),
+                    F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high")))
+    return windows.select(
+        "user_id", "category", F.col("n").alias(f"transaction_count{suffix}"),
+        F.col("total").alias(f"total_amount{suffix}"), F.try_divide("total", "m").alias(f"avg_amount{suffix}"),
+        C.deviation_from_sums("m", "total", "squares", "low", "high").alias(f"std_amount{suffix}"),
+        F.timestamp_seconds("start").alias("window_start"),
+        F.timestamp_seconds(F.col("start") + length).alias("window_end"))
+
+
 def spending_velocity(agg: DataFrame, minutes: float = 5) -> DataFrame:
     return agg.withColumn("spending_velocity", F.col("total_amount") / minutes)
 
@@ -195,8 +237,16 @@ def newest_per_user(df: DataFrame, n: int, ts: str = "timestamp", tie: str = "tr
     return df.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
 
 
-def list_transactions(tx: DataFrame, skip: int = 0, limit: int = 100) -> DataFrame:
-    """One page in time order."""
+def list_transactions(tx: DataFrame, skip: int = 0, limit: int = 100, after: tuple | None = None) -> DataFrame:
+    """One page in time order.
+
+    Skipped rows are sorted along, so deep pages should pass ``after`` instead: the (timestamp, transaction_id) of
+    the last row seen, which becomes a filter on the scan.
+    """
+    if after is not None:
+        ts, transaction_id = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
+        later = (F.col("timestamp") > ts) | ((F.col("timestamp") == ts) & (F.col("transaction_id") > transaction_id))
+        tx = tx.filter((F.col("timestamp") >= ts) & later)
     return tx.orderBy("timestamp", "transaction_id").offset(skip).limit(limit)
 
 

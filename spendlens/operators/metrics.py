@@ -110,30 +110,41 @@ def slow_responses(requests: DataFrame, threshold: float = 5, hold_minutes: int
     return held(series, F.col("quantile") > threshold, hold_minutes, F.col("quantile"), keys)
 
 
+def _value_bucket(value: Column) -> Column:
+    """Order-preserving bucket of a number, 64 per power of two."""
+    size = F.floor(F.log2(F.abs(value)) * 64) + 100_000
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
+
+
 def exact_quantile(requests: DataFrame, q: float = 0.95, duration: str = "5 minutes", keys: Sequence[str] = (),
                    value: str = "duration_s") -> DataFrame:
     """Interpolated quantile per tumbling window from the counts of equal values.
 
-    Equal values are counted in the map tasks; only distinct values are ordered within a window.
+    Equal values are counted in the map tasks. The counts per bucket of similar values tell which bucket holds the
+    wanted rank, and only its values are ordered.
     """
     group = [*keys, "window"]
     counted = (requests.filter(F.col(value).isNotNull())
                .groupBy(*keys, F.window("ts", duration).alias("window"), F.col(value).alias("_v"))
-               .agg(F.count("*").alias("_n")))
-    up_to = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumns({"_upto": F.sum("_n").over(up_to),
-                                  "_total": F.sum("_n").over(Window.partitionBy(*group))})
-    rank = (F.col("_total") - 1) * q
+               .agg(F.count("*").alias("_n")).withColumn("_bucket", _value_bucket(F.col("_v"))))
+    whole = Window.partitionBy(*group)
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counted.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_size")).withColumns({
+        "_before": F.coalesce(F.sum("_size").over(earlier), F.lit(0)), "events": F.sum("_size").over(whole)})
+    rank = (F.col("events") - 1) * q
+    holds = (F.col("_before") <= F.ceil(rank)) & (F.col("_before") + F.col("_size") > F.floor(rank))
+    upto = F.col("_before") + F.sum("_n").over(
+        Window.partitionBy(*group, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.join(buckets.filter(holds), [*group, "_bucket"]).withColumn("_upto", upto)
 
     def value_at(position):
         return F.min(F.when(F.col("_upto") > position, F.col("_v")))
 
-    sums = ranked.groupBy(*group).agg(F.max("_total").alias("events"), value_at(F.floor(rank)).alias("_low"),
-                                      value_at(F.ceil(rank)).alias("_high"))
-    position = (F.col("events") - 1) * q
-    quantile = F.col("_low") + (F.col("_high") - F.col("_low")) * (position - F.floor(position))
-    return sums.select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                       "events", quantile.alias("quantile"))
+    found = ranked.groupBy(*group).agg(F.max("events").alias("events"), value_at(F.floor(rank)).alias("_low"),
+                                       value_at(F.ceil(rank)).alias("_high"))
+    quantile = F.col("_low") + (F.col("_high") - F.col("_low")) * (rank - F.floor(rank))
+    return found.select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                        "events", quantile.alias("quantile"))
 
 
 def approximate_quantile(requests: DataFrame, q: float = 0.95, duration: str = "5 minutes",

@@ -154,8 +154,8 @@ def velocity_metrics(tx: DataFrame) -> DataFrame:
             F.sum(F.col("n") * value * value).alias(f"squares_{name}"),
             F.min(value).alias(f"min_{name}"),
         ]
-        deviation = _deviation(F.col("n"), F.col(f"sum_{name}") / 100, F.col(f"squares_{name}"),
-                               F.col(f"min_{name}"), F.col(f"max_{name}"))
+        deviation = C.deviation_from_sums("n", F.col(f"sum_{name}") / 100, f"squares_{name}", f"min_{name}",
+                                          f"max_{name}")
         results += [
             F.col(f"max_{name}").alias(f"max_{name}_spending"),
             (F.col(f"sum_{name}") / 100 / F.col("n")).alias(f"avg_{name}_spending"),
@@ -164,12 +164,6 @@ def velocity_metrics(tx: DataFrame) -> DataFrame:
     return sums.groupBy("user_id").agg(*aggregates).select("user_id", *results)
 
 
-def _deviation(n: Column, total: Column, squares: Column, low: Column, high: Column) -> Column:
-    """Sample deviation from sums; exactly 0 when all values are equal, NULL for fewer than two."""
-    variance = F.try_divide(squares - F.try_divide(total * total, n), n - 1)
-    return F.when(n < 2, None).when(low == high, 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))
-
-
 # --- sessions ---------------------------------------------------------------------------------------
 
 SESSION_MEASURES = ["n", "cents", "first_ts", "last_ts"]
@@ -234,7 +228,7 @@ def behaviour_features(tx: DataFrame) -> DataFrame:
         "_high": F.greatest("high_before", F.max("amount").over(here)),
         "_first": first,
     })
-    deviation = _deviation(F.col("_m"), F.col("_total"), F.col("_squares"), F.col("_low"), F.col("_high"))
+    deviation = C.deviation_from_sums("_m", "_total", "_squares", "_low", "_high")
     average_1h = F.try_divide(F.col("cents_1h") / 100, F.col("m_1h"))
     pause = F.when(F.col("_first"), F.col("sec") - F.col("last_sec_before")).otherwise(F.lit(0))
     return rows.select(

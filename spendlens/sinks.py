@@ -23,15 +23,17 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: str = "transaction_i
 
 
 def append_new(incoming: DataFrame, path: str, batch_id: int, key: str = "transaction_id") -> None:
-    """Append the rows with unseen ids to a parquet table made of one folder per batch.
+    """Append the rows with unseen ids of a micro-batch to a parquet table made of one folder per batch.
 
-    A repeated batch replaces its own folder and does not count as existing.
+    A repeated batch replaces its own folder and does not count as existing. Of the table only the ids are read, and
+    the semi join lets Spark filter them by the few ids of the batch before anything of the table is shuffled.
     """
     spark = incoming.sparkSession
     existing = _read_batches(spark, path, before=batch_id)
     rows = first_per_id(incoming, key)
     if existing is not None:
-        rows = rows.join(existing.select(key), key, "left_anti")
+        taken = existing.select(key).join(rows.select(key), key, "left_semi")
+        rows = rows.join(taken, key, "left_anti")
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
@@ -47,18 +49,13 @@ def _read_batches(spark: SparkSession, path: str, before: int | None = None) ->
 
 # --- upserts by version -----------------------------------------------------------------------------------
 
-def write_version(batch: DataFrame, path: str, batch_id: int, date_from: str | None = None) -> None:
-    """The rows of a micro-batch as one version of the table, below ``batch_id=N`` and optionally by date.
+def write_version(batch: DataFrame, path: str, batch_id: int) -> None:
+    """The rows of a micro-batch as one version of the table, below ``batch_id=N``.
 
     An update-mode stream sends a window again whenever it changes. Versions are only added, so nothing is read or
     rewritten here, and a repeated batch replaces its own folder.
     """
-    writer = batch
-    if date_from:
-        writer = batch.withColumn("date", F.to_date(date_from))
-        writer.write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch_id={batch_id}")
-    else:
-        writer.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def latest_version(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -72,10 +69,15 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     return latest_version(spark.read.option("mergeSchema", "true").parquet(path), keys)
 
 
-def compact(spark: SparkSession, path: str, keys: Sequence[str], target: str, upto: int) -> None:
-    """Write the newest rows of all versions up to ``upto`` as the first version of another table."""
+def compact(spark: SparkSession, path: str, keys: Sequence[str], target: str, upto: int,
+            date_from: str = "window_start") -> None:
+    """Write the newest rows of all versions up to ``upto`` as the first version of another table, by date.
+
+    The rebalance hint gives files of even size: small dates share a task, a large date is split over several.
+    """
     versions = spark.read.parquet(path).filter(F.col("batch_id") <= upto)
-    latest_version(versions, keys).write.mode("overwrite").parquet(f"{target}/batch_id={upto}")
+    newest = latest_version(versions, keys).withColumn("date", F.to_date(date_from))
+    newest.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(f"{target}/batch_id={upto}")
 
 
 # --- topics, files, databases -------------------------------------------------------------------------------

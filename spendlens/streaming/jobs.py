@@ -76,7 +76,7 @@ def fan_out(path: str, velocity_threshold: float = 1000, servers: str | None = N
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            sinks.write_version(batch, f"{path}/user_spending_aggregates", batch_id, "window_start")
+            sinks.write_version(batch, f"{path}/user_spending_aggregates", batch_id)
             sinks.write_messages(batch, "user_aggregations", servers, path, batch_id)
             found = alerts.high_velocity_alerts(batch, velocity_threshold, as_of)
             if not found.isEmpty():

@@ -3,7 +3,8 @@
 import datetime as dt
 
 import pytest
-from helpers import frame, skewed_rows, tx
+from helpers import close, frame, skewed_rows, tx
+from pyspark.sql import functions as F
 
 from spendlens.operators import aggregates as A, alerts, anomaly
 
@@ -105,6 +106,20 @@ def test_paged_lists_hold_every_row(spark):
     assert all(sum(x["user_id"] == u for x in rows) > 20 for u in small)
 
 
+def test_sliding_windows_equal_the_direct_grouping(spark):
+    rows = skewed_rows(300) + [tx("n", "hot", None, 40), tx("o", "hot", 3, -1), tx("p", None, 3, 19_200)]
+    df = frame(spark, rows)
+    for duration, slide in (("5 minutes", "1 minute"), ("1 hour", "20 minutes")):
+        direct = A.split_window(df.groupBy(F.window("timestamp", duration, slide), "user_id", "category")
+                                .agg(*A._spend()))
+        columns = ["window_start", "window_end", "user_id", "category", "transaction_count", "total_amount",
+                   "avg_amount", "std_amount"]
+        got, want = ({tuple(r)[:5]: tuple(r)[5:] for r in d.select(columns).collect()}
+                     for d in (A.sliding_spend(df, duration, slide), direct))
+        assert got.keys() == want.keys()
+        assert all(close(a, b) for k in want for a, b in zip(got[k], want[k]))
+
+
 def test_hours_of_night_and_weekend(spark):
     rows = [tx(h, "u", 1, h * 3600) for h in (6, 7, 21, 22)] + [tx("sat", "u", 1, 5 * 86_400 + 43_200)]
     out = {r.transaction_id: (r.is_night, r.is_weekend) for r in anomaly.transaction_features(frame(spark, rows)).collect()}
@@ -127,6 +142,8 @@ def test_newest_and_pages(spark):
     df = frame(spark, [tx(i, "u", i + 1, i) for i in range(30)])
     assert {r.transaction_id for r in A.newest_per_user(df, 3).collect()} == {"27", "28", "29"}
     assert [r.transaction_id for r in A.list_transactions(df, 5, 2).collect()] == ["5", "6"]
+    third = A.list_transactions(df, limit=2, after=("2024-01-01 00:00:06", "6"))
+    assert [r.transaction_id for r in third.collect()] == ["7", "8"]
     assert A.get_transaction(df, "99").isEmpty()
 
 

@@ -1,7 +1,9 @@
 """Metric rules on hand-made series."""
 
 import datetime as dt
+import random
 
+import numpy as np
 from helpers import START, frame, tx
 from pyspark.sql import functions as F
 
@@ -47,6 +49,14 @@ def test_exact_quantile(spark):
     assert abs(Q.exact_quantile(df, 0.95).first().quantile - 8.4) < 1e-9
 
 
+def test_exact_quantile_of_any_numbers(spark):
+    rng = random.Random(4)
+    values = [rng.choice([0.0, -1.5, rng.uniform(-9, 9), rng.expovariate(0.01)]) for _ in range(250)]
+    df = requests(spark, [(0, 200, v) for v in values])
+    for q in (0.0, 0.05, 0.5, 0.95, 1.0):
+        assert abs(Q.exact_quantile(df, q).first().quantile - float(np.quantile(values, q))) < 1e-9
+
+
 def test_silent_sources(spark):
     df = spark.createDataFrame([("a", START), ("b", START + dt.timedelta(minutes=5))], "source string, ts timestamp")
     assert [r.source for r in Q.silent_sources(df, START + dt.timedelta(minutes=5)).collect()] == ["a"]

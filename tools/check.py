@@ -12,6 +12,7 @@ import sys
 import time
 
 import duckdb
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -63,10 +64,14 @@ def compare(spark_df, con, sql: str) -> str:
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--plain", action="store_true", help="a session without the library's settings")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-                          spark__driver__memory="8g")
+    if args.plain:
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+                              spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = duck(args.sf), 0
     names = [n for n in QUERIES if not args.names or any(n.startswith(a) for a in args.names)]
