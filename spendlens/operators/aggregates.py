@@ -74,8 +74,8 @@ def _overlapping_spend(tx: DataFrame, length: int, step: int, suffix: str) -> Da
         F.min("amount").alias("low"), F.max("amount").alias("high"))
     first_window = F.col("at") - (length - step)
     early, late = F.floor(first_window / span), F.floor(F.col("at") / span)
-    pieces = steps.withColumn("piece", F.explode(
-        F.when(early == late, F.array(late)).otherwise(F.array(early, late)))).repartition("user_id", "category", "piece")
+    both = F.when(early == late, F.array(late)).otherwise(F.array(early, late))
+    pieces = steps.withColumn("piece", F.explode(both)).repartition("user_id", "category", "piece")
     windows = (pieces.withColumn("start", F.explode(F.sequence(first_window, F.col("at"), F.lit(step))))
                .filter(F.floor(F.col("start") / span) == F.col("piece"))
                .groupBy("user_id", "category", "piece", "start")

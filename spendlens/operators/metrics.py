@@ -22,9 +22,10 @@ def _minute(ts: str) -> Column:
 
 def sliding_sums(events: DataFrame, measures: Mapping[str, Column], minutes: int, keys: Sequence[str] = (),
                  ts: str = "timestamp") -> DataFrame:
-    """Sums of ``measures`` over ``[evaluated_at - minutes, evaluated_at)`` for every minute ``evaluated_at`` that has an event in its window.
+    """Sums of ``measures`` over ``[evaluated_at - minutes, evaluated_at)``.
 
-    ``measures`` are sums or counts, because minutes are added up.
+    There is a row for every minute that has an event in its window. ``measures`` are sums or counts, because minutes
+    are added up.
     """
     per_minute = events.groupBy(*keys, _minute(ts).alias("minute")).agg(
         *[column.alias(name) for name, column in measures.items()])
@@ -46,7 +47,8 @@ def held(evaluations: DataFrame, condition: Column, hold_minutes: int, value: Co
     true = evaluations.filter(condition).withColumn("_peak", value)
     island = step - F.row_number().over(Window.partitionBy(*series).orderBy("evaluated_at"))
     episodes = true.withColumn("_island", island).groupBy(*keys, "_island").agg(
-        F.min("evaluated_at").alias("pending_since"), F.max("evaluated_at").alias("last_true"), F.max("_peak").alias("peak"))
+        F.min("evaluated_at").alias("pending_since"), F.max("evaluated_at").alias("last_true"),
+        F.max("_peak").alias("peak"))
     firing = F.col("pending_since") + F.expr(f"INTERVAL {hold_minutes} MINUTE")
     return (episodes.withColumn("firing_since", firing).filter(F.col("last_true") >= F.col("firing_since"))
             .select(*keys, "pending_since", "firing_since", "last_true", "peak"))

@@ -30,7 +30,8 @@ def upsert(collection: DataFrame, incoming: DataFrame, key: str = "vec_id", orde
     """The collection with incoming rows replacing those of the same key; within ``incoming`` the row that is last
     by ``order_by`` wins (any of them without it)."""
     if order_by:
-        newest = incoming.groupBy(key).agg(F.max_by(F.struct(*incoming.columns), order_by).alias("_row")).select("_row.*")
+        row = F.max_by(F.struct(*incoming.columns), order_by)
+        newest = incoming.groupBy(key).agg(row.alias("_row")).select("_row.*")
     else:
         newest = incoming.dropDuplicates([key])
     kept = collection.join(newest.select(key), key, "left_anti")

@@ -5,7 +5,7 @@ of the data. Here the rows are first rolled up to one row per (user, second), wi
 run over pieces of known size:
 
 * a trailing range is a window per (user, piece of days). The last seconds of a piece are copied into the next one,
-  so a frame never reaches outside its piece;
+  so a range never reaches outside its piece;
 * a running total is a window per (user, piece) plus the totals of the earlier pieces, one row per piece;
 * a session is put together from the sessions of single days, of which a day has at most 48;
 * a frame of rows is a window per (user, block of consecutive rows), the block number coming from the running count.
@@ -76,20 +76,17 @@ def second_features(tx: DataFrame, ranges: Mapping[str, int], trailing: Sequence
                     before: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Figures at every (user, second).
 
-    ``{measure}_{range}`` sums over ``[sec - range, sec]``; ``{measure}_before`` combines all earlier seconds of the
-    user (sums start at 0, extremes at NULL); ``keep`` are measures of the second itself.
+    ``{measure}_{range}`` sums over ``[sec - range, sec]``, for whole-number measures; ``{measure}_before`` combines
+    all earlier seconds of the user (sums start at 0, extremes at NULL); ``keep`` are measures of the second itself.
     """
     reach = max(ranges.values())
     length = max(DAY, 4 * reach)
     own = _piece(F.col("sec"), length)
     seconds = per_second(tx, list(dict.fromkeys([*trailing, *before, *keep])))
     near_end = F.col("sec") >= (own + 1) * length - reach
-    spread = seconds.withColumn("piece", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
-    group = Window.partitionBy("user_id", "piece").orderBy("sec")
-    out = spread.withColumns({
-        f"{name}_{label}": F.sum(name).over(group.rangeBetween(-span, 0))
-        for label, span in ranges.items() for name in trailing
-    }).filter(F.col("piece") == own)
+    copies = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = seconds.withColumn("piece", F.explode(copies)).repartition("user_id", "piece")
+    out = _trailing_sums(spread, ranges, trailing, length, [*before, *keep])
     names = ["user_id", "sec", *keep, *[f"{name}_{label}" for label in ranges for name in trailing]]
     if before:
         out = _add_before(out, per_piece(tx, before, length), before)
@@ -97,6 +94,32 @@ def second_features(tx: DataFrame, ranges: Mapping[str, int], trailing: Sequence
     return out.select(*names)
 
 
+def _trailing_sums(spread: DataFrame, ranges: Mapping[str, int], trailing: Sequence[str], length: int,
+                   carry: Sequence[str]) -> DataFrame:
+    """Trailing sums as running totals of entries and exits.
+
+    A sliding frame is added up anew for every row, which takes (rows x frame) steps. Here a second enters the total
+    at its time and leaves it one second after the range has passed, so one running sum per range does.
+    """
+    own = _piece(F.col("sec"), length) == F.col("piece")
+
+    def entry(at: Column, is_row: Column, signs: Mapping[str, int]) -> Column:
+        changes = [(F.col(name) * signs[label]).alias(f"_{name}_{label}") for label in ranges for name in trailing]
+        return F.struct(at.alias("sec"), is_row.alias("_row"), *changes)
+
+    kinds = [entry(F.col("sec"), own, {label: 1 for label in ranges})]
+    for label, span in ranges.items():
+        signs = {other: -1 if other == label else 0 for other in ranges}
+        kinds.append(entry(F.col("sec") + span + 1, F.lit(False), signs))
+    total = Window.partitionBy("user_id", "piece").orderBy("sec")
+    entries = (spread.select("user_id", "piece", *carry, F.explode(F.array(*kinds)).alias("_entry"))
+               .select("user_id", "piece", *carry, "_entry.*")
+               .filter(F.col("sec") < (F.col("piece") + 1) * length))
+    return entries.withColumns({
+        f"{name}_{label}": F.sum(f"_{name}_{label}").over(total) for label in ranges for name in trailing
+    }).filter("_row")
+
+
 def _add_before(seconds: DataFrame, pieces: DataFrame, names: Sequence[str]) -> DataFrame:
     kinds = {name: _measures()[name][0] for name in names}
     inside = Window.partitionBy("user_id", "piece").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
@@ -246,7 +269,8 @@ def merchant_features(tx: DataFrame, history: DataFrame | None = None) -> DataFr
 
     ``history`` is the frame to count in when ``tx`` carries other computed columns.
     """
-    stats = (tx if history is None else history).groupBy(F.col("user_id").alias("_user"), F.col("merchant").alias("_merchant")).agg(
+    counted = tx if history is None else history
+    stats = counted.groupBy(F.col("user_id").alias("_user"), F.col("merchant").alias("_merchant")).agg(
         F.count("*").alias("merchant_frequency"), F.avg("amount").alias("avg_merchant_amount"))
     same = (F.col("user_id") == F.col("_user")) & F.col("merchant").eqNullSafe(F.col("_merchant"))
     return tx.join(stats, same, "left").drop("_user", "_merchant")

@@ -329,3 +329,52 @@ def m8_fraud_scores(spark, sf_dir):
 @query("q8_counts_by_status", with_tx("SELECT status, currency, count(*) AS events FROM tx GROUP BY 1, 2"))
 def q8_counts_by_status(spark, sf_dir):
     return counts_by(transactions(spark, sf_dir), "status", "currency")
+
+
+# --- single rules of the alerts -----------------------------------------------------------------------
+
+@query("p9_anomaly_filter", with_tx(_daily_sql("merchant") + """
+SELECT user_id, category, coalesce(spend_z > 2 OR count_z > 2 OR unusual = 1, unusual = 1) AS anomalous FROM judged"""))
+def p9_anomaly_filter(spark, sf_dir):
+    flag = F.coalesce(anomaly.is_anomalous(2.0), F.col("unusual_category") == 1)
+    return _judged(spark, sf_dir).select("user_id", "category", flag.alias("anomalous"))
+
+
+@query("e4_zscores", with_tx(_daily_sql("category") + """
+SELECT user_id, category, round(spend_z, 6) AS spend_zscore, round(count_z, 6) AS transaction_zscore FROM judged"""))
+def e4_zscores(spark, sf_dir):
+    scored = anomaly.scored_windows(daily_aggregates(spark, sf_dir), AS_OF, "1 DAY")
+    return scored.select("user_id", "category", F.round("spend_zscore", 6).alias("spend_zscore"),
+                         F.round("transaction_zscore", 6).alias("transaction_zscore"))
+
+
+@query("e7_alert_types", with_tx(ALERTS_SQL + "SELECT alert_type, count(*) AS alerts FROM alerts GROUP BY 1"))
+def e7_alert_types(spark, sf_dir):
+    return _alerts(spark, sf_dir).groupBy("alert_type").agg(F.count("*").alias("alerts"))
+
+
+@query("e8_severities", with_tx(ALERTS_SQL + "SELECT alert_type, severity, count(*) AS alerts FROM alerts GROUP BY 1, 2"))
+def e8_severities(spark, sf_dir):
+    return _alerts(spark, sf_dir).groupBy("alert_type", "severity").agg(F.count("*").alias("alerts"))
+
+
+@query("e9_message_details", with_tx(ALERTS_SQL + """
+SELECT user_id, category, CASE alert_type
+    WHEN 'HIGH_SPENDING' THEN concat('Spent $', total, ' which is ', round(sz, 1), ' standard deviations above average')
+    WHEN 'HIGH_FREQUENCY' THEN concat('Made ', transaction_count, ' transactions which is ', round(cz, 1),
+      ' standard deviations above average')
+    WHEN 'UNUSUAL_CATEGORY' THEN concat('Transaction in unusual category: ', category)
+    ELSE 'Suspicious pattern detected' END AS details FROM alerts"""))
+def e9_message_details(spark, sf_dir):
+    return _alerts(spark, sf_dir).select(
+        "user_id", F.col("alert_data_category").alias("category"),
+        F.regexp_extract("message", "Details: (.*)$", 1).alias("details"))
+
+
+@query("e10_stable_alert_ids", with_tx(ANOMALIES_SQL + """
+SELECT user_id, category, sha256(user_id || '|' || category || '|' || round(total_amount, 2) || '|' || transaction_count)
+  AS alert_id FROM anomalies"""))
+def e10_stable_alert_ids(spark, sf_dir):
+    anomalies = _anomalies(spark, sf_dir).withColumn("total_amount", F.round("total_amount", 2))
+    return alerts.anomaly_alerts(anomalies, AS_OF, stable_ids=True).select(
+        "user_id", F.col("alert_data_category").alias("category"), "alert_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spendlens import sinks
 from spendlens.operators import aggregates as A, alerts, timeline as L
 from spendlens.plans.registry import query
 from spendlens.plans.tables import AS_OF, epoch, transactions, with_tx
@@ -311,3 +312,30 @@ def t1_list_transactions(spark, sf_dir):
 def p12_get_transaction(spark, sf_dir):
     return A.get_transaction(transactions(spark, sf_dir), "42").select(
         "transaction_id", "status", "amount", "currency", epoch("timestamp").alias("at"))
+
+
+@query("p5_spending_velocity", with_tx(A1_SQL + """
+SELECT user_id, category, window_end, round(total / 5, 6) AS spending_velocity FROM agg"""))
+def p5_spending_velocity(spark, sf_dir):
+    agg = A.spending_velocity(A.sliding_spend(transactions(spark, sf_dir)))
+    return agg.select("user_id", "category", epoch("window_end").alias("window_end"),
+                      F.round("spending_velocity", 6).alias("spending_velocity"))
+
+
+@query("e12_advice_counts", with_tx(TRAILING_SQL + """, m AS (
+  SELECT user_id, avg(d) AS daily, sum(amount) FILTER (category = 'FOOD') / sum(amount) AS food,
+         avg(hour(timestamp)) AS late, count(DISTINCT device_id) AS devices FROM spent GROUP BY 1)
+SELECT user_id, 1 + CASE WHEN food > 0.25 THEN 1 ELSE 0 END + CASE WHEN late > 11 THEN 1 ELSE 0 END
+  + CASE WHEN devices > 3 THEN 1 ELSE 0 END AS texts FROM m"""))
+def e12_advice_counts(spark, sf_dir):
+    """Length of the advice array after the empty texts are filtered out."""
+    metrics = A.user_metrics(transactions(spark, sf_dir), as_of=AS_OF, exact=True)
+    advice = alerts.recommendations(metrics, daily_limit=150, food_share=0.25, late_hour=11, devices=3)
+    return advice.select("user_id", F.size("recommendations").alias("texts"))
+
+
+@query("e11_json_rows", with_tx("""
+SELECT '{"transaction_id":"' || transaction_id || '","user_id":"' || user_id || '","category":"' || category || '"}'
+  AS value FROM tx"""))
+def e11_json_rows(spark, sf_dir):
+    return sinks.as_messages(transactions(spark, sf_dir).select("transaction_id", "user_id", "category"))

@@ -1,4 +1,5 @@
-"""Writers. Every one can be repeated for the same batch without leaving duplicates behind."""
+"""Writers. Those to files can be repeated for the same batch without leaving duplicates behind; a topic or a
+database table gets the rows again, as their connectors deliver at least once."""
 
 from __future__ import annotations
 
@@ -17,9 +18,10 @@ def first_per_id(df: DataFrame, key: str = "transaction_id", order_by: str = "ti
     return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), order_by).alias("_row")).select("_row.*")
 
 
-def new_rows(incoming: DataFrame, existing: DataFrame, key: str = "transaction_id") -> DataFrame:
+def new_rows(incoming: DataFrame, existing: DataFrame, key: str = "transaction_id",
+             order_by: str = "timestamp") -> DataFrame:
     """Insert with conflicts ignored: rows whose id is neither in the table nor twice in the batch."""
-    return first_per_id(incoming, key).join(existing.select(key), key, "left_anti")
+    return first_per_id(incoming, key, order_by).join(existing.select(key), key, "left_anti")
 
 
 def append_new(incoming: DataFrame, path: str, batch_id: int, key: str = "transaction_id") -> None:
@@ -111,4 +113,12 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", partit
 
 
 def add_documents(corpus: DataFrame, path: str) -> None:
-    corpus.write.mode("append").parquet(path)
+    """Append the documents whose id, the hash of their text, is not in the corpus yet."""
+    from pyspark.errors import AnalysisException
+
+    rows = first_per_id(corpus, "doc_id", "content")
+    try:
+        rows = new_rows(rows, corpus.sparkSession.read.parquet(path), "doc_id", "content")
+    except AnalysisException:  # the corpus starts with these documents
+        pass
+    rows.write.mode("append").parquet(path)
