@@ -188,13 +188,20 @@ def _targets(profiles: DataFrame) -> DataFrame:
 
 
 def target_deviation(positions: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Actual share against the target of each targeted class; a class that is not held has share 0."""
-    actual = class_allocation(positions).withColumnRenamed("asset_type", "asset_class")
-    totals = positions.groupBy("user_id").agg(_value().alias("value"))
-    current = F.coalesce("allocation", F.lit(0.0))
-    return (_targets(profiles).join(totals, "user_id").join(actual, ["user_id", "asset_class"], "left")
-            .select("user_id", "asset_class", "value", current.alias("current"), "target",
-                    (current - F.col("target")).alias("deviation")))
+    """Actual share against the target of each targeted class; a class that is not held has share 0.
+
+    The positions are reduced to a handful of classes per user and then to one row with their shares, so the left join
+    of targets and classes is a lookup in that row.
+    """
+    classes = positions.groupBy("user_id", "asset_type").agg(
+        F.sum("allocation").alias("allocation"), F.sum("market_value").alias("value"))
+    entry = F.when(F.col("asset_type").isNotNull(), F.struct("asset_type", "allocation"))
+    held = classes.groupBy("user_id").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("shares"), F.sum("value").alias("value"))
+    current = F.coalesce(F.col("shares")[F.col("asset_class")], F.lit(0.0))
+    return _targets(profiles).join(held, "user_id").select(
+        "user_id", "asset_class", "value", current.alias("current"), "target",
+        (current - F.col("target")).alias("deviation"))
 
 
 def rebalance(positions: DataFrame, profiles: DataFrame, rounded: bool = True) -> DataFrame:
