@@ -68,7 +68,7 @@ def class_allocation(positions: DataFrame) -> DataFrame:
 
 def diversification(positions: DataFrame, rounded: bool = True) -> DataFrame:
     """Concentration index over asset classes; the allocation map has one entry per class."""
-    classes = F.collect_list(F.struct("asset_type", "allocation"))
+    classes = F.collect_list(F.when(F.col("asset_type").isNotNull(), F.struct("asset_type", "allocation")))
     per_user = class_allocation(positions).groupBy("user_id").agg(
         F.map_from_entries(F.array_sort(classes)).alias("asset_allocation"),
         F.sum(F.col("allocation") * F.col("allocation")).alias("hhi"))

@@ -119,11 +119,13 @@ def d3_unit_vectors(spark, sf_dir):
         "vec_id", F.round(X.norm(F.col("embedding")), 6).alias("norm"), F.round(F.get(unit, F.lit(0)), 6).alias("first"))
 
 
-# The first vectors of the table are the questions; the whole table is searched.
-SCORES_SQL = """WITH scores AS (
-  SELECT q.vec_id AS query_id, e.vec_id AS hit_id, e.label,
-         list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
-  FROM embeddings q, embeddings e WHERE q.vec_id < 5),
+# The mean vector of every label is a question; the whole table is searched.
+SCORES_SQL = """WITH elements AS (
+  SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+means AS (SELECT label, i, avg(x) AS x FROM elements GROUP BY 1, 2),
+questions AS (SELECT label AS query_id, list(x ORDER BY i) AS question FROM means GROUP BY 1),
+scores AS (SELECT query_id, vec_id AS hit_id, label, list_cosine_similarity(question, embedding::DOUBLE[]) AS score
+  FROM questions, embeddings),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS position
   FROM scores WHERE score >= {threshold}{criteria})
 SELECT query_id, hit_id, round(score, 6) AS score, CAST(position AS INTEGER) AS position FROM ranked
@@ -131,7 +133,11 @@ WHERE position <= {k}"""
 
 
 def _questions(spark, sf_dir):
-    return vectors(spark, sf_dir).filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    elements = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = elements.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
+    return means.groupBy(F.col("label").alias("query_id")).agg(ordered.alias("m")).select(
+        "query_id", F.col("m.x").alias("embedding"))
 
 
 def _rounded(hits):
