@@ -178,10 +178,10 @@ def low_cash(accounts: DataFrame, threshold: float = 1000) -> DataFrame:
             .agg(F.avg("balance").alias("avg_balance")).filter(F.col("avg_balance") < threshold))
 
 
-def silent_sources(beats: DataFrame, as_of=None, minutes: float = 1, key: str = "source",
+def silent_sources(beats: DataFrame, as_of=None, minutes: int = 1, key: str = "source",
                    ts: str = "ts") -> DataFrame:
     """Sources whose last sign of life is too old."""
-    limit = C.as_of_or_now(as_of) - F.make_dt_interval(mins=F.lit(int(minutes)))
+    limit = C.as_of_or_now(as_of) - F.make_dt_interval(mins=F.lit(minutes))
     return beats.groupBy(key).agg(F.max(ts).alias("last_seen")).filter(F.col("last_seen") < limit)
 
 

@@ -184,11 +184,11 @@ def with_prices(usage: DataFrame) -> DataFrame:
                           "output_price": F.coalesce("output_price", F.lit(default_out))}))
 
 
-def token_costs(messages: DataFrame, *keys: str) -> DataFrame:
+def token_costs(messages: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
     """Tokens and cost per key. ``messages``: role (user = input, assistant = output), text, model."""
     tokens = C.token_estimate("text")
     usage = messages.groupBy(*keys, "model").agg(
         F.sum(F.when(F.col("role") == "user", tokens).otherwise(0)).alias("input_tokens"),
         F.sum(F.when(F.col("role") == "assistant", tokens).otherwise(0)).alias("output_tokens"))
     cost = F.col("input_tokens") / 1000 * F.col("input_price") + F.col("output_tokens") / 1000 * F.col("output_price")
-    return with_prices(usage).select(*keys, "model", "input_tokens", "output_tokens", F.round(cost, 6).alias("cost"))
+    return with_prices(usage).select(*keys, "model", "input_tokens", "output_tokens", F.round(cost, digits).alias("cost"))

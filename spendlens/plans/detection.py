@@ -192,13 +192,13 @@ def p4_window_bounds(spark, sf_dir):
 
 
 @query("a10_user_baseline", with_tx(_daily_sql("category") + """
-SELECT user_id, round(mean_spend, 6) AS avg_daily_spend, round(sd_spend, 6) AS std_daily_spend,
-       round(mean_n, 6) AS avg_daily_transactions, round(sd_n, 6) AS std_daily_transactions,
+SELECT user_id, round(mean_spend, 8) AS avg_daily_spend, round(sd_spend, 6) AS std_daily_spend,
+       round(mean_n, 8) AS avg_daily_transactions, round(sd_n, 6) AS std_daily_transactions,
        common AS common_categories FROM base"""))
 def a10_user_baseline(spark, sf_dir):
     numbers = ["avg_daily_spend", "std_daily_spend", "avg_daily_transactions", "std_daily_transactions"]
     return A.user_baseline(daily_aggregates(spark, sf_dir)).select(
-        "user_id", *[F.round(n, 6).alias(n) for n in numbers],
+        "user_id", *[F.round(n, 8 if n.startswith("avg") else 6).alias(n) for n in numbers],
         F.concat_ws(",", "common_categories").alias("common_categories"))
 
 

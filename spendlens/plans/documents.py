@@ -200,9 +200,9 @@ usage AS (SELECT conv_id, model,
 
 @query("a14_token_costs", TOKENS_SQL + """
 SELECT conv_id, model, input_tokens, output_tokens, round(input_tokens / 1000 * coalesce(p_in, 0.03::DOUBLE)
-  + output_tokens / 1000 * coalesce(p_out, 0.06::DOUBLE), 6) AS cost FROM usage LEFT JOIN prices USING (model)""")
+  + output_tokens / 1000 * coalesce(p_out, 0.06::DOUBLE), 10) AS cost FROM usage LEFT JOIN prices USING (model)""")
 def a14_token_costs(spark, sf_dir):
-    return R.token_costs(messages(spark, sf_dir), "conv_id")
+    return R.token_costs(messages(spark, sf_dir), "conv_id", digits=10)
 
 
 @query("j7_price_lookup", TOKENS_SQL + """

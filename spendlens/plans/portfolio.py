@@ -53,7 +53,7 @@ CLASS_SQL = """, class AS (
 
 @query("f2_diversification", with_positions(CLASS_SQL + """
 , h AS (SELECT user_id, sum(allocation * allocation) AS hhi,
-  string_agg(asset_type || '=' || CAST(round(allocation, 4) AS VARCHAR), ',' ORDER BY asset_type) AS asset_allocation
+  string_agg(printf('%s=%.4f', asset_type, allocation), ',' ORDER BY asset_type) AS asset_allocation
   FROM class GROUP BY 1)
 SELECT user_id, asset_allocation, round(hhi, 4) AS hhi_index, round(1 / hhi, 2) AS effective_holdings,
        round((1 - hhi) * 100, 1) AS diversification_score,
@@ -62,7 +62,7 @@ SELECT user_id, asset_allocation, round(hhi, 4) AS hhi_index, round(1 / hhi, 2)
             ELSE 'Well-diversified portfolio.' END AS recommendation FROM h"""))
 def f2_diversification(spark, sf_dir):
     shares = F.transform(F.map_entries("asset_allocation"),
-                         lambda e: F.concat_ws("=", e.key, F.round(e.value, 4).cast("string")))
+                         lambda e: F.format_string("%s=%.4f", e.key, e.value))
     return P.diversification(positions(spark, sf_dir)).withColumn("asset_allocation", F.concat_ws(",", shares))
 
 

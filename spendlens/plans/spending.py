@@ -166,8 +166,10 @@ def w2_trailing_spend(spark, sf_dir):
         F.round("daily_spending", 2).alias("daily_spending"))
 
 
-PROFILE_COLUMNS = """round(avg(amount), 6) AS avg_transaction_amount,
-       round(stddev_samp(amount), 6) AS std_transaction_amount, round(avg(hour(timestamp)), 6) AS avg_transaction_hour,
+# Averages per user keep 8 digits: cents divided by up to 64 rows end there, so no value is a tie that the two engines
+# would round apart.
+PROFILE_COLUMNS = """round(avg(amount), 8) AS avg_transaction_amount,
+       round(stddev_samp(amount), 6) AS std_transaction_amount, round(avg(hour(timestamp)), 8) AS avg_transaction_hour,
        string_agg(DISTINCT CAST(dayofweek(timestamp) + 1 AS VARCHAR), ',' ORDER BY CAST(dayofweek(timestamp) + 1 AS VARCHAR))
          AS active_days,
        count(DISTINCT merchant) AS total_unique_merchants, count(DISTINCT category) AS total_unique_categories,
@@ -175,9 +177,9 @@ PROFILE_COLUMNS = """round(avg(amount), 6) AS avg_transaction_amount,
 
 
 def _profile_columns():
-    return [F.round("avg_transaction_amount", 6).alias("avg_transaction_amount"),
+    return [F.round("avg_transaction_amount", 8).alias("avg_transaction_amount"),
             F.round("std_transaction_amount", 6).alias("std_transaction_amount"),
-            F.round("avg_transaction_hour", 6).alias("avg_transaction_hour"),
+            F.round("avg_transaction_hour", 8).alias("avg_transaction_hour"),
             F.concat_ws(",", F.col("active_days").cast("array<string>")).alias("active_days"),
             "total_unique_merchants", "total_unique_categories", "total_unique_locations", "total_devices_used"]
 
@@ -202,13 +204,13 @@ def a7_category_distribution(spark, sf_dir):
     return A.category_distribution(transactions(spark, sf_dir)).select("user_id", *_pivot_columns())
 
 
-VELOCITY_COLUMNS = """round(max(h), 2) AS max_hourly_spending, round(avg(h), 6) AS avg_hourly_spending,
-       round(max(d), 2) AS max_daily_spending, round(avg(d), 6) AS avg_daily_spending,
+VELOCITY_COLUMNS = """round(max(h), 2) AS max_hourly_spending, round(avg(h), 8) AS avg_hourly_spending,
+       round(max(d), 2) AS max_daily_spending, round(avg(d), 8) AS avg_daily_spending,
        round(stddev_samp(h), 4) AS std_hourly_spending, round(stddev_samp(d), 4) AS std_daily_spending"""
 
 
 def _velocity_columns():
-    digits = {"max": 2, "avg": 6, "std": 4}
+    digits = {"max": 2, "avg": 8, "std": 4}
     return [F.round(f"{kind}_{span}_spending", n).alias(f"{kind}_{span}_spending")
             for kind, n in digits.items() for span in ("hourly", "daily")]
 
@@ -274,11 +276,11 @@ def p6_high_velocity_alerts(spark, sf_dir):
 
 @query("a12_pattern_summary", with_tx("""
 SELECT user_id, round(sum(amount), 2) AS total_volume, count(*) AS transaction_count,
-       round(avg(amount), 6) AS average_amount FROM tx GROUP BY 1"""))
+       round(avg(amount), 8) AS average_amount FROM tx GROUP BY 1"""))
 def a12_pattern_summary(spark, sf_dir):
     return A.pattern_summary(transactions(spark, sf_dir), "user_id").select(
         "user_id", F.round("total_volume", 2).alias("total_volume"), "transaction_count",
-        F.round("average_amount", 6).alias("average_amount"))
+        F.round("average_amount", 8).alias("average_amount"))
 
 
 @query("w9_newest_transactions", with_tx("""

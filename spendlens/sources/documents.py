@@ -26,7 +26,7 @@ def _file_metadata(name: Column) -> Column:
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
-    """All txt, md and html files below ``path`` whole, csv files one document per row; other files are left out.
+    """All txt, md and html files below ``path`` whole, csv files one document per line; other files are left out.
 
     Metadata: ``source`` = file name, ``type`` = extension, ``category`` by file name.
     """
