@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import bpe, fingerprint, language, neardup, packing, rules, token_count
+from spendlens.llm import bpe, chat, fingerprint, language, neardup, packing, pii, rules, secret_scan, token_count
 from spendlens.llm.common import table
 
 
@@ -22,6 +22,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
@@ -39,6 +51,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_phrase_fingerprints, op3_language_id, op7_token_counts,
-                            op8_near_duplicates, op9_packing, op10_bpe_round_trip)}
-ORACLE: dict[str, str] = {}
+    f.__name__: f for f in (
+        op1_quality_rules, op2_phrase_fingerprints, op3_language_id, op4_personal_data, op5_secrets, op6_chat_format,
+        op7_token_counts, op8_near_duplicates, op9_packing, op10_bpe_round_trip)}
+ORACLE: dict[str, str] = {"op6_chat_format": chat.SQL}
