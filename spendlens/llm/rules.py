@@ -173,7 +173,7 @@ def covering(thresholds: dict, rows: list, min_precision: float, min_support: in
             p0, n0 = tally(covered)
             if not p0 or not n0:
                 break
-            best = (1e-9, 0, None)
+            best = (1e-9, 0, 0, None)  # gain, earlier statistic, stricter threshold, condition
             for s, name in enumerate(names):
                 by = Counter()
                 for at, _, bad, n in covered:
@@ -183,11 +183,11 @@ def covering(thresholds: dict, rows: list, min_precision: float, min_support: in
                     p += by[k + 1, True]
                     n += by[k + 1, False]
                     for above, (pa, na) in ((True, (p, n)), (False, (p0 - p, n0 - n))):
-                        best = max(best, (gain(pa, na, p0, n0), k if above else -k, (s, above, k)))
-            if best[2] is None:
+                        best = max(best, (gain(pa, na, p0, n0), -s, k if above else -k, (s, above, k)))
+            if best[3] is None:
                 break
-            rule += (best[2],)
-            covered = [r for r in covered if holds((best[2],), r[0])]
+            rule += (best[3],)
+            covered = [r for r in covered if holds((best[3],), r[0])]
         worth = []
         for length in range(1, len(rule) + 1):
             p, n = tally(pruning, lambda at, cut=rule[:length]: holds(cut, at))
