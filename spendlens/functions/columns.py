@@ -41,12 +41,30 @@ def zscore(value, mean, stddev) -> Column:
     return F.try_divide(_col(value) - _col(mean), _col(stddev))
 
 
-def deviation_from_sums(n, total, squares, low, high) -> Column:
-    """Sample deviation; exactly 0 when all values are equal, NULL for fewer than two."""
-    n, total, squares = _col(n), _col(total), _col(squares)
-    variance = F.try_divide(squares - F.try_divide(total * total, n), n - 1)
-    return (F.when(n < 2, None).when(_col(low) == _col(high), 0.0)
-            .otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))))
+#: Amounts are summed in whole units of this many per currency unit, so sums are exact in any order of addition.
+UNITS = 1_000_000
+
+
+def units(amount) -> Column:
+    return F.round(_col(amount) * UNITS).cast("decimal(20,0)")
+
+
+def from_units(total) -> Column:
+    return _col(total).cast("double") / UNITS
+
+
+def deviation_from_units(n, total, squares) -> Column:
+    """Sample deviation of amounts from their exact sums in units; NULL for fewer than two.
+
+    With m the whole part of the mean, the squared distances from m sum up to ``squares - 2 m total + n m m``, all whole
+    numbers, so nothing cancels; what m lacks of the mean is corrected by a small term.
+    """
+    n, total, squares = _col(n).cast("decimal(20,0)"), _col(total).cast("decimal(38,0)"), _col(squares).cast("decimal(38,0)")
+    m = F.floor(F.try_divide(total.cast("double"), n.cast("double"))).cast("decimal(20,0)")
+    around = (squares - (2 * m).cast("decimal(38,0)") * total + n * (m * m).cast("decimal(38,0)")).cast("double")
+    rest = (total - n * m).cast("double")
+    variance = F.try_divide(around - F.try_divide(rest * rest, n.cast("double")), n.cast("double") - 1)
+    return F.when(n >= 2, F.sqrt(F.greatest(variance, F.lit(0.0))) / UNITS)
 
 
 def ratio_or_zero(numerator, denominator) -> Column:

@@ -40,55 +40,13 @@ def _spend(suffix: str = "", stddev: bool = True) -> list[Column]:
 
 def sliding_spend(tx: DataFrame, duration: str = "5 minutes", slide: str = "1 minute",
                   watermark: str | None = None, suffix: str = "") -> DataFrame:
-    """Count, sum, average and deviation per sliding window, user and category.
-
-    A batch with overlapping windows takes the shorter way of ``_overlapping_spend``.
-    """
-    length, step = _seconds(duration), _seconds(slide)
-    if not tx.isStreaming and length > step and length % step == 0:
-        return _overlapping_spend(tx, length, step, suffix)
+    """Count, sum, average and deviation per sliding window, user and category."""
     return split_window(
         _watermarked(tx, watermark)
         .groupBy(F.window("timestamp", duration, slide), "user_id", "category")
         .agg(*_spend(suffix)))
 
 
-def _seconds(duration: str) -> int:
-    number, unit = duration.split()
-    return int(number) * {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}[unit.rstrip("s")]
-
-
-def _overlapping_spend(tx: DataFrame, length: int, step: int, suffix: str) -> DataFrame:
-    """Sliding windows put together from steps.
-
-    Grouping by window directly shuffles every transaction once per window it falls into. Here the transactions are
-    combined per step first, and the steps are shuffled once by (user, category, piece of time), a step near the
-    start of a piece also going to the piece before. Copying them into their windows then stays inside the task,
-    because the windows of a piece are grouped where the piece is.
-    """
-    span = 64 * length
-    step_start = F.floor(C.epoch_second() / step) * step
-    steps = tx.filter("timestamp IS NOT NULL").groupBy("user_id", "category", step_start.alias("at")).agg(
-        F.count("*").alias("n"), F.count("amount").alias("m"), F.sum("amount").alias("total"),
-        F.sum(F.col("amount") * F.col("amount")).alias("squares"),
-        F.min("amount").alias("low"), F.max("amount").alias("high"))
-    first_window = F.col("at") - (length - step)
-    early, late = F.floor(first_window / span), F.floor(F.col("at") / span)
-    both = F.when(early == late, F.array(late)).otherwise(F.array(early, late))
-    pieces = steps.withColumn("piece", F.explode(both)).repartition("user_id", "category", "piece")
-    windows = (pieces.withColumn("start", F.explode(F.sequence(first_window, F.col("at"), F.lit(step))))
-               .filter(F.floor(F.col("start") / span) == F.col("piece"))
-               .groupBy("user_id", "category", "piece", "start")
-               .agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("total").alias("total"),
-                    F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high")))
-    return windows.select(
-        "user_id", "category", F.col("n").alias(f"transaction_count{suffix}"),
-        F.col("total").alias(f"total_amount{suffix}"), F.try_divide("total", "m").alias(f"avg_amount{suffix}"),
-        C.deviation_from_sums("m", "total", "squares", "low", "high").alias(f"std_amount{suffix}"),
-        F.timestamp_seconds("start").alias("window_start"),
-        F.timestamp_seconds(F.col("start") + length).alias("window_end"))
-
-
 def spending_velocity(agg: DataFrame, minutes: float = 5) -> DataFrame:
     return agg.withColumn("spending_velocity", F.col("total_amount") / minutes)
 
@@ -127,30 +85,29 @@ def window_members(tx: DataFrame, columns: Sequence[str], duration: str, slide:
     return split_window(tx.select(w.alias("window"), "user_id", *columns))
 
 
-def paged_lists(rows: DataFrame, keys: Sequence[str], item: Column, name: str, spread_by: Sequence[str],
-                page_rows: int = 10_000) -> DataFrame:
-    """``collect_list`` per key in arrays of about ``page_rows`` items.
+def page_of(identity: Column, pages: int) -> Column:
+    """One of ``pages`` pages, by a digest that other engines have as well."""
+    return (F.conv(F.substring(F.md5(identity.cast("string")), 1, 8), 16, 10).cast("long") % pages).cast("int")
+
+
+def paged_lists(rows: DataFrame, keys: Sequence[str], item: Column, name: str, identity: str,
+                pages: int = 4) -> DataFrame:
+    """``collect_list`` per key in ``pages`` arrays, whatever the key's number of rows.
 
-    A key with few rows gets one array (page 0). A hot key is spread over as many pages as its row count asks for,
-    each built by its own task, so no array and no task grows with the key. All pages together hold every row.
-    ``spread_by`` tells the rows of a key apart (the transaction id); the page follows from it, so a recomputed task
-    gives the same pages.
+    The page follows from ``identity``, which tells the rows of a key apart, so a recomputed task gives the same pages,
+    and every page is built on its own. All pages together hold every row; empty pages do not occur. The caller sets the
+    number of pages so that the hottest key's pages fit a task.
     """
-    hot = (rows.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > page_rows)
-           .select(*keys, F.ceil(F.col("_rows") / page_rows).alias("_pages")))
-    page = F.pmod(F.xxhash64(*spread_by), F.coalesce("_pages", F.lit(1))).cast("int")
-    # The join leaves all pages of a key together, hence the explicit shuffle.
-    return (rows.join(hot, list(keys), "left").withColumns({"page": page, "_item": item})
-            .select(*keys, "page", "_item").repartition(*keys, "page")
+    return (rows.select(*keys, page_of(F.col(identity), pages).alias("page"), item.alias("_item"))
             .groupBy(*keys, "page").agg(F.array_sort(F.collect_list("_item")).alias(name)))
 
 
-def hourly_devices(tx: DataFrame, page_rows: int = 10_000) -> DataFrame:
+def hourly_devices(tx: DataFrame, pages: int = 4) -> DataFrame:
     """Set of devices per hour and user."""
     distinct = (split_window(tx.select(F.window("timestamp", "1 hour").alias("window"), "user_id", "device_id"))
                 .filter("device_id IS NOT NULL").distinct())
     return paged_lists(distinct, ["window_start", "window_end", "user_id"], F.col("device_id"), "devices_used",
-                       ["device_id"], page_rows)
+                       "device_id", pages)
 
 
 def stream_aggregates(tx: DataFrame, late: dict[str, str] | None = None) -> dict[str, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spendlens.functions import columns as C
 from spendlens.operators.timeline import recent_history
 
+# Encoded and numeric features.
 CATEGORICAL = ["category", "device_id"]
 NUMERIC = ["amount", "hour_of_day", "day_of_week", "amount_log", "avg_last_10", "std_last_10", "count_last_hour"]
 
@@ -39,19 +41,17 @@ def model_input(features: DataFrame) -> DataFrame:
     return features.fillna({"avg_last_10": 0.0, "std_last_10": 0.0}).fillna("", subset=CATEGORICAL)
 
 
-def fraud_pipeline(features: DataFrame, label: str = "is_fraud", trees: int = 100, depth: int = 10, seed: int = 42,
-                   max_labels: int = 10_000) -> Pipeline:
-    """One-hot categories, seven numbers, a random forest.
+def fraud_pipeline(label: str = "is_fraud", trees: int = 100, depth: int = 10, seed: int = 42,
+                   hashed: Sequence[str] = ("device_id",), buckets: int = 1024) -> Pipeline:
+    """Encoded categories, seven numbers, a random forest.
 
-    An index of all values of a column lives on the driver, so a column with more than ``max_labels`` values
-    (devices, at scale) is hashed into a vector of that size instead.
+    The values of a one-hot column are indexed on the driver, which suits a fixed domain. Columns whose values grow with
+    the data are named in ``hashed`` and go into a vector of ``buckets`` places, whatever their number of values.
     """
-    sizes = features.agg(*[F.approx_count_distinct(c).alias(c) for c in CATEGORICAL]).first()
-    small = [c for c in CATEGORICAL if sizes[c] <= max_labels]
-    large = [c for c in CATEGORICAL if sizes[c] > max_labels]
-    stages = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in small]
-    stages += [OneHotEncoder(inputCol=f"{c}_index", outputCol=f"{c}_encoded") for c in small]
-    stages += [FeatureHasher(inputCols=[c], outputCol=f"{c}_encoded", numFeatures=max_labels) for c in large]
+    indexed = [c for c in CATEGORICAL if c not in hashed]
+    stages = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in indexed]
+    stages += [OneHotEncoder(inputCol=f"{c}_index", outputCol=f"{c}_encoded") for c in indexed]
+    stages += [FeatureHasher(inputCols=[c], outputCol=f"{c}_encoded", numFeatures=buckets) for c in hashed]
     stages.append(VectorAssembler(inputCols=[f"{c}_encoded" for c in CATEGORICAL] + NUMERIC, outputCol="features"))
     stages.append(RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth,
                                          seed=seed, featureSubsetStrategy="auto", impurity="gini"))
@@ -74,13 +74,13 @@ def split_by_id(df: DataFrame, train_share: float = 0.8, seed: int = 42) -> tupl
 
 
 def train_fraud_model(tx: DataFrame, label: str = "is_fraud", trees: int = 100, depth: int = 10, seed: int = 42,
-                      max_labels: int = 10_000) -> TrainedFraudModel:
+                      hashed: Sequence[str] = ("device_id",), buckets: int = 1024) -> TrainedFraudModel:
     """Features, 80/20 split, fit, AUC on the held-out part."""
     features = model_input(fraud_features(tx)).select("transaction_id", label, *CATEGORICAL, *NUMERIC)
     features = features.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train, test = split_by_id(features, 0.8, seed)
-        pipeline = fraud_pipeline(features, label, trees, depth, seed, max_labels).fit(train)
+        pipeline = fraud_pipeline(label, trees, depth, seed, hashed, buckets).fit(train)
         auc = BinaryClassificationEvaluator(labelCol=label).evaluate(pipeline.transform(test))
     finally:
         features.unpersist()

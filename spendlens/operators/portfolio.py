@@ -1,7 +1,8 @@
 """Portfolio analytics over a positions table, one result row (or a few) per user.
 
-Positions: ``user_id, symbol, asset_type, quantity, average_price, current_price, market_value, unrealized_pnl,
-allocation``. Everything is an aggregate per user that combines in the map tasks; the lookup tables have three and
+Positions: ``user_id, symbol, asset_type, quantity, average_price, current_price, market_value, unrealized_pnl``
+(``valued`` adds the last two). Where there is an ``allocation`` as well it is taken as the share of a position, else the
+share is the part of the user's market value. Everything is an aggregate per user that combines in the map tasks; the lookup tables have three and
 eight fixed rows.
 """
 
@@ -39,12 +40,21 @@ def _rounded(c, digits: int, rounded: bool) -> Column:
     return F.round(value, digits) if rounded else value
 
 
+def valued(positions: DataFrame) -> DataFrame:
+    """Market value and profit of each position."""
+    return positions.withColumn("market_value", F.col("quantity") * F.col("current_price")).withColumn(
+        "unrealized_pnl", F.col("market_value") - _cost())
+
+
 def with_allocation(positions: DataFrame) -> DataFrame:
-    """Market value, profit and share of the user's total for positions that lack them."""
-    valued = positions.withColumn("market_value", F.col("quantity") * F.col("current_price"))
-    valued = valued.withColumn("unrealized_pnl", F.col("market_value") - _cost())
-    totals = valued.groupBy("user_id").agg(F.sum("market_value").alias("_total"))
-    return (valued.join(totals, "user_id")
+    """Valued positions with their share of the user's total, if they do not have it yet.
+
+    Only what is asked of single positions needs it; shares of classes come from ``class_allocation``.
+    """
+    if "allocation" in positions.columns:
+        return positions
+    totals = positions.groupBy("user_id").agg(F.sum("market_value").alias("_total"))
+    return (positions.join(totals, "user_id")
             .withColumn("allocation", F.coalesce(F.try_divide("market_value", "_total"), F.lit(0.0))).drop("_total"))
 
 
@@ -62,17 +72,36 @@ def summary(positions: DataFrame, rounded: bool = True) -> DataFrame:
         "best_performer")
 
 
+def _class_shares(positions: DataFrame) -> DataFrame:
+    """One row per user: the total value, and (asset class, share) of every class; a class may be NULL."""
+    given = "allocation" in positions.columns
+    classes = positions.groupBy("user_id", "asset_type").agg(
+        F.sum("market_value").alias("value"), F.sum("allocation" if given else "market_value").alias("part"))
+    held = classes.groupBy("user_id").agg(
+        F.sum("value").alias("value"), F.collect_list(F.struct("asset_type", "part")).alias("_classes"))
+    shares = F.transform("_classes", lambda c: F.struct(
+        c["asset_type"].alias("asset_type"),
+        (c["part"] if given else F.coalesce(F.try_divide(c["part"], F.col("value")), F.lit(0.0))).alias("allocation")))
+    return held.select("user_id", "value", shares.alias("classes"))
+
+
 def class_allocation(positions: DataFrame) -> DataFrame:
-    return positions.groupBy("user_id", "asset_type").agg(F.sum("allocation").alias("allocation"))
+    """Share of each asset class: class sums divided by their total, after the positions are summed up."""
+    return _class_shares(positions).select("user_id", F.inline("classes"))
+
+
+def _share_map(classes: str) -> Column:
+    named = F.filter(classes, lambda c: c["asset_type"].isNotNull())
+    return F.map_from_entries(F.array_sort(named))
 
 
 def diversification(positions: DataFrame, rounded: bool = True) -> DataFrame:
     """Concentration index over asset classes; the allocation map has one entry per class."""
-    classes = F.collect_list(F.when(F.col("asset_type").isNotNull(), F.struct("asset_type", "allocation")))
-    per_user = class_allocation(positions).groupBy("user_id").agg(
-        F.map_from_entries(F.array_sort(classes)).alias("asset_allocation"),
-        F.sum(F.col("allocation") * F.col("allocation")).alias("hhi"))
+    per_user = _class_shares(positions).select(
+        "user_id", _share_map("classes").alias("asset_allocation"),
+        F.aggregate("classes", F.lit(0.0), lambda s, c: s + c["allocation"] * c["allocation"]).alias("hhi"))
     hhi = F.col("hhi")
+    # Limits and texts.
     advice = (
         F.when(hhi > 0.25, "Highly concentrated portfolio. Consider diversifying across more asset classes.")
         .when(hhi > 0.15, "Moderate concentration. Monitor position sizes.")
@@ -151,15 +180,21 @@ def benchmark_comparison(positions: DataFrame) -> DataFrame:
         excess.alias("excess_return"), (excess > 0).alias("outperformance"))
 
 
+def _tech_share(positions: DataFrame) -> Column:
+    given = "allocation" in positions.columns
+    mine = F.sum(F.when(F.col("symbol").isin(*domain.TECH_SYMBOLS), F.col("allocation" if given else "market_value"))
+                 .otherwise(0.0))
+    return mine if given else F.try_divide(mine, F.sum("market_value"))
+
+
 def concentration(positions: DataFrame) -> DataFrame:
     """Positions above 20 % and a technology share above 50 %, one row per risk."""
-    single = positions.filter(F.col("allocation") > 0.20).select(
+    single = with_allocation(positions).filter(F.col("allocation") > 0.20).select(
         "user_id", F.lit("single_position").alias("type"), "symbol", F.lit(None).cast("string").alias("sector"),
         C.percent("allocation").alias("allocation"), F.lit(20).alias("threshold"),
         F.when(F.col("allocation") > 0.30, "high").otherwise("medium").alias("risk_level"),
         F.lit("Consider reducing position size").alias("recommendation"))
-    tech = (positions.filter(F.col("symbol").isin(*domain.TECH_SYMBOLS)).groupBy("user_id")
-            .agg(F.sum("allocation").alias("share")).filter(F.col("share") > 0.50).select(
+    tech = (positions.groupBy("user_id").agg(_tech_share(positions).alias("share")).filter(F.col("share") > 0.50).select(
                 "user_id", F.lit("sector_concentration").alias("type"), F.lit(None).cast("string").alias("symbol"),
                 F.lit("Technology").alias("sector"), C.percent("share").alias("allocation"),
                 F.lit(50).alias("threshold"), F.lit("high").alias("risk_level"),
@@ -169,14 +204,16 @@ def concentration(positions: DataFrame) -> DataFrame:
 
 def concentration_score(positions: DataFrame) -> DataFrame:
     """10 points per risk; users without a risk have 0."""
-    risks = concentration(positions).groupBy("user_id").agg(F.count("*").alias("risks"))
-    n = F.coalesce("risks", F.lit(0))
-    return positions.select("user_id").distinct().join(risks, "user_id", "left").select(
+    shared = with_allocation(positions)
+    per_user = shared.groupBy("user_id").agg(
+        F.count_if(F.col("allocation") > 0.20).alias("single"), _tech_share(shared).alias("tech"))
+    n = F.col("single") + F.when(F.col("tech") > 0.50, 1).otherwise(0)
+    return per_user.select(
         "user_id", (n > 0).alias("has_concentration_risk"), (n * 10).alias("overall_concentration_score"))
 
 
-def _targets(profiles: DataFrame) -> DataFrame:
-    """(user, asset class, target share); an unknown profile counts as MODERATE."""
+def _targets(users: DataFrame) -> DataFrame:
+    """The users' rows with each asset class and target share; an unknown or missing profile counts as MODERATE."""
     def shares(profile):
         return F.array(*[F.struct(F.lit(a).alias("asset_class"), F.lit(s).alias("target"))
                          for a, s in domain.TARGET_ALLOCATIONS[profile].items()])
@@ -184,22 +221,18 @@ def _targets(profiles: DataFrame) -> DataFrame:
     tolerance = F.upper("risk_tolerance")
     chosen = (F.when(tolerance == "CONSERVATIVE", shares("CONSERVATIVE"))
               .when(tolerance == "AGGRESSIVE", shares("AGGRESSIVE")).otherwise(shares("MODERATE")))
-    return profiles.select("user_id", F.inline(chosen))
+    return users.select("*", F.inline(chosen))
 
 
 def target_deviation(positions: DataFrame, profiles: DataFrame) -> DataFrame:
     """Actual share against the target of each targeted class; a class that is not held has share 0.
 
-    The positions are reduced to a handful of classes per user and then to one row with their shares, so the left join
-    of targets and classes is a lookup in that row.
+    Every user with positions has rows, also without a profile. The positions are reduced to a handful of classes per
+    user and then to one row with their shares, so the left join of targets and classes is a lookup in that row.
     """
-    classes = positions.groupBy("user_id", "asset_type").agg(
-        F.sum("allocation").alias("allocation"), F.sum("market_value").alias("value"))
-    entry = F.when(F.col("asset_type").isNotNull(), F.struct("asset_type", "allocation"))
-    held = classes.groupBy("user_id").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("shares"), F.sum("value").alias("value"))
-    current = F.coalesce(F.col("shares")[F.col("asset_class")], F.lit(0.0))
-    return _targets(profiles).join(held, "user_id").select(
+    held = _class_shares(positions).select("user_id", "value", _share_map("classes").alias("shares"))
+    current = F.coalesce(F.try_element_at("shares", F.col("asset_class")), F.lit(0.0))
+    return _targets(held.join(profiles.select("user_id", "risk_tolerance"), "user_id", "left")).select(
         "user_id", "asset_class", "value", current.alias("current"), "target",
         (current - F.col("target")).alias("deviation"))
 
@@ -216,6 +249,13 @@ def rebalance(positions: DataFrame, profiles: DataFrame, rounded: bool = True) -
         F.when(off > 0.10, "high").otherwise("medium").alias("priority"))
 
 
+def needs_rebalancing(positions: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One row per user: whether a targeted class is more than 5 points off, and how many are."""
+    off = F.count_if(F.abs("deviation") > 0.05)
+    return target_deviation(positions, profiles).groupBy("user_id").agg(
+        (off > 0).alias("needs_rebalancing"), off.alias("trades"))
+
+
 def analyze(positions: DataFrame, profiles: DataFrame) -> dict[str, DataFrame]:
     """All analyses of a portfolio by name."""
     return {
@@ -224,4 +264,5 @@ def analyze(positions: DataFrame, profiles: DataFrame) -> dict[str, DataFrame]:
         "performance_analysis": performance(positions), "benchmark_comparison": benchmark_comparison(positions),
         "concentration_risks": concentration(positions), "concentration_score": concentration_score(positions),
         "rebalancing_recommendations": rebalance(positions, profiles),
+        "needs_rebalancing": needs_rebalancing(positions, profiles),
     }

@@ -12,9 +12,8 @@ from spendlens import domain
 from spendlens.functions import columns as C
 from spendlens.functions import text as X
 
-# Largest query set that travels with the tasks; a larger one is shuffled in blocks of this size.
-QUERIES_PER_BLOCK = 2_000
-CORPUS_PARTITION_ROWS = 50_000
+# Into how many blocks queries are dealt. A task holds one of them; the corpus is shuffled once per block.
+QUERY_BLOCKS = 4
 
 
 # --- chunks and collections -----------------------------------------------------------------------------
@@ -67,83 +66,64 @@ def _unit_rows(vectors) -> np.ndarray:
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
 
-def _best_hits(ids: np.ndarray, corpus: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
-               threshold: float) -> pd.DataFrame:
-    """The best ``k`` hits of every query among the given rows; ties go to the smaller id."""
-    frames = []
+def _hits(ids: np.ndarray, corpus: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int | None,
+          threshold: float) -> Iterator[pd.DataFrame]:
+    """Hits among the given rows, the best ``k`` of every query or all; ties go to the smaller id."""
     for start in range(0, len(query_ids), 200):
         scores = corpus @ queries[start:start + 200].T
         rows, cols = np.nonzero(scores >= threshold)
         hits = pd.DataFrame({"query_id": query_ids[start:start + 200][cols], "hit_id": ids[rows],
                              "score": scores[rows, cols]})
-        hits = hits.sort_values(["query_id", "score", "hit_id"], ascending=[True, False, True])
-        frames.append(hits.groupby("query_id", sort=False).head(k))
-    return pd.concat(frames, ignore_index=True)
+        if k is not None:
+            hits = hits.sort_values(["query_id", "score", "hit_id"], ascending=[True, False, True])
+            hits = hits.groupby("query_id", sort=False).head(k)
+        yield hits
 
 
 def _sql_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def search(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.7,
-           criteria: Mapping[str, object] | None = None, key: str = "vec_id", vector: str = "embedding",
-           queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
-    """Exact top ``k`` by cosine similarity per query: ``(query_id, hit_id, score, position)``.
+def similar(corpus: DataFrame, queries: DataFrame, threshold: float, criteria: Mapping[str, object] | None = None,
+            key: str = "vec_id", vector: str = "embedding", query_blocks: int = QUERY_BLOCKS,
+            k: int | None = None) -> DataFrame:
+    """Every pair ``(query_id, hit_id, score)`` with a cosine similarity of ``threshold`` or more.
 
     ``queries`` has ``query_id`` and the vector column. Metadata ``criteria`` filter the corpus before any vector is
-    touched. Every task multiplies its corpus rows with the query matrix and keeps k hits per query, so only those
-    are shuffled. A query set above ``queries_per_block`` rows is split into blocks that meet the corpus partitions
-    in a shuffle instead of being sent to every task.
+    touched. Blocks of queries meet partitions of the corpus, one task per pair of both, which multiplies the two
+    matrices; nothing is collected or counted first. With ``k``, a task passes on the best ``k`` per query only.
     """
     if criteria:
         corpus = corpus.filter(C.payload_matches(criteria))
-    points = corpus.select(key, vector)
-    asked = queries.select("query_id", vector)
+    parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = f"query_id {_sql_type(queries, 'query_id')}, hit_id {_sql_type(corpus, key)}, score double"
-    sample = asked.limit(queries_per_block + 1).collect()
-    if len(sample) <= queries_per_block:
-        hits = _search_few(points, sample, key, vector, k, threshold, schema)
-    else:
-        hits = _search_many(points, asked, key, vector, k, threshold, schema, queries_per_block)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "hit_id")
-    return hits.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
-
-
-def _search_few(points, rows, key, vector, k, threshold, schema) -> DataFrame:
-    spark = points.sparkSession
-    if not rows:
-        return spark.createDataFrame([], schema)
-    query_ids = np.array([r.query_id for r in rows])
-    matrix = spark.sparkContext.broadcast(_unit_rows([r[vector] for r in rows]))
-
-    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield _best_hits(batch[key].to_numpy(), _unit_rows(batch[vector]), query_ids, matrix.value, k,
-                                 threshold)
 
-    return points.mapInPandas(hits, schema)
+    def dealt(df, column, own, other, n_own, n_other):
+        df = df.select(column, vector, F.pmod(F.xxhash64(column), F.lit(n_own)).cast("int").alias(own))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).groupBy("_part", "_block")
 
+    left = dealt(corpus, key, "_part", "_block", parts, query_blocks)
+    right = dealt(queries, "query_id", "_block", "_part", query_blocks, parts)
 
-def _search_many(points, asked, key, vector, k, threshold, schema, queries_per_block) -> DataFrame:
-    """Blocks of queries x partitions of the corpus, one task per pair, sizes set by the row counts."""
-    blocks = max(1, -(-asked.count() // queries_per_block))
-    parts = max(1, -(-points.count() // CORPUS_PARTITION_ROWS))
+    def pairs(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if points.empty or asked.empty:
+            return pd.DataFrame({"query_id": [], "hit_id": [], "score": []})
+        return pd.concat(_hits(points[key].to_numpy(), _unit_rows(points[vector]), asked["query_id"].to_numpy(),
+                               _unit_rows(asked[vector]), k, threshold), ignore_index=True)
 
-    def spread(df, column, own, other, n_own, n_other):
-        df = df.withColumn(own, F.pmod(F.xxhash64(column), F.lit(n_own)).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    return left.cogroup(right).applyInPandas(pairs, schema)
 
-    left = spread(points, key, "_part", "_block", parts, blocks).groupBy("_part", "_block")
-    right = spread(asked, "query_id", "_block", "_part", blocks, parts).groupBy("_part", "_block")
 
-    def hits(corpus_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        if corpus_rows.empty or query_rows.empty:
-            return pd.DataFrame({"query_id": [], "hit_id": [], "score": []})
-        return _best_hits(corpus_rows[key].to_numpy(), _unit_rows(corpus_rows[vector]),
-                          query_rows["query_id"].to_numpy(), _unit_rows(query_rows[vector]), k, threshold)
+def search(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.7,
+           criteria: Mapping[str, object] | None = None, key: str = "vec_id", vector: str = "embedding",
+           query_blocks: int = QUERY_BLOCKS) -> DataFrame:
+    """Exact top ``k`` by cosine similarity per query: ``(query_id, hit_id, score, position)``.
 
-    return left.cogroup(right).applyInPandas(hits, schema)
+    Of each task, k hits per query are left to be ranked.
+    """
+    hits = similar(corpus, queries, threshold, criteria, key, vector, query_blocks, k)
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "hit_id")
+    return hits.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
 
 
 def with_payload(hits: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -13,7 +13,9 @@ run over pieces of known size:
 A piece holds at most a few hundred thousand roll-up rows whatever the user does. Raw rows are only shuffled by
 (user, second) or (user, block).
 
-Sums are kept in whole cents, so they do not depend on the order of addition.
+Sums and sums of squares are kept in whole millionths, as decimals, so they are exact and do not depend on the order of
+addition. Rows without a user or a timestamp have no place on a timeline: they are set apart before any window and come
+back with NULL features.
 """
 
 from __future__ import annotations
@@ -32,19 +34,13 @@ ROWS_PER_BLOCK = 100_000
 
 # --- roll-ups ---------------------------------------------------------------------------------------
 
-def _cents() -> Column:
-    return F.round(F.col("amount") * 100).cast("long")
-
-
 def _measures() -> dict[str, tuple[str, Column]]:
     """What a group of transactions is reduced to, and how two groups combine."""
     return {
         "n": ("sum", F.count("*")),
         "m": ("sum", F.count("amount")),
-        "cents": ("sum", F.sum(_cents())),
-        "squares": ("sum", F.sum(F.col("amount") * F.col("amount"))),
-        "low": ("min", F.min("amount")),
-        "high": ("max", F.max("amount")),
+        "units": ("sum", F.sum(C.units("amount"))),
+        "squares": ("sum", F.sum(C.units("amount") * C.units("amount"))),
         "last_sec": ("max", F.max(C.epoch_second())),
         "first_ts": ("min", F.min("timestamp")),
         "last_ts": ("max", F.max("timestamp")),
@@ -144,6 +140,17 @@ def _join_seconds(tx: DataFrame, seconds: DataFrame) -> DataFrame:
     return tx.withColumn("sec", C.epoch_second()).join(seconds, ["user_id", "sec"], "left")
 
 
+def placed(tx: DataFrame) -> DataFrame:
+    """The rows that have a user and a timestamp."""
+    return tx.filter("user_id IS NOT NULL AND timestamp IS NOT NULL")
+
+
+def _with_others(features: DataFrame, tx: DataFrame) -> DataFrame:
+    """Features of the placed rows, and the other rows with NULL for them."""
+    others = tx.filter("user_id IS NULL OR timestamp IS NULL")
+    return features.unionByName(others, allowMissingColumns=True)
+
+
 def _within_second(*order: str):
     return Window.partitionBy("user_id", "sec").orderBy(*order)
 
@@ -155,10 +162,11 @@ SPEND_RANGES = {"1h": HOUR, "24h": DAY}
 
 def trailing_spend(tx: DataFrame) -> DataFrame:
     """Spend of the last hour and the last 24 hours at every transaction, both ends included."""
-    sums = second_features(tx, SPEND_RANGES, ["cents"]).select(
-        "user_id", "sec", (F.col("cents_1h") / 100).alias("hourly_spending"),
-        (F.col("cents_24h") / 100).alias("daily_spending"))
-    return _join_seconds(tx, sums).drop("sec")
+    known = placed(tx)
+    sums = second_features(known, SPEND_RANGES, ["units"]).select(
+        "user_id", "sec", C.from_units("units_1h").alias("hourly_spending"),
+        C.from_units("units_24h").alias("daily_spending"))
+    return _with_others(_join_seconds(known, sums).drop("sec"), tx)
 
 
 def velocity_metrics(tx: DataFrame) -> DataFrame:
@@ -167,29 +175,26 @@ def velocity_metrics(tx: DataFrame) -> DataFrame:
     All rows of a second share one value, so the figures are aggregated from the roll-up with its row counts as
     weights and the raw rows are not read again.
     """
-    sums = second_features(tx, SPEND_RANGES, ["cents"], keep=["n"])
+    sums = second_features(placed(tx), SPEND_RANGES, ["units"], keep=["n"])
     aggregates, results = [F.sum("n").alias("n")], []
-    for name, column in (("hourly", "cents_1h"), ("daily", "cents_24h")):
-        value = F.col(column) / 100
+    for name, column in (("hourly", "units_1h"), ("daily", "units_24h")):
+        value, n = F.col(column).cast("decimal(20,0)"), F.col("n").cast("decimal(18,0)")
         aggregates += [
             F.max(value).alias(f"max_{name}"),
-            F.sum(F.col("n") * F.col(column)).alias(f"sum_{name}"),
-            F.sum(F.col("n") * value * value).alias(f"squares_{name}"),
-            F.min(value).alias(f"min_{name}"),
+            F.sum((n * value).cast("decimal(28,0)")).alias(f"sum_{name}"),
+            F.sum((n * (value * value).cast("decimal(38,0)")).cast("decimal(38,0)")).alias(f"squares_{name}"),
         ]
-        deviation = C.deviation_from_sums("n", F.col(f"sum_{name}") / 100, f"squares_{name}", f"min_{name}",
-                                          f"max_{name}")
         results += [
-            F.col(f"max_{name}").alias(f"max_{name}_spending"),
-            (F.col(f"sum_{name}") / 100 / F.col("n")).alias(f"avg_{name}_spending"),
-            deviation.alias(f"std_{name}_spending"),
+            C.from_units(f"max_{name}").alias(f"max_{name}_spending"),
+            (C.from_units(f"sum_{name}") / F.col("n")).alias(f"avg_{name}_spending"),
+            C.deviation_from_units("n", f"sum_{name}", f"squares_{name}").alias(f"std_{name}_spending"),
         ]
     return sums.groupBy("user_id").agg(*aggregates).select("user_id", *results)
 
 
 # --- sessions ---------------------------------------------------------------------------------------
 
-SESSION_MEASURES = ["n", "cents", "first_ts", "last_ts"]
+SESSION_MEASURES = ["n", "units", "first_ts", "last_ts"]
 
 
 def _seconds_by_day(tx: DataFrame, gap: int, names: Sequence[str]) -> DataFrame:
@@ -218,7 +223,7 @@ def sessions(tx: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
     """Sessions of a user: a pause longer than ``gap`` seconds starts the next one. Numbered from 0."""
     return _day_sessions(tx, gap, SESSION_MEASURES).groupBy("user_id", "session_id").agg(
         F.sum("n").alias("session_transaction_count"),
-        (F.sum("cents") / 100).alias("session_total_amount"),
+        C.from_units(F.sum("units")).alias("session_total_amount"),
         F.min("first_ts").alias("session_start"),
         F.max("last_ts").alias("session_end"),
     )
@@ -238,30 +243,29 @@ def behaviour_features(tx: DataFrame) -> DataFrame:
 
     The running figures include the current row and every row with the same timestamp.
     """
-    seconds = second_features(tx, {"1h": HOUR}, ["n", "m", "cents"],
-                              before=["m", "cents", "squares", "low", "high", "last_sec"])
+    known = placed(tx)
+    seconds = second_features(known, {"1h": HOUR}, ["n", "m", "units"], before=["m", "units", "squares", "last_sec"])
     here = _within_second("timestamp")
     first = F.row_number().over(_within_second("timestamp", "transaction_id")) == 1
-    rows = _join_seconds(tx, seconds).withColumns({
+    unit = C.units("amount")
+    rows = _join_seconds(known, seconds).withColumns({
         "_m": F.col("m_before") + F.count("amount").over(here),
-        "_total": (F.col("cents_before") + F.coalesce(F.sum(_cents()).over(here), F.lit(0))) / 100,
-        "_squares": F.col("squares_before")
-        + F.coalesce(F.sum(F.col("amount") * F.col("amount")).over(here), F.lit(0.0)),
-        "_low": F.least("low_before", F.min("amount").over(here)),
-        "_high": F.greatest("high_before", F.max("amount").over(here)),
+        "_total": F.col("units_before") + F.coalesce(F.sum(unit).over(here), F.lit(0)),
+        "_squares": F.col("squares_before") + F.coalesce(F.sum(unit * unit).over(here), F.lit(0)),
         "_first": first,
     })
-    deviation = C.deviation_from_sums("_m", "_total", "_squares", "_low", "_high")
-    average_1h = F.try_divide(F.col("cents_1h") / 100, F.col("m_1h"))
+    deviation = C.deviation_from_units("_m", "_total", "_squares")
+    average_1h = F.try_divide(C.from_units("units_1h"), F.col("m_1h"))
     pause = F.when(F.col("_first"), F.col("sec") - F.col("last_sec_before")).otherwise(F.lit(0))
-    return rows.select(
+    features = rows.select(
         *tx.columns,
-        C.zscore("amount", F.try_divide(F.col("_total"), F.col("_m")), deviation).alias("amount_zscore"),
+        C.zscore("amount", F.try_divide(C.from_units("_total"), F.col("_m")), deviation).alias("amount_zscore"),
         pause.alias("time_since_last"),
         F.col("n_1h").alias("transactions_last_hour"),
         average_1h.alias("avg_amount_last_hour"),
         F.try_divide(F.col("amount"), average_1h).alias("amount_ratio"),
     )
+    return _with_others(features, tx)
 
 
 def merchant_features(tx: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -282,20 +286,22 @@ def recent_history(tx: DataFrame, rows: int = 10, rows_per_block: int = ROWS_PER
     The running count numbers the transactions of a user; blocks of consecutive numbers are framed on their own,
     each starting with a copy of the last ``rows`` rows of the block before it.
     """
-    seconds = second_features(tx, {"1h": HOUR}, ["n"], before=["n"])
+    known = placed(tx)
+    seconds = second_features(known, {"1h": HOUR}, ["n"], before=["n"])
     number = F.col("n_before") + F.row_number().over(_within_second("timestamp", "transaction_id")) - 1
-    numbered = _join_seconds(tx, seconds).withColumn("_number", number)
+    numbered = _join_seconds(known, seconds).withColumn("_number", number)
     block, position = _piece(F.col("_number"), rows_per_block), F.col("_number") % rows_per_block
     own = F.struct(block.alias("block"), F.lit(False).alias("copy"))
     next_block = F.struct((block + 1).alias("block"), F.lit(True).alias("copy"))
     copies = F.when(position >= rows_per_block - rows, F.array(own, next_block)).otherwise(F.array(own))
     spread = numbered.withColumn("_at", F.explode(copies)).select("*", "_at.block", "_at.copy")
     frame = Window.partitionBy("user_id", "block").orderBy("_number").rowsBetween(-rows, -1)
-    return spread.withColumns({
+    features = spread.withColumns({
         f"avg_last_{rows}": F.avg("amount").over(frame),
         f"std_last_{rows}": F.stddev("amount").over(frame),
         "count_last_hour": F.col("n_1h"),
     }).filter(~F.col("copy")).select(*tx.columns, f"avg_last_{rows}", f"std_last_{rows}", "count_last_hour")
+    return _with_others(features, tx)
 
 
 def daily_moving_average(tx: DataFrame, points: int = 7) -> DataFrame:

@@ -157,12 +157,12 @@ def d2_filtered_search(spark, sf_dir):
     return _rounded(hits)
 
 
-@query("j3_similarity_join", SCORES_SQL.format(threshold=0.25, criteria="", k=1000000000))
+@query("j3_similarity_join", SCORES_SQL.format(threshold=0.25, criteria="", k=1000000000).replace(
+    ", CAST(position AS INTEGER) AS position", ""))
 def j3_similarity_join(spark, sf_dir):
-    """All corpus vectors within the threshold of a query; the query set is shuffled in blocks."""
-    hits = R.search(vectors(spark, sf_dir), _questions(spark, sf_dir), k=1_000_000_000, threshold=0.25,
-                    queries_per_block=2)
-    return _rounded(hits)
+    """All corpus vectors within the threshold of a query."""
+    hits = R.similar(vectors(spark, sf_dir), _questions(spark, sf_dir), threshold=0.25)
+    return hits.select("query_id", "hit_id", F.round("score", 6).alias("score"))
 
 
 @query("a13_collection_info", """

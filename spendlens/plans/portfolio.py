@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spendlens.operators import portfolio as P
 from spendlens.plans.registry import query
-from spendlens.plans.tables import PROFILES_SQL, positions, raw_positions, risk_profiles, with_positions
+from spendlens.plans.tables import PROFILES_SQL, positions, risk_profiles, with_positions
 
 
 def _six_digits(df):
@@ -18,7 +18,7 @@ def _six_digits(df):
 SELECT user_id, symbol, asset_type, quantity, round(market_value, 4) AS market_value,
        round(unrealized_pnl, 4) AS unrealized_pnl, round(allocation, 8) AS allocation FROM pos"""))
 def f0_positions(spark, sf_dir):
-    return P.with_allocation(raw_positions(spark, sf_dir)).select(
+    return P.with_allocation(positions(spark, sf_dir)).select(
         "user_id", "symbol", "asset_type", "quantity", F.round("market_value", 4).alias("market_value"),
         F.round("unrealized_pnl", 4).alias("unrealized_pnl"), F.round("allocation", 8).alias("allocation"))
 
@@ -185,6 +185,13 @@ def f8_rebalance(spark, sf_dir):
     return _six_digits(P.rebalance(positions(spark, sf_dir), risk_profiles(spark, sf_dir), rounded=False))
 
 
+@query("f8_needs_rebalancing", with_positions(DEVIATION_SQL + """
+SELECT user_id, bool_or(abs(dev) > 0.05) AS needs_rebalancing, count(*) FILTER (abs(dev) > 0.05) AS trades
+FROM d GROUP BY 1"""))
+def f8_needs_rebalancing(spark, sf_dir):
+    return P.needs_rebalancing(positions(spark, sf_dir), risk_profiles(spark, sf_dir))
+
+
 @query("e16_percentages", with_positions(CLASS_SQL + """
 SELECT user_id, asset_type, round(allocation * 100, 1) AS allocation_pct FROM class"""))
 def e16_percentages(spark, sf_dir):

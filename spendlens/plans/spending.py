@@ -20,6 +20,10 @@ A1_SQL = SLIDING_SQL + """, agg AS (
   FROM member GROUP BY ALL)"""
 
 
+#: The page of a row among four, as ``aggregates.page_of`` has it.
+PAGE_SQL = "CAST(('0x' || substr(md5({}), 1, 8))::BIGINT % 4 AS INTEGER) AS page"
+
+
 @query("a1_sliding_spend", with_tx(A1_SQL + """
 SELECT window_start, window_end, user_id, category, transaction_count, round(total, 2) AS total_amount,
        round(average, 6) AS avg_amount, round(deviation, 6) AS std_amount,
@@ -34,15 +38,15 @@ def a1_sliding_spend(spark, sf_dir):
 
 
 @query("a1_window_lists", with_tx(SLIDING_SQL + """
-SELECT window_start, window_end, user_id, category, 0 AS page,
+SELECT window_start, window_end, user_id, category, """ + PAGE_SQL.format("transaction_id") + """,
        string_agg(transaction_id || ':' || amount || ':' || merchant, ',' ORDER BY transaction_id) AS recent_transactions
 FROM member GROUP BY ALL"""))
 def a1_window_lists(spark, sf_dir):
-    """Member transactions of every window as arrays of bounded length."""
+    """Member transactions of every window as arrays, spread over four pages."""
     members = A.window_members(transactions(spark, sf_dir), ["category", "transaction_id", "amount", "merchant"],
                                "5 minutes", "1 minute")
     lists = A.paged_lists(members, ["window_start", "window_end", "user_id", "category"],
-                          F.struct("transaction_id", "amount", "merchant"), "items", ["transaction_id"])
+                          F.struct("transaction_id", "amount", "merchant"), "items", "transaction_id")
     text = F.transform("items", lambda t: F.concat_ws(":", t.transaction_id, t.amount.cast("string"), t.merchant))
     return lists.select(epoch("window_start").alias("window_start"), epoch("window_end").alias("window_end"),
                         "user_id", "category", "page", F.concat_ws(",", text).alias("recent_transactions"))
@@ -66,14 +70,14 @@ def a2_minute_spend(spark, sf_dir):
 
 
 @query("a2_minute_lists", with_tx("""
-SELECT (sec // 60) * 60 AS window_start, user_id, 0 AS page,
+SELECT (sec // 60) * 60 AS window_start, user_id, """ + PAGE_SQL.format("transaction_id") + """,
        string_agg(category || ':' || merchant || ':' || amount, ',' ORDER BY category, merchant, amount)
-         AS recent_transactions FROM tx GROUP BY 1, 2"""))
+         AS recent_transactions FROM tx GROUP BY 1, 2, 3"""))
 def a2_minute_lists(spark, sf_dir):
     members = A.window_members(transactions(spark, sf_dir), ["transaction_id", "category", "amount", "merchant"],
                                "1 minute")
     lists = A.paged_lists(members, ["window_start", "user_id"], F.struct("category", "merchant", "amount"), "items",
-                          ["transaction_id"])
+                          "transaction_id")
     text = F.transform("items", lambda t: F.concat_ws(":", t.category, t.merchant, t.amount.cast("string")))
     return lists.select(epoch("window_start").alias("window_start"), "user_id", "page",
                         F.concat_ws(",", text).alias("recent_transactions"))
@@ -117,8 +121,8 @@ def _hourly(agg):
 
 
 @query("a4_hourly_devices", with_tx("""
-SELECT (sec // 3600) * 3600 AS window_start, user_id, 0 AS page,
-       string_agg(DISTINCT device_id, ',' ORDER BY device_id) AS devices_used FROM tx GROUP BY 1, 2"""))
+SELECT (sec // 3600) * 3600 AS window_start, user_id, """ + PAGE_SQL.format("device_id") + """,
+       string_agg(DISTINCT device_id, ',' ORDER BY device_id) AS devices_used FROM tx GROUP BY 1, 2, 3"""))
 def a4_hourly_devices(spark, sf_dir):
     return A.hourly_devices(transactions(spark, sf_dir)).select(
         epoch("window_start").alias("window_start"), "user_id", "page",

@@ -112,16 +112,17 @@ def raw_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.portfolio import with_allocation
+    from spendlens.operators.portfolio import valued
 
-    return with_allocation(raw_positions(spark, sf_dir))
+    return valued(raw_positions(spark, sf_dir))
 
 
 def risk_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of most customers; every tenth has none."""
     segment = F.col("c_mktsegment")
     tolerance = (F.when(segment == "BUILDING", "conservative").when(segment == "MACHINERY", "AGGRESSIVE")
                  .when(segment == "FURNITURE", "unknown").otherwise("MODERATE"))
-    return table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 3").select(
         F.col("c_custkey").cast("string").alias("user_id"), tolerance.alias("risk_tolerance"))
 
 
@@ -139,7 +140,8 @@ pos AS (SELECT *, market_value / sum(market_value) OVER (PARTITION BY user_id) A
 PROFILES_SQL = """profiles AS (
   SELECT CAST(c_custkey AS VARCHAR) AS user_id,
          CASE c_mktsegment WHEN 'BUILDING' THEN 'CONSERVATIVE' WHEN 'MACHINERY' THEN 'AGGRESSIVE'
-              ELSE 'MODERATE' END AS profile FROM customer),
+              ELSE 'MODERATE' END AS profile FROM customer WHERE c_custkey % 10 <> 3
+  UNION ALL SELECT DISTINCT user_id, 'MODERATE' FROM pos WHERE CAST(user_id AS BIGINT) % 10 = 3),
 targets(profile, asset_class, target) AS (VALUES
   ('CONSERVATIVE', 'STOCK', 0.40::DOUBLE), ('CONSERVATIVE', 'BOND', 0.50), ('CONSERVATIVE', 'CASH', 0.10),
   ('MODERATE', 'STOCK', 0.60), ('MODERATE', 'BOND', 0.35), ('MODERATE', 'CASH', 0.05),

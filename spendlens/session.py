@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,12 +36,7 @@ def build_session(app_name: str = "spendlens", master: str | None = None, **conf
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Where the setting is absent (local tests) a
-    temporary folder stands in for it.
+    The cluster names that folder in ``spark.checkpoint.dir``; where the setting is absent the warehouse takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spendlens-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")

@@ -65,10 +65,10 @@ def test_fraud_model(labelled, model, tmp_path):
     assert fraud.score(features, loaded).count() == frauds.count()
 
 
-def test_many_devices_are_hashed(labelled):
+def test_named_columns_are_hashed(labelled):
     tx_label = labelled.withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
-    model = fraud.train_fraud_model(tx_label, trees=5, depth=4, max_labels=4)
-    assert [type(s).__name__ for s in model.pipeline.stages].count("FeatureHasher") == 1
+    model = fraud.train_fraud_model(tx_label, trees=5, depth=4, hashed=("category", "device_id"), buckets=16)
+    assert [type(s).__name__ for s in model.pipeline.stages].count("FeatureHasher") == 2
     assert model.auc > 0.9
 
 

@@ -1,6 +1,7 @@
 """The worked example, and the edges of the lookup tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from spendlens.operators import portfolio as P
 
@@ -89,8 +90,27 @@ def test_nothing_invested(spark):
     empty = spark.createDataFrame([("u", "X", "STOCK", 0.0, 0.0, 5.0)],
                                   "user_id string, symbol string, asset_type string, quantity double, "
                                   "average_price double, current_price double")
-    held = P.with_allocation(empty)
+    held = P.with_allocation(P.valued(empty))
     assert only(P.summary(held)).pnl_percentage == 0
     assert only(P.stress(held)).liquidity_rating == "POOR"
     assert only(P.risk(held)).sharpe_ratio is None
-    assert len(P.analyze(held, spark.createDataFrame([("u", None)], "user_id string, risk_tolerance string"))) == 9
+    assert len(P.analyze(held, spark.createDataFrame([("u", None)], "user_id string, risk_tolerance string"))) == 10
+
+
+def test_users_without_a_profile_are_moderate(spark, positions):
+    other = positions.withColumn("user_id", F.concat("user_id", F.lit("x")))
+    profiles = positions.select("user_id", F.lit("conservative").alias("risk_tolerance")).distinct()
+    out = P.target_deviation(positions.unionByName(other), profiles)
+    assert out.select("user_id").distinct().count() == 2
+    assert {r.asset_class: r.target for r in out.filter("user_id LIKE '%x'").collect()} == {"STOCK": 0.60, "BOND": 0.35, "CASH": 0.05}
+    flags = P.needs_rebalancing(positions.unionByName(other), profiles).collect()
+    assert len(flags) == 2 and all(r.needs_rebalancing == (r.trades > 0) for r in flags)
+
+
+@pytest.mark.parametrize("run, scans", [(P.summary, 3), (P.diversification, 3), (P.risk, 3), (P.stress, 3), (P.performance, 3),
+                                        (P.benchmark_comparison, 3), (P.concentration_score, 6)])
+def test_each_table_is_scanned_once(spark, sf_dir, run, scans):
+    from spendlens.plans.tables import positions as held
+
+    plan = run(held(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= scans

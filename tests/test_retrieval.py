@@ -74,10 +74,9 @@ def asked(collection, ids):
 
 
 @pytest.mark.parametrize("block", [2, 1000])
-def test_search(collection, block, monkeypatch):
-    monkeypatch.setattr(R, "CORPUS_PARTITION_ROWS", 50)
+def test_search(collection, block):
     ids = [0, 3, 5, 9, 40]
-    hits = R.search(collection, asked(collection, ids), k=4, threshold=0.1, queries_per_block=block).collect()
+    hits = R.search(collection, asked(collection, ids), k=4, threshold=0.1, query_blocks=block).collect()
     got = {q: [h.hit_id for h in sorted(hits, key=lambda h: h.position) if h.query_id == q] for q in ids}
     assert got == brute(collection, ids, 4, 0.1)
 

@@ -129,10 +129,37 @@ def test_first_and_equal_amounts_have_no_score(spark):
     assert out == {"1": (None, None), "2": (None, 5), "3": (None, 4)}
 
 
-def test_rows_without_a_timestamp_are_kept(spark):
-    df = frame(spark, [tx(1, "u", 1, 0), tx(2, "u", 2, 0, timestamp=None)])
-    for result in (L.trailing_spend(df), L.behaviour_features(df)):
-        assert result.count() == 2
+def test_rows_without_user_or_timestamp_have_no_features(spark):
+    rows = [tx(1, "u", 1, 0), tx(2, "u", 2, 60), *[tx(f"n{i}", None, 5 * i, i) for i in range(6)],
+            *[tx(f"t{i}", "u", 5, 0, timestamp=None) for i in range(3)], tx("b", None, 1, 0, timestamp=None)]
+    df = frame(spark, rows)
+    nothing = {r["transaction_id"] for r in rows} - {"1", "2"}
+    for result, names in ((L.trailing_spend(df), ["hourly_spending", "daily_spending"]),
+                          (L.behaviour_features(df), ["amount_zscore", "time_since_last", "transactions_last_hour",
+                                                      "avg_amount_last_hour", "amount_ratio"]),
+                          (L.recent_history(df), ["avg_last_10", "std_last_10", "count_last_hour"])):
+        out = keyed(result, *names)
+        assert len(out) == len(rows)
+        assert all(out[i] == (None,) * len(names) for i in nothing)
+    assert keyed(L.recent_history(df), "avg_last_10", "count_last_hour")["2"] == (1.0, 2)
+
+
+def test_close_and_tiny_amounts(spark):
+    """Thirty large amounts that differ by cents, and three below a cent."""
+    large = [900_000 + i % 3 / 100 for i in range(30)]
+    tiny = [0.004, 0.003, 0.006]
+    rows = [tx(f"a{i:02d}", "large", x, i * 60) for i, x in enumerate(large)]
+    rows += [tx(f"b{i}", "tiny", x, i * 60) for i, x in enumerate(tiny)]
+    out = keyed(L.behaviour_features(frame(spark, rows)), "amount_zscore", "avg_amount_last_hour")
+    for name, amounts in (("a", large), ("b", tiny)):
+        for i in range(1, len(amounts)):
+            so_far = amounts[:i + 1]
+            score, average = out[f"{name}{i:02d}" if name == "a" else f"{name}{i}"]
+            assert close(score, (amounts[i] - statistics.mean(so_far)) / statistics.stdev(so_far), 5)
+            assert close(average, statistics.mean(so_far), 9)
+    spread = {r.user_id: r.std_hourly_spending for r in L.velocity_metrics(frame(spark, rows)).collect()}
+    sums = [sum(tiny[:i + 1]) for i in range(3)]
+    assert close(spread["tiny"], statistics.stdev(sums), 5)
 
 
 def test_daily_moving_average(spark):
