@@ -8,7 +8,7 @@ list of member rows. Those come as their own frames: ``window_members`` (a proje
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -110,7 +110,7 @@ def hourly_devices(tx: DataFrame, pages: int = 4) -> DataFrame:
                        "device_id", pages)
 
 
-def stream_aggregates(tx: DataFrame, late: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def stream_aggregates(tx: DataFrame, late: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
     """The aggregations of the live dashboard by name, each with its own watermark (batch or stream)."""
     # Allowed lateness per aggregation.
     late = {"one_minute": "5 minutes", "five_minute": "10 minutes", "hourly": "2 hours"} if late is None else late

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spendlens.functions import columns as C
 
 
-def high_velocity_alerts(agg: DataFrame, threshold: float = 1000, as_of=None) -> DataFrame:
+def high_velocity_alerts(agg: DataFrame, threshold: float = 1000, as_of=None, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` adds columns of the aggregate, so that readers can tell the versions of one alert apart."""
     return agg.filter(F.col("spending_velocity") > threshold).select(
         F.lit("HIGH_SPENDING_VELOCITY").alias("alert_type"), "user_id", "spending_velocity",
-        C.as_of_or_now(as_of).alias("alert_time"))
+        C.as_of_or_now(as_of).alias("alert_time"), *keep)
 
 
 def alert_type() -> Column:

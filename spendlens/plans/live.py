@@ -1,6 +1,8 @@
 """Streaming jobs over the events table as a stream, run until the source is drained.
 
-Append-mode windows and sessions appear once the watermark has passed their end; the SQL keeps the same ones.
+The table is a file or a folder of part files, which come in any order; a drain therefore allows as much lateness as the
+table spans. When it has run dry, one heartbeat row moves the watermark behind the last event, so that windows and
+sessions still open are written as well.
 """
 
 from __future__ import annotations
@@ -18,26 +20,70 @@ from spendlens.streaming import jobs
 from spendlens.streaming.fraud_state import predict_streaming, stream_features
 
 
-def event_stream(spark, sf_dir):
+#: The user of heartbeat rows; no window of theirs is ever written.
+HEARTBEAT = "heartbeat"
+
+
+def event_stream(spark, sf_dir, heartbeats=None, files=64):
+    """The table as a stream of at most ``files`` files per micro-batch, with the heartbeat rows of another folder."""
     schema = table(spark, sf_dir, "events").schema
-    raw = read_stream(spark, "parquet", schema, sf_dir, pathGlobFilter="events.parquet")
-    return as_transactions(raw)
+    path = f"{sf_dir}/events.parque[t]"  # as a pattern, because a stream cannot start at a single file otherwise
+    tx = as_transactions(read_stream(spark, "parquet", schema, path, maxFilesPerTrigger=files))
+    return tx if heartbeats is None else tx.unionByName(read_stream(spark, "parquet", tx.schema, heartbeats))
+
+
+def _times(spark, sf_dir):
+    """First and last event time."""
+    return table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+
+
+def lateness(spark, sf_dir):
+    """A delay that no event of the table exceeds, in whatever order the files come."""
+    first, last = _times(spark, sf_dir)
+    return f"{int((last - first).total_seconds()) + 60} seconds" if last else "1 minute"
+
+
+def _run(spark, queries):
+    for q in queries if isinstance(queries, list) else [queries]:
+        jobs.run_to_end(spark, q)
 
 
 def _drain(spark, start):
     """Run a streaming job to its end below a fresh shared folder and return that folder."""
     root = shared_dir(spark, "live")
-    queries = start(f"{root}/out", f"{root}/checkpoint")
-    for q in queries if isinstance(queries, list) else [queries]:
-        jobs.run_to_end(spark, q)
+    _run(spark, start(f"{root}/out", f"{root}/checkpoint"))
+    return f"{root}/out"
+
+
+def _drain_and_close(spark, sf_dir, start):
+    """The same, and then once more with a heartbeat far behind the last event. ``start`` also gets the stream."""
+    root, late = shared_dir(spark, "live"), lateness(spark, sf_dir)
+    folder = f"{root}/heartbeats"
+    schema = as_transactions(table(spark, sf_dir, "events")).schema
+    spark.createDataFrame([], schema).write.parquet(folder)
+    last = _times(spark, sf_dir)[1]
+    for rows in ([], [last]):
+        if rows and last is not None:
+            at = F.lit(last).cast("timestamp") + F.expr(f"INTERVAL {late}") + F.expr("INTERVAL 1 DAY")
+            row = spark.range(1).select(*[(at if f.name == "timestamp" else F.lit(HEARTBEAT) if f.name == "user_id"
+                                           else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+            row.write.mode("append").parquet(folder)
+        _run(spark, start(event_stream(spark, sf_dir, folder), late, f"{root}/out", f"{root}/checkpoint"))
     return f"{root}/out"
 
 
+def _newest(spark, path, schema, keys):
+    """The newest version of each key among the messages of all micro-batches."""
+    rows = spark.read.text(path).select("batch_id", F.from_json("value", schema).alias("r")).select("batch_id", "r.*")
+    return sinks.latest_version(rows, keys)
+
+
 @query("k2_live_upsert", ORACLE["a1_sliding_spend"])
 def k2_live_upsert(spark, sf_dir):
     """Update-mode stream into a versioned table; the newest version of every window."""
     out = _drain(spark, lambda path, checkpoint: jobs.process_transactions(
-        event_stream(spark, sf_dir), path, checkpoint, velocity_threshold=40, available_now=True, as_of=AS_OF))
+        event_stream(spark, sf_dir), path, checkpoint, velocity_threshold=40, available_now=True, as_of=AS_OF,
+        watermark=lateness(spark, sf_dir)))
     agg = sinks.read_latest(spark, f"{out}/user_spending_aggregates", jobs.SPEND_KEYS)
     return agg.select(
         epoch("window_start").alias("window_start"), epoch("window_end").alias("window_end"), "user_id", "category",
@@ -50,10 +96,11 @@ def k2_live_upsert(spark, sf_dir):
 def k7_live_alerts(spark, sf_dir):
     """The alert topic of the same job."""
     out = _drain(spark, lambda path, checkpoint: jobs.process_transactions(
-        event_stream(spark, sf_dir), path, checkpoint, velocity_threshold=40, available_now=True, as_of=AS_OF))
-    schema = "alert_type string, user_id string, spending_velocity double, alert_time timestamp"
-    rows = spark.read.text(f"{out}/alerts").select(F.from_json("value", schema).alias("r")).select("r.*")
-    return rows.select("alert_type", "user_id", F.round("spending_velocity", 6).alias("spending_velocity"),
+        event_stream(spark, sf_dir), path, checkpoint, velocity_threshold=40, available_now=True, as_of=AS_OF,
+        watermark=lateness(spark, sf_dir)))
+    schema = ("alert_type string, user_id string, spending_velocity double, alert_time timestamp, "
+              "window_start timestamp, category string")
+    return _newest(spark, f"{out}/alerts", schema, ["window_start", "user_id", "category"]).select("alert_type", "user_id", F.round("spending_velocity", 6).alias("spending_velocity"),
                        epoch("alert_time").alias("alert_time"))
 
 
@@ -63,9 +110,10 @@ FROM tx GROUP BY 1, 2"""))
 def k4_live_topics(spark, sf_dir):
     """All live aggregations from one stream; the one-minute topic is read back."""
     out = _drain(spark, lambda path, checkpoint: jobs.process_transaction_stream(
-        event_stream(spark, sf_dir), path, checkpoint, available_now=True))
+        event_stream(spark, sf_dir), path, checkpoint, available_now=True,
+        late=dict.fromkeys(("one_minute", "five_minute", "hourly"), lateness(spark, sf_dir))))
     schema = ("window_start timestamp, user_id string, transaction_count_1min long, total_amount_1min double")
-    rows = spark.read.text(f"{out}/aggregations_one_minute").select(F.from_json("value", schema).alias("r")).select("r.*")
+    rows = _newest(spark, f"{out}/aggregations_one_minute", schema, ["window_start", "user_id"])
     return rows.select(epoch("window_start").alias("window_start"), "user_id",
                        F.col("transaction_count_1min").alias("transaction_count"),
                        F.round("total_amount_1min", 2).alias("total_amount"))
@@ -78,28 +126,26 @@ SELECT (sec // 3600) * 3600 AS window_start, user_id, count(*) AS transaction_co
 def k5_live_hourly_csv(spark, sf_dir):
     """Hourly figures dropped as csv by the executors."""
     def start(path, checkpoint):
-        hourly = A.stream_aggregates(event_stream(spark, sf_dir))["hourly"]
+        hourly = A.stream_aggregates(event_stream(spark, sf_dir), {"hourly": lateness(spark, sf_dir)})["hourly"]
         return jobs.write_aggregations({"hourly": hourly}, path, checkpoint, available_now=True)
 
     schema = ("user_id string, transaction_count_hourly long, total_amount_hourly double, unique_merchants long, "
               "unique_categories long, food_spending double, shopping_spending double, entertainment_spending double, "
               "window_start timestamp, window_end timestamp")
-    rows = spark.read.schema(schema).option("header", "true").csv(f"{_drain(spark, start)}/hourly")
+    versions = spark.read.schema(schema + ", batch_id long").option("header", "true").csv(f"{_drain(spark, start)}/hourly")
+    rows = sinks.latest_version(versions, ["window_start", "user_id"])
     return rows.select(epoch("window_start").alias("window_start"), "user_id", "transaction_count_hourly",
                        F.round("total_amount_hourly", 2).alias("total_amount_hourly"),
                        F.round("food_spending", 2).alias("food_spending"))
 
 
 @query("x2_live_tumbling", with_tx("""
-, w AS (SELECT (sec // 3600) * 3600 AS window_start, user_id, count(*) AS transaction_count,
-        round(sum(amount), 2) AS total_amount FROM tx GROUP BY 1, 2),
-mark AS (SELECT max(epoch_us(timestamp)) // 1000 - 7200000 AS millis FROM tx)
-SELECT w.* FROM w, mark WHERE (window_start + 3600) * 1000 <= millis"""))
+SELECT (sec // 3600) * 3600 AS window_start, user_id, count(*) AS transaction_count, round(sum(amount), 2) AS total_amount
+FROM tx GROUP BY 1, 2"""))
 def x2_live_tumbling(spark, sf_dir):
     """Hourly windows in append mode: each is written once, when the watermark has passed it."""
-    out = _drain(spark, lambda path, checkpoint: jobs.write_append(
-        A.tumbling_spend(event_stream(spark, sf_dir), "1 hour", watermark="2 hours", suffix=""), "tumbling", path,
-        checkpoint, True))
+    out = _drain_and_close(spark, sf_dir, lambda tx, late, path, checkpoint: jobs.write_append(
+        A.tumbling_spend(tx, "1 hour", watermark=late, suffix=""), "tumbling", path, checkpoint, True))
     return spark.read.parquet(out).select(
         epoch("window_start").alias("window_start"), "user_id", "transaction_count",
         F.round("total_amount", 2).alias("total_amount"))
@@ -109,12 +155,11 @@ def x2_live_tumbling(spark, sf_dir):
 , s AS (SELECT user_id, session_id, count(*) AS session_transaction_count,
         round(sum(amount), 2) AS session_total_amount, min(sec) AS session_start, max(sec) AS session_end
         FROM numbered GROUP BY 1, 2)
-SELECT user_id, session_transaction_count, session_total_amount, session_start, session_end FROM s
-WHERE session_end + 1800 <= (SELECT max(sec) - 3600 FROM tx)"""))
+SELECT user_id, session_transaction_count, session_total_amount, session_start, session_end FROM s"""))
 def x4_live_sessions(spark, sf_dir):
     """Sessions of the stream as they close."""
-    out = _drain(spark, lambda path, checkpoint: jobs.write_append(
-        jobs.live_sessions(event_stream(spark, sf_dir)), "sessions", path, checkpoint, True))
+    out = _drain_and_close(spark, sf_dir, lambda tx, late, path, checkpoint: jobs.write_append(
+        jobs.live_sessions(tx, watermark=late), "sessions", path, checkpoint, True))
     return spark.read.parquet(out).select(
         "user_id", "session_transaction_count", F.round("session_total_amount", 2).alias("session_total_amount"),
         epoch("session_start").alias("session_start"), epoch("session_end").alias("session_end"))
@@ -139,7 +184,7 @@ def x11_live_distinct(spark, sf_dir):
     """A stream that delivers every transaction twice, without its duplicates."""
     def start(path, checkpoint):
         twice = event_stream(spark, sf_dir).unionByName(event_stream(spark, sf_dir))
-        return jobs.write_append(jobs.live_distinct(twice, watermark="40 days"), "distinct", path, checkpoint, True)
+        return jobs.write_append(jobs.live_distinct(twice, watermark=lateness(spark, sf_dir)), "distinct", path, checkpoint, True)
 
     return spark.read.parquet(_drain(spark, start)).select("transaction_id", "user_id", "amount")
 
@@ -150,7 +195,7 @@ FROM history"""))
 def x9_live_fraud_features(spark, sf_dir):
     """Per-user state instead of row frames."""
     out = _drain(spark, lambda path, checkpoint: jobs.write_append(
-        stream_features(event_stream(spark, sf_dir)), "features", path, checkpoint, True))
+        stream_features(event_stream(spark, sf_dir), lateness(spark, sf_dir)), "features", path, checkpoint, True))
     return spark.read.parquet(out).select(
         "transaction_id", F.round("avg_last_10", 6).alias("avg_last_10"), F.round("std_last_10", 6).alias("std_last_10"),
         "count_last_hour")
@@ -162,5 +207,5 @@ def x9_live_fraud_scores(spark, sf_dir):
     tx = transactions(spark, sf_dir).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
     model = fraud.train_fraud_model(tx)
     out = _drain(spark, lambda path, checkpoint: jobs.write_append(
-        predict_streaming(event_stream(spark, sf_dir), model.pipeline), "scores", path, checkpoint, True))
+        predict_streaming(event_stream(spark, sf_dir), model.pipeline, watermark=lateness(spark, sf_dir)), "scores", path, checkpoint, True))
     return spark.read.parquet(out).drop("prediction_time")

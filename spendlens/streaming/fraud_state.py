@@ -1,8 +1,9 @@
 """Fraud features on a stream: the last ten amounts and the last hour of every user as state.
 
-The state of a user is ten amounts and at most 3,601 (second, count) pairs, whatever the traffic. A micro-batch is
-bounded by the source's rate option; within it the rows of a user are put in time order. A row that is older than
-rows of an earlier batch is featured against the history known when it arrives.
+The state of a user is ten amounts and at most 3,601 (second, count) pairs, whatever the traffic; an hour after the
+watermark has passed a user's last row the pairs are dropped. The rows of a user in a micro-batch arrive in pieces of
+Arrow batch size; each piece is put in time order and featured on its own. A row that is older than rows of an earlier
+piece is featured against the history known when it arrives.
 """
 
 from __future__ import annotations
@@ -66,23 +67,30 @@ def _featured(rows: pd.DataFrame, amounts: list, seconds: list, counts: list):
 
 
 def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    amounts, seconds, counts = state.get if state.exists else ([], [], [])
     if state.hasTimedOut:
-        state.remove()
+        state.update((list(amounts), [], []))
         return
-    amounts, seconds, counts = state.get if state.exists else ([], [], [])
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp", "transaction_id"])
-    out, amounts, seconds, counts = _featured(rows, list(amounts), list(seconds), list(counts))
+    for batch in batches:
+        rows = batch.sort_values(["timestamp", "transaction_id"])
+        out, amounts, seconds, counts = _featured(rows, list(amounts), list(seconds), list(counts))
+        yield out[[f.name for f in FEATURES.fields]]
     state.update((amounts, seconds, counts))
-    yield out[[f.name for f in FEATURES.fields]]
+    if seconds:
+        state.setTimeoutTimestamp(max(1000 * (seconds[-1] + HOUR + 1), state.getCurrentWatermarkMs() + 1))
 
 
-def stream_features(tx: DataFrame) -> DataFrame:
-    """Fraud features of a transaction stream (append mode)."""
-    recent = tx.select(*[f.name for f in domain.TRANSACTION_SCHEMA.fields]).groupBy("user_id").applyInPandasWithState(
-        _update, FEATURES, STATE, "append", GroupStateTimeout.NoTimeout)
+def stream_features(tx: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """Fraud features of a transaction stream (append mode); rows without a user or a time have no history and are left
+    to the caller."""
+    rows = tx.select(*[f.name for f in domain.TRANSACTION_SCHEMA.fields]).filter(
+        "user_id IS NOT NULL AND timestamp IS NOT NULL").withWatermark("timestamp", watermark)
+    recent = rows.groupBy("user_id").applyInPandasWithState(
+        _update, FEATURES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return recent.withColumns(fraud.row_features())
 
 
-def predict_streaming(tx: DataFrame, model: PipelineModel, only_fraud: bool = True, as_of=None) -> DataFrame:
+def predict_streaming(tx: DataFrame, model: PipelineModel, only_fraud: bool = True, as_of=None,
+                      watermark: str = "1 hour") -> DataFrame:
     """Frauds in a stream of transactions; the caller starts the query."""
-    return fraud.score(stream_features(tx), model, only_fraud, as_of)
+    return fraud.score(stream_features(tx, watermark), model, only_fraud, as_of)

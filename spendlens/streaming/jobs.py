@@ -78,7 +78,7 @@ def fan_out(path: str, velocity_threshold: float = 1000, servers: str | None = N
         try:
             sinks.write_version(batch, f"{path}/user_spending_aggregates", batch_id)
             sinks.write_messages(batch, "user_aggregations", servers, path, batch_id)
-            found = alerts.high_velocity_alerts(batch, velocity_threshold, as_of)
+            found = alerts.high_velocity_alerts(batch, velocity_threshold, as_of, ["window_start", "category"])
             if not found.isEmpty():
                 sinks.write_messages(found, "alerts", servers, path, batch_id)
         finally:
@@ -88,9 +88,10 @@ def fan_out(path: str, velocity_threshold: float = 1000, servers: str | None = N
 
 
 def process_transactions(tx: DataFrame, path: str, checkpoint: str, velocity_threshold: float = 1000,
-                         servers: str | None = None, available_now: bool = False, as_of=None) -> StreamingQuery:
+                         servers: str | None = None, available_now: bool = False, as_of=None,
+                         watermark: str = "10 minutes") -> StreamingQuery:
     """Live spend into all sinks, in update mode."""
-    return foreach_batch(live_spend(tx), fan_out(path, velocity_threshold, servers, as_of), "transactions", checkpoint,
+    return foreach_batch(live_spend(tx, watermark), fan_out(path, velocity_threshold, servers, as_of), "transactions", checkpoint,
                          available_now=available_now)
 
 
@@ -127,9 +128,10 @@ def write_aggregations(aggregations: Mapping[str, DataFrame], path: str, checkpo
 
 
 def process_transaction_stream(tx: DataFrame, path: str, checkpoint: str, servers: str | None = None,
-                               console: bool = False, available_now: bool = False) -> list[StreamingQuery]:
-    """All live aggregations of one stream."""
-    return write_aggregations(A.stream_aggregates(tx), path, checkpoint, servers, console, available_now)
+                               console: bool = False, available_now: bool = False,
+                               late: Mapping[str, str] | None = None) -> list[StreamingQuery]:
+    """All live aggregations of one stream; ``late`` replaces the allowed lateness by name."""
+    return write_aggregations(A.stream_aggregates(tx, late), path, checkpoint, servers, console, available_now)
 
 
 def ingest(raw: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -137,9 +139,9 @@ def ingest(raw: DataFrame, path: str, checkpoint: str, available_now: bool = Fal
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = N.validate(N.with_defaults(batch)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            sinks.append_new(checked.filter("is_valid").drop("violations", "is_valid"), f"{path}/transactions",
+            sinks.append_new(checked.filter("is_valid").drop("violations", "is_valid", "bad_value"), f"{path}/transactions",
                              batch_id)
-            rejected = checked.filter("NOT is_valid").drop("is_valid")
+            rejected = checked.filter("NOT is_valid").drop("is_valid")  # with the text of broken records
             rejected.write.mode("overwrite").parquet(f"{path}/quarantine/batch_id={batch_id}")
         finally:
             checked.unpersist()
