@@ -326,6 +326,72 @@ def m8_fraud_scores(spark, sf_dir):
     return fraud.score(fraud.fraud_features(tx), model.pipeline, only_fraud=False, as_of=AS_OF).drop("prediction_time")
 
 
+# The learned models are checked by what must hold for any model, and their rules on a fixed clustering.
+
+CLUSTER_SQL = """, marked AS (SELECT features.*, CAST(CAST(transaction_id AS BIGINT) % 50 // 12 AS INTEGER) AS cluster FROM features),
+stats AS (SELECT cluster, count(*) AS count, avg(amount) AS avg_amount, stddev_samp(amount) AS std_amount,
+  avg(amount_zscore) AS avg_zscore, count(*) / sum(count(*)) OVER () AS share FROM marked GROUP BY 1)"""
+
+
+def _fixed_clusters(spark, sf_dir):
+    cluster = F.expr("int((bigint(transaction_id) % 50) div 12)")
+    return anomaly.transaction_features(transactions(spark, sf_dir)).withColumn("cluster", cluster)
+
+
+@query("a11_cluster_statistics", with_tx(FEATURES_SQL + CLUSTER_SQL + """
+SELECT cluster, count, round(avg_amount, 6) AS avg_amount, round(std_amount, 6) AS std_amount,
+       round(avg_zscore, 6) AS avg_zscore, round(share, 9) AS share FROM stats"""))
+def a11_cluster_statistics(spark, sf_dir):
+    stats = anomaly.cluster_statistics(_fixed_clusters(spark, sf_dir))
+    return stats.select("cluster", "count", *[F.round(c, 6).alias(c) for c in ("avg_amount", "std_amount", "avg_zscore")],
+                        F.round("share", 9).alias("share"))
+
+
+@query("m3_anomalous_clusters", with_tx(FEATURES_SQL + CLUSTER_SQL + """
+SELECT cluster FROM stats WHERE share < 0.1 AND abs(avg_zscore) > 0.000001"""))
+def m3_anomalous_clusters(spark, sf_dir):
+    """A wide rule on the fixed clustering, of whose clusters one is small."""
+    return anomaly.anomalous_clusters(anomaly.cluster_statistics(_fixed_clusters(spark, sf_dir)), 0.1, 0.000001)
+
+
+@query("m2_cluster_invariants", with_tx(FEATURES_SQL + """
+SELECT count(*) AS clustered, 1.0::DOUBLE AS shares, TRUE AS silhouette_in_range FROM features
+WHERE amount_zscore BETWEEN -3 AND 3 AND time_since_last < 86400 AND transactions_last_hour < 100
+  AND amount_ratio BETWEEN 0.1 AND 10"""))
+def m2_cluster_invariants(spark, sf_dir):
+    """Every training row is in a cluster, the shares are a whole, and the silhouette is one."""
+    features = anomaly.transaction_features(transactions(spark, sf_dir))
+    model = anomaly.train_clusters(features)
+    stats = anomaly.cluster_statistics(model.pipeline.transform(anomaly.without_outliers(features)))
+    return stats.agg(F.sum("count").alias("clustered"), F.round(F.sum("share"), 9).alias("shares"),
+                     F.lit(-1 <= model.silhouette <= 1).alias("silhouette_in_range"))
+
+
+@query("m8_score_invariants", with_tx("""
+SELECT transaction_id, TRUE AS consistent, TRUE AS auc_in_range FROM tx"""))
+def m8_score_invariants(spark, sf_dir):
+    """One score per transaction; a fraud is what is more likely one than not; the area under the curve beats chance."""
+    tx = transactions(spark, sf_dir).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
+    model = fraud.train_fraud_model(tx, trees=20, depth=6)
+    scores = fraud.score(fraud.fraud_features(tx), model.pipeline, only_fraud=False, as_of=AS_OF)
+    likely = F.col("fraud_probability")
+    return scores.select("transaction_id", ((F.col("prediction") == (likely > 0.5).cast("double")) & likely.between(0, 1))
+                         .alias("consistent"), F.lit(0.5 < model.auc <= 1).alias("auc_in_range"))
+
+
+@query("p10_predicted_frauds", with_tx("SELECT 0 AS missing, 0 AS unlikely"))
+def p10_predicted_frauds(spark, sf_dir):
+    """The filtered scores are those with a prediction of 1, with a probability above one half."""
+    tx = transactions(spark, sf_dir).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
+    model = fraud.train_fraud_model(tx, trees=20, depth=6)
+    features = fraud.fraud_features(tx)
+    every = fraud.score(features, model.pipeline, only_fraud=False, as_of=AS_OF)
+    kept = fraud.score(features, model.pipeline, as_of=AS_OF).select("transaction_id", F.lit(1).alias("kept"))
+    both = every.join(kept, "transaction_id", "left")
+    return both.agg(F.count_if((F.col("prediction") == 1) & F.col("kept").isNull()).cast("int").alias("missing"),
+                    F.count_if(F.col("kept").isNotNull() & (F.col("fraud_probability") <= 0.5)).cast("int").alias("unlikely"))
+
+
 @query("q8_counts_by_status", with_tx("SELECT status, currency, count(*) AS events FROM tx GROUP BY 1, 2"))
 def q8_counts_by_status(spark, sf_dir):
     return counts_by(transactions(spark, sf_dir), "status", "currency")

@@ -99,6 +99,30 @@ def d4_corpus_chunks(spark, sf_dir):
     return chunks.select("doc_id", "chunk_no", "chunk", F.col("metadata")["source"].alias("source"))
 
 
+CHUNK_SQL = """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, TRUE AS short_enough, TRUE AS first_is_prefix, TRUE AS last_is_suffix,
+       length(trim(text, ' ' || chr(10))) <= 1000 AS single, TRUE AS in_order FROM documents
+WHERE length(trim(text, ' ' || chr(10))) > 0"""
+
+
+def _chunk_invariants(chunks, texts):
+    """What must hold for the chunks of any document."""
+    per_doc = chunks.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.max(F.length("chunk")).alias("longest"), F.max("chunk_no").alias("last"),
+        F.min_by("chunk", "chunk_no").alias("head"), F.max_by("chunk", "chunk_no").alias("tail"))
+    text = F.btrim("content", F.lit(" \n"))
+    return texts.join(per_doc, "doc_id").select(
+        "doc_id", (F.col("longest") <= 1000).alias("short_enough"), text.startswith(F.col("head")).alias("first_is_prefix"),
+        text.endswith(F.col("tail")).alias("last_is_suffix"), (F.col("n") == 1).alias("single"),
+        (F.col("last") == F.col("n") - 1).alias("in_order"))
+
+
+@query("d1_chunk_invariants", CHUNK_SQL)
+def d1_chunk_invariants(spark, sf_dir):
+    texts = corpus(spark, sf_dir).drop("metadata")
+    return _chunk_invariants(R.chunk_documents(texts), texts)
+
+
 @query("u1_corpus_union", """
 SELECT coalesce(lang, 'html') AS kind, count(*) AS documents FROM (
   SELECT lang FROM documents UNION ALL SELECT NULL FROM pages) GROUP BY 1""")

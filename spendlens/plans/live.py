@@ -104,6 +104,19 @@ def k7_live_alerts(spark, sf_dir):
                        epoch("alert_time").alias("alert_time"))
 
 
+@query("k3_live_topic", with_tx(spending.A1_SQL + """
+SELECT window_start, user_id, category, transaction_count, round(total, 2) AS total_amount FROM agg"""))
+def k3_live_topic(spark, sf_dir):
+    """The aggregate topic of the same job, read back as JSON."""
+    out = _drain(spark, lambda path, checkpoint: jobs.process_transactions(
+        event_stream(spark, sf_dir), path, checkpoint, velocity_threshold=40, available_now=True, as_of=AS_OF,
+        watermark=lateness(spark, sf_dir)))
+    schema = "window_start timestamp, user_id string, category string, transaction_count long, total_amount double"
+    rows = _newest(spark, f"{out}/user_aggregations", schema, ["window_start", "user_id", "category"])
+    return rows.select(epoch("window_start").alias("window_start"), "user_id", "category", "transaction_count",
+                       F.round("total_amount", 2).alias("total_amount"))
+
+
 @query("k4_live_topics", with_tx("""
 SELECT (sec // 60) * 60 AS window_start, user_id, count(*) AS transaction_count, round(sum(amount), 2) AS total_amount
 FROM tx GROUP BY 1, 2"""))

@@ -103,6 +103,22 @@ def q3_p95_approximate(spark, sf_dir):
     return Q.approximate_quantile(requests(spark, sf_dir), duration="1 day", keys=["endpoint"])
 
 
+@query("q3_p95_approximate_error", _with_requests("""
+SELECT endpoint, CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS window_start, count(*) AS events, TRUE AS close
+FROM requests GROUP BY 1, 2"""))
+def q3_p95_approximate_error(spark, sf_dir):
+    """The sketch gives a value between the exact quantiles a hundredth below and above."""
+    keys = ["endpoint", "window_start", "window_end"]
+    out = Q.approximate_quantile(requests(spark, sf_dir), duration="1 day", keys=["endpoint"])
+    for name, q in (("low", 0.94), ("high", 0.96)):
+        exact = Q.exact_quantile(requests(spark, sf_dir), q, duration="1 day", keys=["endpoint"])
+        out = out.join(exact.select(*keys, F.col("quantile").alias(name)), keys)
+    # A rank of few values is a value, while the exact quantile lies between two.
+    few = F.col("events") < 100
+    return out.select("endpoint", epoch("window_start").alias("window_start"), "events",
+                      (few | F.col("quantile").between(F.col("low"), F.col("high"))).alias("close"))
+
+
 ERROR_SQL = """, share AS (
   SELECT CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 + 60 * (i + 1) AS evaluated_at, count(*) FILTER (status_code >= 500) AS bad,
          count(*) AS events, count(*) FILTER (status_code >= 500) / count(*) AS share

@@ -113,6 +113,19 @@ def a4_hourly_spend_approx(spark, sf_dir):
     return _hourly(A.hourly_spend(transactions(spark, sf_dir)))
 
 
+@query("a4_hourly_approx_error", with_tx("""
+SELECT (sec // 3600) * 3600 AS window_start, user_id, count(*) AS transaction_count_hourly, TRUE AS close
+FROM tx GROUP BY 1, 2"""))
+def a4_hourly_approx_error(spark, sf_dir):
+    """The sketches are within a fifth of the exact distinct counts, four times their standard error."""
+    tx, keys = transactions(spark, sf_dir), ["window_start", "window_end", "user_id"]
+    exact = A.hourly_spend(tx, exact=True).select(*keys, F.col("unique_merchants").alias("m"), F.col("unique_categories").alias("c"))
+    near = [F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(0.0), 0.2 * F.col(b)) for a, b in
+            (("unique_merchants", "m"), ("unique_categories", "c"))]
+    return A.hourly_spend(tx).join(exact, keys).select(
+        epoch("window_start").alias("window_start"), "user_id", "transaction_count_hourly", (near[0] & near[1]).alias("close"))
+
+
 def _hourly(agg):
     money = ["total_amount_hourly", "food_spending", "shopping_spending", "entertainment_spending"]
     return agg.select(

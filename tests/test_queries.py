@@ -11,13 +11,8 @@ from check import compare, duck  # noqa: E402
 
 from spendlens.plans import ORACLE, QUERIES, live  # noqa: E402
 
-SLOW = {"m2_cluster_statistics", "m4_transaction_anomalies", "m8_fraud_scores", "x9_live_fraud_scores"}
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, name):
-    if name in SLOW:
-        pytest.skip("trained models are covered by test_models")
     df = QUERIES[name](spark, sf_dir)
     if name in ORACLE:
         outcome = compare(df, duck(sf_dir), ORACLE[name])
