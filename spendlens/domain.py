@@ -75,8 +75,11 @@ WIRE_SCHEMA = T.StructType(
 )
 
 
-def avro_schema() -> str:
-    """The Avro record of the ``transactions`` topic."""
+def avro_schema(namespace: str | None = None) -> str:
+    """The Avro record of the ``transactions`` topic: also a reader schema for records without the optional fields.
+
+    A registry that compares full names wants the topic's ``namespace`` as well.
+    """
     def enum(name, symbols):
         return {"type": "enum", "name": name, "symbols": list(symbols)}
 
@@ -88,5 +91,9 @@ def avro_schema() -> str:
         "location": optional, "device_id": optional, "ip_address": optional,
         "status": enum("Status", WIRE_STATUSES),
     }
-    fields = [{"name": name, "type": kind} for name, kind in types.items()]
-    return json.dumps({"type": "record", "name": "Transaction", "fields": fields})
+    # Defaults of the record.
+    defaults = {"merchant": None, "location": None, "device_id": None, "ip_address": None, "status": "PENDING"}
+    fields = [{"name": name, "type": kind} | ({"default": defaults[name]} if name in defaults else {})
+              for name, kind in types.items()]
+    record = {"type": "record", "name": "Transaction", "fields": fields}
+    return json.dumps(record | ({"namespace": namespace} if namespace else {}))

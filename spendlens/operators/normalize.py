@@ -25,7 +25,7 @@ def normalize(raw: DataFrame, as_of=None, default_status: str = "PENDING",
     """Any of the record shapes in use -> the 12 transaction columns.
 
     Missing columns become NULL; epoch milliseconds and ISO text both give a timestamp; a category outside the
-    domain becomes OTHER. Extra columns are dropped.
+    domain becomes OTHER. Extra columns are dropped, but for ``bad_value``, the text of a record that could not be decoded.
     """
     have = set(raw.columns)
 
@@ -44,7 +44,8 @@ def normalize(raw: DataFrame, as_of=None, default_status: str = "PENDING",
     out["timestamp"] = _timestamp_of(raw) if "timestamp" in have else F.lit(None).cast("timestamp")
     if as_of is not None:
         out["timestamp"] = F.coalesce(out["timestamp"], C.as_of_or_now(as_of))
-    return raw.select(*[out[f.name].alias(f.name) for f in domain.TRANSACTION_SCHEMA.fields])
+    broken = [n for n in ("bad_value",) if n in have]
+    return raw.select(*[out[f.name].alias(f.name) for f in domain.TRANSACTION_SCHEMA.fields], *broken)
 
 
 def with_defaults(raw: DataFrame, as_of=None) -> DataFrame:
@@ -78,6 +79,8 @@ def violations(tx: DataFrame) -> Column:
         ("category_domain", F.coalesce(F.col("category").isin(*domain.CATEGORIES), F.lit(False))),
         ("timestamp_present", F.col("timestamp").isNotNull()),
     ]
+    if "bad_value" in have:
+        rules.insert(0, ("decodable", F.col("bad_value").isNull()))
     for name, limit in domain.MAX_LENGTHS.items():
         if name in have:
             rules.append((f"{name}_length", F.coalesce(F.length(name) <= limit, F.lit(True))))

@@ -186,12 +186,27 @@ def x10_live_ingest(spark, sf_dir):
         tx = event_stream(spark, sf_dir).select(
             F.to_json(F.struct("transaction_id", "amount", F.lit("Groceries").alias("category"),
                                F.unix_millis("timestamp").alias("timestamp"))).alias("value"))
-        return jobs.ingest(decode_json(tx.unionByName(tx)), path, checkpoint, available_now=True)
+        return jobs.ingest(decode_json(tx.unionByName(tx), keep_bad=True), path, checkpoint, available_now=True)
 
     out = _drain(spark, start)
     return spark.read.parquet(f"{out}/transactions").select("transaction_id", "category", "amount")
 
 
+@query("x10_live_quarantine", """
+SELECT '{"amount": ' || event_id AS bad_value, TRUE AS marked FROM events WHERE event_id % 10 = 0""")
+def x10_live_quarantine(spark, sf_dir):
+    """Records that break off keep their text."""
+    def start(path, checkpoint):
+        tx = event_stream(spark, sf_dir)
+        broken = F.concat(F.lit('{"amount": '), "transaction_id")
+        whole = F.to_json(F.struct("transaction_id", "amount", F.unix_millis("timestamp").alias("timestamp")))
+        value = F.when(F.col("transaction_id").cast("long") % 10 == 0, broken).otherwise(whole)
+        return jobs.ingest(decode_json(tx.select(value.alias("value")), keep_bad=True), path, checkpoint, available_now=True)
+
+    bad = spark.read.parquet(f"{_drain(spark, start)}/quarantine")
+    return bad.select("bad_value", F.array_contains("violations", "decodable").alias("marked"))
+
+
 @query("x11_live_distinct", with_tx("SELECT transaction_id, user_id, amount FROM tx"))
 def x11_live_distinct(spark, sf_dir):
     """A stream that delivers every transaction twice, without its duplicates."""

@@ -2,6 +2,7 @@
 
 from spendlens.sources.documents import load_documents, seed_documents
 from spendlens.sources.transactions import (
+    decode,
     decode_avro,
     decode_json,
     flatten,
@@ -14,6 +15,6 @@ from spendlens.sources.transactions import (
 )
 
 __all__ = [
-    "decode_avro", "decode_json", "flatten", "ingest_json", "load_documents", "read_jdbc_transactions",
+    "decode", "decode_avro", "decode_json", "flatten", "ingest_json", "load_documents", "read_jdbc_transactions",
     "read_kafka", "read_stream", "read_training_data", "seed_documents", "user_feed",
 ]

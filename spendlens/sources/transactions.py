@@ -59,6 +59,14 @@ def decode_avro(df: DataFrame, schema: str | None = None) -> DataFrame:
     return flatten(df.select(from_avro(F.col("value"), schema or domain.avro_schema()).alias("data")), "data")
 
 
+def decode(df: DataFrame, value_format: str = "json", **options) -> DataFrame:
+    """``value`` -> columns by the wire format of the topic, ``json`` or ``avro``."""
+    decoders = {"json": decode_json, "avro": decode_avro}
+    if value_format not in decoders:
+        raise ValueError(f"value_format {value_format!r} is none of {sorted(decoders)}")
+    return decoders[value_format](df, **options)
+
+
 def ingest_json(df: DataFrame, as_of=None) -> DataFrame:
     """Consumer ingest: decode, then a default for every absent field."""
     return with_defaults(decode_json(df), as_of)

@@ -148,3 +148,21 @@ def test_snippet_and_tokens(spark):
     df = spark.createDataFrame([("x" * 700,), ("abcdefg",)], "t string")
     got = df.select(C.snippet("t"), C.token_estimate("t"), F.length(C.snippet("t"))).collect()
     assert got[1][0] == "abcdefg..." and got[1][1] == 1 and got[0][2] == 503
+
+
+def test_avro_defaults_serve_a_reader():
+    fields = {f["name"]: f for f in json.loads(domain.avro_schema("a.b"))["fields"]}
+    assert json.loads(domain.avro_schema("a.b"))["namespace"] == "a.b" and "namespace" not in json.loads(domain.avro_schema())
+    assert {n: f["default"] for n, f in fields.items() if "default" in f} == {
+        "merchant": None, "location": None, "device_id": None, "ip_address": None, "status": "PENDING"}
+    assert all(f["type"][0] == "null" for f in fields.values() if f.get("default", 0) is None)
+
+
+def test_value_formats(spark):
+    from spendlens.sources import decode
+
+    rows = spark.createDataFrame([('{"transaction_id": "a", "amount": 1}',)], "value string")
+    assert decode(rows).first().amount == 1 and decode(rows, "json", keep_bad=True).first().bad_value is None
+    for kind, message in (("xml", "none of"), ("avro", "(?i)avro")):
+        with pytest.raises(Exception, match=message):
+            decode(rows, kind).collect()
