@@ -35,7 +35,7 @@ OCTETS = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 PROPOSED = [0.8, 0.5, 0.3, 0.5, 0.2, 0.3]
 CHECKED = [0.0, 0.2, 0.5, 0.2, 0.5, 0.0]
 SUPPORT = 0.2
-WORDS = [r"e-?mail|contact|write|mailto", r"\bip\b|host|server|address", r"card|visa|credit|payment|amex",
+WORDS = [r"e-?mail|contact|write|mailto", r"(^|[^a-z])ip([^a-z]|$)|host|server|address", r"card|visa|credit|payment|amex",
          r"phone|tel|call|mobile|fax", r"iban|account|bank|konto", r"ssn|social"]
 
 
