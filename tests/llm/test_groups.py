@@ -169,7 +169,7 @@ def test_repeated_and_unnamed_rows_in_the_dedup_stage(spark, odd, sf_dir):
     assert sorted((r.doc_id for r in rows), key=str) == [1, 2, 3, 4, 5, 7, None]
 
 
-@pytest.mark.parametrize("name", ["op6_chat_format"])
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sf_dir, name):
     from check import compare, duck
 
