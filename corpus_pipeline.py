@@ -36,7 +36,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, a row that repeats its id once."""
+    """One document of each group of near-duplicates (80 % of the shingles or more), a row that repeats its id once."""
     removed = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     kept = columns(docs, *COLUMNS).join(removed, "doc_id", "left_anti").withColumn(
         "unnamed", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))

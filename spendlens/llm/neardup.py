@@ -1,19 +1,18 @@
 """Near-duplicate documents by min-max hashing (operator 8).
 
 A document's set are the hashes of its distinct shingles of five words. One pass of permutations gives a minimum *and* a
-maximum per permutation, so 120 signature values take 60 hash evaluations; they are banded by five, and a pair at the
-limit of 85 % is missed by all 24 bands with a chance below 1e-6. Then:
+maximum per permutation, so 160 signature values take 80 hash evaluations; they are banded by five. Then:
 
 1. Equal sets are one set, named after its smallest document.
 2. Every member of a band's bucket is paired with the bucket's smallest member, never with all others. The pairs are
    confirmed on the full sets.
 3. Two members of a bucket that both differ from its smallest one may still be alike. They lie in one connected group of
    buckets, so inside such groups, and only between what is not connected yet, documents that share one of their rarest
-   shingles are confirmed as well. The rarest 15 % and one more of a document's shingles suffice for that (prefix filter),
-   so nothing is lost and no group is squared.
+   shingles are confirmed as well. One more than the share that may differ of a document's shingles suffices for that
+   (prefix filter), so nothing is lost and no group is squared.
 
-Components come from alternating stars. Texts are shuffled once, and only hashes of documents with a candidate partner
-are kept.
+Components come from alternating stars. Only texts with a candidate partner are shuffled, once: a bit map of fixed size
+holds back nearly all others.
 
 Documents without words and NULL texts have an empty set, are linked with nothing and kept. Rows with one ``doc_id``
 count as one document. Rows without a ``doc_id`` cannot be named: their component is NULL and they are kept. Further
@@ -33,6 +32,8 @@ from spendlens.llm.common import columns, map_batches, stored
 from spendlens.llm.components import components
 
 SHINGLE = 5
+#: Bits of the map of candidate documents.
+SLOTS = 1 << 25
 ODD = np.uint64(0x9E3779B97F4A7C15)
 SIGNS = "doc_id bigint, n_shingles bigint, set_high bigint, set_low bigint, bands array<bigint>"
 
@@ -118,6 +119,24 @@ def shingle_sets(documents: DataFrame) -> DataFrame:
     return map_batches(columns(documents, "doc_id", "text"), make, "doc_id bigint, n bigint, shingles array<bigint>")
 
 
+def worth_shuffling(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``documents`` without most of those whose ``doc_id`` is not in ``ids``.
+
+    The hashed ids mark bits of a map of ``SLOTS`` bits, 4 MB whatever the number of ids; it goes to every task in place of
+    the ids themselves. A join still has to follow.
+    """
+    def slot(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(SLOTS))
+
+    marks = ids.select(slot("doc_id").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    placed = documents.withColumn("slot", slot("doc_id")).withColumn("part", F.bitmap_bucket_number("slot")).withColumn(
+        "position", F.bitmap_bit_position("slot").cast("int"))
+    byte = F.conv(F.hex(F.substring("bits", F.expr("position div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = placed.join(F.broadcast(marks), "part").where(F.expr("1 << (position % 8)").bitwiseAND(byte) != 0)
+    return found.select(*documents.columns)
+
+
 def alike(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     """Whether ``both`` shared shingles are ``percent`` of the union of sets of ``n_a`` and ``n_b``."""
     return 100 * both >= percent * (n_a + n_b - both)
@@ -176,8 +195,12 @@ def open_groups(stars: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(todo, "group").select("group", "part", "doc_id")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, permutations: int = 60, rows: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest connected doc_id) and kept (is that document) of each row."""
+def near_duplicates(documents: DataFrame, percent: int = 80, permutations: int = 80, rows: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest connected doc_id) and kept (is that document) of each row.
+
+    A pair whose sets are ``percent`` alike is in no common bucket with a chance of
+    ``(1 - (percent / 100) ** rows) ** (2 * permutations / rows)``: 3e-6 by default.
+    """
     light = stored(signed(documents, permutations, rows), "signed")
     named = light.where("n_shingles > 0 and doc_id is not null")
     name = ["n_shingles", "set_high", "set_low"]
@@ -185,7 +208,8 @@ def near_duplicates(documents: DataFrame, percent: int = 85, permutations: int =
     unique = named.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     stars = stored(bucket_stars(unique), "stars")
     candidates = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = columns(documents, "doc_id", "text").join(candidates, "doc_id", "left_semi")
+    # An inner join: a semi join would be moved below the bit map.
+    texts = worth_shuffling(columns(documents, "doc_id", "text"), candidates).join(candidates, "doc_id")
     sets = stored(shingle_sets(texts), "sets")
     links = stored(confirmed(stars, sets, percent), "links")
     labels = stored(components(stars.withColumn("graph", F.lit(0)).unionByName(links.withColumn("graph", F.lit(1)))), "labels")

@@ -62,9 +62,10 @@ def copies():
     return dict(zip(order, texts))
 
 
-def test_near_duplicates_equal_brute_force(spark, copies):
-    expected, sets = plain_components(copies)
-    rows = neardup.near_duplicates(documents(spark, list(copies.items())).repartition(4)).collect()
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_equal_brute_force(spark, copies, percent):
+    expected, sets = plain_components(copies, percent)
+    rows = neardup.near_duplicates(documents(spark, list(copies.items())).repartition(4), percent, 60).collect()
     assert {r.doc_id: r.component_id for r in rows} == expected
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in rows)
 
@@ -145,7 +146,7 @@ def test_pipeline_stages(spark, sf_dir):
         out = stage(spark, docs, sf_dir).cache()
         assert out.dtypes == docs.dtypes, name
         if name == "near_duplicates":
-            expected, _ = plain_components({r.doc_id: r.text for r in docs.collect()})
+            expected, _ = plain_components({r.doc_id: r.text for r in docs.collect()}, 80)
             assert {r.doc_id for r in out.collect()} == set(expected.values())
         if name == "personal_data":
             assert out.count() == docs.count() and out.where("n_chars <> length(text)").count() == 0
