@@ -92,9 +92,10 @@ def load_fraud_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def score(features: DataFrame, model: PipelineModel, only_fraud: bool = True, as_of=None) -> DataFrame:
+def score(features: DataFrame, model: PipelineModel, only_fraud: bool = True, as_of=None,
+          keep: Sequence[str] = ()) -> DataFrame:
     """Predictions with the fraud probability; works on a batch or a stream of features."""
     scored = model.transform(model_input(features)).select(
-        "transaction_id", "user_id", "amount", "merchant", "prediction",
+        *keep, "transaction_id", "user_id", "amount", "merchant", "prediction",
         vector_to_array("probability")[1].alias("fraud_probability"), C.as_of_or_now(as_of).alias("prediction_time"))
     return scored.filter(F.col("prediction") == 1) if only_fraud else scored

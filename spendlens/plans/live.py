@@ -17,7 +17,7 @@ from spendlens.plans.tables import AS_OF, as_transactions, epoch, table, transac
 from spendlens.session import shared_dir
 from spendlens.sources import decode_json, read_stream
 from spendlens.streaming import jobs
-from spendlens.streaming.fraud_state import predict_streaming, stream_features
+from spendlens.streaming.fraud_state import read_live, write_features
 
 
 #: The user of heartbeat rows; no window of theirs is ever written.
@@ -221,10 +221,9 @@ def x11_live_distinct(spark, sf_dir):
 SELECT transaction_id, round(avg10, 6) AS avg_last_10, round(std10, 6) AS std_last_10, n_hour AS count_last_hour
 FROM history"""))
 def x9_live_fraud_features(spark, sf_dir):
-    """Per-user state instead of row frames."""
-    out = _drain(spark, lambda path, checkpoint: jobs.write_append(
-        stream_features(event_stream(spark, sf_dir), lateness(spark, sf_dir)), "features", path, checkpoint, True))
-    return spark.read.parquet(out).select(
+    """Every micro-batch united with the stored history."""
+    out = _drain(spark, lambda path, checkpoint: write_features(event_stream(spark, sf_dir), path, checkpoint, True))
+    return read_live(spark, f"{out}/features").select(
         "transaction_id", F.round("avg_last_10", 6).alias("avg_last_10"), F.round("std_last_10", 6).alias("std_last_10"),
         "count_last_hour")
 
@@ -234,6 +233,6 @@ def x9_live_fraud_scores(spark, sf_dir):
     """Train on the table, then score the same transactions as a stream."""
     tx = transactions(spark, sf_dir).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
     model = fraud.train_fraud_model(tx)
-    out = _drain(spark, lambda path, checkpoint: jobs.write_append(
-        predict_streaming(event_stream(spark, sf_dir), model.pipeline, watermark=lateness(spark, sf_dir)), "scores", path, checkpoint, True))
-    return spark.read.parquet(out).drop("prediction_time")
+    out = _drain(spark, lambda path, checkpoint: write_features(
+        event_stream(spark, sf_dir), path, checkpoint, True, model.pipeline))
+    return read_live(spark, f"{out}/scores", only_fraud=True).drop("prediction_time")

@@ -31,7 +31,7 @@ def append_new(incoming: DataFrame, path: str, batch_id: int, key: str = "transa
     the semi join lets Spark filter them by the few ids of the batch before anything of the table is shuffled.
     """
     spark = incoming.sparkSession
-    existing = _read_batches(spark, path, before=batch_id)
+    existing = read_before(spark, path, before=batch_id)
     rows = first_per_id(incoming, key)
     if existing is not None:
         taken = existing.select(key).join(rows.select(key), key, "left_semi")
@@ -39,14 +39,15 @@ def append_new(incoming: DataFrame, path: str, batch_id: int, key: str = "transa
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _read_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+def read_before(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """What earlier micro-batches have written, or None."""
     from pyspark.errors import AnalysisException
 
     try:
         df = spark.read.parquet(path)
     except AnalysisException:  # nothing has been written yet
         return None
-    return df if before is None else df.filter(F.col("batch_id") < before)
+    return df.filter(F.col("batch_id") < before)
 
 
 # --- upserts by version -----------------------------------------------------------------------------------

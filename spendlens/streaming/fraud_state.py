@@ -1,9 +1,12 @@
-"""Fraud features on a stream: the last ten amounts and the last hour of every user as state.
+"""Fraud features on a stream, in two forms.
 
-The state of a user is ten amounts and at most 3,601 (second, count) pairs, whatever the traffic; an hour after the
-watermark has passed a user's last row the pairs are dropped. The rows of a user in a micro-batch arrive in pieces of
-Arrow batch size; each piece is put in time order and featured on its own. A row that is older than rows of an earlier
-piece is featured against the history known when it arrives.
+``write_features`` is exact in whatever order rows and files come: each micro-batch is united with the stored history
+and featured like a batch, and rows that an older one changes are written again as a new version.
+
+``stream_features`` sends every row once, when it arrives. The state of a user is ten amounts and at most 3,601
+(second, count) pairs, whatever the traffic; an hour after the watermark has passed a user's last row the pairs are
+dropped. The rows of a user in a micro-batch are put in time order as a whole; a row that is older than rows of an
+earlier micro-batch is featured against the history known when it arrives.
 """
 
 from __future__ import annotations
@@ -13,11 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spendlens import domain
-from spendlens.operators import fraud
+from spendlens import domain, sinks
+from spendlens.functions import columns as C
+from spendlens.operators import fraud, timeline
+from spendlens.streaming import jobs
 
 HISTORY_ROWS = 10
 HOUR = 3_600
@@ -71,8 +77,9 @@ def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     if state.hasTimedOut:
         state.update((list(amounts), [], []))
         return
-    for batch in batches:
-        rows = batch.sort_values(["timestamp", "transaction_id"])
+    # Rows come in no order and in pieces of Arrow batch size, so nothing can be featured before the last piece.
+    rows = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp", "transaction_id"])
+    if len(rows):
         out, amounts, seconds, counts = _featured(rows, list(amounts), list(seconds), list(counts))
         yield out[[f.name for f in FEATURES.fields]]
     state.update((amounts, seconds, counts))
@@ -81,8 +88,7 @@ def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
 
 
 def stream_features(tx: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Fraud features of a transaction stream (append mode); rows without a user or a time have no history and are left
-    to the caller."""
+    """Fraud features of a transaction stream (append mode), each row once."""
     rows = tx.select(*[f.name for f in domain.TRANSACTION_SCHEMA.fields]).filter(
         "user_id IS NOT NULL AND timestamp IS NOT NULL").withWatermark("timestamp", watermark)
     recent = rows.groupBy("user_id").applyInPandasWithState(
@@ -94,3 +100,58 @@ def predict_streaming(tx: DataFrame, model: PipelineModel, only_fraud: bool = Tr
                       watermark: str = "1 hour") -> DataFrame:
     """Frauds in a stream of transactions; the caller starts the query."""
     return fraud.score(stream_features(tx, watermark), model, only_fraud, as_of)
+
+
+# --- exact in any order ---------------------------------------------------------------------------------
+
+#: Which micro-batch a row came with, and its number there.
+ROW_KEY = ["origin", "row_number"]
+
+
+def _needed_history(earlier: DataFrame, batch: DataFrame) -> DataFrame:
+    """Earlier rows that the features of a micro-batch need, and in ``_write`` whether their own may change.
+
+    Of each user of the batch: what lies in the hour before their first new second or later, and the ten rows before that.
+    """
+    first = timeline.placed(batch).groupBy("user_id").agg(F.min(C.epoch_second()).alias("_first"))
+    known = timeline.placed(earlier).join(first, "user_id")
+    near: Column = C.epoch_second() >= F.col("_first") - HOUR
+    newest = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), F.desc("transaction_id"))
+    before = known.filter(~near).withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= HISTORY_ROWS)
+    needed = known.filter(near).unionByName(before.drop("_rank"))
+    return needed.withColumn("_write", C.epoch_second() >= F.col("_first")).drop("_first")
+
+
+def write_features(tx: DataFrame, path: str, checkpoint: str, available_now: bool = False,
+                   model: PipelineModel | None = None, as_of=None) -> StreamingQuery:
+    """Fraud features of a stream below ``path``, and with a model the scores, as versions per micro-batch.
+
+    The newest version of a row (``read_live``) has the features of ``timeline.recent_history`` over all rows so far. No
+    window holds a user's whole history; every micro-batch reads the stored transactions once.
+    """
+    names = [f.name for f in domain.TRANSACTION_SCHEMA.fields]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, history = batch.sparkSession, f"{path}/history"
+        numbered = batch.select(*names, F.lit(batch_id).cast("long").alias("origin"),
+                                F.monotonically_increasing_id().alias("row_number"))
+        earlier = sinks.read_before(spark, history, batch_id)
+        sinks.write_version(numbered, history, batch_id)
+        rows = spark.read.schema(numbered.schema).parquet(f"{history}/batch_id={batch_id}")
+        marked = rows.withColumn("_write", F.lit(True))
+        if earlier is not None:
+            marked = marked.unionByName(_needed_history(earlier.select(*rows.columns), rows))
+        recent = timeline.recent_history(marked, HISTORY_ROWS).filter("_write").drop("_write")
+        sinks.write_version(recent.withColumns(fraud.row_features()), f"{path}/features", batch_id)
+        if model is not None:
+            features = spark.read.parquet(f"{path}/features/batch_id={batch_id}")
+            scores = fraud.score(features, model, False, as_of, ROW_KEY)
+            sinks.write_version(scores, f"{path}/scores", batch_id)
+
+    return jobs.foreach_batch(tx, write, "features", checkpoint, "append", available_now=available_now)
+
+
+def read_live(spark: SparkSession, path: str, only_fraud: bool = False) -> DataFrame:
+    """The newest version of the features or scores in a folder that ``write_features`` has written."""
+    newest = sinks.read_latest(spark, path, ROW_KEY).drop(*ROW_KEY)
+    return newest.filter(F.col("prediction") == 1) if only_fraud else newest

@@ -33,6 +33,15 @@ def test_live_queries_on_a_folder_of_unordered_files(spark, sf_dir, tmp_path, mo
     assert outcome.startswith("ok"), outcome
 
 
+def test_live_fraud_features_on_a_folder_of_unordered_files(spark, sf_dir, tmp_path, monkeypatch):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(live.event_stream, "__defaults__", (None, 1))
+    name = "x9_live_fraud_features"
+    outcome = compare(QUERIES[name](spark, str(tmp_path)), duck(sf_dir), ORACLE[name])
+    assert outcome.startswith("ok"), outcome
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as entry
 

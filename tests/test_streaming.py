@@ -1,6 +1,7 @@
 """Streams over files: same results as batch, late rows, replays, sinks."""
 
 import json
+import random
 
 import pytest
 from helpers import by_user, close, frame, skewed_rows, tx
@@ -9,7 +10,7 @@ from spendlens import domain, sinks
 from spendlens.operators import aggregates as A, timeline as L
 from spendlens.sources import decode_json, read_stream
 from spendlens.streaming import jobs
-from spendlens.streaming.fraud_state import stream_features
+from spendlens.streaming.fraud_state import read_live, stream_features, write_features
 
 
 @pytest.fixture
@@ -124,6 +125,44 @@ def test_fraud_features_equal_batch(spark, folder, files):
             assert g.count_last_hour == w.count_last_hour
 
 
+def same_history(got, want):
+    got = {r.transaction_id: r for r in got}
+    assert len(got) == len(want)
+    for w in want:
+        g = got[w.transaction_id]
+        assert close(g.avg_last_10, w.avg_last_10) and close(g.std_last_10, w.std_last_10), (g, w)
+        assert g.count_last_hour == w.count_last_hour, (g, w)
+
+
+def shuffled(rows):
+    rows = list(rows)
+    random.Random(7).shuffle(rows)
+    return rows
+
+
+def test_fraud_features_of_a_user_with_many_arrow_batches(spark, folder):
+    rows = shuffled(skewed_rows(400))
+    add_file(spark, rows, folder("in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        query = jobs.write_append(stream_features(stream(spark, folder("in"))), "f", folder("out"), folder("cp"), True)
+        jobs.run_to_end(spark, query)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    same_history(spark.read.parquet(folder("out")).collect(), L.recent_history(frame(spark, rows)).collect())
+
+
+def test_live_fraud_features_of_unordered_files(spark, folder):
+    """Rows come in later files than younger ones, which are then corrected."""
+    rows = shuffled(skewed_rows(300))
+    for i in range(0, 300, 75):
+        add_file(spark, rows[i:i + 75], folder("in"))
+    jobs.run_to_end(spark, write_features(stream(spark, folder("in")), folder("out"), folder("cp"), True))
+    got = read_live(spark, folder("out/features")).collect()
+    assert len(got) == len(rows)
+    same_history(got, L.recent_history(frame(spark, rows)).collect())
+
+
 def test_all_aggregations_run_side_by_side(spark, folder):
     add_file(spark, skewed_rows(60), folder("in"))
     queries = jobs.process_transaction_stream(stream(spark, folder("in")), folder("out"), folder("cp"), console=True,
