@@ -37,8 +37,9 @@ def fraud_features(tx: DataFrame) -> DataFrame:
 
 
 def model_input(features: DataFrame) -> DataFrame:
-    """Missing history counts as 0 and a missing category or device as its own value."""
-    return features.fillna({"avg_last_10": 0.0, "std_last_10": 0.0}).fillna("", subset=CATEGORICAL)
+    """Missing history counts as 0, a missing time as hour -1 of day 0, and a missing category or device as its own value."""
+    return features.fillna({"avg_last_10": 0.0, "std_last_10": 0.0, "count_last_hour": 0, "hour_of_day": -1,
+                            "day_of_week": 0}).fillna("", subset=CATEGORICAL)
 
 
 def fraud_pipeline(label: str = "is_fraud", trees: int = 100, depth: int = 10, seed: int = 42,

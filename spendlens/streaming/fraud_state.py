@@ -88,12 +88,15 @@ def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
 
 
 def stream_features(tx: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Fraud features of a transaction stream (append mode), each row once."""
-    rows = tx.select(*[f.name for f in domain.TRANSACTION_SCHEMA.fields]).filter(
-        "user_id IS NOT NULL AND timestamp IS NOT NULL").withWatermark("timestamp", watermark)
-    recent = rows.groupBy("user_id").applyInPandasWithState(
+    """Fraud features of a transaction stream (append mode), each row once; rows without a user or a time have no history
+    and pass by the state."""
+    rows = tx.select(*[f.name for f in domain.TRANSACTION_SCHEMA.fields])
+    recent = timeline.placed(rows).withWatermark("timestamp", watermark).groupBy("user_id").applyInPandasWithState(
         _update, FEATURES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return recent.withColumns(fraud.row_features())
+    history = FEATURES.fields[len(domain.TRANSACTION_SCHEMA.fields):]
+    others = rows.filter("user_id IS NULL OR timestamp IS NULL").withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in history})
+    return recent.unionByName(others).withColumns(fraud.row_features())
 
 
 def predict_streaming(tx: DataFrame, model: PipelineModel, only_fraud: bool = True, as_of=None,

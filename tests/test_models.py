@@ -84,6 +84,17 @@ def test_stream_scores(spark, labelled, model, tmp_path):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_rows_without_user_or_time_are_scored(spark, labelled, model, tmp_path):
+    rows = labelled.limit(40).unionByName(labelled.limit(3).withColumn("user_id", F.lit(None).cast("string")))
+    rows = rows.unionByName(labelled.limit(3).withColumn("timestamp", F.lit(None).cast("timestamp")))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = sources.read_stream(spark, "parquet", domain.TRANSACTION_SCHEMA, str(tmp_path / "in"))
+    out = predict_streaming(stream, model.pipeline, only_fraud=False)
+    jobs.run_to_end(spark, jobs.write_append(out, "p", str(tmp_path / "out"), str(tmp_path / "cp"), True))
+    batch = fraud.score(fraud.fraud_features(spark.read.parquet(str(tmp_path / "in"))), model.pipeline, only_fraud=False)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count() == 46
+
+
 def test_training_label_from_status(spark, labelled, tmp_path):
     labelled.write.parquet(str(tmp_path / "t"))
     df = sources.read_training_data(spark, str(tmp_path / "t"))

@@ -163,6 +163,22 @@ def test_live_fraud_features_of_unordered_files(spark, folder):
     same_history(got, L.recent_history(frame(spark, rows)).collect())
 
 
+@pytest.mark.parametrize("form", ["state", "history"])
+def test_rows_without_user_or_time_keep_their_row_features(spark, folder, form):
+    rows = [tx(1, "u", 5, 0), tx(2, None, 7, 10), tx(3, "u", 9, 0, timestamp=None), tx(4, "u", 3, 20)]
+    add_file(spark, rows, folder("in"))
+    add_file(spark, [tx(5, None, 8, 30)], folder("in"))
+    source = stream(spark, folder("in"))
+    if form == "state":
+        jobs.run_to_end(spark, jobs.write_append(stream_features(source), "f", folder("out"), folder("cp"), True))
+        got = spark.read.parquet(folder("out"))
+    else:
+        jobs.run_to_end(spark, write_features(source, folder("out"), folder("cp"), True))
+        got = read_live(spark, folder("out/features"))
+    found = {r.transaction_id: (r.avg_last_10, r.count_last_hour, r.hour_of_day) for r in got.collect()}
+    assert found == {"1": (None, 1, 0), "2": (None, None, 0), "3": (None, None, None), "4": (5.0, 2, 0), "5": (None, None, 0)}
+
+
 def test_all_aggregations_run_side_by_side(spark, folder):
     add_file(spark, skewed_rows(60), folder("in"))
     queries = jobs.process_transaction_stream(stream(spark, folder("in")), folder("out"), folder("cp"), console=True,
