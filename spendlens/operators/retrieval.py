@@ -6,14 +6,17 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spendlens import domain
 from spendlens.functions import columns as C
 from spendlens.functions import text as X
 
-# Into how many blocks queries are dealt. A task holds one of them; the corpus is shuffled once per block.
-QUERY_BLOCKS = 4
+# About how many queries a block has. A task holds one block at a time; the corpus is shuffled once per block.
+QUERIES_PER_BLOCK = 10_000
 
 
 # --- chunks and collections -----------------------------------------------------------------------------
@@ -60,66 +63,115 @@ def save_document(content: str, metadata: Mapping[str, str], spark) -> DataFrame
 
 # --- search -------------------------------------------------------------------------------------------
 
-def _unit_rows(vectors) -> np.ndarray:
-    matrix = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit_rows(vectors: pa.Array) -> np.ndarray:
+    """Vectors as the rows of a matrix, divided by their lengths; a vector without a length stays zero."""
+    if len(pc.unique(pc.list_value_length(vectors))) > 1:
+        raise ValueError("vectors of different lengths")
+    matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
 
 def _hits(ids: np.ndarray, corpus: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int | None,
           threshold: float) -> Iterator[pd.DataFrame]:
-    """Hits among the given rows, the best ``k`` of every query or all; ties go to the smaller id."""
+    """Hits among the given rows for 200 queries at a time, the best ``k`` of every query or all.
+
+    Scores are rounded to 12 digits, so that equal vectors have equal scores wherever they stand in a matrix.
+    """
     for start in range(0, len(query_ids), 200):
-        scores = corpus @ queries[start:start + 200].T
+        scores = (corpus @ queries[start:start + 200].T).round(12)
         rows, cols = np.nonzero(scores >= threshold)
         hits = pd.DataFrame({"query_id": query_ids[start:start + 200][cols], "hit_id": ids[rows],
                              "score": scores[rows, cols]})
-        if k is not None:
-            hits = hits.sort_values(["query_id", "score", "hit_id"], ascending=[True, False, True])
-            hits = hits.groupby("query_id", sort=False).head(k)
-        yield hits
+        yield hits if k is None else _best(hits, k)
+
+
+def _best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` of every query; ties go to the smaller id."""
+    ranked = hits.sort_values(["query_id", "score", "hit_id"], ascending=[True, False, True])
+    return ranked.groupby("query_id", sort=False).head(k)
 
 
-def _sql_type(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
+def _matches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int | None,
+             threshold: float) -> Iterator[pa.RecordBatch]:
+    """Hits of pairs of a query block and a corpus part, which come one after the other, the queries of each first.
+
+    The queries of one block are held, of the corpus an Arrow batch; hits go on in pieces, or with ``k`` at the end of the
+    pair.
+    """
+    at = query_ids = queries = best = None
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def written(hits: pd.DataFrame) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pandas(hits, schema, preserve_index=False)
+
+    for batch in batches:
+        kinds = np.stack([batch.column(name).to_numpy() for name in ("_part", "_block", "_kind")], axis=1)
+        starts = [0, *(np.flatnonzero((kinds[1:] != kinds[:-1]).any(axis=1)) + 1)] if len(kinds) else []
+        for start, end in zip(starts, [*starts[1:], len(kinds)]):
+            rows, pair = batch.slice(start, end - start), tuple(kinds[start, :2])
+            if pair != at:
+                if best is not None:
+                    yield written(best)
+                at, query_ids, queries, best, waiting = pair, None, None, None, []
+            vectors = _unit_rows(rows.column("_vector"))
+            if kinds[start, 2] == 0:
+                waiting.append((rows.column("_query").to_numpy(zero_copy_only=False), vectors))
+                continue
+            if waiting:
+                query_ids, queries = (np.concatenate(parts) for parts in zip(*waiting))
+                waiting = []
+            if queries is None:
+                continue
+            found = _hits(rows.column("_point").to_numpy(zero_copy_only=False), vectors, query_ids, queries, k, threshold)
+            if k is None:
+                yield from map(written, found)
+            else:
+                best = _best(pd.concat([*([] if best is None else [best]), *found]), k)
+    if best is not None:
+        yield written(best)
 
 
 def similar(corpus: DataFrame, queries: DataFrame, threshold: float, criteria: Mapping[str, object] | None = None,
-            key: str = "vec_id", vector: str = "embedding", query_blocks: int = QUERY_BLOCKS,
+            key: str = "vec_id", vector: str = "embedding", query_blocks: int | None = None,
             k: int | None = None) -> DataFrame:
     """Every pair ``(query_id, hit_id, score)`` with a cosine similarity of ``threshold`` or more.
 
     ``queries`` has ``query_id`` and the vector column. Metadata ``criteria`` filter the corpus before any vector is
-    touched. Blocks of queries meet partitions of the corpus, one task per pair of both, which multiplies the two
-    matrices; nothing is collected or counted first. With ``k``, a task passes on the best ``k`` per query only.
+    touched. Blocks of queries meet parts of the corpus, which multiplies the two matrices a piece at a time. The queries
+    are counted first for as many blocks as ``QUERIES_PER_BLOCK`` asks for, unless ``query_blocks`` says how many. With
+    ``k``, a pair of block and part passes on the best ``k`` per query only. Rows without a vector have no similarity.
     """
     if criteria:
         corpus = corpus.filter(C.payload_matches(criteria))
+    if query_blocks is None:
+        query_blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
     parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = f"query_id {_sql_type(queries, 'query_id')}, hit_id {_sql_type(corpus, key)}, score double"
-
-    def dealt(df, column, own, other, n_own, n_other):
-        df = df.select(column, vector, F.pmod(F.xxhash64(column), F.lit(n_own)).cast("int").alias(own))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).groupBy("_part", "_block")
-
-    left = dealt(corpus, key, "_part", "_block", parts, query_blocks)
-    right = dealt(queries, "query_id", "_block", "_part", query_blocks, parts)
+    types = {"query_id": queries.schema["query_id"].dataType, "hit_id": corpus.schema[key].dataType}
+    schema = T.StructType([*[T.StructField(name, kind) for name, kind in types.items()], T.StructField("score", T.DoubleType())])
+    same = corpus.schema[vector].dataType.simpleString() == queries.schema[vector].dataType.simpleString()
 
-    def pairs(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if points.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "hit_id": [], "score": []})
-        return pd.concat(_hits(points[key].to_numpy(), _unit_rows(points[vector]), asked["query_id"].to_numpy(),
-                               _unit_rows(asked[vector]), k, threshold), ignore_index=True)
+    def dealt(df, kind, column, own, other, n_own, n_other):
+        ids = {"_query": types["query_id"], "_point": types["hit_id"]}
+        filled = [(F.col(column) if name == kind else F.lit(None)).cast(t).alias(name) for name, t in ids.items()]
+        df = df.filter(F.col(vector).isNotNull()).select(
+            *filled, (F.col(vector) if same else F.col(vector).cast("array<double>")).alias("_vector"),
+            F.pmod(F.xxhash64(column), F.lit(n_own)).cast("int").alias(own), F.lit(int(kind == "_point")).alias("_kind"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
-    return left.cogroup(right).applyInPandas(pairs, schema)
+    left = dealt(corpus, "_point", key, "_part", "_block", parts, query_blocks)
+    right = dealt(queries, "_query", "query_id", "_block", "_part", query_blocks, parts)
+    arrow = to_arrow_schema(schema)
+    pairs = left.unionByName(right).repartition("_part", "_block").sortWithinPartitions("_part", "_block", "_kind")
+    return pairs.mapInArrow(lambda batches: _matches(batches, arrow, k, threshold), schema)
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.7,
            criteria: Mapping[str, object] | None = None, key: str = "vec_id", vector: str = "embedding",
-           query_blocks: int = QUERY_BLOCKS) -> DataFrame:
+           query_blocks: int | None = None) -> DataFrame:
     """Exact top ``k`` by cosine similarity per query: ``(query_id, hit_id, score, position)``.
 
-    Of each task, k hits per query are left to be ranked.
+    Of each pair of a query block and a corpus part, k hits per query are left to be ranked.
     """
     hits = similar(corpus, queries, threshold, criteria, key, vector, query_blocks, k)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "hit_id")

@@ -189,6 +189,35 @@ def j3_similarity_join(spark, sf_dir):
     return hits.select("query_id", "hit_id", F.round("score", 6).alias("score"))
 
 
+# The same with every row whose id is divisible by 20 as a question, against the whole table.
+ROWS_SQL = """WITH questions AS (
+  SELECT vec_id AS query_id, embedding::DOUBLE[] AS question FROM embeddings WHERE vec_id % 20 = 0),""" + SCORES_SQL[
+    SCORES_SQL.index("\nscores AS"):]
+
+
+def _row_questions(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("t2_top_k_rows", ROWS_SQL.format(threshold=0.3, criteria="", k=5))
+def t2_top_k_rows(spark, sf_dir):
+    return _rounded(R.search(vectors(spark, sf_dir), _row_questions(spark, sf_dir), k=5, threshold=0.3))
+
+
+@query("d2_filtered_search_rows", ROWS_SQL.format(threshold=0.1, criteria=" AND label IN (0, 2, 3)", k=4))
+def d2_filtered_search_rows(spark, sf_dir):
+    hits = R.search(vectors(spark, sf_dir), _row_questions(spark, sf_dir), k=4, threshold=0.1,
+                    criteria={"category": ["0", "2", "3"]})
+    return _rounded(hits)
+
+
+@query("j3_similarity_join_rows", ROWS_SQL.format(threshold=0.25, criteria="", k=1000000000).replace(
+    ", CAST(position AS INTEGER) AS position", ""))
+def j3_similarity_join_rows(spark, sf_dir):
+    hits = R.similar(vectors(spark, sf_dir), _row_questions(spark, sf_dir), threshold=0.25)
+    return hits.select("query_id", "hit_id", F.round("score", 6).alias("score"))
+
+
 @query("a13_collection_info", """
 SELECT CAST(label AS VARCHAR) AS category, count(*) AS points_count, CAST(max(len(embedding)) AS INTEGER) AS vector_size
 FROM embeddings GROUP BY 1""")

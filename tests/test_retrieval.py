@@ -86,6 +86,25 @@ def test_search_with_criteria(collection):
     assert [h.hit_id for h in sorted(hits, key=lambda h: h.position)] == brute(collection, [5], 9, 0.2, {"0", "1"})[5]
 
 
+@pytest.mark.parametrize("length", [7, 10_000])
+def test_blocks_follow_the_number_of_queries(spark, collection, monkeypatch, length):
+    """Every row asks; blocks of a few queries and Arrow batches of a few rows give the same as brute force."""
+    monkeypatch.setattr(R, "QUERIES_PER_BLOCK", length)
+    ids = list(range(120)) + [200, 201, 202]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        hits = R.search(collection, asked(collection, ids), k=4, threshold=0.1).collect()
+        similar = R.similar(collection, asked(collection, ids), threshold=0.1)
+        pairs = similar.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert f"sequence(0, {-(-123 // length) - 1}," in similar._jdf.queryExecution().analyzed().toString()
+    got = {q: [h.hit_id for h in sorted(hits, key=lambda h: h.position) if h.query_id == q] for q in ids}
+    assert got == brute(collection, ids, 4, 0.1)
+    whole = brute(collection, ids, 1000, 0.1)
+    assert sorted((h.query_id, h.hit_id) for h in pairs) == sorted((q, i) for q in ids for i in whole[q])
+
+
 def test_search_without_queries(collection):
     assert R.search(collection, asked(collection, [-1])).count() == 0
 
