@@ -3,8 +3,9 @@
 The base kinds always stay: assignments to names such as ``password``, access keys, and long runs of hexadecimal digits.
 Beyond them, long runs of key characters are candidates. A window slides over each; its entropy is kept up by adjusting
 the counts of the character that enters and of the one that leaves. The highest entropy of a window decides, by the
-candidate's class of characters, unless an allow-list knows the string or a base span covers it. All of it is column
-expressions.
+candidate's class of characters, unless an allow-list knows the string. Base spans, and parts between separators that hold
+a word of the allow-list, are cut out of a run first; what is left on either side is a candidate if it is long enough. All
+of it is column expressions.
 
 NULL and empty texts have no spans. Rows without a ``doc_id`` and repeated rows are treated like all others; further
 columns are ignored.
@@ -38,6 +39,10 @@ ALLOWED = [
     "^[A-Za-z]+$", "^[0-9_=+/-]+$", "^[A-Za-z]*(?:[/_=+-]+[A-Za-z]*)*[/_=+-]*[0-9]{0,4}$",
     "(?i)example|sample|placeholder|changeme|dummy|your_?key",
 ]
+#: The last of them are words, and count for the part of a run between separators that holds one.
+SHOWN = ALLOWED[-1]
+SHOWN_PART = f"(?i)(?<![A-Za-z0-9])[A-Za-z0-9]*?(?:{SHOWN.removeprefix('(?i)')})[A-Za-z0-9]*+"
+SEPARATORS = "/_=+-"
 
 
 def times(window: Column, c: Column) -> Column:
@@ -80,19 +85,56 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(assign, access, spans.matches(text, HEX, 2)))
 
 
+def blanked(value: Column, cuts: Column) -> Column:
+    """``value`` with blanks in the places of the sorted ``cuts``."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        begin, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        return F.struct(F.concat(acc["out"], F.substring(value, acc["at"] + 1, begin - acc["at"]),
+                                 F.repeat(F.lit(" "), (end - begin).cast("int"))).alias("out"), end.alias("at"))
+
+    return F.aggregate(cuts, start, step, lambda acc: F.concat(
+        acc["out"], F.substring(value, acc["at"] + 1, F.length(value).cast("long"))))
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """Long runs of key characters without the base spans and shown parts in them, and without separators at the cuts."""
+    def uncut(s: Column) -> Column:
+        size = F.length(s["value"]).cast("long")
+
+        def inside(b: Column) -> Column:
+            return F.struct(F.greatest(b["start"] - s["start"], F.lit(0)).alias("start"), b["kind"],
+                            F.least(b["end"] - s["start"], size).alias("end"), b["value"])
+
+        def piece(p: Column) -> Column:
+            left = F.when(p["start"] > 0, F.ltrim(p["value"], F.lit(SEPARATORS))).otherwise(p["value"])
+            both = F.when(p["end"] < size, F.rtrim(left, F.lit(SEPARATORS))).otherwise(left)
+            start = s["start"] + p["start"] + F.length(p["value"]) - F.length(left)
+            return F.struct(start.alias("start"), p["kind"], (start + F.length(both)).alias("end"), both.alias("value"))
+
+        covering = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        shown = spans.matches(s["value"], SHOWN_PART, 3, s["value"].rlike(SHOWN))
+        cuts = F.sort_array(F.concat(F.transform(covering, inside).cast(spans.SPAN), shown))
+        return spans.let(cuts, lambda c: F.when(F.size(c) == 0, F.array(s)).otherwise(
+            F.transform(spans.matches(blanked(s["value"], c), CANDIDATE, 3), piece).cast(spans.SPAN)))
+
+    pieces = F.flatten(F.transform(spans.matches(text, CANDIDATE, 3), uncut))
+    return F.filter(pieces, lambda s: F.length(s["value"]) >= WINDOW)
+
+
 def random_strings(text: Column, base: Column) -> Column:
-    """Candidates outside the base spans that are not allowed and have a window of enough entropy."""
+    """Candidates that are not allowed and have a window of enough entropy."""
     def suspicious(s: Column) -> Column:
         allowed = F.lit(False)
-        for pattern in ALLOWED:
+        for pattern in ALLOWED[:-1]:
             allowed = allowed | s["value"].rlike(pattern)
         least = F.lit(None).cast("double")
         for pattern, bits in reversed(CLASSES):
             least = F.when(s["value"].rlike(pattern), bits).otherwise(least)
-        covered = F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.when(covered | allowed, F.lit(False)).otherwise(top_entropy(s["value"]) >= least)
+        return F.when(allowed, F.lit(False)).otherwise(top_entropy(s["value"]) >= least)
 
-    return F.filter(spans.matches(text, CANDIDATE, 3), suspicious)
+    return F.filter(candidates(text, base), suspicious)
 
 
 def secrets(documents: DataFrame) -> DataFrame:
