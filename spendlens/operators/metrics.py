@@ -15,6 +15,9 @@ from spendlens.functions import columns as C
 # Upper bounds of the latency histogram in seconds; one more bucket is open-ended.
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
 
+# Evaluations are numbered in pieces of so many steps: a day of minutes.
+STEPS_PER_PIECE = 1_440
+
 
 def _minute(ts: str) -> Column:
     return F.date_trunc("minute", F.col(ts))
@@ -39,16 +42,23 @@ def held(evaluations: DataFrame, condition: Column, hold_minutes: int, value: Co
          step_minutes: int = 1) -> DataFrame:
     """Episodes in which a condition was true at consecutive evaluations for at least ``hold_minutes``.
 
-    Gives ``pending_since``, ``firing_since``, ``last_true`` and the highest ``peak`` value. Without keys there is
-    one series, whose length is the number of evaluation times.
+    Gives ``pending_since``, ``firing_since``, ``last_true`` and the highest ``peak`` value. Evaluations are numbered per
+    series and piece of time; only episodes that touch the border of a piece, at most two of each, meet in one window.
     """
-    series = [F.col(k) for k in keys] or [F.lit("all")]
     step = F.floor(F.col("evaluated_at").cast("long") / (60 * step_minutes))
-    true = evaluations.filter(condition).withColumn("_peak", value)
-    island = step - F.row_number().over(Window.partitionBy(*series).orderBy("evaluated_at"))
-    episodes = true.withColumn("_island", island).groupBy(*keys, "_island").agg(
+    piece = F.floor(F.col("_step") / STEPS_PER_PIECE)
+    true = evaluations.filter(condition).withColumn("_peak", value).withColumn("_step", step).withColumn("_piece", piece)
+    island = F.col("_step") - F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy("evaluated_at"))
+    parts = true.withColumn("_island", island).groupBy(*keys, "_piece", "_island").agg(
         F.min("evaluated_at").alias("pending_since"), F.max("evaluated_at").alias("last_true"),
-        F.max("_peak").alias("peak"))
+        F.max("_peak").alias("peak"), F.min("_step").alias("_from"), F.max("_step").alias("_to"))
+    at_border = (F.col("_from") % STEPS_PER_PIECE == 0) | (F.col("_to") % STEPS_PER_PIECE == STEPS_PER_PIECE - 1)
+    in_order = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit("all")]).orderBy("_from")
+    opens = F.coalesce((F.col("_from") - F.lag("_to").over(in_order) > 1).cast("int"), F.lit(0))
+    joined = parts.filter(at_border).withColumn("_opens", opens).withColumn("_whole", F.sum("_opens").over(in_order)).groupBy(
+        *keys, "_whole").agg(F.min("pending_since").alias("pending_since"), F.max("last_true").alias("last_true"),
+                             F.max("peak").alias("peak"))
+    episodes = parts.filter(~at_border).select(*joined.drop("_whole").columns).unionByName(joined.drop("_whole"))
     firing = F.col("pending_since") + F.expr(f"INTERVAL {hold_minutes} MINUTE")
     return (episodes.withColumn("firing_since", firing).filter(F.col("last_true") >= F.col("firing_since"))
             .select(*keys, "pending_since", "firing_since", "last_true", "peak"))

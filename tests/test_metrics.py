@@ -32,6 +32,22 @@ def test_hold_needs_consecutive_evaluations(spark):
     assert len(Q.held(series, F.col("v") > 5, 1, F.col("v")).collect()) == 2
 
 
+def test_episodes_across_days(spark):
+    """Evaluations are numbered per piece of time, and episodes that go on over its border are one."""
+    minutes = [*range(1430, 1445), *range(2000, 2010), *range(2878, 5765), *range(5770, 5780), 7199, 7201, 8639, 8640]
+    series = spark.createDataFrame([(k, START + dt.timedelta(minutes=m), m) for k in "ab" for m in minutes if k == "a" or m > 2005],
+                                   "k string, evaluated_at timestamp, v int")
+    def found(df, keys=()):
+        out = Q.held(df, F.col("v") > 0, 1, F.col("v"), keys)
+        return out, sorted((*[r[k] for k in keys], (r.pending_since - START).total_seconds() / 60,
+                            (r.last_true - START).total_seconds() / 60, r.peak) for r in out.collect())
+    whole = [(1430, 1444, 1444), (2000, 2009, 2009), (2878, 5764, 5764), (5770, 5779, 5779), (8639, 8640, 8640)]
+    out, got = found(series.filter("k = 'a'").drop("k"))
+    assert got == whole
+    assert "row_number() windowspecdefinition(_piece" in out._jdf.queryExecution().analyzed().toString()
+    assert found(series, ["k"])[1] == [("a", *w) for w in whole] + [("b", 2006, 2009, 2009)] + [("b", *w) for w in whole[2:]]
+
+
 def test_error_share(spark):
     df = requests(spark, [(0, 500, 0.1), (1, 200, 0.1), (2, 503, 0.1), (3, 404, 0.1)])
     assert {r.share for r in Q.error_share(df).collect()} == {0.5}
