@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from spendlens.operators import metrics as Q
 from spendlens.plans.registry import query
@@ -107,16 +107,29 @@ def q3_p95_approximate(spark, sf_dir):
 SELECT endpoint, CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS window_start, count(*) AS events, TRUE AS close
 FROM requests GROUP BY 1, 2"""))
 def q3_p95_approximate_error(spark, sf_dir):
-    """The sketch gives a value between the exact quantiles a hundredth below and above."""
+    sketch = Q.approximate_quantile(requests(spark, sf_dir), duration="1 day", keys=["endpoint"])
+    return _compared(sketch, requests(spark, sf_dir)).select(
+        "endpoint", epoch("window_start").alias("window_start"), "events", "close")
+
+
+def _compared(sketch, rows, q=0.95, few=100):
+    """The sketch with ``close``: its value lies between the exact quantiles a hundredth below and above, or in a group of
+    few rows between the two values around the rank."""
     keys = ["endpoint", "window_start", "window_end"]
-    out = Q.approximate_quantile(requests(spark, sf_dir), duration="1 day", keys=["endpoint"])
-    for name, q in (("low", 0.94), ("high", 0.96)):
-        exact = Q.exact_quantile(requests(spark, sf_dir), q, duration="1 day", keys=["endpoint"])
+    out = sketch
+    for name, at in (("low", q - 0.01), ("high", q + 0.01)):
+        exact = Q.exact_quantile(rows, at, duration="1 day", keys=["endpoint"])
         out = out.join(exact.select(*keys, F.col("quantile").alias(name)), keys)
-    # A rank of few values is a value, while the exact quantile lies between two.
-    few = F.col("events") < 100
-    return out.select("endpoint", epoch("window_start").alias("window_start"), "events",
-                      (few | F.col("quantile").between(F.col("low"), F.col("high"))).alias("close"))
+    window, rank = F.window("ts", "1 day").alias("w"), (F.col("events") - 1) * q
+    small = rows.filter("duration_s IS NOT NULL").select("endpoint", window, "duration_s").select(
+        "endpoint", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "duration_s").join(
+        sketch.filter(F.col("events") < few).select(*keys, "events"), keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("duration_s")) - 1
+    around = small.withColumn("place", place).groupBy(*keys).agg(
+        F.min(F.when(F.col("place") == F.floor(rank), F.col("duration_s"))).alias("below"),
+        F.min(F.when(F.col("place") == F.ceil(rank), F.col("duration_s"))).alias("above"))
+    return out.join(around, keys, "left").withColumn(
+        "close", F.col("quantile").between(F.coalesce("below", "low"), F.coalesce("above", "high")))
 
 
 ERROR_SQL = """, share AS (

@@ -8,6 +8,7 @@ from helpers import START, frame, tx
 from pyspark.sql import functions as F
 
 from spendlens.operators import metrics as Q
+from spendlens.plans.monitoring import _compared
 
 
 def requests(spark, rows):
@@ -73,6 +74,17 @@ def test_exact_quantile_of_any_numbers(spark):
         assert abs(Q.exact_quantile(df, q).first().quantile - float(np.quantile(values, q))) < 1e-9
 
 
+def test_sketches_of_small_groups_are_compared(spark):
+    """A group of few values passes with the value at the rank and with no other one."""
+    values = {n: [float(v) for v in range(n)] for n in (1, 2, 19, 20, 21, 40, 41, 61, 99, 300)}
+    df = spark.createDataFrame([(START, f"e{n}", 200, v) for n, vs in values.items() for v in vs],
+                               "ts timestamp, endpoint string, status_code int, duration_s double")
+    sketch = Q.approximate_quantile(df, duration="1 day", keys=["endpoint"])
+    assert {r.close for r in _compared(sketch, df).collect()} == {True}
+    wrong = sketch.withColumn("quantile", F.col("quantile") - F.greatest(F.lit(2), F.col("events") / 20))
+    assert {r.close for r in _compared(wrong, df).collect()} == {False}
+
+
 def test_silent_sources(spark):
     df = spark.createDataFrame([("a", START), ("b", START + dt.timedelta(minutes=5))], "source string, ts timestamp")
     assert [r.source for r in Q.silent_sources(df, START + dt.timedelta(minutes=5)).collect()] == ["a"]

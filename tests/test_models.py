@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spendlens import sources
 from spendlens.operators import anomaly, fraud
+from spendlens.plans import QUERIES
 from spendlens.streaming import jobs
 from spendlens.streaming.fraud_state import predict_streaming
 from spendlens import domain
@@ -95,6 +96,20 @@ def test_rows_without_user_or_time_are_scored(spark, labelled, model, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count() == 46
 
 
+@pytest.mark.parametrize("name", ["m8_score_invariants", "p10_predicted_frauds"])
+def test_checks_use_the_production_forest(spark, sf_dir, monkeypatch, name):
+    settings = []
+
+    def train(tx, **kwargs):
+        settings.append(kwargs)
+        raise InterruptedError
+
+    monkeypatch.setattr(fraud, "train_fraud_model", train)
+    with pytest.raises(InterruptedError):
+        QUERIES[name](spark, sf_dir)
+    assert settings == [{}]
+
+
 def test_training_label_from_status(spark, labelled, tmp_path):
     labelled.write.parquet(str(tmp_path / "t"))
     df = sources.read_training_data(spark, str(tmp_path / "t"))
