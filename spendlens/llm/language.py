@@ -2,8 +2,8 @@
 
 The language family is predicted first, then the language within it; both by linear support vector machines, one for
 each pair of classes, that vote. Features are the shares of hashed runs of one to three letters of the lower-cased text.
-The machines are fitted by Spark on a bounded sample: at most ``max_training_rows`` labelled documents, spread evenly
-over at most ``max_languages`` languages. A prediction looks at the whole text and at nothing else.
+The machines are fitted by Spark on a bounded sample: about ``max_training_rows`` labelled documents, spread evenly over
+all languages; each language in the sample has its machines. A prediction looks at the whole text and at nothing else.
 
 NULL texts and texts without a letter are ``und`` with score 0. Without any labelled document everything is ``und``.
 With one language every text with a letter has it. Rows without a ``doc_id`` are not held out. Further columns are ignored.
@@ -101,17 +101,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(documents: DataFrame, max_rows: int, max_languages: int) -> DataFrame:
-    """lang and features of at most about ``max_rows`` labelled documents that are not held out."""
+def training_sample(documents: DataFrame, max_rows: int) -> DataFrame:
+    """lang and features of at most about ``max_rows`` labelled documents of all languages that are not held out."""
     labelled = columns(documents, "doc_id", "text", "lang").where(
         "text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    share = max_rows / max(1, len(counts))
+    counts = labelled.groupBy("lang").count().collect()
+    shares = [(row["lang"], max_rows / len(counts) / row["count"]) for row in counts]
+    wanted = F.broadcast(documents.sparkSession.createDataFrame(shares, "lang string, share double"))
     part = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) / 1_000_000
-    wanted = F.lit(False)
-    for row in counts:
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (part < share / row["count"]))
-    sample = labelled.where(wanted).select("lang", "text")
+    sample = labelled.join(wanted, "lang").where(part < F.col("share")).select("lang", "text")
 
     def make(batch: pa.RecordBatch) -> list:
         found = [(lang, x) for lang, t in zip(*(c.to_pylist() for c in batch.columns)) if (x := features(t)) is not None]
@@ -131,9 +129,9 @@ def fitted(rows: DataFrame, column: str, classes: list[str], iterations: int) ->
 
 
 def learn(documents: DataFrame, families: Mapping[str, str] = FAMILIES, max_training_rows: int = 3000,
-          max_languages: int = 100, iterations: int = 20) -> LanguageModel:
+          iterations: int = 20) -> LanguageModel:
     """Fits the machines on ``documents`` (doc_id, text, lang)."""
-    sample = stored(training_sample(documents, max_training_rows, max_languages).repartition(8), "languages")
+    sample = stored(training_sample(documents, max_training_rows).repartition(8), "languages")
     known = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     if not known:
         return LanguageModel(None, {})

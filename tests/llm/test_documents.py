@@ -146,6 +146,14 @@ def test_languages_are_separated_within_families(spark):
     assert language.identify(changed).collect() == found
 
 
+def test_every_language_is_sampled(spark):
+    rows = [(i, f"word{i % 130}", f"l{i % 130:03d}") for i in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.training_sample(docs, max_rows=3000).select("lang").distinct().count() == 130
+    few = language.training_sample(docs, max_rows=260).groupBy("lang").count().collect()
+    assert 100 < len(few) and 150 < sum(r["count"] for r in few) < 400
+
+
 def test_texts_without_letters_and_tables_without_labels(spark, odd):
     docs = documents(spark, [None, "", "12 !", "😀 \n", "½²", "word"])
     rows = {r.doc_id: r for r in language.identify(docs).collect()}
