@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm import language, neardup, packing, pii, rules
-from spendlens.llm.common import columns, table, work_dir
+from spendlens.llm.common import columns, stored, table, work_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,11 +36,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (80 % of the shingles or more), a row that repeats its id once."""
-    removed = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = columns(docs, *COLUMNS).join(removed, "doc_id", "left_anti").withColumn(
+    """One document of each group of near-duplicates (80 % of the shingles or more), rows of equal id and text once.
+
+    Of different texts under one id, one goes by that id and the others by ids of their own, above 2^62, for this stage.
+    """
+    rows = columns(docs, *COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    several = stored(rows.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low <> high").select("doc_id", "low"), "several")
+    own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2 ** 62 - 1)).bitwiseOR(F.lit(2 ** 62))
+    keyed = rows.join(several, "doc_id", "left").withColumn(
+        "key", F.when(F.col("text_hash") != F.col("low"), own).otherwise(F.col("doc_id")))
+    found = neardup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
+    removed = found.where("not kept").select(F.col("doc_id").alias("key")).distinct()
+    kept = keyed.join(removed, "key", "left_anti").withColumn(
         "unnamed", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return kept.dropDuplicates(["doc_id", "unnamed"]).select(*COLUMNS)
+    return kept.dropDuplicates(["key", "unnamed"]).select(*COLUMNS)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

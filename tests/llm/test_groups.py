@@ -170,6 +170,14 @@ def test_repeated_and_unnamed_rows_in_the_dedup_stage(spark, odd, sf_dir):
     assert sorted((r.doc_id for r in rows), key=str) == [1, 2, 3, 4, 5, 7, None]
 
 
+def test_different_texts_under_one_id_in_the_dedup_stage(spark, sf_dir):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    docs = documents(spark, [(3, a), (5, a), (5, b), (5, b), (6, c), (6, b + " end"), (None, a)]).select(*corpus_pipeline.COLUMNS)
+    rows = [(r.doc_id, r.text) for r in corpus_pipeline.first_of_group(spark, docs, sf_dir).collect()]
+    one_of_b = set(rows) - {(3, a), (6, c), (None, a)}
+    assert len(rows) == 4 and one_of_b in ({(5, b)}, {(6, b + " end")})
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sf_dir, name):
     from check import compare, duck
