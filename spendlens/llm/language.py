@@ -106,10 +106,10 @@ def training_sample(documents: DataFrame, max_rows: int) -> DataFrame:
     labelled = columns(documents, "doc_id", "text", "lang").where(
         "text is not null and lang is not null").where(~held_out(F.col("doc_id")))
     counts = labelled.groupBy("lang").count().collect()
-    shares = [(row["lang"], max_rows / len(counts) / row["count"]) for row in counts]
-    wanted = F.broadcast(documents.sparkSession.createDataFrame(shares, "lang string, share double"))
+    shares = [F.lit(x) for row in counts for x in (row["lang"], max_rows / len(counts) / row["count"])]
+    wanted = F.create_map(*shares)[F.col("lang")] if shares else F.lit(0.0)
     part = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) / 1_000_000
-    sample = labelled.join(wanted, "lang").where(part < F.col("share")).select("lang", "text")
+    sample = labelled.where(part < wanted).select("lang", "text")
 
     def make(batch: pa.RecordBatch) -> list:
         found = [(lang, x) for lang, t in zip(*(c.to_pylist() for c in batch.columns)) if (x := features(t)) is not None]
