@@ -45,6 +45,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables in the shared folder for the time of one job; on leaving, all but those named by ``keep`` are deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.kept = spark, f"{work_dir(spark)}/llm-{name}-{uuid.uuid4().hex}", set()
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        for name in (*self.tables, ) if self.kept else ("",):
+            if name not in self.kept:
+                self.drop(name)
+
+    @property
+    def tables(self) -> list[str]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+
+    def stored(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        """``df`` written and read again; ``keep`` for what a lazy result still reads after the job."""
+        df.write.parquet(f"{self.root}/{name}")
+        if keep:
+            self.kept.add(name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, name: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], list | pa.RecordBatch], schema: str) -> DataFrame:
     """``make`` turns each Arrow batch into the columns of ``schema``, in order."""
     spark = df.sparkSession

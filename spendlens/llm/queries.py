@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import bpe, chat, fingerprint, language, neardup, packing, pii, rules, secret_scan, sql, token_count
+from spendlens.llm import (bpe, chat, fingerprint, language, lexical, neardup, packing, pii, resampling, rules, secret_scan, sql,
+                           token_count, url_rules)
 from spendlens.llm.common import table
 
 
@@ -50,12 +51,26 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_phrase_fingerprints, op3_language_id, op4_personal_data, op5_secrets, op6_chat_format,
-        op7_token_counts, op8_near_duplicates, op9_packing, op10_bpe_round_trip)}
+        op7_token_counts, op8_near_duplicates, op9_packing, op10_bpe_round_trip, op11_url_filters, op12_importance_resampling,
+        op13_lexical_search)}
 #: The others are learned, hashed or tokenized, which SQL does not express; tests hold them against brute force.
 ORACLE: dict[str, str] = {
     "op4_personal_data": sql.PERSONAL_DATA, "op5_secrets": sql.SECRETS, "op6_chat_format": chat.SQL,
-    "op8_near_duplicates": sql.NEAR_DUPLICATES,
+    "op8_near_duplicates": sql.NEAR_DUPLICATES, "op11_url_filters": url_rules.SQL, "op12_importance_resampling": resampling.SQL,
+    "op13_lexical_search": lexical.SQL,
 }
