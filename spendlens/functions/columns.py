@@ -43,28 +43,42 @@ def zscore(value, mean, stddev) -> Column:
 
 #: Amounts are summed in whole units of this many per currency unit, so sums are exact in any order of addition.
 UNITS = 1_000_000
+#: Amounts from here on, infinite ones and NaN are unknown amounts: like NULL they are in no sum and in no count.
+AMOUNT_LIMIT = 1e12
+WIDE = "decimal(38,0)"
+
+
+def usable(amount) -> Column:
+    """The amount, or NULL where it is no number that can be summed exactly."""
+    return F.when(F.abs(_col(amount)) < AMOUNT_LIMIT, _col(amount))
 
 
 def units(amount) -> Column:
-    return F.round(_col(amount) * UNITS).cast("decimal(20,0)")
+    return F.round(usable(amount) * UNITS).cast("decimal(20,0)")
 
 
 def from_units(total) -> Column:
     return _col(total).cast("double") / UNITS
 
 
-def deviation_from_units(n, total, squares) -> Column:
+def deviation_from_units(n, total, squares, rough_squares=None) -> Column:
     """Sample deviation of amounts from their exact sums in units; NULL for fewer than two.
 
     With m the whole part of the mean, the squared distances from m sum up to ``squares - 2 m total + n m m``, all whole
-    numbers, so nothing cancels; what m lacks of the mean is corrected by a small term.
+    numbers, so nothing cancels; what m lacks of the mean is corrected by a small term. Where a sum of squares has more
+    than 38 digits, it is NULL, and ``rough_squares``, a sum of doubles, takes its place if given.
     """
-    n, total, squares = _col(n).cast("decimal(20,0)"), _col(total).cast("decimal(38,0)"), _col(squares).cast("decimal(38,0)")
-    m = F.floor(F.try_divide(total.cast("double"), n.cast("double"))).cast("decimal(20,0)")
-    around = (squares - (2 * m).cast("decimal(38,0)") * total + n * (m * m).cast("decimal(38,0)")).cast("double")
-    rest = (total - n * m).cast("double")
-    variance = F.try_divide(around - F.try_divide(rest * rest, n.cast("double")), n.cast("double") - 1)
-    return F.when(n >= 2, F.sqrt(F.greatest(variance, F.lit(0.0))) / UNITS)
+    n, total, squares = _col(n).cast("decimal(20,0)"), _col(total).cast(WIDE), _col(squares).cast(WIDE)
+    mean = F.try_divide(total.cast("double"), n.cast("double"))
+    m = F.floor(mean).try_cast("decimal(20,0)")
+    moved = F.try_subtract(squares, F.try_multiply((2 * m).cast(WIDE), total))
+    around = F.try_add(moved, F.try_multiply(n, F.try_multiply(m, m))).cast("double")
+    rest = F.try_subtract(total, F.try_multiply(n, m)).cast("double")
+    distances = around - F.try_divide(rest * rest, n.cast("double"))
+    if rough_squares is not None:
+        distances = F.coalesce(distances, _col(rough_squares) - n.cast("double") * mean * mean)
+    variance = F.try_divide(distances, n.cast("double") - 1)
+    return F.when((n >= 2) & variance.isNotNull(), F.sqrt(F.greatest(variance, F.lit(0.0))) / UNITS)
 
 
 def ratio_or_zero(numerator, denominator) -> Column:

@@ -14,7 +14,9 @@ A piece holds at most a few hundred thousand roll-up rows whatever the user does
 (user, second) or (user, block).
 
 Sums and sums of squares are kept in whole millionths, as decimals, so they are exact and do not depend on the order of
-addition. Rows without a user or a timestamp have no place on a timeline: they are set apart before any window and come
+addition. An amount of 1e12 or more, an infinite one and NaN are unknown amounts: they count as transactions, but like NULL
+they are in no sum, average or deviation, and have no z-score or ratio of their own. A sum of squares of more than 38 digits
+makes the deviation NULL. Rows without a user or a timestamp have no place on a timeline: they are set apart before any window and come
 back with NULL features.
 """
 
@@ -38,9 +40,9 @@ def _measures() -> dict[str, tuple[str, Column]]:
     """What a group of transactions is reduced to, and how two groups combine."""
     return {
         "n": ("sum", F.count("*")),
-        "m": ("sum", F.count("amount")),
+        "m": ("sum", F.count(C.usable("amount"))),
         "units": ("sum", F.sum(C.units("amount"))),
-        "squares": ("sum", F.sum(C.units("amount") * C.units("amount"))),
+        "squares": ("checked", F.try_sum(F.coalesce(F.try_multiply(C.units("amount"), C.units("amount")), F.lit(0)))),
         "last_sec": ("max", F.max(C.epoch_second())),
         "first_ts": ("min", F.min("timestamp")),
         "last_ts": ("max", F.max("timestamp")),
@@ -51,6 +53,16 @@ def _combine(kind: str, column) -> Column:
     return {"sum": F.sum, "min": F.min, "max": F.max}[kind](column)
 
 
+def _checked_sum(name: str, over) -> Column:
+    """Sum over a window of sums that are NULL where they have too many digits; 0 for an empty frame."""
+    rows = F.count(F.lit(1)).over(over)
+    return F.when(rows == 0, F.lit(0).cast(C.WIDE)).when(F.count(name).over(over) == rows, F.try_sum(name).over(over))
+
+
+def _combined_over(kind: str, name: str, over) -> Column:
+    return _checked_sum(name, over) if kind == "checked" else _combine(kind, name).over(over)
+
+
 def _piece(sec: Column, length: int) -> Column:
     return F.floor(sec / length)
 
@@ -121,15 +133,17 @@ def _add_before(seconds: DataFrame, pieces: DataFrame, names: Sequence[str]) ->
     inside = Window.partitionBy("user_id", "piece").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy("user_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     past = pieces.select("user_id", "piece",
-                         *[_combine(kind, name).over(across).alias(f"_past_{name}") for name, kind in kinds.items()])
+                         *[_combined_over(kind, name, across).alias(f"_past_{name}") for name, kind in kinds.items()])
     joined = seconds.withColumns({
-        f"_here_{name}": _combine(kind, name).over(inside) for name, kind in kinds.items()
+        f"_here_{name}": _combined_over(kind, name, inside) for name, kind in kinds.items()
     }).join(past, ["user_id", "piece"], "left")
 
     def combined(name: str, kind: str) -> Column:
         here, earlier = F.col(f"_here_{name}"), F.col(f"_past_{name}")
         if kind == "sum":
             return F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0))
+        if kind == "checked":
+            return F.try_add(here, earlier)
         return (F.greatest if kind == "max" else F.least)(here, earlier)
 
     return joined.withColumns({f"{name}_before": combined(name, kind) for name, kind in kinds.items()})
@@ -178,16 +192,17 @@ def velocity_metrics(tx: DataFrame) -> DataFrame:
     sums = second_features(placed(tx), SPEND_RANGES, ["units"], keep=["n"])
     aggregates, results = [F.sum("n").alias("n")], []
     for name, column in (("hourly", "units_1h"), ("daily", "units_24h")):
-        value, n = F.col(column).cast("decimal(20,0)"), F.col("n").cast("decimal(18,0)")
+        value, n = F.col(column).cast(C.WIDE), F.col("n").cast("decimal(18,0)")
         aggregates += [
             F.max(value).alias(f"max_{name}"),
-            F.sum((n * value).cast("decimal(28,0)")).alias(f"sum_{name}"),
-            F.sum((n * (value * value).cast("decimal(38,0)")).cast("decimal(38,0)")).alias(f"squares_{name}"),
+            F.try_sum(F.try_multiply(n, value)).alias(f"sum_{name}"),
+            F.try_sum(F.try_multiply(n, F.try_multiply(value, value))).alias(f"squares_{name}"),
+            F.sum(n.cast("double") * value.cast("double") * value.cast("double")).alias(f"rough_{name}"),
         ]
         results += [
             C.from_units(f"max_{name}").alias(f"max_{name}_spending"),
             (C.from_units(f"sum_{name}") / F.col("n")).alias(f"avg_{name}_spending"),
-            C.deviation_from_units("n", f"sum_{name}", f"squares_{name}").alias(f"std_{name}_spending"),
+            C.deviation_from_units("n", f"sum_{name}", f"squares_{name}", f"rough_{name}").alias(f"std_{name}_spending"),
         ]
     return sums.groupBy("user_id").agg(*aggregates).select("user_id", *results)
 
@@ -249,9 +264,9 @@ def behaviour_features(tx: DataFrame) -> DataFrame:
     first = F.row_number().over(_within_second("timestamp", "transaction_id")) == 1
     unit = C.units("amount")
     rows = _join_seconds(known, seconds).withColumns({
-        "_m": F.col("m_before") + F.count("amount").over(here),
+        "_m": F.col("m_before") + F.count(unit).over(here),
         "_total": F.col("units_before") + F.coalesce(F.sum(unit).over(here), F.lit(0)),
-        "_squares": F.col("squares_before") + F.coalesce(F.sum(unit * unit).over(here), F.lit(0)),
+        "_squares": F.try_add("squares_before", F.try_sum(F.coalesce(F.try_multiply(unit, unit), F.lit(0))).over(here)),
         "_first": first,
     })
     deviation = C.deviation_from_units("_m", "_total", "_squares")
@@ -259,11 +274,11 @@ def behaviour_features(tx: DataFrame) -> DataFrame:
     pause = F.when(F.col("_first"), F.col("sec") - F.col("last_sec_before")).otherwise(F.lit(0))
     features = rows.select(
         *tx.columns,
-        C.zscore("amount", F.try_divide(C.from_units("_total"), F.col("_m")), deviation).alias("amount_zscore"),
+        C.zscore(C.usable("amount"), F.try_divide(C.from_units("_total"), F.col("_m")), deviation).alias("amount_zscore"),
         pause.alias("time_since_last"),
         F.col("n_1h").alias("transactions_last_hour"),
         average_1h.alias("avg_amount_last_hour"),
-        F.try_divide(F.col("amount"), average_1h).alias("amount_ratio"),
+        F.try_divide(C.usable("amount"), average_1h).alias("amount_ratio"),
     )
     return _with_others(features, tx)
 

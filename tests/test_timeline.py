@@ -166,3 +166,47 @@ def test_daily_moving_average(spark):
     rows = [tx(d, "u", d + 1, d * 86_400) for d in range(9)]
     out = {str(r.day): r.moving_average for r in L.daily_moving_average(frame(spark, rows)).collect()}
     assert out["2024-01-01"] == 1.0 and out["2024-01-07"] == 4.0 and out["2024-01-09"] == 6.0
+
+
+# --- amounts of any size ----------------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def odd_amounts(spark):
+    """Two users: one with amounts that are no usable numbers, one with the largest usable ones."""
+    inf, nan = float("inf"), float("nan")
+    amounts = [1.0, nan, 3.0, 1e13, 1e15, inf, -inf, None, 5.0]
+    rows = [tx(f"a{i}", "a", v, 60 * i) for i, v in enumerate(amounts)]
+    return frame(spark, rows + [tx(f"b{i:03d}", "b", 9e11 + i % 2, i) for i in range(300)])
+
+
+def test_unusable_amounts_are_in_no_sum_and_no_count(odd_amounts):
+    got = {r.transaction_id: r for r in L.behaviour_features(odd_amounts).collect()}
+    assert [got[f"a{i}"].avg_amount_last_hour for i in range(9)] == [1, 1, 2, 2, 2, 2, 2, 2, 3]
+    assert [got[f"a{i}"].transactions_last_hour for i in range(9)] == list(range(1, 10))
+    assert [got[f"a{i}"].amount_ratio for i in (1, 3, 4, 5, 6, 7)] == [None] * 6 and got["a8"].amount_ratio == 5 / 3
+    assert [got[f"a{i}"].amount_zscore for i in (0, 1, 3, 4, 5, 6, 7)] == [None] * 7
+    assert close(got["a2"].amount_zscore, 1 / 2 ** 0.5) and close(got["a8"].amount_zscore, 1.0)
+    trailing = keyed(L.trailing_spend(odd_amounts), "hourly_spending", "daily_spending")
+    assert [trailing[f"a{i}"] for i in range(9)] == [(1, 1), (1, 1), *[(4, 4)] * 6, (9, 9)]
+    sessions = {r.user_id: (r.session_transaction_count, r.session_total_amount) for r in L.sessions(odd_amounts).collect()}
+    assert sessions["a"] == (9, 9.0)
+
+
+def test_large_amounts_end_no_job(odd_amounts):
+    """Squares of more than 38 digits make a running deviation unknown; sums stay exact."""
+    got = {r.transaction_id: r for r in L.behaviour_features(odd_amounts).collect()}
+    assert close(got["b001"].amount_zscore, 1 / 2 ** 0.5, 3) and got["b299"].amount_zscore is None
+    assert got["b299"].avg_amount_last_hour == 9e11 + 0.5
+    velocity = {r.user_id: r for r in L.velocity_metrics(odd_amounts).collect()}
+    sums = [sum(9e11 + j % 2 for j in range(i + 1)) for i in range(300)]
+    assert velocity["b"].max_hourly_spending == sums[-1] and close(velocity["b"].avg_hourly_spending, statistics.fmean(sums))
+    assert close(velocity["b"].std_hourly_spending, statistics.stdev(sums), 6)
+    trailing = keyed(L.trailing_spend(odd_amounts), "hourly_spending")
+    assert trailing["b299"] == (sums[-1],)
+
+
+def test_unknown_amounts_only(spark):
+    df = frame(spark, [tx(1, "u", None, 0), tx(2, "u", float("nan"), 1)])
+    row = L.velocity_metrics(df).first()
+    assert (row.max_hourly_spending, row.std_daily_spending) == (None, None)
+    assert {r.amount_zscore for r in L.behaviour_features(df).collect()} == {None}
