@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from spendlens import sinks
 from spendlens.operators import aggregates as A, fraud
-from spendlens.plans import detection, spending
+from spendlens.plans import detection, monitoring, spending  # noqa: F401 (their SQL is in ORACLE)
 from spendlens.plans.registry import ORACLE, query
-from spendlens.plans.tables import AS_OF, as_transactions, epoch, table, transactions, with_tx
+from spendlens.plans.tables import AS_OF, as_requests, as_transactions, epoch, table, transactions, with_tx
 from spendlens.session import shared_dir
 from spendlens.sources import decode_json, read_stream
-from spendlens.streaming import jobs
+from spendlens.streaming import jobs, ordered
 from spendlens.streaming.fraud_state import read_live, write_features
 
 
@@ -24,12 +24,13 @@ from spendlens.streaming.fraud_state import read_live, write_features
 HEARTBEAT = "heartbeat"
 
 
-def event_stream(spark, sf_dir, heartbeats=None, files=64):
+def event_stream(spark, sf_dir, heartbeats=None, files=64, *, of=as_transactions):
     """The table as a stream of at most ``files`` files per micro-batch, with the heartbeat rows of another folder."""
     schema = table(spark, sf_dir, "events").schema
     path = f"{sf_dir}/events.parque[t]"  # as a pattern, because a stream cannot start at a single file otherwise
-    tx = as_transactions(read_stream(spark, "parquet", schema, path, maxFilesPerTrigger=files))
-    return tx if heartbeats is None else tx.unionByName(read_stream(spark, "parquet", tx.schema, heartbeats))
+    rows = of(read_stream(spark, "parquet", schema, path, maxFilesPerTrigger=files))
+    return rows if heartbeats is None else rows.unionByName(
+        read_stream(spark, "parquet", rows.schema, heartbeats, maxFilesPerTrigger=1))
 
 
 def _times(spark, sf_dir):
@@ -37,10 +38,13 @@ def _times(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
 
 
+def _span(first, last):
+    return f"{int((last - first).total_seconds()) + 60} seconds" if last else "1 minute"
+
+
 def lateness(spark, sf_dir):
     """A delay that no event of the table exceeds, in whatever order the files come."""
-    first, last = _times(spark, sf_dir)
-    return f"{int((last - first).total_seconds()) + 60} seconds" if last else "1 minute"
+    return _span(*_times(spark, sf_dir))
 
 
 def _run(spark, queries):
@@ -55,20 +59,24 @@ def _drain(spark, start):
     return f"{root}/out"
 
 
-def _drain_and_close(spark, sf_dir, start):
-    """The same, and then once more with a heartbeat far behind the last event. ``start`` also gets the stream."""
-    root, late = shared_dir(spark, "live"), lateness(spark, sf_dir)
-    folder = f"{root}/heartbeats"
-    schema = as_transactions(table(spark, sf_dir, "events")).schema
-    spark.createDataFrame([], schema).write.parquet(folder)
-    last = _times(spark, sf_dir)[1]
-    for rows in ([], [last]):
-        if rows and last is not None:
-            at = F.lit(last).cast("timestamp") + F.expr(f"INTERVAL {late}") + F.expr("INTERVAL 1 DAY")
-            row = spark.range(1).select(*[(at if f.name == "timestamp" else F.lit(HEARTBEAT) if f.name == "user_id"
-                                           else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-            row.write.mode("append").parquet(folder)
-        _run(spark, start(event_stream(spark, sf_dir, folder), late, f"{root}/out", f"{root}/checkpoint"))
+def _drain_and_close(spark, sf_dir, start, of=as_transactions, time="timestamp", mark="user_id"):
+    """The same, with a heartbeat far behind the last event. ``start`` also gets the stream and its lateness.
+
+    Heartbeat files are read one per micro-batch. All but the last are empty, and there are as many as micro-batches of
+    events, so the watermark moves when everything has been read, and one run does.
+    """
+    root, (first, last) = shared_dir(spark, "live"), _times(spark, sf_dir)
+    late, folder = _span(first, last), f"{root}/heartbeats"
+    events = of(table(spark, sf_dir, "events"))
+    nothing = spark.createDataFrame([], events.schema).coalesce(1)
+    for _ in range(-(-len(events.inputFiles()) // event_stream.__defaults__[1]) - (last is not None)):
+        nothing.write.mode("append").parquet(folder)
+    if last is not None:
+        at = F.lit(last).cast("timestamp") + F.expr(f"INTERVAL {late}") + F.expr("INTERVAL 1 DAY")
+        row = spark.range(1).coalesce(1).select(*[(at if f.name == time else F.lit(HEARTBEAT) if f.name == mark else F.lit(None))
+                                                  .cast(f.dataType).alias(f.name) for f in events.schema.fields])
+        row.write.mode("append").parquet(folder)
+    _run(spark, start(event_stream(spark, sf_dir, folder, of=of), late, f"{root}/out", f"{root}/checkpoint"))
     return f"{root}/out"
 
 
@@ -221,13 +229,36 @@ def x11_live_distinct(spark, sf_dir):
 SELECT transaction_id, round(avg10, 6) AS avg_last_10, round(std10, 6) AS std_last_10, n_hour AS count_last_hour
 FROM history"""))
 def x9_live_fraud_features(spark, sf_dir):
-    """Every micro-batch united with the stored history."""
+    """Rows wait in state until the watermark has passed them; each is written once."""
+    out = _drain_and_close(spark, sf_dir, lambda tx, late, path, checkpoint: jobs.write_append(
+        ordered.ordered_features(tx, late), "features", path, checkpoint, True))
+    return spark.read.parquet(out).select(
+        "transaction_id", F.round("avg_last_10", 6).alias("avg_last_10"), F.round("std_last_10", 6).alias("std_last_10"),
+        "count_last_hour")
+
+
+@query("x9_live_fraud_versions", ORACLE["x9_live_fraud_features"])
+def x9_live_fraud_versions(spark, sf_dir):
+    """The form without delay: every micro-batch united with the stored history, older rows corrected by versions."""
     out = _drain(spark, lambda path, checkpoint: write_features(event_stream(spark, sf_dir), path, checkpoint, True))
     return read_live(spark, f"{out}/features").select(
         "transaction_id", F.round("avg_last_10", 6).alias("avg_last_10"), F.round("std_last_10", 6).alias("std_last_10"),
         "count_last_hour")
 
 
+@query("q9_live_hold", ORACLE["q9_hold_per_endpoint"])
+def q9_live_hold(spark, sf_dir):
+    """The rule as a live state machine; episodes that were resolved."""
+    def start(events, late, path, checkpoint):
+        series = ordered.live_sliding(events, {"events": F.count("*")}, 30, ["endpoint"], "ts", late)
+        changes = ordered.live_hold(series, F.col("events") >= 4, 10, F.col("events"), ["endpoint"])
+        return jobs.write_append(changes, "held", path, checkpoint, True)
+
+    out = _drain_and_close(spark, sf_dir, start, as_requests, "ts", "endpoint")
+    return spark.read.parquet(out).filter("state = 'resolved'").select(
+        "endpoint", *[epoch(c).alias(c) for c in ("pending_since", "firing_since", "last_true")], F.col("peak").cast("long").alias("peak"))
+
+
 @query("x9_live_fraud_scores")
 def x9_live_fraud_scores(spark, sf_dir):
     """Train on the table, then score the same transactions as a stream."""

@@ -153,7 +153,11 @@ def with_positions(sql: str) -> str:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return as_requests(table(spark, sf_dir, "events"))
+
+
+def as_requests(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("endpoint"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
         (F.col("value") / 100).alias("duration_s"))

@@ -53,7 +53,7 @@ def _history(amounts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, deviation
 
 
-def _featured(rows: pd.DataFrame, amounts: list, seconds: list, counts: list):
+def featured(rows: pd.DataFrame, amounts: list, seconds: list, counts: list):
     """Features of time-ordered rows and the state after them."""
     known = np.asarray(amounts, dtype=float)
     mean, deviation = _history(np.concatenate([known, rows["amount"].to_numpy(dtype=float)]), len(rows))
@@ -80,7 +80,7 @@ def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     # Rows come in no order and in pieces of Arrow batch size, so nothing can be featured before the last piece.
     rows = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp", "transaction_id"])
     if len(rows):
-        out, amounts, seconds, counts = _featured(rows, list(amounts), list(seconds), list(counts))
+        out, amounts, seconds, counts = featured(rows, list(amounts), list(seconds), list(counts))
         yield out[[f.name for f in FEATURES.fields]]
     state.update((amounts, seconds, counts))
     if seconds:
