@@ -1,13 +1,14 @@
 """Secrets (operator 5): known formats, and strings that are too random to be words.
 
 The base kinds always stay: assignments to names such as ``password``, access keys, and long runs of hexadecimal digits.
-Beyond them, long runs of key characters are candidates. A window slides over each; its entropy is kept up by adjusting
-the counts of the character that enters and of the one that leaves. The highest entropy of a window decides, by the
+Beyond them, long runs of key characters are candidates. A window slides over each and carries the counts of its characters;
+its entropy is kept up by adjusting the counts of the character that enters and of the one that leaves. The highest entropy of a window decides, by the
 candidate's class of characters, unless an allow-list knows the string. Base spans, and parts between separators that hold
 a word of the allow-list, are cut out of a run first; what is left on either side is a candidate if it is long enough. All
 of it is column expressions.
 
-NULL and empty texts have no spans. Rows without a ``doc_id`` and repeated rows are treated like all others; further
+NULL and empty texts have no spans, an empty table gives an empty result. Texts and runs of any length are scanned whole, in
+linear time and without recursion. Rows without a ``doc_id`` and repeated rows are treated like all others; further
 columns are ignored.
 """
 
@@ -36,7 +37,7 @@ CLASSES = [("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z0-9]+$", 3.7), ("^[A-Za-z0-9+/_=-]
 #: Strings that look random and are none, or are made to be shown.
 ALLOWED = [
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "^[A-Za-z]+$", "^[0-9_=+/-]+$", "^[A-Za-z]*(?:[/_=+-]+[A-Za-z]*)*[/_=+-]*[0-9]{0,4}$",
+    "^[0-9_=+/-]+$", "^[A-Za-z/_=+-]*[0-9]{0,4}$",
     "(?i)example|sample|placeholder|changeme|dummy|your_?key",
 ]
 #: The last of them are words, and count for the part of a run between separators that holds one.
@@ -45,36 +46,37 @@ SHOWN_PART = f"(?i)(?<![A-Za-z0-9])[A-Za-z0-9]*?(?:{SHOWN.removeprefix('(?i)')})
 SEPARATORS = "/_=+-"
 
 
-def times(window: Column, c: Column) -> Column:
-    """How often a character occurs in a window."""
-    return F.length(window) - F.length(F.replace(window, c, F.lit("")))
-
-
 def top_entropy(value: Column) -> Column:
     """The highest entropy of a window of ``WINDOW`` characters.
 
-    With S the sum of n log2 n over the counts n of a window's characters, its entropy is log2 W - S / W. Only the counts
-    of the character that enters and of the one that leaves change.
+    The window carries how often it holds each character of the string. With S the sum of n log2 n over these counts, its
+    entropy is log2 W - S / W; S changes only by the counts of the character that enters and of the one that leaves.
     """
-    weight = F.array(*[F.lit(n * log2(n) if n else 0.0) for n in range(WINDOW + 2)])
-    empty = F.struct(F.lit("").alias("window"), F.lit(0.0).alias("s"), F.lit(0.0).alias("top"))
+    weight = F.array(*[F.lit(n * log2(n) if n else 0.0) for n in range(WINDOW + 1)])
+
+    def slide(codes: Column, letters: Column) -> Column:
+        zero = F.struct(F.transform(letters, lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("top"))
+
+        def change(n: Column, by: int) -> Column:
+            return F.get(weight, n + by) - F.get(weight, n)
 
-    def change(window: Column, c: Column, by: int) -> Column:
-        return spans.let(times(window, c), lambda n: F.get(weight, n + by) - F.get(weight, n))
+        def step(acc: Column, i: Column) -> Column:
+            enters, leaves = F.get(codes, i), F.coalesce(F.get(codes, i - WINDOW), F.lit(-1))
+            counts = F.transform(acc["counts"], lambda n, k: F.when(enters == leaves, n).when(k == enters, n + 1).when(
+                k == leaves, n - 1).otherwise(n))
+            moved = F.when(enters == leaves, acc["s"]).otherwise(
+                acc["s"] + change(F.get(acc["counts"], enters), 1)
+                + F.when(leaves >= 0, change(F.get(acc["counts"], leaves), -1)).otherwise(0.0))
+            return spans.let(moved, lambda s: F.struct(counts.alias("counts"), s.alias("s"), F.when(
+                i >= WINDOW - 1, F.greatest(acc["top"], log2(WINDOW) - s / WINDOW)).otherwise(acc["top"]).alias("top")))
 
-    def step(acc: Column, c: Column) -> Column:
-        def enter(x: Column) -> Column:
-            return F.struct(F.concat(x["rest"], c).alias("window"), (x["s"] + change(x["rest"], c, 1)).alias("s"), x["top"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda acc: acc["top"])
 
-        full = F.length(acc["window"]) == WINDOW
-        first = F.substring(acc["window"], 1, 1)
-        left = F.struct(
-            F.when(full, F.substring(acc["window"], 2, WINDOW)).otherwise(acc["window"]).alias("rest"),
-            F.when(full, acc["s"] + change(acc["window"], first, -1)).otherwise(acc["s"]).alias("s"), acc["top"].alias("top"))
-        return spans.let(spans.let(left, enter), lambda x: F.struct(x["window"], x["s"], F.when(
-            F.length(x["window"]) == WINDOW, F.greatest(x["top"], log2(WINDOW) - x["s"] / WINDOW)).otherwise(x["top"]).alias("top")))
+    def coded(letters: Column) -> Column:
+        chars = F.filter(F.split(value, ""), lambda c: c != "")
+        return spans.let(F.transform(chars, lambda c: (F.array_position(letters, c) - 1).cast("int")), lambda codes: slide(codes, letters))
 
-    return F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), empty, step, lambda acc: acc["top"])
+    return spans.let(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")), coded)
 
 
 def base_spans(text: Column) -> Column:

@@ -30,14 +30,14 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def matches(kind: int, pattern: str) -> str:
-    """doc_id, kind, start, value of the matches of a pattern in ``texts``."""
+def matches(kind: int, pattern: str, kept: str = "doc_id", source: str = "texts") -> str:
+    """The columns ``kept`` and kind, start, value of the matches of a pattern in the texts of ``source``."""
     p = quoted(pattern)
     return f"""
-  SELECT doc_id, text, {kind} AS kind, found[k] AS value,
+  SELECT {kept}, text, {kind} AS kind, found[k] AS value,
          length(array_to_string(between_[1:k], '')) + length(array_to_string(found[1:k - 1], '')) AS start
   FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM (
-    SELECT doc_id, text, regexp_extract_all(text, {p}) AS found, string_split_regex(text, {p}) AS between_ FROM texts))"""
+    SELECT {kept}, text, regexp_extract_all(text, {p}) AS found, string_split_regex(text, {p}) AS between_ FROM {source}))"""
 
 
 def names(kinds: list[str]) -> str:
@@ -81,8 +81,10 @@ confirmed AS (
 good AS (SELECT doc_id, kind, value, start, score FROM confirmed WHERE kind < {pii.BASE} OR score >= {pii.THRESHOLD})""" + answer(
     pii.KINDS, pii.BASE, "coalesce(string_agg(score::VARCHAR, ',' ORDER BY start, kind), '') AS scores")
 
-ALLOWED = " OR ".join(f"regexp_matches(value, {quoted(p)})" for p in secret_scan.ALLOWED)
+ALLOWED = " OR ".join(f"regexp_matches(value, {quoted(p)})" for p in secret_scan.ALLOWED[:-1])
 LEAST_BITS = "CASE " + " ".join(f"WHEN regexp_matches(value, {quoted(p)}) THEN {bits}::DOUBLE" for p, bits in secret_scan.CLASSES) + " END"
+#: A part between separators that holds a word of the allow-list; matches begin leftmost, so at the part's first character.
+SHOWN = f"(?i)[A-Za-z0-9]*?(?:{secret_scan.SHOWN.removeprefix('(?i)')})[A-Za-z0-9]*"
 TOP_BITS = f"""list_max(list_transform(range(1, length(value) - {secret_scan.WINDOW - 2}),
   lambda i: list_entropy(string_split(substr(value, i, {secret_scan.WINDOW}), ''))))"""
 
@@ -91,9 +93,24 @@ SECRETS = TEXTS + ", proposed AS (" + " UNION ALL ".join(matches(k, p) for k, p
 base AS (SELECT doc_id, kind, value, start FROM proposed WHERE CASE kind
     WHEN 0 THEN length(regexp_extract(value, {quoted(secret_scan.ASSIGN)}, 1)) >= 8 WHEN 1 THEN length(value) >= 16
     WHEN 2 THEN TRUE ELSE FALSE END),
+runs AS (SELECT doc_id, start AS head, value AS text, row_number() OVER () AS run FROM proposed WHERE kind = 3),
+shown AS ({matches(3, SHOWN, "run, head", "runs")}),
+cuts AS (
+  SELECT run, head + start AS a, head + start + length(value) AS b FROM shown
+  UNION ALL SELECT run, start, start + length(value) FROM runs JOIN base USING (doc_id)),
+uncut AS (
+  SELECT doc_id, run, head, text, p, p - row_number() OVER (PARTITION BY run ORDER BY p) AS island
+  FROM (SELECT *, unnest(range(head, head + length(text))) AS p FROM runs) c
+  WHERE NOT EXISTS (SELECT 1 FROM cuts WHERE cuts.run = c.run AND a <= p AND p < b)),
+pieces AS (
+  SELECT doc_id, head, text, min(p) AS a, max(p) + 1 AS b FROM uncut GROUP BY doc_id, run, head, text, island
+  HAVING count(*) >= {secret_scan.WINDOW}),
+headless AS (
+  SELECT *, substr(text, a - head + 1, b - a) AS part, CASE WHEN a > head THEN ltrim(part, '{secret_scan.SEPARATORS}') ELSE part END AS tail
+  FROM pieces),
 random AS (
-  SELECT doc_id, kind, value, start FROM proposed p WHERE kind = 3 AND NOT ({ALLOWED}) AND {TOP_BITS} >= {LEAST_BITS}
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.start < p.start + length(p.value)
-                    AND p.start < b.start + length(b.value))),
+  SELECT doc_id, 3 AS kind, CASE WHEN b < head + length(text) THEN rtrim(tail, '{secret_scan.SEPARATORS}') ELSE tail END AS value,
+         a + length(part) - length(tail) AS start
+  FROM headless WHERE length(value) >= {secret_scan.WINDOW} AND NOT ({ALLOWED}) AND {TOP_BITS} >= {LEAST_BITS}),
 good AS (FROM base UNION ALL FROM random)""" + answer(
     secret_scan.KINDS, secret_scan.BASE, "count(*) FILTER (kind = 3) AS n_entropy")
