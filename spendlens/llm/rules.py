@@ -1,21 +1,25 @@
 """Quality rules: learned decision lists (operator 1).
 
-Sequential covering: a rule, a conjunction of thresholds on text statistics, is grown condition by condition on part of
-the labelled documents, pruned on the rest, and kept if it is precise enough there; the documents that it covers are set
-aside and the next rule is grown. The list is emitted as one ordered conditional expression of Spark.
+Sequential covering: for either verdict a rule, a conjunction of thresholds on text statistics, is grown condition by
+condition on part of the labelled documents, pruned on the rest, and kept if it is precise enough there. The more precise of
+the two joins the list, the documents that it covers are set aside, and the next rules are grown on what is left. The list
+is emitted as one ordered conditional expression of Spark: the first rule that holds decides, so a rule that keeps documents
+shields them from later ones that reject. Documents that no rule covers are kept.
 
 Statistics, and the verdict, are column expressions. Rules are learned from counts of labelled documents by statistic
-intervals, over at most ``max_labelled`` labelled documents (those with the smallest hashes of their id).
+intervals, over at most ``max_labelled`` different texts of labelled documents (those with the smallest hashes of id and
+text). Only their statistics are shuffled, never texts.
 
-NULL, empty and blank texts have no words and fail the base checks. A document whose labels contradict one another is not
-learned from; without usable labels the list is empty and the base checks alone decide. Rows without a ``doc_id`` are
-judged like all others, repeated rows alike. Further columns are ignored.
+NULL, empty and blank texts have no words and fail the base checks; texts of any length are measured whole. A document whose
+labels contradict one another is not learned from; without usable labels the list is empty and the base checks alone decide.
+Rows without a ``doc_id`` are judged like all others, repeated rows alike. An empty table gives an empty result. Further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from math import log2
 
@@ -104,32 +108,42 @@ class Condition:
         return value > self.threshold if self.above else value <= self.threshold
 
 
-Rule = tuple[Condition, ...]
+class Rule(tuple):
+    """Conditions that must all hold, and whether documents for which they do are rejected or kept."""
+
+    rejects = True
+
+    def __new__(cls, conditions: Iterable[Condition], rejects: bool = True) -> Rule:
+        rule = super().__new__(cls, conditions)
+        rule.rejects = rejects
+        return rule
 
 
 def rejects(rules: list[Rule]) -> Column:
-    """The decision list as an ordered conditional: true where one of the rules rejects a document."""
+    """The decision list as an ordered conditional: true where the first rule that holds rejects a document."""
     verdict = None
-    for rule in rules:
+    for rule in map(Rule, rules, [getattr(r, "rejects", True) for r in rules]):
         condition = rule[0].column()
         for further in rule[1:]:
             condition &= further.column()
-        verdict = F.when(condition, F.lit(True)) if verdict is None else verdict.when(condition, F.lit(True))
+        verdict = (F if verdict is None else verdict).when(condition, F.lit(rule.rejects))
     return F.lit(False) if verdict is None else verdict.otherwise(F.lit(False))
 
 
 def labelled_counts(documents: DataFrame, labels: DataFrame, max_labelled: int, steps: int) -> tuple[dict, list]:
     """Thresholds of each statistic, and (interval of each statistic, for pruning, bad, number) of labelled documents.
 
-    Only documents that pass the base checks count. There are at most ``max_labelled`` rows.
+    Only documents that pass the base checks count. Of all labels, the ``max_labelled`` with the smallest hashes of their
+    id are looked up; of the documents found, the ``max_labelled`` with the smallest hashes of id and text count, copies once.
     """
     marked = columns(labels, "doc_id", "quality").where("doc_id is not null and quality is not null") \
         .groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high") \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    known = columns(documents, "doc_id", "text").join(F.broadcast(marked.select("doc_id", "low")), "doc_id")
-    values = stored(measured(known, "doc_id", "low").where(~base_failed()).select(
-        (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("prune"), (F.col("low") == 0).alias("bad"),
-        *[statistic(s).alias(s) for s in STATISTICS]), "labelled")
+    known = columns(documents, "doc_id", "text").join(F.broadcast(marked.select("doc_id", "low")), "doc_id") \
+        .withColumn("order", F.xxhash64("doc_id", "text"))
+    values = stored(measured(known, "doc_id", "low", "order").where(~base_failed()).select(
+        "order", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("prune"), (F.col("low") == 0).alias("bad"),
+        *[statistic(s).alias(s) for s in STATISTICS]).distinct().orderBy("order").limit(max_labelled).drop("order"), "labelled")
     shares = [k / steps for k in range(1, steps)]
     found = values.agg(*[F.percentile_approx(s, shares, 10_000).alias(s) for s in STATISTICS]).first()
     thresholds = {}
@@ -156,48 +170,67 @@ def gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p else 0.0
 
 
+def grown(thresholds: dict, rows: list, max_conditions: int) -> tuple:
+    """The conjunction (statistic, above, threshold) that gains most on the bad rows, condition by condition."""
+    rule: tuple = ()
+    while len(rule) < max_conditions:
+        p0, n0 = tally(rows)
+        if not p0 or not n0:
+            break
+        best = (1e-9, 0, 0, None)  # gain, earlier statistic, stricter threshold, condition
+        for s, name in enumerate(STATISTICS):
+            by = Counter()
+            for at, _, bad, n in rows:
+                by[at[s], bad] += n
+            p = n = 0
+            for k in range(len(thresholds[name]) - 1, -1, -1):  # from the strictest threshold
+                p += by[k + 1, True]
+                n += by[k + 1, False]
+                for above, (pa, na) in ((True, (p, n)), (False, (p0 - p, n0 - n))):
+                    best = max(best, (gain(pa, na, p0, n0), -s, k if above else -k, (s, above, k)))
+        if best[3] is None:
+            break
+        rule += (best[3],)
+        rows = [r for r in rows if holds((best[3],), r[0])]
+    return rule
+
+
+def holds(rule: tuple, at: tuple) -> bool:
+    return all((at[s] > k) == above for s, above, k in rule)
+
+
+def pruned(rule: tuple, rows: list, min_precision: float, min_support: int) -> tuple[float, int, tuple] | None:
+    """How the best beginning of a rule does on the pruning rows: margin, minus its length, and itself."""
+    worth = []
+    for length in range(1, len(rule) + 1):
+        p, n = tally(rows, lambda at, cut=rule[:length]: holds(cut, at))
+        if p >= min_support and p >= min_precision * (p + n):
+            worth.append(((p - n) / (p + n), -length, rule[:length]))
+    return max(worth, default=None)
+
+
 def covering(thresholds: dict, rows: list, min_precision: float, min_support: int, max_rules: int,
              max_conditions: int) -> list[Rule]:
-    """Sequential covering: rules in the order in which they were found."""
-    names = list(STATISTICS)
+    """Sequential covering for both verdicts: rules in the order in which they were found, the last of them one that rejects."""
+    names, good = list(STATISTICS), [r for r in rows if not r[2]]
     rules: list[Rule] = []
-
-    def holds(rule: tuple, at: tuple) -> bool:
-        return all((at[s] > k) == above for s, above, k in rule)
-
     while len(rules) < max_rules:
-        growing, pruning = [r for r in rows if not r[1]], [r for r in rows if r[1]]
-        rule: tuple = ()
-        covered = growing
-        while len(rule) < max_conditions:
-            p0, n0 = tally(covered)
-            if not p0 or not n0:
-                break
-            best = (1e-9, 0, 0, None)  # gain, earlier statistic, stricter threshold, condition
-            for s, name in enumerate(names):
-                by = Counter()
-                for at, _, bad, n in covered:
-                    by[at[s], bad] += n
-                p = n = 0
-                for k in range(len(thresholds[name]) - 1, -1, -1):  # from the strictest threshold
-                    p += by[k + 1, True]
-                    n += by[k + 1, False]
-                    for above, (pa, na) in ((True, (p, n)), (False, (p0 - p, n0 - n))):
-                        best = max(best, (gain(pa, na, p0, n0), -s, k if above else -k, (s, above, k)))
-            if best[3] is None:
-                break
-            rule += (best[3],)
-            covered = [r for r in covered if holds((best[3],), r[0])]
-        worth = []
-        for length in range(1, len(rule) + 1):
-            p, n = tally(pruning, lambda at, cut=rule[:length]: holds(cut, at))
-            if p >= min_support and p >= min_precision * (p + n):
-                worth.append(((p - n) / (p + n), -length))
-        if not worth:
+        found = []
+        for rejecting in (True, False):
+            # What is left may be bad throughout; what sets it apart is then seen against all good documents.
+            against = good if rejecting and not tally(rows)[1] else []
+            turned = [(at, prune, bad == rejecting, n) for at, prune, bad, n in rows]
+            rule = grown(thresholds, [r for r in [*turned, *against] if not r[1]], max_conditions)
+            best = pruned(rule, [r for r in turned if r[1]], min_precision, min_support)
+            if best:
+                found.append((best[0], rejecting, best[2]))
+        if not found:
             break
-        rule = rule[:-max(worth)[1]]
-        rules.append(tuple(Condition(names[s], above, thresholds[names[s]][k]) for s, above, k in rule))
+        _, rejecting, rule = max(found, key=lambda f: f[:2])
+        rules.append(Rule((Condition(names[s], above, thresholds[names[s]][k]) for s, above, k in rule), rejecting))
         rows = [r for r in rows if not holds(rule, r[0])]
+    while rules and not rules[-1].rejects:
+        rules.pop()
     return rules
 
 
