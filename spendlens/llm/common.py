@@ -54,10 +54,10 @@ class Workspace:
     def __enter__(self) -> Workspace:
         return self
 
-    def __exit__(self, *failure: object) -> None:
-        for name in (*self.tables, ) if self.kept else ("",):
-            if name not in self.kept:
-                self.drop(name)
+    def __exit__(self, failure: type | None, *_: object) -> None:
+        kept = self.kept if failure is None else set()
+        for name in [t for t in self.tables if t not in kept] if kept else [""]:
+            self.drop(name)
 
     @property
     def tables(self) -> list[str]:

@@ -117,7 +117,7 @@ def hashed_features(raw: bytes, ngrams: tuple[int, int], buckets: int) -> Iterat
             crc[inside] = extended(crc[inside], data, raw, at[inside], end[inside])
             at = np.where(inside, end, at)
             if n >= low:
-                yield begins[:whole][inside], crc[inside] % np.uint32(buckets)
+                yield begins[:whole][inside], crc[inside].astype(np.int64) % buckets
         if last:
             return
         ahead = spans[whole:]

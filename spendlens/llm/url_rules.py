@@ -230,7 +230,7 @@ urls AS (
 tried AS (
   SELECT *, CASE WHEN is_host THEN (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
     ELSE regexp_matches(low, '(?s)' || CASE WHEN starts_with(rule, '||') THEN '^[^:/?#]*://([^/?#]*\.)?' ELSE '' END
-      || replace(replace(regexp_replace(body, '([.?$+-])', '\\\1', 'g'), '*', '.*'), '^', '([^a-zA-Z0-9%._-]|$)')
+      || replace(replace(regexp_replace(body, '([.?$+-])', '\\\1', 'g'), '*', '.*'), '^', '([\x00-\x24\x26-\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]|$)')
       || CASE WHEN ends_with(rule, '|') THEN '$' ELSE '' END) END AS fits FROM urls),
 best AS (
   SELECT nr, page_id, host, path, min((CASE WHEN is_host THEN 0 WHEN verdict = 'allow' THEN 1 ELSE 2 END, -length(rule), rule, verdict))
