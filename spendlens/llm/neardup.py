@@ -14,9 +14,9 @@ maximum per permutation, so 160 signature values take 80 hash evaluations; they
 Components come from alternating stars. Only texts with a candidate partner are shuffled, once: a bit map of fixed size
 holds back nearly all others.
 
-Documents without words and NULL texts have an empty set, are linked with nothing and kept. Rows with one ``doc_id``
-count as one document. Rows without a ``doc_id`` cannot be named: their component is NULL and they are kept. Further
-columns are ignored.
+Documents without words and NULL texts have an empty set, are linked with nothing and kept; texts of any length are read
+whole. Rows with one ``doc_id`` count as one document: all their sets are in one component. Rows without a ``doc_id`` cannot
+be named: their component is NULL and they are kept. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from spendlens.llm.common import columns, map_batches, stored
 from spendlens.llm.components import components
 
 SHINGLE = 5
-#: Bits of the map of candidate documents.
-SLOTS = 1 << 25
+#: Bits of the map of candidate documents: 16 for each of them, within these bounds (at most 64 MB).
+LEAST_SLOTS, MOST_SLOTS = 1 << 22, 1 << 29
+#: Rows of one key that meet in one task of a join; more are dealt over several.
+ROWS_PER_SALT = 1_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 SIGNS = "doc_id bigint, n_shingles bigint, set_high bigint, set_low bigint, bands array<bigint>"
 
@@ -122,19 +124,38 @@ def shingle_sets(documents: DataFrame) -> DataFrame:
 def worth_shuffling(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """``documents`` without most of those whose ``doc_id`` is not in ``ids``.
 
-    The hashed ids mark bits of a map of ``SLOTS`` bits, 4 MB whatever the number of ids; it goes to every task in place of
-    the ids themselves. A join still has to follow.
+    The hashed ids mark bits of a map of bounded size; it goes to every task in place of the ids themselves. A join still has
+    to follow.
     """
+    return marked(documents, ids, "doc_id").where("_marked").drop("_marked")
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_marked``: false only where ``key`` (not NULL) is not among the ``keys``, and nearly always then."""
+    slots = min(max(1 << (16 * max(keys.count(), 1) - 1).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+
     def slot(column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(SLOTS))
+        return F.pmod(F.xxhash64(column), F.lit(slots))
 
-    marks = ids.select(slot("doc_id").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(
+    marks = keys.select(slot(key).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    placed = documents.withColumn("slot", slot("doc_id")).withColumn("part", F.bitmap_bucket_number("slot")).withColumn(
-        "position", F.bitmap_bit_position("slot").cast("int"))
+    place = slot(key)
+    placed = rows.select("*", F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).cast("int").alias("position"))
     byte = F.conv(F.hex(F.substring("bits", F.expr("position div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = placed.join(F.broadcast(marks), "part").where(F.expr("1 << (position % 8)").bitwiseAND(byte) != 0)
-    return found.select(*documents.columns)
+    found = F.expr("1 << (position % 8)").bitwiseAND(byte) != 0
+    return placed.join(F.broadcast(marks), "part", "left").select(*rows.columns, F.coalesce(found, F.lit(False)).alias("_marked"))
+
+
+def without(rows: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not among the ``removed`` ones, with next to none of their other columns shuffled.
+
+    A map of the removed keys passes most rows that stay. Keys of the others are compared exactly; the few that were marked
+    by chance get a map of their own, and only rows in that one are joined with them.
+    """
+    flagged = marked(rows, removed, key).withColumn("_marked", F.col("_marked") & F.col(key).isNotNull())
+    by_chance = stored(flagged.where("_marked").select(key).distinct().join(removed.select(key), key, "left_anti"), "by-chance")
+    doubtful = marked(flagged.where("_marked").drop("_marked"), by_chance, key).where("_marked").drop("_marked")
+    return flagged.where("not _marked").drop("_marked").unionByName(doubtful.join(by_chance, key, "left_semi").select(*rows.columns))
 
 
 def alike(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -143,12 +164,19 @@ def alike(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike."""
+    """The pairs (a, b) whose full sets are alike.
+
+    A document ``a`` may have any number of partners: the sets of these are joined first, then each block of partners meets
+    one copy of the set of ``a``.
+    """
     first = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("salts"))
+    salted = pairs.join(blocks, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+    centres = first.join(blocks, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     near = alike(F.size(F.array_intersect("s_a", "s_b")), F.col("n_a"), F.col("n_b"), percent)
-    return pairs.join(first, "a").join(second, "b").where(sized & near).select("a", "b").distinct()
+    return salted.join(second, "b").join(centres, ["a", "salt"]).where(sized & near).select("a", "b").distinct()
 
 
 def bucket_stars(sets: DataFrame) -> DataFrame:
@@ -173,12 +201,15 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     first = stored(ordered.select("group", "part", "doc_id", "n", F.posexplode(F.slice("x", F.lit(1), length)))
                    .select("group", "part", "doc_id", "n", "pos", "col.*").where("df > 1").drop("df"), "prefixes")
     parts = first.groupBy("group", "s", "part").count().groupBy("group", "s").agg(
-        F.max_by("part", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    minor = first.join(parts, ["group", "s"]).where("part <> main").drop("main").alias("x")
-    other = first.alias("y")
+        F.max_by("part", "count").alias("main"), F.count("*").alias("parts"),
+        F.ceil(F.sum("count") / ROWS_PER_SALT).cast("int").alias("salts")).where("parts > 1").drop("parts")
+    # A shingle of many members is dealt over several tasks: each holds a share of all and a copy of the smaller parts.
+    known = first.join(parts, ["group", "s"])
+    minor = known.where("part <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
+    other = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("y")
     needed = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
     joined = minor.join(other, (F.col("x.group") == F.col("y.group")) & (F.col("x.s") == F.col("y.s"))
-                        & (F.col("x.part") != F.col("y.part"))
+                        & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.part") != F.col("y.part"))
                         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
                         & (F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= needed))
     return joined.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
@@ -195,6 +226,15 @@ def open_groups(stars: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(todo, "group").select("group", "part", "doc_id")
 
 
+def same_id(named: DataFrame, firsts: DataFrame, name: list[str]) -> DataFrame:
+    """Links between the first documents of different sets that have one ``doc_id``."""
+    shape = F.struct(*name)
+    several = named.groupBy("doc_id").agg(F.min(shape).alias("low"), F.max(shape).alias("high")).where("low <> high").select("doc_id")
+    ends = named.join(several, "doc_id").join(firsts, name).select("doc_id", "first").distinct()
+    least = ends.groupBy("doc_id").agg(F.min("first").alias("a"))
+    return ends.join(least, "doc_id").where("a < first").select("a", F.col("first").alias("b"))
+
+
 def near_duplicates(documents: DataFrame, percent: int = 80, permutations: int = 80, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest connected doc_id) and kept (is that document) of each row.
 
@@ -211,7 +251,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, permutations: int =
     # An inner join: a semi join would be moved below the bit map.
     texts = worth_shuffling(columns(documents, "doc_id", "text"), candidates).join(candidates, "doc_id")
     sets = stored(shingle_sets(texts), "sets")
-    links = stored(confirmed(stars, sets, percent), "links")
+    links = stored(confirmed(stars, sets, percent).unionByName(same_id(named, firsts, name)), "links")
     labels = stored(components(stars.withColumn("graph", F.lit(0)).unionByName(links.withColumn("graph", F.lit(1)))), "labels")
     rest = stored(open_groups(stars, labels), "rest")
     more = confirmed(prefix_pairs(rest, sets, percent), sets, percent)
