@@ -63,10 +63,13 @@ def save_document(content: str, metadata: Mapping[str, str], spark) -> DataFrame
 
 # --- search -------------------------------------------------------------------------------------------
 
-def _unit_rows(vectors: pa.Array) -> np.ndarray:
-    """Vectors as the rows of a matrix, divided by their lengths; a vector without a length stays zero."""
-    if len(pc.unique(pc.list_value_length(vectors))) > 1:
-        raise ValueError("vectors of different lengths")
+def sizes(vectors: pa.Array) -> np.ndarray:
+    """Number of elements of each vector, -1 for NULL."""
+    return pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+
+
+def unit_rows(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one size as the rows of a matrix, divided by their lengths; a vector without a length stays zero."""
     matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
@@ -92,9 +95,9 @@ def _best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
     return ranked.groupby("query_id", sort=False).head(k)
 
 
-def _matches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int | None,
+def matches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int | None,
              threshold: float) -> Iterator[pa.RecordBatch]:
-    """Hits of pairs of a query block and a corpus part, which come one after the other, the queries of each first.
+    """Hits of pairs of a query block and a corpus part, which come one after the other, for each size of vectors the queries first.
 
     The queries of one block are held, of the corpus an Arrow batch; hits go on in pieces, or with ``k`` at the end of the
     pair.
@@ -106,16 +109,16 @@ def _matches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int | None
         return pa.RecordBatch.from_pandas(hits, schema, preserve_index=False)
 
     for batch in batches:
-        kinds = np.stack([batch.column(name).to_numpy() for name in ("_part", "_block", "_kind")], axis=1)
+        kinds = np.stack([batch.column(name).to_numpy() for name in ("_part", "_block", "_dims", "_kind")], axis=1)
         starts = [0, *(np.flatnonzero((kinds[1:] != kinds[:-1]).any(axis=1)) + 1)] if len(kinds) else []
         for start, end in zip(starts, [*starts[1:], len(kinds)]):
-            rows, pair = batch.slice(start, end - start), tuple(kinds[start, :2])
+            rows, pair = batch.slice(start, end - start), tuple(kinds[start, :3])
             if pair != at:
                 if best is not None:
                     yield written(best)
                 at, query_ids, queries, best, waiting = pair, None, None, None, []
-            vectors = _unit_rows(rows.column("_vector"))
-            if kinds[start, 2] == 0:
+            vectors = unit_rows(rows.column("_vector"))
+            if kinds[start, 3] == 0:
                 waiting.append((rows.column("_query").to_numpy(zero_copy_only=False), vectors))
                 continue
             if waiting:
@@ -140,7 +143,8 @@ def similar(corpus: DataFrame, queries: DataFrame, threshold: float, criteria: M
     ``queries`` has ``query_id`` and the vector column. Metadata ``criteria`` filter the corpus before any vector is
     touched. Blocks of queries meet parts of the corpus, which multiplies the two matrices a piece at a time. The queries
     are counted first for as many blocks as ``QUERIES_PER_BLOCK`` asks for, unless ``query_blocks`` says how many. With
-    ``k``, a pair of block and part passes on the best ``k`` per query only. Rows without a vector have no similarity.
+    ``k``, a pair of block and part passes on the best ``k`` per query only. Rows without a vector have no similarity, nor
+    have vectors with different numbers of elements.
     """
     if criteria:
         corpus = corpus.filter(C.payload_matches(criteria))
@@ -162,8 +166,11 @@ def similar(corpus: DataFrame, queries: DataFrame, threshold: float, criteria: M
     left = dealt(corpus, "_point", key, "_part", "_block", parts, query_blocks)
     right = dealt(queries, "_query", "query_id", "_block", "_part", query_blocks, parts)
     arrow = to_arrow_schema(schema)
-    pairs = left.unionByName(right).repartition("_part", "_block").sortWithinPartitions("_part", "_block", "_kind")
-    return pairs.mapInArrow(lambda batches: _matches(batches, arrow, k, threshold), schema)
+    # A task for every pair: hashing the pairs would leave tasks empty and give others several.
+    pairs = left.unionByName(right).withColumn("_dims", F.size("_vector")) \
+        .repartitionById(parts * query_blocks, F.col("_part") * query_blocks + F.col("_block")) \
+        .sortWithinPartitions("_part", "_block", "_dims", "_kind")
+    return pairs.mapInArrow(lambda batches: matches(batches, arrow, k, threshold), schema)
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.7,
