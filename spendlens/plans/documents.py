@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from spendlens import sources
 from spendlens.functions import columns as C, text as X
-from spendlens.operators import retrieval as R
+from spendlens.operators import retrieval as R, vector_index as V
 from spendlens.plans.registry import query
 from spendlens.plans.tables import corpus, messages, table, vectors
+from spendlens.session import shared_dir
 from spendlens.sources.documents import as_corpus, metadata_map, union_corpora
 
 
@@ -123,6 +124,15 @@ def d1_chunk_invariants(spark, sf_dir):
     return _chunk_invariants(R.chunk_documents(texts), texts)
 
 
+@query("d4_corpus_chunk_invariants", CHUNK_SQL.replace("FROM documents", f"""FROM (
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents
+  UNION ALL SELECT DISTINCT sha256(content), content FROM (SELECT {PAGE_TEXT_SQL} AS content FROM pages))"""))
+def d4_corpus_chunk_invariants(spark, sf_dir):
+    """The same for the union of documents and different pages."""
+    sources = corpus(spark, sf_dir), page_corpus(spark, sf_dir).dropDuplicates(["doc_id"])
+    return _chunk_invariants(R.build_corpus(*sources).drop("metadata"), union_corpora(*sources).drop("metadata"))
+
+
 @query("u1_corpus_union", """
 SELECT coalesce(lang, 'html') AS kind, count(*) AS documents FROM (
   SELECT lang FROM documents UNION ALL SELECT NULL FROM pages) GROUP BY 1""")
@@ -189,7 +199,7 @@ def j3_similarity_join(spark, sf_dir):
     return hits.select("query_id", "hit_id", F.round("score", 6).alias("score"))
 
 
-# The same with every row whose id is divisible by 20 as a question, against the whole table.
+# The same with every row whose id is divisible by 20 as a question, against an index of the whole table.
 ROWS_SQL = """WITH questions AS (
   SELECT vec_id AS query_id, embedding::DOUBLE[] AS question FROM embeddings WHERE vec_id % 20 = 0),""" + SCORES_SQL[
     SCORES_SQL.index("\nscores AS"):]
@@ -199,14 +209,18 @@ def _row_questions(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _index(spark, sf_dir):
+    return V.build(vectors(spark, sf_dir), shared_dir(spark, "vector-index"))
+
+
 @query("t2_top_k_rows", ROWS_SQL.format(threshold=0.3, criteria="", k=5))
 def t2_top_k_rows(spark, sf_dir):
-    return _rounded(R.search(vectors(spark, sf_dir), _row_questions(spark, sf_dir), k=5, threshold=0.3))
+    return _rounded(V.search(_index(spark, sf_dir), _row_questions(spark, sf_dir), k=5, threshold=0.3))
 
 
 @query("d2_filtered_search_rows", ROWS_SQL.format(threshold=0.1, criteria=" AND label IN (0, 2, 3)", k=4))
 def d2_filtered_search_rows(spark, sf_dir):
-    hits = R.search(vectors(spark, sf_dir), _row_questions(spark, sf_dir), k=4, threshold=0.1,
+    hits = V.search(_index(spark, sf_dir), _row_questions(spark, sf_dir), k=4, threshold=0.1,
                     criteria={"category": ["0", "2", "3"]})
     return _rounded(hits)
 
@@ -214,7 +228,7 @@ def d2_filtered_search_rows(spark, sf_dir):
 @query("j3_similarity_join_rows", ROWS_SQL.format(threshold=0.25, criteria="", k=1000000000).replace(
     ", CAST(position AS INTEGER) AS position", ""))
 def j3_similarity_join_rows(spark, sf_dir):
-    hits = R.similar(vectors(spark, sf_dir), _row_questions(spark, sf_dir), threshold=0.25)
+    hits = V.similar(_index(spark, sf_dir), _row_questions(spark, sf_dir), threshold=0.25)
     return hits.select("query_id", "hit_id", F.round("score", 6).alias("score"))
 
 
