@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from spendlens.functions import columns as C
 from spendlens.operators.timeline import behaviour_features, merchant_features
 
+# The features that are clustered, in order.
 CLUSTER_FEATURES = ["amount_zscore", "time_since_last", "transactions_last_hour", "amount_ratio",
                     "merchant_frequency"]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from spendlens.functions import columns as C
@@ -354,6 +356,20 @@ def m3_anomalous_clusters(spark, sf_dir):
     return anomaly.anomalous_clusters(anomaly.cluster_statistics(_fixed_clusters(spark, sf_dir)), 0.1, 0.000001)
 
 
+@query("m4_fixed_anomalies", with_tx(FEATURES_SQL + CLUSTER_SQL + """
+SELECT transaction_id, tx.user_id, round(tx.amount, 6) AS amount, category, cluster AS anomaly_type
+FROM marked JOIN tx USING (transaction_id) WHERE cluster IN (SELECT cluster FROM stats WHERE share < 0.1 AND abs(avg_zscore) > 0.000001)"""))
+def m4_fixed_anomalies(spark, sf_dir):
+    """The scoring of all rows with the fixed clustering in the place of the fitted one, by the rule of m3."""
+    features = anomaly.transaction_features(transactions(spark, sf_dir))
+    fixed = SQLTransformer(statement="SELECT *, array(amount) AS features, int((bigint(transaction_id) % 50) div 12) AS cluster FROM __THIS__")
+    pipeline = Pipeline(stages=[fixed]).fit(features)
+    small = anomaly.anomalous_clusters(anomaly.cluster_statistics(pipeline.transform(features)), 0.1, 0.000001)
+    model = anomaly.ClusterModel(pipeline, [r.cluster for r in small.collect()])
+    return anomaly.transaction_anomalies(features, model, AS_OF).select(
+        "transaction_id", "user_id", F.round("amount", 6).alias("amount"), "category", "anomaly_type")
+
+
 @query("m2_cluster_invariants", with_tx(FEATURES_SQL + """
 SELECT count(*) AS clustered, 1.0::DOUBLE AS shares, TRUE AS silhouette_in_range FROM features
 WHERE amount_zscore BETWEEN -3 AND 3 AND time_since_last < 86400 AND transactions_last_hour < 100
