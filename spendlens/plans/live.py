@@ -88,11 +88,11 @@ def _newest(spark, path, schema, keys):
 
 @query("k2_live_upsert", ORACLE["a1_sliding_spend"])
 def k2_live_upsert(spark, sf_dir):
-    """Update-mode stream into a versioned table; the newest version of every window."""
+    """Update-mode stream into an upserted table."""
     out = _drain(spark, lambda path, checkpoint: jobs.process_transactions(
         event_stream(spark, sf_dir), path, checkpoint, velocity_threshold=40, available_now=True, as_of=AS_OF,
         watermark=lateness(spark, sf_dir)))
-    agg = sinks.read_latest(spark, f"{out}/user_spending_aggregates", jobs.SPEND_KEYS)
+    agg = sinks.read_current(spark, f"{out}/user_spending_aggregates")
     return agg.select(
         epoch("window_start").alias("window_start"), epoch("window_end").alias("window_end"), "user_id", "category",
         "transaction_count", F.round("total_amount", 2).alias("total_amount"),

@@ -3,9 +3,10 @@ database table gets the rows again, as their connectors deliver at least once.""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spendlens.functions.columns import as_json
 
@@ -24,19 +25,80 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: str = "transaction_i
     return first_per_id(incoming, key, order_by).join(existing.select(key), key, "left_anti")
 
 
-def append_new(incoming: DataFrame, path: str, batch_id: int, key: str = "transaction_id") -> None:
-    """Append the rows with unseen ids of a micro-batch to a parquet table made of one folder per batch.
+#: A Bloom filter has this many bits in each of its blocks, and takes this many bits per id, of which it sets ``HASHES``.
+BLOCK_BITS, BITS_PER_ID, HASHES = 32_768, 32, 8
+BUCKETS = 16
 
-    A repeated batch replaces its own folder and does not count as existing. Of the table only the ids are read, and
-    the semi join lets Spark filter them by the few ids of the batch before anything of the table is shuffled.
+
+def append_new(incoming: DataFrame, path: str, batch_id: int, key: str = "transaction_id", buckets: int = BUCKETS) -> None:
+    """Append the rows with unseen ids of a micro-batch to a parquet table of folders ``batch_id=N/bucket=B``.
+
+    Every folder has a Bloom filter of its ids, below ``_filters``, so of the table only those buckets of earlier batches are
+    read, and of them only the ids, that may hold an id of this batch: for new ids next to none. A repeated batch replaces
+    its own folder and filter and does not count as existing. The number of buckets must not change for a table.
     """
-    spark = incoming.sparkSession
-    existing = read_before(spark, path, before=batch_id)
-    rows = first_per_id(incoming, key)
-    if existing is not None:
-        taken = existing.select(key).join(rows.select(key), key, "left_semi")
-        rows = rows.join(taken, key, "left_anti")
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    rows = first_per_id(incoming, key).withColumn("bucket", _bucket(key, buckets)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        taken = possibly_taken(rows, path, batch_id, key)
+        unseen = rows if taken is None else rows.join(taken.select(key), key, "left_anti")
+        folder = f"{path}/batch_id={batch_id}"
+        unseen.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        schema = unseen.schema
+    finally:
+        rows.unpersist()
+    written = incoming.sparkSession.read.schema(schema).parquet(folder)
+    id_filters(written, key).write.mode("overwrite").parquet(f"{path}/_filters/batch_id={batch_id}")
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _bits(key: str) -> Column:
+    """Which bits of a block stand for an id."""
+    a, b = F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)
+    return F.array(*[F.pmod(F.shiftright(a, 8) + i * F.shiftright(b, 8), F.lit(BLOCK_BITS)) for i in range(HASHES)])
+
+
+def _block(key: str, level: Column) -> Column:
+    """The block of an id in a filter of 2 ^ ``level`` blocks."""
+    return F.pmod(F.xxhash64(F.lit(3), key), F.pow(F.lit(2.0), level).cast("long"))
+
+
+def id_filters(rows: DataFrame, key: str) -> DataFrame:
+    """Bloom filters of the ids of each bucket, a row per block; the blocks follow from the largest bucket."""
+    sizes = rows.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+    level = max(0, (max(1, -(-sizes * BITS_PER_ID // BLOCK_BITS)) - 1).bit_length())
+    bits = rows.select("bucket", F.lit(level).alias("level"), _block(key, F.lit(level)).alias("block"), F.explode(_bits(key)).alias("bit"))
+    return bits.groupBy("bucket", "level", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def possible_buckets(rows: DataFrame, path: str, before: int, key: str) -> list[tuple[int, int]]:
+    """Batch and bucket of the earlier folders whose filters may hold an id of ``rows`` (with its ``bucket``)."""
+    filters = read_before(rows.sparkSession, f"{path}/_filters", before)
+    if filters is None:
+        return []
+    levels = [r["level"] for r in filters.select("level").distinct().collect()]  # one for each power of two of sizes
+    if not levels:
+        return []
+    probes = rows.select("bucket", F.col(key), F.explode(F.array(*[F.lit(n) for n in levels])).alias("level")) \
+        .select("bucket", "level", _block(key, F.col("level")).alias("block"), _bits(key).alias("probe"))
+
+    def is_set(bit: Column) -> Column:
+        byte = F.conv(F.hex(F.substr("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        return F.getbit(byte, (bit % 8).cast("int")) == 1
+
+    met = probes.join(filters, ["bucket", "level", "block"]).where(F.forall("probe", is_set)).select("batch_id", "bucket").distinct()
+    return sorted((r["batch_id"], r["bucket"]) for r in met.collect())  # at most the folders of the table
+
+
+def possibly_taken(rows: DataFrame, path: str, before: int, key: str) -> DataFrame | None:
+    """The stored ids in the folders that may hold an id of ``rows``, or None."""
+    folders = possible_buckets(rows, path, before, key)
+    if not folders:
+        return None
+    spark = rows.sparkSession
+    return spark.read.schema(rows.select(key).schema).parquet(*[f"{path}/batch_id={b}/bucket={k}" for b, k in folders])
 
 
 def read_before(spark: SparkSession, path: str, before: int) -> DataFrame | None:
@@ -83,6 +145,67 @@ def compact(spark: SparkSession, path: str, keys: Sequence[str], target: str, up
     newest.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(f"{target}/batch_id={upto}")
 
 
+# --- upserts by date ----------------------------------------------------------------------------------------
+
+def upsert(batch: DataFrame, path: str, batch_id: int, keys: Sequence[str], date_from: str = "window_start") -> None:
+    """Replace rows of the same keys in a table of folders ``date=D/batch_id=N``, each the whole of its date.
+
+    Only the dates of the micro-batch are read, merged and written again, as new folders; of each date the newest folder
+    counts. The folder before it stays, for a repeated batch (which starts from it again and replaces its own) and for readers
+    that still use it; older ones are deleted. So there are never more than two folders of a date.
+    """
+    spark = batch.sparkSession
+    dated = batch.withColumn("date", F.to_date(date_from))
+    dates = [str(r["date"]) for r in dated.select("date").distinct().collect()]  # the dates of one micro-batch
+    known = date_folders(spark, path)
+    current = {d: max((n for n in known.get(d, []) if n < batch_id), default=None) for d in dates}
+    merged = dated.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    if any(n is not None for n in current.values()):
+        earlier = _read_dates(spark, path, {d: n for d, n in current.items() if n is not None})
+        merged = merged.unionByName(earlier.withColumn("date", F.col("date").cast("date")).withColumn(
+            "batch_id", F.col("batch_id").cast("long")), allowMissingColumns=True)
+    values = [c for c in merged.columns if c not in (*keys, "date", "batch_id")]
+    newest = merged.groupBy("date", *keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_row")).select("date", *keys, "_row.*")
+    newest.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "date").write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(path)
+    for d in dates:
+        for old in known.get(d, []):
+            if old < batch_id and old != current[d]:
+                _delete(spark, f"{path}/date={d}/batch_id={old}")
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that ``upsert`` has written."""
+    newest = {d: max(numbers) for d, numbers in date_folders(spark, path).items()}
+    return _read_dates(spark, path, newest).drop("date", "batch_id")
+
+
+def date_folders(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """The batch numbers of the folders of each date."""
+    store, root = _store(spark, path)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date=*/batch_id=*")
+    found: dict[str, list[int]] = {}
+    for status in (store.globStatus(pattern) or []) if store.exists(root) else []:
+        folder = status.getPath()
+        found.setdefault(folder.getParent().getName().removeprefix("date="), []).append(int(folder.getName().removeprefix("batch_id=")))
+    return {d: sorted(numbers) for d, numbers in found.items()}
+
+
+def _read_dates(spark: SparkSession, path: str, folders: Mapping[str, int]) -> DataFrame:
+    return spark.read.option("basePath", path).option("mergeSchema", "true").parquet(
+        *[f"{path}/date={d}/batch_id={n}" for d, n in sorted(folders.items())])
+
+
+def _store(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    store, folder = _store(spark, path)
+    store.delete(folder, True)
+
+
 # --- topics, files, databases -------------------------------------------------------------------------------
 
 def as_messages(df: DataFrame) -> DataFrame:

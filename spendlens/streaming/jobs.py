@@ -72,11 +72,11 @@ def live_distribution(tx: DataFrame, duration: str = "1 day", watermark: str = "
 
 def fan_out(path: str, velocity_threshold: float = 1000, servers: str | None = None,
             as_of=None) -> Callable[[DataFrame, int], None]:
-    """Micro-batch writer: versioned table, aggregate topic and alert topic, from one computation of the batch."""
+    """Micro-batch writer: upserted table, aggregate topic and alert topic, from one computation of the batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            sinks.write_version(batch, f"{path}/user_spending_aggregates", batch_id)
+            sinks.upsert(batch, f"{path}/user_spending_aggregates", batch_id, SPEND_KEYS)
             sinks.write_messages(batch, "user_aggregations", servers, path, batch_id)
             found = alerts.high_velocity_alerts(batch, velocity_threshold, as_of, ["window_start", "category"])
             if not found.isEmpty():
