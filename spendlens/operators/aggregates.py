@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spendlens import domain
 from spendlens.functions import columns as C
+from spendlens.operators.sketches import distinct_estimate
 
 
 def _distinct(name: str, exact: bool) -> Column:
@@ -124,15 +125,19 @@ def stream_aggregates(tx: DataFrame, late: Mapping[str, str] | None = None) -> d
 # --- per-user metrics -------------------------------------------------------------------------------
 
 def _profile(exact: bool) -> list[Column]:
+    """Different values are counted by sketches that are exact for the first few thousand, so rows are not expanded."""
+    def different(name: str) -> Column:
+        return F.count_distinct(F.col(name)) if exact else distinct_estimate(name)
+
     return [
         F.avg("amount").alias("avg_transaction_amount"),
         F.stddev("amount").alias("std_transaction_amount"),
         F.avg(F.hour("timestamp")).alias("avg_transaction_hour"),
         F.array_sort(F.collect_set(F.dayofweek("timestamp"))).alias("active_days"),
-        _distinct("merchant", exact).alias("total_unique_merchants"),
-        _distinct("category", exact).alias("total_unique_categories"),
-        _distinct("location", exact).alias("total_unique_locations"),
-        _distinct("device_id", exact).alias("total_devices_used"),
+        different("merchant").alias("total_unique_merchants"),
+        different("category").alias("total_unique_categories"),
+        different("location").alias("total_unique_locations"),
+        different("device_id").alias("total_devices_used"),
     ]
 
 
@@ -197,8 +202,8 @@ def newest_per_user(df: DataFrame, n: int, ts: str = "timestamp", tie: str = "tr
 def list_transactions(tx: DataFrame, skip: int = 0, limit: int = 100, after: tuple | None = None) -> DataFrame:
     """One page in time order.
 
-    Skipped rows are sorted along, so deep pages should pass ``after`` instead: the (timestamp, transaction_id) of
-    the last row seen, which becomes a filter on the scan.
+    Skipped rows are sorted along. For deep pages pass ``after``, the (timestamp, transaction_id) of the last row seen, which
+    becomes a filter on the scan, or use ``deep_page``.
     """
     if after is not None:
         ts, transaction_id = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
@@ -207,6 +212,39 @@ def list_transactions(tx: DataFrame, skip: int = 0, limit: int = 100, after: tup
     return tx.orderBy("timestamp", "transaction_id").offset(skip).limit(limit)
 
 
+#: Seconds of the ranges that rows are counted in, coarse ones first; a range of few rows is not divided further.
+PAGE_RANGES, FEW_ROWS = (30 * 86_400, 86_400, 3_600, 60, 1), 100_000
+
+
+def deep_page(tx: DataFrame, skip: int, limit: int = 100, few: int = FEW_ROWS) -> DataFrame:
+    """The page of ``list_transactions``, however deep: only the ranges of time that hold it are sorted.
+
+    Rows are counted per range; the counts tell which ranges hold the page, and these are counted in finer ranges until they
+    hold few rows or a range is a second. Every step reads the times of the remaining ranges only. Rows without a time come
+    first, as in any ascending order.
+    """
+    second = C.epoch_second()
+    missing = tx.filter("timestamp IS NULL").count()
+    if skip + limit <= missing:
+        return tx.filter("timestamp IS NULL").orderBy("transaction_id").offset(skip).limit(limit)
+    if skip < missing:
+        return list_transactions(tx, skip, limit)
+    rows, before = tx.filter("timestamp IS NOT NULL"), missing
+    for width in PAGE_RANGES:
+        counts = rows.groupBy(F.floor(second / width).alias("range")).count()
+        upto = F.sum("count").over(Window.orderBy("range")) + before  # a row per range of time
+        held = counts.withColumn("upto", upto).filter((F.col("upto") > skip) & (F.col("upto") - F.col("count") < skip + limit)).agg(
+            F.min("range").alias("low"), F.max("range").alias("high"), F.min(F.col("upto") - F.col("count")).alias("before"),
+            F.sum("count").alias("n")).first()
+        if held["n"] is None:
+            return rows.limit(0)
+        low, high, before = held["low"] * width, (held["high"] + 1) * width, held["before"]
+        rows = rows.filter((F.col("timestamp") >= F.timestamp_seconds(F.lit(low))) & (F.col("timestamp") < F.timestamp_seconds(F.lit(high))))
+        if held["n"] <= max(few, limit):
+            break
+    return rows.orderBy("timestamp", "transaction_id").offset(skip - before).limit(limit)
+
+
 def get_transaction(tx: DataFrame, transaction_id: str) -> DataFrame:
     """The transaction, or no row."""
     return tx.filter(F.col("transaction_id") == transaction_id).limit(1)

@@ -7,10 +7,13 @@ over those minutes. Whatever the traffic, the windowed part only sees minutes.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spendlens.functions import columns as C
+from spendlens.session import shared_dir
 
 # Upper bounds of the latency histogram in seconds; one more bucket is open-ended.
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -122,41 +125,78 @@ def slow_responses(requests: DataFrame, threshold: float = 5, hold_minutes: int
     return held(series, F.col("quantile") > threshold, hold_minutes, F.col("quantile"), keys)
 
 
-def _value_bucket(value: Column) -> Column:
+#: Parts into which a range of values is divided at each step but the first.
+RADIX = 1_024
+
+
+def _octave(value: Column) -> Column:
     """Order-preserving bucket of a number, 64 per power of two."""
-    size = F.floor(F.log2(F.abs(value)) * 64) + 100_000
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
+    infinite = F.abs(value) == float("inf")
+    size = F.when(infinite, 200_000).otherwise(F.floor(F.log2(F.abs(value)) * 64) + 100_000)
+    return F.when(F.isnan(value), 300_000).when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+
+
+def _digit(value: Column, low: Column, high: Column) -> Column:
+    """Which of ``RADIX`` equal parts of a range a value is in; the ends are always in different parts."""
+    at = (value / 4 - low / 4) / (high / 4 - low / 4)
+    inner = F.when(F.isnan(at), 1).otherwise(F.floor(F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0)) * RADIX))
+    return F.when(value <= low, 0).when(value >= high, RADIX - 1).otherwise(F.least(F.greatest(inner, F.lit(0)), F.lit(RADIX - 1))).cast("long")
 
 
 def exact_quantile(requests: DataFrame, q: float = 0.95, duration: str = "5 minutes", keys: Sequence[str] = (),
                    value: str = "duration_s") -> DataFrame:
-    """Interpolated quantile per tumbling window from the counts of equal values.
+    """Interpolated quantile per tumbling window by radix selection.
 
-    Equal values are counted in the map tasks. The counts per bucket of similar values tell which bucket holds the
-    wanted rank, and only its values are ordered.
+    Two ranks are looked for, below and above the quantile. Values are never ordered: a pass counts them by the next digit of
+    the range in which a rank lies, at first by powers of two, then in ``RADIX`` equal parts, and the part that holds the rank
+    is the next range, until it has a single value. Counts are made in the map tasks; the only windows are over the counts of
+    a group's digits. After the first pass, which leaves a hundredth of the range of a value, five more settle any double.
     """
-    group = [*keys, "window"]
-    counted = (requests.filter(F.col(value).isNotNull())
-               .groupBy(*keys, F.window("ts", duration).alias("window"), F.col(value).alias("_v"))
-               .agg(F.count("*").alias("_n")).withColumn("_bucket", _value_bucket(F.col("_v"))))
-    whole = Window.partitionBy(*group)
-    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = counted.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_size")).withColumns({
-        "_before": F.coalesce(F.sum("_size").over(earlier), F.lit(0)), "events": F.sum("_size").over(whole)})
+    spark, group = requests.sparkSession, [*keys, "window"]
+    held = [f"_of_{k}" for k in group]
+    v = F.col("_v")
+    counted = requests.filter(F.col(value).isNotNull()).groupBy(
+        *keys, F.window("ts", duration).alias("window"), F.col(value).cast("double").alias("_v")).agg(
+        F.count("*").alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    root, step = shared_dir(spark, "quantile"), 0
+    events = counted.groupBy(*group).agg(F.sum("_n").alias("events"))
+    ranks = F.array(F.floor((F.col("events") - 1) * q), F.ceil((F.col("events") - 1) * q))
+    whole = events.select(*[F.col(k).alias(h) for k, h in zip(group, held)], "events", F.posexplode(ranks).alias("_which", "_rank"), F.lit(0).cast("long").alias("_before"))
+
+    def narrowed(rows: DataFrame, digit: Column) -> DataFrame:
+        """For each rank the part that holds it."""
+        parts = rows.groupBy(*held, "_which", "events", "_rank", "_before", digit.alias("_digit")).agg(
+            F.sum("_n").alias("_size"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        order = Window.partitionBy(*held, "_which").orderBy("_digit")
+        upto = parts.withColumn("_upto", F.col("_before") + F.sum("_size").over(order))
+        return upto.filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_size") <= F.col("_rank"))).select(
+            *held, "events", "_which", "_rank", (F.col("_upto") - F.col("_size")).alias("_before"), "_low", "_high")
+
+    def stored(targets: DataFrame) -> DataFrame:
+        nonlocal step
+        step += 1
+        targets.write.parquet(f"{root}/{step}")
+        return spark.read.schema(targets.schema).parquet(f"{root}/{step}")
+
+    same = [F.col(k).eqNullSafe(F.col(h)) if k in keys else F.col(k) == F.col(h) for k, h in zip(group, held)]
+    try:
+        targets = stored(narrowed(counted.join(whole, same), _octave(v)))
+        settled = [targets.filter("_low = _high")]
+        while not (left := targets.filter("_low <> _high")).isEmpty():
+            inside = counted.join(left, [*same, v >= F.col("_low"), v <= F.col("_high")])
+            parts = inside.withColumn("_part", _digit(v, F.col("_low"), F.col("_high"))).drop("_low", "_high")
+            targets = stored(narrowed(parts, F.col("_part")))
+            settled.append(targets.filter("_low = _high"))
+    finally:
+        counted.unpersist()
+    found = reduce(DataFrame.unionByName, settled).withColumnsRenamed(dict(zip(held, group)))
+    ends = found.groupBy(*group, "events").agg(F.min(F.when(F.col("_which") == 0, F.col("_low"))).alias("_from"),
+                                               F.min(F.when(F.col("_which") == 1, F.col("_low"))).alias("_to"))
     rank = (F.col("events") - 1) * q
-    holds = (F.col("_before") <= F.ceil(rank)) & (F.col("_before") + F.col("_size") > F.floor(rank))
-    upto = F.col("_before") + F.sum("_n").over(
-        Window.partitionBy(*group, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.join(buckets.filter(holds), [*group, "_bucket"]).withColumn("_upto", upto)
-
-    def value_at(position):
-        return F.min(F.when(F.col("_upto") > position, F.col("_v")))
-
-    found = ranked.groupBy(*group).agg(F.max("events").alias("events"), value_at(F.floor(rank)).alias("_low"),
-                                       value_at(F.ceil(rank)).alias("_high"))
-    quantile = F.col("_low") + (F.col("_high") - F.col("_low")) * (rank - F.floor(rank))
-    return found.select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                        "events", quantile.alias("quantile"))
+    quantile = F.when(F.col("_from") == F.col("_to"), F.col("_from")).otherwise(
+        F.col("_from") + (F.col("_to") - F.col("_from")) * (rank - F.floor(rank)))
+    return ends.select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                       "events", quantile.alias("quantile"))
 
 
 def approximate_quantile(requests: DataFrame, q: float = 0.95, duration: str = "5 minutes",

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from spendlens.operators import metrics as Q
-from spendlens.plans.registry import query
+from spendlens.operators import metrics as Q, sketches as S
+from spendlens.plans.registry import ORACLE, query
 from spendlens.plans.tables import AS_OF, REQUESTS_SQL, accounts, epoch, lags, requests, transactions, with_tx
 
 
@@ -112,6 +112,15 @@ def q3_p95_approximate_error(spark, sf_dir):
         "endpoint", epoch("window_start").alias("window_start"), "events", "close")
 
 
+@query("q3_p95_from_minutes_error", ORACLE["q3_p95_approximate_error"])
+def q3_p95_from_minutes_error(spark, sf_dir):
+    """Days merged from the quantile sketches of minutes."""
+    minutes = S.minute_quantiles(requests(spark, sf_dir), ["endpoint"])
+    sketch = S.quantile_from_minutes(minutes, duration="1 day", keys=["endpoint"])
+    return _compared(sketch, requests(spark, sf_dir)).select(
+        "endpoint", epoch("window_start").alias("window_start"), "events", "close")
+
+
 def _compared(sketch, rows, q=0.95, few=100):
     """The sketch with ``close``: its value lies between the exact quantiles a hundredth below and above, or in a group of
     few rows between the two values around the rank."""

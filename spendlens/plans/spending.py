@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spendlens import sinks
-from spendlens.operators import aggregates as A, alerts, timeline as L
-from spendlens.plans.registry import query
+from spendlens.operators import aggregates as A, alerts, sketches as S, timeline as L
+from spendlens.plans.registry import ORACLE, query
 from spendlens.plans.tables import AS_OF, epoch, transactions, with_tx
 
 # Every window a transaction falls into, as in a 5-minute window sliding by one minute.
@@ -107,6 +107,37 @@ def a4_hourly_spend(spark, sf_dir):
     return _hourly(A.hourly_spend(transactions(spark, sf_dir), exact=True))
 
 
+@query("a4_hourly_from_minutes", ORACLE["a4_hourly_spend"])
+def a4_hourly_from_minutes(spark, sf_dir):
+    """Hours merged from minutes: sums, and sketches that are exact for so few values."""
+    hours = S.hourly_from_minutes(S.minute_sketches(transactions(spark, sf_dir)))
+    return _hourly(hours.withColumnsRenamed({
+        "transaction_count": "transaction_count_hourly", "total_amount": "total_amount_hourly",
+        "unique_merchant": "unique_merchants", "unique_category": "unique_categories"}))
+
+
+@query("a6_users_from_minutes", with_tx("""
+SELECT user_id, count(*) AS transaction_count, round(sum(amount), 2) AS total_amount, count(DISTINCT merchant) AS unique_merchant,
+       count(DISTINCT category) AS unique_category, count(DISTINCT location) AS unique_location,
+       count(DISTINCT device_id) AS unique_device_id FROM tx GROUP BY 1"""))
+def a6_users_from_minutes(spark, sf_dir):
+    """All time per user, merged from hours that were merged from minutes."""
+    hours = S.merged(S.minute_sketches(transactions(spark, sf_dir), categories=()), "user_id", F.date_trunc("hour", "minute").alias("minute"))
+    return S.users_from_minutes(hours).withColumn("total_amount", F.round("total_amount", 2))
+
+
+@query("a6_sketch_error", with_tx("""
+SELECT category, count(DISTINCT transaction_id) > 256 AS many, TRUE AS close FROM tx GROUP BY 1"""))
+def a6_sketch_error(spark, sf_dir):
+    """Sketches of 256 entries over thousands of ids, merged from minutes, are within four times their standard error."""
+    tx = transactions(spark, sf_dir)
+    minutes = S.minute_sketches(tx.withColumn("user_id", F.col("category")), (), ("transaction_id",), bits=8)
+    found = S.estimates(S.merged(minutes, "user_id", bits=8)).select(F.col("user_id").alias("category"), "unique_transaction_id")
+    exact = tx.groupBy("category").agg(F.count_distinct("transaction_id").alias("n"))
+    off = F.abs(F.col("unique_transaction_id") - F.col("n"))
+    return found.join(exact, "category").select("category", (F.col("n") > 256).alias("many"), (off <= 4 * F.col("n") / 16).alias("close"))
+
+
 @query("a4_hourly_spend_approx")
 def a4_hourly_spend_approx(spark, sf_dir):
     """The default form with sketches for the distinct counts."""
@@ -203,7 +234,7 @@ def _profile_columns():
 
 @query("a6_user_profile", with_tx(f"SELECT user_id, {PROFILE_COLUMNS} FROM tx GROUP BY 1"))
 def a6_user_profile(spark, sf_dir):
-    return A.user_profile(transactions(spark, sf_dir), exact=True).select("user_id", *_profile_columns())
+    return A.user_profile(transactions(spark, sf_dir)).select("user_id", *_profile_columns())
 
 
 USED = ("FOOD", "TRANSPORT", "SHOPPING", "BILLS", "ENTERTAINMENT", "HEALTHCARE", "EDUCATION", "OTHER")
@@ -245,7 +276,7 @@ FROM spent GROUP BY 1""")
 
 @query("a9_user_metrics", METRICS_SQL)
 def a9_user_metrics(spark, sf_dir):
-    return A.user_metrics(transactions(spark, sf_dir), as_of=AS_OF, exact=True).select(
+    return A.user_metrics(transactions(spark, sf_dir), as_of=AS_OF).select(
         "user_id", *_profile_columns(), *_pivot_columns(), *_velocity_columns(),
         F.round("total_spending", 2).alias("total_spending"), epoch("calculated_at").alias("calculated_at"))
 
@@ -326,6 +357,15 @@ def t1_list_transactions(spark, sf_dir):
         "transaction_id", "status", "amount", "currency", epoch("timestamp").alias("at"))
 
 
+@query("t1_deep_page", with_tx("""
+SELECT transaction_id, amount, sec AS at FROM tx
+ORDER BY timestamp, transaction_id LIMIT 100 OFFSET (SELECT count(*) * 9 // 10 FROM tx)"""))
+def t1_deep_page(spark, sf_dir):
+    """The page behind nine tenths of the table; one range of time is sorted."""
+    tx = transactions(spark, sf_dir)
+    return A.deep_page(tx, tx.count() * 9 // 10, few=1000).select("transaction_id", "amount", epoch("timestamp").alias("at"))
+
+
 @query("p12_get_transaction", with_tx(
     "SELECT transaction_id, status, amount, currency, sec AS at FROM tx WHERE transaction_id = '42'"))
 def p12_get_transaction(spark, sf_dir):
