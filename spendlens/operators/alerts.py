@@ -17,6 +17,7 @@ def high_velocity_alerts(agg: DataFrame, threshold: float = 1000, as_of=None, ke
 
 
 def alert_type() -> Column:
+    # The limit of 5, the names, and the order of the rules.
     return (F.when(F.col("unusual_category") == 1, "UNUSUAL_CATEGORY")
             .when(F.col("spend_zscore") > 5, "HIGH_SPENDING")
             .when(F.col("transaction_zscore") > 5, "HIGH_FREQUENCY")
@@ -25,12 +26,14 @@ def alert_type() -> Column:
 
 def severity() -> Column:
     """The score decides before the category does, unlike in ``alert_type``."""
+    # The limit of 5, the names, and the order of the rules.
     high = (F.col("spend_zscore") > 5) | (F.col("transaction_zscore") > 5)
     return F.when(high, "HIGH").when(F.col("unusual_category") == 1, "MEDIUM").otherwise("LOW")
 
 
 def alert_message() -> Column:
     """Fixed texts with the figures of the row; NULL when a figure is NULL."""
+    # The texts.
     def above(zscore):
         return F.concat(F.round(zscore, 1).cast("string"), F.lit(" standard deviations above average"))
 

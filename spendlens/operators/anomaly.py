@@ -76,7 +76,7 @@ def transaction_features(tx: DataFrame) -> DataFrame:
 
 
 def without_outliers(features: DataFrame) -> DataFrame:
-    """Rows the clustering learns from."""
+    """Rows the clustering learns from (fixed values: the limits)."""
     return features.filter(
         F.col("amount_zscore").between(-3, 3) & (F.col("time_since_last") < 86_400)
         & (F.col("transactions_last_hour") < 100) & F.col("amount_ratio").between(0.1, 10))
@@ -100,7 +100,7 @@ def cluster_statistics(clustered: DataFrame) -> DataFrame:
 
 
 def anomalous_clusters(statistics: DataFrame, max_share: float = 0.05, min_zscore: float = 1.5) -> DataFrame:
-    """Small clusters far from the usual amount."""
+    """Small clusters far from the usual amount (fixed values: a share of 5 %, a z-score of 1.5)."""
     return statistics.filter((F.col("share") < max_share) & (F.abs("avg_zscore") > min_zscore)).select("cluster")
 
 
