@@ -267,3 +267,31 @@ def x9_live_fraud_scores(spark, sf_dir):
     out = _drain(spark, lambda path, checkpoint: write_features(
         event_stream(spark, sf_dir), path, checkpoint, True, model.pipeline))
     return read_live(spark, f"{out}/scores", only_fraud=True).drop("prediction_time")
+
+
+@query("s9_live_feed", with_tx("""
+, halves AS (SELECT *, CAST(transaction_id AS BIGINT) % 2 AS half FROM tx),
+heard AS (
+  SELECT user_id AS subscriber, 'user_' || user_id || '_transactions' AS topic, transaction_id FROM halves
+  WHERE CAST(user_id AS BIGINT) % 3 = half
+  UNION ALL SELECT s.user_id, 'system_alerts', transaction_id FROM halves
+  JOIN (SELECT DISTINCT user_id FROM tx) s ON CAST(s.user_id AS BIGINT) % 3 = 2 AND half = 1 WHERE category = 'ENTERTAINMENT')
+SELECT subscriber, topic, count(*) AS events, min(transaction_id) AS first FROM heard GROUP BY 1, 2"""))
+def s9_live_feed(spark, sf_dir):
+    """Two kinds of events, half of them before the subscriptions change, half after: first every third user hears their
+    own transactions, then the next third does, and the last third hears all errors."""
+    root = shared_dir(spark, "feed")
+    users = transactions(spark, sf_dir).select("user_id").distinct()
+    rest = F.col("user_id").cast("long") % 3
+    for half in (0, 1):
+        before = users.filter(rest == 0).select("user_id", F.lit("transactions").alias("kind"), F.lit(half == 0).alias("active"))
+        after = users.filter(rest > 0).select("user_id", F.when(rest == 1, "transactions").otherwise("system_alerts").alias("kind"),
+                                              F.lit(True).alias("active"))
+        jobs.subscribe(before if half == 0 else before.unionByName(after), f"{root}/subscriptions", half)
+        tx = transactions(spark, sf_dir).filter(F.col("transaction_id").cast("long") % 2 == half)
+        tx.write.mode("append").parquet(f"{root}/events")
+        events = read_stream(spark, "parquet", tx.schema, f"{root}/events")
+        streams = {"transactions": events, "system_alerts": events.filter("category = 'ENTERTAINMENT'")}
+        _run(spark, jobs.live_feed(streams, f"{root}/subscriptions", f"{root}/out", f"{root}/checkpoint", True))
+    feed = spark.read.parquet(f"{root}/out").withColumn("transaction_id", F.get_json_object("data", "$.transaction_id"))
+    return feed.groupBy("subscriber", "topic").agg(F.count("*").alias("events"), F.min("transaction_id").alias("first"))

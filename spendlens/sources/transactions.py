@@ -88,8 +88,12 @@ def read_jdbc_transactions(spark: SparkSession, url: str, table: str = "transact
     return spark.read.format("jdbc").options(**conf).load()
 
 
-def user_feed(streams: Mapping[str, DataFrame], user_id: str | None = None, broadcast_topics=(
-        "market_updates", "system_alerts"), as_of=None) -> DataFrame:
+# Topics that go to all users.
+BROADCAST_TOPICS = ("market_updates", "system_alerts")
+
+
+def user_feed(streams: Mapping[str, DataFrame], user_id: str | None = None, broadcast_topics=BROADCAST_TOPICS,
+              as_of=None) -> DataFrame:
     """Union of topics wrapped as ``(type, data, topic, timestamp)``.
 
     ``streams`` maps a topic kind (``transactions``, ``alerts``, ``recommendations``) or a broadcast topic to its

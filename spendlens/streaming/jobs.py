@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from spendlens import sinks
 from spendlens.operators import aggregates as A, alerts, normalize as N
+from spendlens.sources.transactions import BROADCAST_TOPICS, user_feed
 
 # Trigger intervals of the live queries.
 INTERVALS = {"aggregates": "1 minute", "hourly": "5 minutes", "console": "30 seconds"}
@@ -149,6 +150,38 @@ def ingest(raw: DataFrame, path: str, checkpoint: str, available_now: bool = Fal
     return foreach_batch(raw, write, "ingest", checkpoint, mode="append", available_now=available_now)
 
 
+def live_feed(streams: Mapping[str, DataFrame], subscriptions: str, path: str, checkpoint: str, available_now: bool = False,
+              as_of=None) -> StreamingQuery:
+    """The events of several streams for those who subscribe to them, as one query.
+
+    ``streams`` maps a kind to its stream, as for ``sources.user_feed``. ``subscriptions`` is a folder that ``subscribe`` writes;
+    every micro-batch is joined with its newest version, so a change counts from the next batch on. Subscribers of a kind
+    get the events of their own user; subscribers of a broadcast topic get all of its events. Events go out when they
+    arrive, in no order between streams, and late ones as well: nothing waits, so there is no watermark.
+    """
+    feed = user_feed(streams, as_of=as_of)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        wanted = current_subscriptions(batch.sparkSession, subscriptions)
+        topic = F.when(F.col("kind").isin(*BROADCAST_TOPICS), F.col("kind")).otherwise(
+            F.concat(F.lit("user_"), F.col("user_id"), F.lit("_"), F.col("kind")))
+        heard = wanted.select(F.col("user_id").alias("subscriber"), topic.alias("topic")).distinct()
+        batch.join(heard, "topic").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return foreach_batch(feed, write, "feed", checkpoint, "append", available_now=available_now)
+
+
+def subscribe(changes: DataFrame, path: str, version: int) -> None:
+    """Changes of subscriptions (user_id, kind, active) as a further version; a repeated version replaces itself."""
+    changes.select("user_id", "kind", "active").write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def current_subscriptions(spark: SparkSession, path: str) -> DataFrame:
+    """user_id and kind of what is subscribed after the newest change of each."""
+    changes = spark.read.schema("user_id string, kind string, active boolean, version int").parquet(path)
+    return changes.groupBy("user_id", "kind").agg(F.max_by("active", "version").alias("active")).filter("active").drop("active")
+
+
 def write_append(df: DataFrame, name: str, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Final rows of an append-mode query to parquet."""
     writer = _writer(df, name, checkpoint, "append", INTERVALS["aggregates"], available_now)

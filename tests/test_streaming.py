@@ -221,3 +221,25 @@ def test_connectors_pass_their_options(spark):
                  lambda: read_jdbc_transactions(spark, "jdbc:none://x")):
         with pytest.raises(Exception, match="(?i)kafka|driver|avro"):
             call()
+
+
+def test_subscriptions_change_between_batches(spark, folder):
+    """A version that comes after the first batch counts from the second one on; the last change of a subscription holds."""
+    def subscribe(rows, version):
+        jobs.subscribe(spark.createDataFrame(rows, "user_id string, kind string, active boolean"), folder("s"), version)
+
+    def run():
+        source = stream(spark, folder("in"))
+        jobs.run_to_end(spark, jobs.live_feed({"transactions": source, "system_alerts": source.filter("amount > 5")}, folder("s"),
+                                              folder("out"), folder("cp"), True))
+        rows = spark.read.parquet(folder("out")).collect()
+        return sorted((r.subscriber, r.topic, json.loads(r.data)["transaction_id"]) for r in rows)
+
+    subscribe([("a", "transactions", True), ("b", "system_alerts", True), ("c", "transactions", False)], 0)
+    add_file(spark, [tx(1, "a", 1, 0), tx(2, "b", 9, 0), tx(3, "c", 9, 0)], folder("in"))
+    first = [("a", "user_a_transactions", "1"), ("b", "system_alerts", "2"), ("b", "system_alerts", "3")]
+    assert run() == first
+    subscribe([("a", "transactions", False), ("c", "transactions", True), ("c", "transactions", True)], 1)
+    subscribe([("a", "system_alerts", True)], 2)
+    add_file(spark, [tx(4, "a", 7, 0), tx(5, "c", 1, 0)], folder("in"))
+    assert run() == sorted(first + [("a", "system_alerts", "4"), ("b", "system_alerts", "4"), ("c", "user_c_transactions", "5")])
