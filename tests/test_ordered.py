@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+import time
+from pathlib import Path
 
 import pytest
 from helpers import START, close, frame, skewed_rows, tx
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from spendlens import domain
 from spendlens.operators import metrics as Q, timeline as L
 from spendlens.sources import read_stream
-from spendlens.streaming import jobs, ordered
+from spendlens.streaming import jobs, lag, ordered
 
 
 @pytest.fixture
@@ -153,3 +155,47 @@ def test_an_episode_goes_on_over_micro_batches(spark, folder):
     resolved = [r for r in held(spark, folder) if r.state == "resolved"]
     assert [(r.series, r.pending_since, r.last_true, r.peak) for r in resolved] == [
         ("a", START + dt.timedelta(minutes=2), START + dt.timedelta(minutes=12), 4.0)]
+
+
+# --- the engine's own lag -----------------------------------------------------------------------------------
+
+def test_offsets():
+    assert lag.offset_total('{"t": {"0": 5, "1": 7}, "u": {"0": 1}}') == 13
+    assert lag.offset_total({"logOffset": 3}) == 3 and lag.offset_total("8") == 8 and lag.offset_total(2) == 2
+    assert lag.offset_total(None) is None and lag.offset_total("none") is None and lag.offset_total({"a": None}) is None
+
+
+def test_lag_of_a_report():
+    report = {"timestamp": "2024-01-01T00:10:00.000Z", "name": "spend", "id": "i", "runId": "r", "batchId": 4, "batchDuration": 2500,
+              "eventTime": {"watermark": "2024-01-01T00:00:00.000Z"}, "sources": [
+                  {"description": "Kafka[t]", "numInputRows": 9, "endOffset": {"t": {"0": 90, "1": 10}}, "latestOffset": {"t": {"0": 95, "1": 30}}},
+                  {"description": "File[f]", "numInputRows": 1, "endOffset": {"logOffset": 3}, "latestOffset": None}]}
+    rows = lag.lag_rows(report)
+    assert [(r["topic"], r["consumer_group"], r["lag"], r["batch_seconds"]) for r in rows] == [
+        ("Kafka[t]", "spend", 25, 2.5), ("File[f]", "spend", None, 2.5)]
+
+
+def test_lag_rules_on_a_live_query_with_an_interval(spark, folder):
+    """Under its processing-time trigger a query takes a file per batch; its reports become the table that the rules read."""
+    for i in range(3):
+        add(spark, [tx(i, "u", 1, 60 * i)], folder("in"))
+    listener = lag.LagListener(spark, folder("lag"), every=2)
+    spark.streams.addListener(listener)
+    try:
+        query = jobs.foreach_batch(stream(spark, folder("in")), lambda batch, i: batch.count(), "lagging", folder("cp"), "append", "1 second")
+        while (query.lastProgress or {"batchId": -1})["batchId"] < 2 and query.isActive:
+            query.awaitTermination(1)
+        query.stop()
+        for _ in range(50):  # reports come from a thread of their own
+            listener.flush()
+            if Path(folder("lag")).exists() and lag.read_lag(spark, folder("lag")).where("input_rows > 0").count() >= 3:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    table = lag.read_lag(spark, folder("lag"))
+    rows = table.where("input_rows > 0").orderBy("batch_id").collect()
+    assert [(r.consumer_group, r.batch_id, r.input_rows, r.lag) for r in rows] == [("lagging", i, 1, None) for i in range(3)]
+    slow = Q.lag_levels(table.withColumn("lag", F.col("batch_seconds")), "consumer_group", "sum", 60)
+    assert slow.where("lag > 0").count() >= 1
+    assert Q.high_lag(table.withColumn("lag", F.lit(5000)), "consumer_group", "avg", hold_minutes=0).count() >= 1
