@@ -6,11 +6,12 @@ that would compress well together share many phrases, and the share is estimated
 
 The edited text of a document takes its ending from the next document in descending order of ``doc_id``. Documents are
 dealt out by ranges of ``doc_id``, once; the first document of each range also goes to the end of the one before it, so no
-task sees the whole order.
+task sees the whole order. An id (or the lack of one) with many rows has ranges of its own, by the hash of the text.
 
 NULL texts count as empty. An empty text has an empty fingerprint, like another empty one (1.0) and unlike all others
-(0.0). Rows without a ``doc_id`` come after all others; rows with one ``doc_id`` are ordered by text. A table of one
-document has that document as its own next one. Further columns are ignored.
+(0.0). Rows without a ``doc_id`` come after all others; rows with one ``doc_id`` are ordered by the hash of their text, repeated rows
+follow one another. A table of one document has that document as its own next one, an empty table gives an empty result.
+Texts of any length are parsed whole. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,40 +98,51 @@ class Parsed:
                 likeness(self.signature, edited, self.size), likeness(self.signature, after.signature, self.size))
 
 
-def ranges(ids: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of at most ``parts`` ranges of ``key``, the ranges that have rows, and the largest key of each."""
-    shares = [k / parts for k in range(1, parts)]
-    found = ids.agg(F.percentile_approx("key", shares, 10_000).alias("b")).first()["b"] if shares else None
-    bounds = np.unique(np.array(found or [], np.int64))
+class Ranges:
+    """At most ``parts`` ranges of (key, order), numbered in that order, that rows of ``ids`` fill about evenly.
 
-    @F.pandas_udf("bigint")
-    def place(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), "left"))
+    A key that is several of the percentiles has as many ranges of its own, equal parts of all orders (64-bit hashes).
+    """
 
-    heads = ids.groupBy(place("key").alias("range")).agg(F.max("key").alias("head")).orderBy("range").collect()
-    return bounds, np.array([h["range"] for h in heads], np.int64), np.array([h["head"] for h in heads], np.int64)
+    def __init__(self, ids: DataFrame, parts: int):
+        shares = [k / parts for k in range(1, parts)]
+        found = ids.agg(F.percentile_approx("key", shares, 10_000).alias("b")).first()["b"] if shares else None
+        self.bounds, self.times = np.unique(np.array(found or [], np.int64), return_counts=True)
+        self.stride = parts + 2
+        numbered = F.pandas_udf(self.number, "bigint")
+        heads = ids.groupBy(numbered("key", "order").alias("range")).agg(F.max(F.struct("key", "order")).alias("head")) \
+            .orderBy("range").collect()  # at most a row per range
+        self.used = np.array([h["range"] for h in heads], np.int64)
+        self.heads = np.array([tuple(h["head"]) for h in heads], np.int64).reshape(-1, 2)
+
+    def number(self, key: pd.Series, order: pd.Series) -> pd.Series:
+        keys = key.to_numpy()
+        at = np.searchsorted(self.bounds, keys, "left")
+        inside = np.minimum(at, max(len(self.bounds) - 1, 0))
+        times = np.where(self.bounds[inside] == keys, self.times[inside], 1) if len(self.bounds) else np.ones(len(keys), np.int64)
+        share = ((order.to_numpy() >> 1) + (1 << 62)) / 2.0 ** 63
+        own = np.minimum(np.floor(share * times), times - 1).astype(np.int64) + 1
+        return pd.Series(at * self.stride + np.where(times > 1, own, 0))
+
+    def places(self, key: pd.Series, order: pd.Series) -> pd.Series:
+        """2 * range of a document, and 2 * range + 1 where it follows the last document of another range."""
+        own = self.number(key, order).to_numpy()
+        at = np.searchsorted(self.used, own)
+        higher = self.used[(at + 1) % len(self.used)] if len(self.used) else own
+        first = (key.to_numpy() == self.heads[at, 0]) & (order.to_numpy() == self.heads[at, 1]) if len(self.used) else own == own
+        return pd.Series([[2 * o, 2 * h + 1] if f else [2 * o] for o, h, f in zip(own, higher, first)])
 
 
 def fingerprints(documents: DataFrame, size: int = 128) -> DataFrame:
     """Fingerprints of each text and its edited text, and their likeness to each other and to the next document."""
     spark = documents.sparkSession
-    docs = columns(documents, "doc_id", "text").select("*", F.coalesce("doc_id", F.lit(LOWEST)).alias("key"))
+    docs = columns(documents, "doc_id", "text").select(
+        "*", F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), F.xxhash64("text").alias("order"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds, used, heads = ranges(docs.select("key"), RANGES * partitions)
-
-    @F.pandas_udf("array<bigint>")
-    def places(key: pd.Series) -> pd.Series:
-        """2 * range of a document, and 2 * range + 1 where it follows the last document of another range."""
-        keys = key.to_numpy()
-        own = np.searchsorted(bounds, keys, "left")
-        at = np.searchsorted(used, own)
-        higher = used[(at + 1) % len(used)] if len(used) else own
-        first = keys == heads[at] if len(used) else keys == keys
-        return pd.Series([[2 * o, 2 * h + 1] if f else [2 * o] for o, h, f in zip(own, higher, first)])
-
-    dealt = docs.select("doc_id", "text", "key", F.explode(places("key")).alias("place")) \
+    places = F.pandas_udf(Ranges(docs.select("key", "order"), RANGES * partitions).places, "array<bigint>")
+    dealt = docs.select("doc_id", "text", "key", "order", F.explode(places("key", "order")).alias("place")) \
         .withColumn("range", F.expr("place div 2")).repartition(partitions, "range") \
-        .sortWithinPartitions("place", F.desc("key"), F.desc("text")).select("doc_id", "text", "place")
+        .sortWithinPartitions("place", F.desc("key"), F.desc("order"), F.desc("text")).select("doc_id", "text", "place")
     schema = to_arrow(spark, SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,6 +121,22 @@ def test_phrases_and_likeness():
     assert fingerprint.likeness(some[:6], some[3:], 128) == 0.3
 
 
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_rows_of_one_id_are_spread(spark, one_id):
+    """Each row is followed by another one of its id, each but one text follows once, and no task has all of them."""
+    texts = [f"{i:05d} " + "x" * (8 + i % 5) for i in range(400)]
+    docs = documents(spark, [(one_id, t) for t in texts] + [(9, "other"), (1, "last")]).repartition(3)
+    found = fingerprint.fingerprints(docs)
+    rows = found.collect()
+    assert len(rows) == 402
+    tails = {hashlib.sha256((a[:len(a) - len(a) // 2] + b[:len(a) // 2]).encode()).hexdigest(): (a, b)
+             for a in texts for b in [*texts, "other", "last"]}
+    follows = [tails[r.edited_sha256] for r in rows if r.doc_id == one_id]
+    assert len({a for a, _ in follows}) == 400 and len({b for _, b in follows}) == 400
+    parts = found.where("doc_id is null" if one_id is None else "doc_id = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 250
+
+
 def test_one_document_follows_itself(spark):
     row = fingerprint.fingerprints(documents(spark, ["abcd"])).first()
     assert row.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and row.near_next == 1
