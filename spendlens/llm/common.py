@@ -32,8 +32,12 @@ def words(text: Column) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in one process the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")
 
 
@@ -97,16 +101,21 @@ def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
 
 
 class Memo(dict):
-    """Results by key, computed on first use; emptied when it holds ``limit`` keys, so memory is bounded."""
+    """Results by key, computed on first use; emptied when it holds ``limit`` keys. Keys longer than ``longest`` are not
+    remembered, so memory is bounded in bytes."""
+
+    longest = 64
 
     def __init__(self, compute: Callable, limit: int = 400_000):
         super().__init__()
         self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 

@@ -1,10 +1,12 @@
 """Personal data (operator 4): patterns propose spans, checksums confirm them, words nearby adjust their score.
 
 The base kinds always stay: e-mail addresses, IPv4 addresses, card numbers that pass Luhn, and international phone
-numbers. Bank account numbers whose check digits are right (mod 97) and social security numbers are added where pattern,
-checksum and the words before them score at least ``THRESHOLD``. All of it is column expressions.
+numbers. Bank account numbers of their country's length whose check digits are right (mod 97), and social security numbers
+that are not part of a longer number, are added where pattern, checksum and the words before them score at least
+``THRESHOLD``. All of it is column expressions.
 
-NULL and empty texts have no spans; masking keeps NULL texts NULL. Rows without a ``doc_id`` and repeated rows are
+NULL and empty texts have no spans, an empty table gives an empty result, texts of any length are scanned whole; masking
+keeps NULL texts NULL. Rows without a ``doc_id`` and repeated rows are
 treated like all others; further columns are ignored, or kept as they are by ``masked_documents``.
 """
 
@@ -27,7 +29,30 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+#: Lengths of account numbers by country (fixed values of the public registry).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def account_pattern() -> str:
+    """Account numbers of each country's length, in groups of four with or without blanks."""
+    by_length: dict[int, list[str]] = {}
+    for country, length in IBAN_LENGTHS.items():
+        by_length.setdefault(length, []).append(country)
+    kinds = []
+    for length, countries in sorted(by_length.items()):
+        groups, rest = divmod(length - 4, 4)
+        kinds.append(f"(?:{'|'.join(countries)})[0-9]{{2}}(?:\\x20?[A-Z0-9]{{4}}){{{groups}}}" + (f"\\x20?[A-Z0-9]{{{rest}}}" if rest else ""))
+    return f"(?:{'|'.join(kinds)})"
+
+
+IBAN = account_pattern()
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 OCTETS = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
@@ -73,8 +98,14 @@ def base_spans(text: Column) -> Column:
 
 
 def added_spans(text: Column) -> Column:
-    iban = F.filter(spans.matches(text, IBAN, 4), lambda s: mod_97(s["value"]))
-    return F.concat(iban, spans.matches(text, SSN, 5))
+    iban = F.filter(spans.matches(text, "(?=[A-Z]{2}[0-9]{2})" + IBAN, 4), lambda s: mod_97(s["value"]))
+
+    def alone(s: Column) -> Column:
+        """Not part of a longer number."""
+        before = F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("")
+        return ~F.concat(before, F.substring(text, s["end"] + 1, F.lit(1))).rlike("[0-9-]")
+
+    return F.concat(iban, F.filter(spans.matches(text, SSN, 5), alone))
 
 
 def score(text: Column, span: Column) -> Column:

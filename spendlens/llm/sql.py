@@ -77,7 +77,9 @@ confirmed AS (
     WHEN 1 THEN list_max(list_transform(string_split(value, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN 999
       WHEN ltrim(p, '0') = '' THEN 0 ELSE ltrim(p, '0')::INT END)) <= 255
     WHEN 2 THEN length({DIGITS}) BETWEEN 12 AND 19 AND {LUHN} WHEN 3 THEN length({DIGITS}) BETWEEN 9 AND 15
-    WHEN 4 THEN {MOD_97} ELSE TRUE END),
+    WHEN 4 THEN {MOD_97}
+    WHEN 5 THEN NOT regexp_matches(CASE WHEN start > 0 THEN substr(text, start, 1) ELSE '' END || substr(text, start + length(value) + 1, 1), '[0-9-]')
+    ELSE TRUE END),
 good AS (SELECT doc_id, kind, value, start, score FROM confirmed WHERE kind < {pii.BASE} OR score >= {pii.THRESHOLD})""" + answer(
     pii.KINDS, pii.BASE, "coalesce(string_agg(score::VARCHAR, ',' ORDER BY start, kind), '') AS scores")
 

@@ -226,6 +226,26 @@ def test_checksums_and_context(spark):
     assert rows[4].scores == "1.0" and rows[5].scores == "0.7"
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = ["my iban BE68 5390 0754 7034 EUR", "iban BE68539007547034 PAID", "account NO93 8601 1117 947 and", "konto DE89370400440532013000X",
+             "iban XX68 5390 0754 7034", "iban BE68 5390 0754 7035", "ssn 1123-45-6789", "ssn 123-45-67890", "ssn 123-45-6789-1", "ssn 123-45-6789."]
+    rows = {r.doc_id: r.spans for r in pii.personal_data(documents(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == ["iban:8:27", "iban:5:21", "iban:8:26", "iban:6:28", "", "", "", "", "", "ssn:4:15"]
+
+
+def test_personal_data_equals_sql(spark, mixed):
+    import duckdb
+
+    from spendlens.llm import sql
+    texts = [t for t in mixed if t is None or len(t) < 3000] + ["iban BE68 5390 0754 7034 EUR", "ssn 1123-45-6789 123-45-6789"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    result = con.execute(sql.PERSONAL_DATA)
+    names = [c[0] for c in result.description]
+    assert sorted(map(tuple, pii.personal_data(documents(spark, texts)).select(*names).collect())) == sorted(result.fetchall())
+
+
 def test_masking(spark):
     texts = ["é a@b.co, +1 (555) 555-1234 and 😀 1.2.3.4", "clean", None, "", "+4111 1111-1111 1111"]
     rows = {r.doc_id: r.text for r in pii.masked_documents(documents(spark, texts), "doc_id", "text").collect()}
