@@ -36,7 +36,11 @@ def build_session(app_name: str = "spendlens", master: str | None = None, **conf
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; where the setting is absent the warehouse takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``; in one process the warehouse takes its place where it is unset.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
