@@ -11,6 +11,8 @@ from spendlens.operators import aggregates as A, alerts, anomaly, fraud, timelin
 from spendlens.operators.metrics import counts_by
 from spendlens.plans.registry import query
 from spendlens.plans.tables import AS_OF, epoch, transactions, with_tx
+from spendlens.session import shared_dir
+from spendlens.sources import read_training_data
 
 BEHAVIOUR_SQL = """, behaviour AS (
   SELECT *, avg(amount) OVER so_far AS mean, stddev_samp(amount) OVER so_far AS sd,
@@ -460,3 +462,34 @@ def e10_stable_alert_ids(spark, sf_dir):
     anomalies = _anomalies(spark, sf_dir).withColumn("total_amount", F.round("total_amount", 2))
     return alerts.anomaly_alerts(anomalies, AS_OF, stable_ids=True).select(
         "user_id", F.col("alert_data_category").alias("category"), "alert_id")
+
+
+@query("s4_training_rows", with_tx("SELECT transaction_id, amount, CAST(status = 'FRAUD' AS INTEGER) AS is_fraud FROM tx"))
+def s4_training_rows(spark, sf_dir):
+    """Training data from stored files; the label follows from the status."""
+    path = shared_dir(spark, "training")
+    transactions(spark, sf_dir).write.parquet(path)
+    return read_training_data(spark, path).select("transaction_id", "amount", "is_fraud")
+
+
+@query("s10_loaded_model", with_tx(FEATURES_SQL + "SELECT transaction_id, TRUE AS same FROM features"))
+def s10_loaded_model(spark, sf_dir):
+    """The second call loads what the first one trained and saved: the same cluster for every row, the same anomalous ones."""
+    path, features = shared_dir(spark, "clusters"), anomaly.transaction_features(transactions(spark, sf_dir))
+    trained, loaded = (anomaly.load_or_train(spark, path, features) for _ in range(2))
+    first = trained.pipeline.transform(features).select("transaction_id", F.col("cluster").alias("before"))
+    both = loaded.pipeline.transform(features).join(first, "transaction_id")
+    agree = F.lit(trained.anomalous == loaded.anomalous)
+    return both.select("transaction_id", ((F.col("cluster") == F.col("before")) & agree).alias("same"))
+
+
+@query("k9_saved_forest", with_tx("SELECT transaction_id, TRUE AS same FROM tx"))
+def k9_saved_forest(spark, sf_dir):
+    """A saved forest gives the probabilities of the one in memory."""
+    tx = transactions(spark, sf_dir).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
+    path, features = shared_dir(spark, "forest"), fraud.fraud_features(tx)
+    model = fraud.train_fraud_model(tx, trees=20, depth=5)
+    model.pipeline.write().overwrite().save(path)
+    scores = [fraud.score(features, m, only_fraud=False, as_of=AS_OF).select("transaction_id", F.col("fraud_probability").alias(name))
+              for m, name in ((model.pipeline, "before"), (fraud.load_fraud_model(path), "after"))]
+    return scores[0].join(scores[1], "transaction_id").select("transaction_id", (F.col("before") == F.col("after")).alias("same"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spendlens import sources
+from spendlens import sinks, sources
 from spendlens.functions import columns as C, text as X
 from spendlens.operators import retrieval as R, vector_index as V
 from spendlens.plans.registry import query
@@ -88,6 +88,16 @@ def p11_payload_filter(spark, sf_dir):
         F.col("doc_id").cast("long").alias("doc_id"))
 
 
+@query("k10_documents_once", "SELECT DISTINCT sha256(text) AS doc_id, length(text) AS n_chars FROM documents WHERE text IS NOT NULL")
+def k10_documents_once(spark, sf_dir):
+    """Documents that come twice, under the hash of their text, in three batches of which two overlap."""
+    path = shared_dir(spark, "corpus")
+    texts = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    for part in ("doc_id % 3 <> 0", "doc_id % 3 <> 1", "doc_id % 3 = 2"):
+        sinks.add_documents(as_corpus(texts.filter(part), F.col("text"), metadata_map(lang=F.col("lang"))), path)
+    return spark.read.parquet(path).select("doc_id", F.length("content").cast("long").alias("n_chars"))
+
+
 @query("d1_chunks")
 def d1_chunks(spark, sf_dir):
     return R.chunk_documents(corpus(spark, sf_dir).drop("metadata"))
