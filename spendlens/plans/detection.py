@@ -397,6 +397,20 @@ def m8_score_invariants(spark, sf_dir):
                          .alias("consistent"), F.lit(0.5 < model.auc <= 1).alias("auc_in_range"))
 
 
+@query("m7_confusion", with_tx("""
+SELECT count(*) AS transactions, count(*) FILTER (status = 'FRAUD') AS frauds, TRUE AS mostly_found, TRUE AS mostly_right FROM tx"""))
+def m7_confusion(spark, sf_dir):
+    """The label follows from amount and hour, which are features: the forest finds most frauds, and most of what it finds are."""
+    tx = transactions(spark, sf_dir).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
+    model = fraud.train_fraud_model(tx)
+    scores = fraud.score(fraud.fraud_features(tx), model.pipeline, only_fraud=False, as_of=AS_OF).select("transaction_id", "prediction")
+    both = scores.join(tx.select("transaction_id", "is_fraud"), "transaction_id")
+    right = F.count_if((F.col("prediction") == 1) & (F.col("is_fraud") == 1))
+    return both.agg(F.count("*").alias("transactions"), F.sum("is_fraud").alias("frauds"),
+                    (right > 0.5 * F.sum("is_fraud")).alias("mostly_found"),
+                    (right > 0.5 * F.count_if(F.col("prediction") == 1)).alias("mostly_right"))
+
+
 @query("p10_predicted_frauds", with_tx("SELECT 0 AS missing, 0 AS unlikely"))
 def p10_predicted_frauds(spark, sf_dir):
     """The filtered scores are those with a prediction of 1, with a probability above one half."""
