@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has graph, a, b. Nodes without a link to another node do not occur in the result.
     """
-    links = links.select("graph", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    links = stored(links.select("graph", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
     before = None
     while True:
         links = stored(_small_star(_large_star(links)), "links")

@@ -247,19 +247,20 @@ def near_duplicates(documents: DataFrame, percent: int = 80, permutations: int =
     firsts = named.groupBy(name).agg(F.min("doc_id").alias("first"))
     unique = named.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     stars = stored(bucket_stars(unique), "stars")
-    candidates = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    candidates = stored(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
     # An inner join: a semi join would be moved below the bit map.
     texts = worth_shuffling(columns(documents, "doc_id", "text"), candidates).join(candidates, "doc_id")
     sets = stored(shingle_sets(texts), "sets")
     links = stored(confirmed(stars, sets, percent).unionByName(same_id(named, firsts, name)), "links")
     labels = stored(components(stars.withColumn("graph", F.lit(0)).unionByName(links.withColumn("graph", F.lit(1)))), "labels")
     rest = stored(open_groups(stars, labels), "rest")
-    more = confirmed(prefix_pairs(rest, sets, percent), sets, percent)
+    # Written before they are used several times: a plan that repeats them would fill the driver.
+    more = stored(confirmed(stored(prefix_pairs(rest, sets, percent), "open"), sets, percent), "more")
     part = rest.select("doc_id", "part")
     joined = more.join(part.withColumnRenamed("doc_id", "a").withColumnRenamed("part", "x"), "a") \
         .join(part.withColumnRenamed("doc_id", "b").withColumnRenamed("part", "y"), "b") \
         .select(F.lit(2).alias("graph"), F.col("x").alias("a"), F.col("y").alias("b"))
-    merged = components(joined).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    merged = components(stored(joined, "parts")).select(F.col("node").alias("part"), F.col("component").alias("whole"))
     known = labels.where("graph = 1").select(F.col("node").alias("first"), F.col("component").alias("part"))
     found = firsts.join(known, "first", "left").withColumn("part", F.coalesce("part", "first")) \
         .join(merged, "part", "left").select(*name, F.coalesce("whole", "part").alias("component"))
