@@ -183,3 +183,19 @@ def test_query_equals_sql(spark, sf_dir, name):
     from check import compare, duck
 
     assert compare(QUERIES[name](spark, sf_dir), duck(sf_dir), ORACLE[name]).startswith("ok")
+
+
+def test_sets_of_one_id_are_in_one_component(spark):
+    """Rows 1 and 2 differ, but id 3 has the texts of both."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = neardup.near_duplicates(documents(spark, [(1, a), (2, b), (3, a), (3, b), (4, c), (5, c + " x")])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [
+        (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (5, 4, False)]
+
+
+def test_rows_without_removed_keys(spark):
+    rows = spark.range(5000).selectExpr("id AS key", "id * 2 AS value").unionByName(
+        spark.createDataFrame([(None, 1), (None, 2)], "key long, value long"))
+    left = neardup.without(rows, spark.range(0, 5000, 3).selectExpr("id AS key"), "key").collect()
+    assert sorted((r.key, r.value) for r in left if r.key is not None) == [(i, 2 * i) for i in range(5000) if i % 3]
+    assert sorted(r.value for r in left if r.key is None) == [1, 2]
