@@ -40,7 +40,7 @@ def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Of different texts under one id, one goes by that id and the others by ids of their own, above 2^62, for this stage. Of
     rows of equal id and text, the one with the smallest lang, source and n_chars stays. What goes is decided on ids and
-    hashes; texts are only shuffled where such rows, or a hash, leave it open.
+    hashes; texts are only shuffled where such rows, or a hash, leave it open, and once at the end, those that stay.
     """
     rows = columns(docs, *COLUMNS).withColumn("text_hash", F.xxhash64("text")).withColumn("row_key", F.xxhash64("doc_id", "text_hash"))
     light = rows.where("doc_id is not null").select("doc_id", "text_hash", "row_key")
@@ -58,7 +58,8 @@ def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     left = neardup.marked(neardup.without(keyed, removed, "key"), copies, "row_key")
     once = left.where("_marked and doc_id is not null").groupBy("doc_id", "text_hash").agg(
         F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")).select("doc_id", "row.*")
-    return left.where("not _marked or doc_id is null").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    kept = left.where("not _marked or doc_id is null").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    return kept.hint("rebalance")  # one shuffle of what stays: later stages get tasks of even, moderate size
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
