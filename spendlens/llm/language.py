@@ -164,11 +164,13 @@ def learn(documents: DataFrame, families: Mapping[str, str] = FAMILIES, max_trai
           iterations: int = 20) -> LanguageModel:
     """Fits the machines on ``documents`` (doc_id, text, lang)."""
     spark = documents.sparkSession
-    rows = training_sample(documents, max_training_rows).collect()  # bounded, see there
-    rows.sort()
-    if not rows:
+    sample = training_sample(documents, max_training_rows).toArrow()  # bounded, see there
+    if not sample.num_rows:
         return LanguageModel(None, {})
-    langs, x = np.array([r["lang"] for r in rows], object), np.array([r["x"] for r in rows], np.float32)
+    langs = np.array(sample["lang"].to_pylist(), object)
+    x = sample["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(langs), -1).astype(np.float32)
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))
+    langs, x = langs[order], x[order]
     family = {lang: families.get(lang, lang) for lang in langs}
     names = sorted(set(family.values()))
     within = {f: sorted(k for k in family if family[k] == f) for f in names}
