@@ -49,6 +49,15 @@ def test_chunk_documents(spark):
     assert [(r.doc_id, r.chunk_no, len(r.chunk), r.metadata["k"]) for r in rows] == [("a", 0, 1000, "v"), ("a", 1, 700, "v")]
 
 
+def test_texts_reach_the_chunker_by_the_hundred(spark):
+    """No whole Arrow batch of texts, whose size has no bound in bytes, is held by a worker."""
+    df = spark.range(1000).selectExpr("id AS doc_id", "repeat('word ', 500) AS content")
+    chunks = R.chunk_documents(df)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
+    assert chunks.count() == 3 * 1000
+
+
 @pytest.fixture(scope="module")
 def collection(spark):
     rng = np.random.default_rng(3)
