@@ -162,15 +162,55 @@ def live_feed(streams: Mapping[str, DataFrame], subscriptions: str, path: str, c
     feed = user_feed(streams, as_of=as_of)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        wanted = current_subscriptions(batch.sparkSession, subscriptions)
-        topic = F.when(F.col("kind").isin(*BROADCAST_TOPICS), F.col("kind")).otherwise(
-            F.concat(F.lit("user_"), F.col("user_id"), F.lit("_"), F.col("kind")))
-        heard = wanted.select(F.col("user_id").alias("subscriber"), topic.alias("topic")).distinct()
+        heard = _audience(batch.sparkSession, subscriptions)
         batch.join(heard, "topic").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return foreach_batch(feed, write, "feed", checkpoint, "append", available_now=available_now)
 
 
+def _audience(spark: SparkSession, subscriptions: str) -> DataFrame:
+    """Who hears which topic at present."""
+    topic = F.when(F.col("kind").isin(*BROADCAST_TOPICS), F.col("kind")).otherwise(
+        F.concat(F.lit("user_"), F.col("user_id"), F.lit("_"), F.col("kind")))
+    wanted = current_subscriptions(spark, subscriptions)
+    return wanted.select(F.col("user_id").alias("subscriber"), topic.alias("topic")).distinct()
+
+
+def live_topics(streams: Mapping[str, DataFrame], subscriptions: str, path: str, checkpoint: str, available_now: bool = False,
+                as_of=None) -> StreamingQuery:
+    """``live_feed`` with each event written once, however many hear it.
+
+    A broadcast event has as many copies in ``live_feed`` as it has subscribers, so copies grow with events times users.
+    Here ``events`` holds the events of the topics that anyone hears, and ``audience`` who heard which topic in the micro-batch;
+    ``heard`` brings them together, after the events have been reduced where that will do.
+    """
+    feed = user_feed(streams, as_of=as_of)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        _audience(spark, subscriptions).write.mode("overwrite").parquet(f"{path}/audience/batch_id={batch_id}")
+        topics = spark.read.schema("subscriber string, topic string").parquet(
+            f"{path}/audience/batch_id={batch_id}").select("topic").distinct()
+        to_all = F.col("topic").isin(*BROADCAST_TOPICS)
+        wanted = [r["topic"] for r in topics.filter(to_all).collect()]  # at most the fixed ones
+        own = batch.filter(~to_all).join(topics, "topic", "left_semi").select(*batch.columns)
+        events = own.unionByName(batch.filter(F.col("topic").isin(wanted))) if wanted else own
+        events.write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
+
+    return foreach_batch(feed, write, "feed", checkpoint, "append", available_now=available_now)
+
+
+def topic_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events that ``live_topics`` has written, with their ``batch_id``; each once."""
+    return spark.read.schema("type string, data string, topic string, timestamp timestamp, batch_id int").parquet(f"{path}/events")
+
+
+def heard(figures: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """Events of ``topic_events``, or figures of them by ``batch_id`` and ``topic``, for everyone who heard the topic then."""
+    audience = spark.read.schema("subscriber string, topic string, batch_id int").parquet(f"{path}/audience")
+    return audience.join(figures, ["batch_id", "topic"])
+
+
 def subscribe(changes: DataFrame, path: str, version: int) -> None:
     """Changes of subscriptions (user_id, kind, active) as a further version; a repeated version replaces itself."""
     changes.select("user_id", "kind", "active").write.mode("overwrite").parquet(f"{path}/version={version}")

@@ -243,3 +243,24 @@ def test_subscriptions_change_between_batches(spark, folder):
     subscribe([("a", "system_alerts", True)], 2)
     add_file(spark, [tx(4, "a", 7, 0), tx(5, "c", 1, 0)], folder("in"))
     assert run() == sorted(first + [("a", "system_alerts", "4"), ("b", "system_alerts", "4"), ("c", "user_c_transactions", "5")])
+
+
+def test_a_broadcast_event_is_written_once(spark, folder):
+    """Many subscribers hear it, and only those of the micro-batch it came with; nobody's events are not written."""
+    def step(rows, events, version):
+        jobs.subscribe(spark.createDataFrame(rows, "user_id string, kind string, active boolean"), folder("s"), version)
+        add_file(spark, events, folder("in"))
+        source = stream(spark, folder("in"))
+        jobs.run_to_end(spark, jobs.live_topics({"transactions": source, "system_alerts": source.filter("amount > 5")},
+                                                folder("s"), folder("out"), folder("cp"), True))
+        events = jobs.topic_events(spark, folder("out"))
+        every = jobs.heard(events, spark, folder("out")).collect()
+        return events.count(), sorted((r.subscriber, r.topic, json.loads(r.data)["transaction_id"]) for r in every)
+
+    fans = [(f"f{i:02d}", "system_alerts", True) for i in range(40)]
+    written, first = step([("a", "transactions", True), *fans], [tx(1, "a", 1, 0), tx(2, "b", 9, 0), tx(3, None, 2, 0)], 0)
+    assert written == 2
+    assert first == [("a", "user_a_transactions", "1")] + [(f, "system_alerts", "2") for f, _, _ in fans]
+    off = [(f, kind, False) for f, kind, _ in fans]
+    written, both = step([("b", "transactions", True), ("b", "transactions", True), *off], [tx(4, "b", 9, 0), tx(5, "c", 9, 0)], 1)
+    assert written == 3 and both == sorted(first + [("b", "user_b_transactions", "4")])
