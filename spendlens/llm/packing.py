@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from spendlens.llm.bpe import byte_symbols
 from spendlens.llm.common import (BEYOND_LATIN, LATIN_BLANKS, LATIN_LETTERS, LATIN_NUMBERS, Memo, columns, to_arrow,
                                   vocabulary)
 
@@ -35,10 +36,15 @@ LATIN_WORDS = (WORDS.replace(r"[^\s\p{L}\p{N}]", f"[^{LATIN_BLANKS}{LATIN_LETTER
                .replace(r"[\p{L}]", f"[{LATIN_LETTERS}]").replace(r"[\p{N}]", f"[{LATIN_NUMBERS}]"))
 
 
+#: How a byte-level vocabulary writes the bytes, read as Latin-1.
+BYTE_SYMBOLS = dict(enumerate(byte_symbols()))
+
+
 class WordIds:
     """Token ids of texts as little-endian 32-bit integers, from the tokenizer library word by word.
 
-    Words do not influence one another, so each is encoded once per task. Texts with characters beyond the Latin
+    Words do not influence one another, so each is encoded once per task. Those of letters, which need no normalizing and
+    no splitting, go to the library's model without its other steps. Texts with characters beyond the Latin
     blocks, or with something like a special token, go to the library whole.
     """
 
@@ -49,11 +55,19 @@ class WordIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.words = re.compile(LATIN_WORDS)
-        self.memo = Memo(self.whole)
+        self.model = self.library.model
+        self.memo = Memo(self.word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        if not word.isalpha():
+            return self.whole(word)
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
         if "<|" in text or BEYOND_LATIN.search(text):
             return self.whole(text)

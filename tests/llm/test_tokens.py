@@ -130,3 +130,13 @@ def test_odd_and_empty_tables(odd, run):
     assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, 7, None}
     assert sum(r.doc_id == 4 for r in rows) == 2
     assert run(odd.limit(0)).count() == 0
+
+
+def test_words_of_letters_skip_the_steps_they_do_not_need(monkeypatch):
+    """The same ids as the library's for every Latin letter, in long and short words, without a call of its whole way."""
+    words = packing.WordIds(packing.vocabulary("word_bpe_49k.json"))
+    letters = [chr(i) for i in range(0x180) if chr(i).isalpha()]
+    texts = letters + [f"x{c}{c}on{c}" for c in letters] + ["straßenbahn", "œuvre", "the", "a" * 300]
+    expected = [words.whole(t) for t in texts if "\u0130" not in t]
+    monkeypatch.setattr(words, "whole", None)
+    assert [words(t) for t in texts if "\u0130" not in t] == expected
