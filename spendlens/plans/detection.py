@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
@@ -306,19 +307,43 @@ def w9_newest_alerts(spark, sf_dir):
 
 # --- models: results depend on training, so they are checked by tests, not by SQL -------------------------
 
+def _learned(features, train, name):
+    """What ``train`` learns from the features, and the features again for scoring. They are computed once: on the
+    executors' disks while the training reads them, in the shared folder afterwards."""
+    spark, path = features.sparkSession, shared_dir(features.sparkSession, name)
+    held = features.persist(StorageLevel.DISK_ONLY)
+    try:
+        held.write.parquet(path)
+        model = train(held)
+    finally:
+        held.unpersist()
+    return model, spark.read.schema(features.schema).parquet(path)
+
+
+def _clusters(spark, sf_dir, **options):
+    """The clustering of the whole table, and its features."""
+    features = anomaly.transaction_features(transactions(spark, sf_dir))
+    return _learned(features, lambda rows: anomaly.train_clusters(rows, **options), "cluster-features")
+
+
+def _forest(tx, **options):
+    """The forest of labelled transactions, and of their features those that training and scores need."""
+    needed = dict.fromkeys(["transaction_id", "user_id", "amount", "merchant", "is_fraud", *fraud.CATEGORICAL, *fraud.NUMERIC])
+    features = fraud.fraud_features(tx).select(*needed)
+    return _learned(features, lambda rows: fraud.train_fraud_model(rows, **options), "fraud-features")
+
+
 @query("m2_cluster_statistics")
 def m2_cluster_statistics(spark, sf_dir):
     """Train the clustering on the whole table and describe its clusters."""
-    features = anomaly.transaction_features(transactions(spark, sf_dir))
-    model = anomaly.train_clusters(features, evaluate=False)
+    model, features = _clusters(spark, sf_dir, evaluate=False)
     return anomaly.cluster_statistics(model.pipeline.transform(anomaly.without_outliers(features)))
 
 
 @query("m4_transaction_anomalies")
 def m4_transaction_anomalies(spark, sf_dir):
     """A wider rule than the default, which finds no cluster in evenly spread data."""
-    features = anomaly.transaction_features(transactions(spark, sf_dir))
-    model = anomaly.train_clusters(features, evaluate=False, max_share=0.3, min_zscore=0.5)
+    model, features = _clusters(spark, sf_dir, evaluate=False, max_share=0.3, min_zscore=0.5)
     return anomaly.transaction_anomalies(features, model, AS_OF).drop("anomaly_features", "detected_at")
 
 
@@ -326,8 +351,8 @@ def m4_transaction_anomalies(spark, sf_dir):
 def m8_fraud_scores(spark, sf_dir):
     """Train the forest on the whole table and score every transaction."""
     tx = transactions(spark, sf_dir).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
-    model = fraud.train_fraud_model(tx)
-    return fraud.score(fraud.fraud_features(tx), model.pipeline, only_fraud=False, as_of=AS_OF).drop("prediction_time")
+    model, features = _forest(tx)
+    return fraud.score(features, model.pipeline, only_fraud=False, as_of=AS_OF).drop("prediction_time")
 
 
 # The learned models are checked by what must hold for any model, and their rules on a fixed clustering.
@@ -378,8 +403,7 @@ WHERE amount_zscore BETWEEN -3 AND 3 AND time_since_last < 86400 AND transaction
   AND amount_ratio BETWEEN 0.1 AND 10"""))
 def m2_cluster_invariants(spark, sf_dir):
     """Every training row is in a cluster, the shares are a whole, and the silhouette is one."""
-    features = anomaly.transaction_features(transactions(spark, sf_dir))
-    model = anomaly.train_clusters(features)
+    model, features = _clusters(spark, sf_dir)
     stats = anomaly.cluster_statistics(model.pipeline.transform(anomaly.without_outliers(features)))
     return stats.agg(F.sum("count").alias("clustered"), F.round(F.sum("share"), 9).alias("shares"),
                      F.lit(-1 <= model.silhouette <= 1).alias("silhouette_in_range"))
@@ -390,8 +414,8 @@ SELECT transaction_id, TRUE AS consistent, TRUE AS auc_in_range FROM tx"""))
 def m8_score_invariants(spark, sf_dir):
     """One score per transaction; a fraud is what is more likely one than not; the area under the curve beats chance."""
     tx = transactions(spark, sf_dir).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
-    model = fraud.train_fraud_model(tx)
-    scores = fraud.score(fraud.fraud_features(tx), model.pipeline, only_fraud=False, as_of=AS_OF)
+    model, features = _forest(tx)
+    scores = fraud.score(features, model.pipeline, only_fraud=False, as_of=AS_OF)
     likely = F.col("fraud_probability")
     return scores.select("transaction_id", ((F.col("prediction") == (likely > 0.5).cast("double")) & likely.between(0, 1))
                          .alias("consistent"), F.lit(0.5 < model.auc <= 1).alias("auc_in_range"))
@@ -402,8 +426,8 @@ SELECT count(*) AS transactions, count(*) FILTER (status = 'FRAUD') AS frauds, T
 def m7_confusion(spark, sf_dir):
     """The label follows from amount and hour, which are features: the forest finds most frauds, and most of what it finds are."""
     tx = transactions(spark, sf_dir).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
-    model = fraud.train_fraud_model(tx)
-    scores = fraud.score(fraud.fraud_features(tx), model.pipeline, only_fraud=False, as_of=AS_OF).select("transaction_id", "prediction")
+    model, features = _forest(tx)
+    scores = fraud.score(features, model.pipeline, only_fraud=False, as_of=AS_OF).select("transaction_id", "prediction")
     both = scores.join(tx.select("transaction_id", "is_fraud"), "transaction_id")
     right = F.count_if((F.col("prediction") == 1) & (F.col("is_fraud") == 1))
     return both.agg(F.count("*").alias("transactions"), F.sum("is_fraud").alias("frauds"),
@@ -415,8 +439,7 @@ def m7_confusion(spark, sf_dir):
 def p10_predicted_frauds(spark, sf_dir):
     """The filtered scores are those with a prediction of 1, with a probability above one half."""
     tx = transactions(spark, sf_dir).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
-    model = fraud.train_fraud_model(tx)
-    features = fraud.fraud_features(tx)
+    model, features = _forest(tx)
     every = fraud.score(features, model.pipeline, only_fraud=False, as_of=AS_OF)
     kept = fraud.score(features, model.pipeline, as_of=AS_OF).select("transaction_id", F.lit(1).alias("kept"))
     both = every.join(kept, "transaction_id", "left")
@@ -490,7 +513,8 @@ def s4_training_rows(spark, sf_dir):
 def s10_loaded_model(spark, sf_dir):
     """The second call loads what the first one trained and saved: the same cluster for every row, the same anomalous ones."""
     path, features = shared_dir(spark, "clusters"), anomaly.transaction_features(transactions(spark, sf_dir))
-    trained, loaded = (anomaly.load_or_train(spark, path, features) for _ in range(2))
+    trained, features = _learned(features, lambda rows: anomaly.load_or_train(spark, path, rows), "cluster-features")
+    loaded = anomaly.load_or_train(spark, path, features)
     first = trained.pipeline.transform(features).select("transaction_id", F.col("cluster").alias("before"))
     both = loaded.pipeline.transform(features).join(first, "transaction_id")
     agree = F.lit(trained.anomalous == loaded.anomalous)
@@ -501,8 +525,8 @@ def s10_loaded_model(spark, sf_dir):
 def k9_saved_forest(spark, sf_dir):
     """A saved forest gives the probabilities of the one in memory."""
     tx = transactions(spark, sf_dir).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
-    path, features = shared_dir(spark, "forest"), fraud.fraud_features(tx)
-    model = fraud.train_fraud_model(tx, trees=20, depth=5)
+    path = shared_dir(spark, "forest")
+    model, features = _forest(tx, trees=20, depth=5)
     model.pipeline.write().overwrite().save(path)
     scores = [fraud.score(features, m, only_fraud=False, as_of=AS_OF).select("transaction_id", F.col("fraud_probability").alias(name))
               for m, name in ((model.pipeline, "before"), (fraud.load_fraud_model(path), "after"))]

@@ -114,3 +114,10 @@ def test_training_label_from_status(spark, labelled, tmp_path):
     labelled.write.parquet(str(tmp_path / "t"))
     df = sources.read_training_data(spark, str(tmp_path / "t"))
     assert df.filter("is_fraud = 1").count() == labelled.filter("status = 'FRAUD'").count()
+
+
+@pytest.mark.parametrize("name", ["m8_fraud_scores", "k9_saved_forest", "s10_loaded_model", "m4_transaction_anomalies"])
+def test_features_are_computed_once(spark, sf_dir, name):
+    """Scoring reads the features that the training computed: no window runs over the transactions again."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "features" in plan and "events.parquet" not in plan
