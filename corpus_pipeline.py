@@ -40,13 +40,13 @@ def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Of different texts under one id, one goes by that id and the others by ids of their own, above 2^62, for this stage. Of
     rows of equal id and text, the one with the smallest lang, source and n_chars stays. What goes is decided on ids and
-    hashes; texts are only shuffled where such rows, or a hash, leave it open, and once at the end, those that stay.
+    hashes, which are written once; texts are only shuffled where such rows, or a hash, leave it open, and once at the end, those that stay.
     """
     rows = columns(docs, *COLUMNS).withColumn("text_hash", F.xxhash64("text")).withColumn("row_key", F.xxhash64("doc_id", "text_hash"))
-    light = rows.where("doc_id is not null").select("doc_id", "text_hash", "row_key")
+    own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2 ** 62 - 1)).bitwiseOR(F.lit(2 ** 62))
+    light = stored(rows.where("doc_id is not null").select("doc_id", "text_hash", "row_key", own.alias("own")), "light")
     several = stored(light.groupBy("doc_id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
                      .where("low <> high").select("doc_id", "low"), "several")
-    own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2 ** 62 - 1)).bitwiseOR(F.lit(2 ** 62))
     flagged = neardup.marked(rows, several, "doc_id")
     shared = flagged.where("_marked").join(several, "doc_id", "left").withColumn(
         "key", F.when(F.col("text_hash") != F.col("low"), own).otherwise(F.col("doc_id"))).drop("low")
@@ -55,7 +55,9 @@ def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = neardup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
     removed = stored(found.where("not kept").select(F.col("doc_id").alias("key")).distinct(), "removed")
     copies = stored(light.groupBy("row_key").count().where("count > 1").select("row_key"), "copies")
-    left = neardup.marked(neardup.without(keyed, removed, "key"), copies, "row_key")
+    keys = light.join(several, "doc_id", "left").select(
+        F.when(F.col("text_hash") != F.col("low"), F.col("own")).otherwise(F.col("doc_id")).alias("key"))
+    left = neardup.marked(neardup.without(keyed, removed, "key", keys), copies, "row_key")
     once = left.where("_marked and doc_id is not null").groupBy("doc_id", "text_hash").agg(
         F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")).select("doc_id", "row.*")
     kept = left.where("not _marked or doc_id is null").select(*COLUMNS).unionByName(once.select(*COLUMNS))

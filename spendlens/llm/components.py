@@ -39,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         links = stored(_small_star(_large_star(links)), "links")
         state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("graph", "a", "b"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
         before = state
     return links.select("graph", F.col("b").alias("node"), F.col("a").alias("component")).unionByName(

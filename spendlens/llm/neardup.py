@@ -131,8 +131,14 @@ def worth_shuffling(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``_marked``: false only where ``key`` (not NULL) is not among the ``keys``, and nearly always then."""
-    slots = min(max(1 << (16 * max(keys.count(), 1) - 1).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+    """``rows`` with ``_marked``: false only where ``key`` (not NULL) is not among the ``keys``, and nearly always then.
+
+    Without ``keys`` it is a constant, so plans lose whatever follows for marked rows only.
+    """
+    n = keys.count()
+    if not n:
+        return rows.withColumn("_marked", F.lit(False))
+    slots = min(max(1 << (16 * n - 1).bit_length(), LEAST_SLOTS), MOST_SLOTS)
 
     def slot(column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(slots))
@@ -146,14 +152,16 @@ def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return placed.join(F.broadcast(marks), "part", "left").select(*rows.columns, F.coalesce(found, F.lit(False)).alias("_marked"))
 
 
-def without(rows: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+def without(rows: DataFrame, removed: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
     """``rows`` whose ``key`` is not among the ``removed`` ones, with next to none of their other columns shuffled.
 
     A map of the removed keys passes most rows that stay. Keys of the others are compared exactly; the few that were marked
-    by chance get a map of their own, and only rows in that one are joined with them.
+    by chance get a map of their own, and only rows in that one are joined with them. ``keys`` has the keys of ``rows`` where
+    these are costly to read.
     """
     flagged = marked(rows, removed, key).withColumn("_marked", F.col("_marked") & F.col(key).isNotNull())
-    by_chance = stored(flagged.where("_marked").select(key).distinct().join(removed.select(key), key, "left_anti"), "by-chance")
+    light = flagged if keys is None else marked(keys.select(key).where(F.col(key).isNotNull()), removed, key)
+    by_chance = stored(light.where("_marked").select(key).distinct().join(removed.select(key), key, "left_anti"), "by-chance")
     doubtful = marked(flagged.where("_marked").drop("_marked"), by_chance, key).where("_marked").drop("_marked")
     return flagged.where("not _marked").drop("_marked").unionByName(doubtful.join(by_chance, key, "left_semi").select(*rows.columns))
 
@@ -226,6 +234,17 @@ def open_groups(stars: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(todo, "group").select("group", "part", "doc_id")
 
 
+def joined_parts(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """part and whole, the smallest part that it is connected with by further pairs in the open groups ``rest``."""
+    # Written before they are used several times: a plan that repeats them would fill the driver.
+    more = stored(confirmed(stored(prefix_pairs(rest, sets, percent), "open"), sets, percent), "more")
+    part = rest.select("doc_id", "part")
+    joined = more.join(part.withColumnRenamed("doc_id", "a").withColumnRenamed("part", "x"), "a") \
+        .join(part.withColumnRenamed("doc_id", "b").withColumnRenamed("part", "y"), "b") \
+        .select(F.lit(2).alias("graph"), F.col("x").alias("a"), F.col("y").alias("b"))
+    return components(joined).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+
+
 def same_id(named: DataFrame, firsts: DataFrame, name: list[str]) -> DataFrame:
     """Links between the first documents of different sets that have one ``doc_id``."""
     shape = F.struct(*name)
@@ -254,16 +273,11 @@ def near_duplicates(documents: DataFrame, percent: int = 80, permutations: int =
     links = stored(confirmed(stars, sets, percent).unionByName(same_id(named, firsts, name)), "links")
     labels = stored(components(stars.withColumn("graph", F.lit(0)).unionByName(links.withColumn("graph", F.lit(1)))), "labels")
     rest = stored(open_groups(stars, labels), "rest")
-    # Written before they are used several times: a plan that repeats them would fill the driver.
-    more = stored(confirmed(stored(prefix_pairs(rest, sets, percent), "open"), sets, percent), "more")
-    part = rest.select("doc_id", "part")
-    joined = more.join(part.withColumnRenamed("doc_id", "a").withColumnRenamed("part", "x"), "a") \
-        .join(part.withColumnRenamed("doc_id", "b").withColumnRenamed("part", "y"), "b") \
-        .select(F.lit(2).alias("graph"), F.col("x").alias("a"), F.col("y").alias("b"))
-    merged = components(joined).select(F.col("node").alias("part"), F.col("component").alias("whole"))
     known = labels.where("graph = 1").select(F.col("node").alias("first"), F.col("component").alias("part"))
-    found = firsts.join(known, "first", "left").withColumn("part", F.coalesce("part", "first")) \
-        .join(merged, "part", "left").select(*name, F.coalesce("whole", "part").alias("component"))
+    parts = firsts.join(known, "first", "left").withColumn("part", F.coalesce("part", "first"))
+    found = parts.withColumn("whole", F.col("part")) if rest.isEmpty() else parts.join(
+        joined_parts(rest, sets, percent), "part", "left")
+    found = found.select(*name, F.coalesce("whole", "part").alias("component"))
     component = F.coalesce("component", "doc_id")
     return light.join(found, name, "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),

@@ -199,3 +199,20 @@ def test_rows_without_removed_keys(spark):
     left = neardup.without(rows, spark.range(0, 5000, 3).selectExpr("id AS key"), "key").collect()
     assert sorted((r.key, r.value) for r in left if r.key is not None) == [(i, 2 * i) for i in range(5000) if i % 3]
     assert sorted(r.value for r in left if r.key is None) == [1, 2]
+
+
+def test_dedup_stage_reads_distinct_documents_twice_at_most(spark, sf_dir, tmp_path):
+    """Rows of one id or text have steps of their own; without any, the plan has none of these."""
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    documents(spark, [(1, a), (2, a + " end"), (3, b), (4, b), (5, "c d e")]).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    kept = corpus_pipeline.first_of_group(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= sum("Relation" in line and "n_chars" in line for line in plan.splitlines()) <= 2
+
+
+def test_marks_of_no_keys(spark):
+    rows = neardup.marked(spark.range(5), spark.range(0), "id")
+    assert [r._marked for r in rows.collect()] == [False] * 5
+    assert neardup.components(spark.createDataFrame([], "graph int, a long, b long")).count() == 0
