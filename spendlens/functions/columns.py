@@ -58,7 +58,10 @@ def units(amount) -> Column:
 
 
 def from_units(total) -> Column:
-    return _col(total).cast("double") / UNITS
+    """The total as the nearest double; one that no double holds in units is divided before it is rounded."""
+    whole = _col(total)
+    wide = (whole.cast(WIDE) / F.lit(UNITS).cast("decimal(7,0)")).cast("double")
+    return F.when(F.abs(whole) < 2 ** 53, whole.cast("double") / UNITS).otherwise(wide)
 
 
 def deviation_from_units(n, total, squares, rough_squares=None) -> Column:

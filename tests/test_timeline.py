@@ -6,6 +6,7 @@ import pytest
 from helpers import by_user, close, frame, sec, skewed_rows, stdev, tx
 from pyspark.sql import functions as F
 
+from spendlens.functions import columns as C
 from spendlens.operators import timeline as L
 
 
@@ -210,3 +211,11 @@ def test_unknown_amounts_only(spark):
     row = L.velocity_metrics(df).first()
     assert (row.max_hourly_spending, row.std_daily_spending) == (None, None)
     assert {r.amount_zscore for r in L.behaviour_features(df).collect()} == {None}
+
+
+def test_totals_in_units_are_rounded_once(spark):
+    totals = [0, -1, 2 ** 53 - 1, 2 ** 53 + 1, 270_000_000_000_150_000_000, -270_000_000_000_150_000_001, 10 ** 37 + 7]
+    rows = spark.createDataFrame([(str(t),) for t in totals], "t string").select(F.col("t").cast(C.WIDE).alias("t"))
+    got = {int(r.t): r.x for r in rows.select("t", C.from_units("t").alias("x")).collect()}
+    assert got == {t: t / 1_000_000 for t in totals}  # Python divides whole numbers exactly, then rounds
+    assert rows.select(C.from_units(F.lit(None).cast(C.WIDE)).alias("x")).first().x is None
