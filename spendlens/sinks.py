@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from spendlens.functions.columns import as_json
 
@@ -125,9 +125,21 @@ def write_version(batch: DataFrame, path: str, batch_id: int) -> None:
 
 def latest_version(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The newest row per key."""
-    values = [c for c in versions.columns if c not in (*keys, "batch_id", "date")]
-    newest = versions.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_row"))
-    return newest.select(*keys, "_row.*")
+    return _newest(versions, keys, [c for c in versions.columns if c not in (*keys, "batch_id", "date")])
+
+
+#: Values of these types can be replaced in place, so an aggregate over them hashes its keys.
+FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _newest(versions: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Keys and values of the row with the highest ``batch_id`` of each key.
+
+    A whole row as one value, which other types need, makes the aggregate sort all rows by key, twice.
+    """
+    if values and all(isinstance(versions.schema[c].dataType, FIXED) for c in values):
+        return versions.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in values])
+    return versions.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_row")).select(*keys, "_row.*")
 
 
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
@@ -156,17 +168,20 @@ def upsert(batch: DataFrame, path: str, batch_id: int, keys: Sequence[str], date
     """
     spark = batch.sparkSession
     dated = batch.withColumn("date", F.to_date(date_from))
-    dates = [str(r["date"]) for r in dated.select("date").distinct().collect()]  # the dates of one micro-batch
+    sizes = _sizes(dated)
+    dates = list(sizes)
     known = date_folders(spark, path)
     current = {d: max((n for n in known.get(d, []) if n < batch_id), default=None) for d in dates}
     merged = dated.withColumn("batch_id", F.lit(batch_id).cast("long"))
     if any(n is not None for n in current.values()):
         earlier = _read_dates(spark, path, {d: n for d, n in current.items() if n is not None})
+        for d, n in _sizes(earlier).items():
+            sizes[d] += n
         merged = merged.unionByName(earlier.withColumn("date", F.col("date").cast("date")).withColumn(
             "batch_id", F.col("batch_id").cast("long")), allowMissingColumns=True)
     values = [c for c in merged.columns if c not in (*keys, "date", "batch_id")]
-    newest = merged.groupBy("date", *keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_row")).select("date", *keys, "_row.*")
-    newest.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "date").write.mode("overwrite") \
+    newest = _newest(_dealt(merged, sizes, keys), ["date", "_share", *keys], values).drop("_share")
+    newest.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
         .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(path)
     for d in dates:
         for old in known.get(d, []):
@@ -174,6 +189,30 @@ def upsert(batch: DataFrame, path: str, batch_id: int, keys: Sequence[str], date
                 _delete(spark, f"{path}/date={d}/batch_id={old}")
 
 
+#: A date is written as one file for so many rows, or for more where the shuffle has few partitions.
+ROWS_PER_FILE, FILES_PER_TASK = 10_000, 4
+
+
+def _sizes(dated: DataFrame) -> dict[str, int]:
+    """Rows of each date of a micro-batch."""
+    return {str(r["date"]): r["count"] for r in dated.groupBy("date").count().collect()}
+
+
+def _dealt(rows: DataFrame, sizes: Mapping[str, int], keys: Sequence[str]) -> DataFrame:
+    """``rows`` by date and ``_share``, a part of the keys of a date; dates have shares by their ``sizes``.
+
+    Rows of a key meet in one task, which holds a few shares, so one shuffle serves the aggregate and the files. A rebalance
+    hint would need adaptive execution, which streams with state do without: then each task would write a file of every date.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_file = max(ROWS_PER_FILE, sum(sizes.values()) / (FILES_PER_TASK * tasks))
+    shares = F.lit(1)
+    if sizes:
+        counts = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, int(-(-n // per_file)))])
+        shares = F.coalesce(F.try_element_at(counts, F.col("date").cast("string")), shares)
+    return rows.withColumn("_share", F.pmod(F.xxhash64(*keys), shares).cast("int")).repartition("date", "_share")
+
+
 def read_current(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a table that ``upsert`` has written."""
     newest = {d: max(numbers) for d, numbers in date_folders(spark, path).items()}
@@ -226,8 +265,11 @@ def write_messages(df: DataFrame, topic: str, servers: str | None = None, path:
 
 def write_csv(batch: DataFrame, path: str, batch_id: int) -> None:
     """A csv folder per batch, written by the executors; an empty batch leaves nothing."""
-    if not batch.isEmpty():
-        batch.write.mode("overwrite").option("header", "true").csv(f"{path}/batch_id={batch_id}")
+    spark, folder = batch.sparkSession, f"{path}/batch_id={batch_id}"
+    batch.write.mode("overwrite").option("header", "true").csv(folder)
+    # Looked up in what was written: asking the batch first would compute it, and its state, twice.
+    if spark.read.text(folder).filter(F.col("value") != ",".join(batch.columns)).isEmpty():
+        _delete(spark, folder)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", partitions: int = 16, **options) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from spendlens import sinks
 from spendlens.operators import aggregates as A, alerts, normalize as N
+from spendlens.session import use_rocksdb
 from spendlens.sources.transactions import BROADCAST_TOPICS, user_feed
 
 # Trigger intervals of the live queries.
@@ -92,6 +93,7 @@ def process_transactions(tx: DataFrame, path: str, checkpoint: str, velocity_thr
                          servers: str | None = None, available_now: bool = False, as_of=None,
                          watermark: str = "10 minutes") -> StreamingQuery:
     """Live spend into all sinks, in update mode."""
+    use_rocksdb(tx.sparkSession)  # a row of state per window, user and category may outgrow the heap
     return foreach_batch(live_spend(tx, watermark), fan_out(path, velocity_threshold, servers, as_of), "transactions", checkpoint,
                          available_now=available_now)
 
@@ -117,6 +119,7 @@ def write_aggregations(aggregations: Mapping[str, DataFrame], path: str, checkpo
     """One query per aggregation: hourly figures as csv, the short windows as topics."""
     queries = []
     for name, df in aggregations.items():
+        use_rocksdb(df.sparkSession)
         if name == "hourly":
             queries.append(foreach_batch(
                 df, lambda batch, i: sinks.write_csv(batch, f"{path}/hourly", i), "hourly", checkpoint,

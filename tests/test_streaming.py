@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from helpers import by_user, close, frame, skewed_rows, tx
@@ -208,6 +209,19 @@ def test_category_distribution_of_a_stream(spark, folder):
     assert (r.FOOD_total, r.BILLS_count, r.OTHER_total) == (3.0, 1, None)
 
 
+def test_windows_are_kept_outside_the_heap(spark, folder):
+    """Also in a session whose store is the default."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        add_file(spark, [tx(1, "u", 3, 0)], folder("in"))
+        jobs.run_to_end(spark, jobs.process_transactions(stream(spark, folder("in")), folder("out"), folder("cp"), available_now=True))
+    finally:
+        spark.conf.set(name, before)
+    assert list(Path(folder("cp")).glob("transactions/state/0/*/*.changelog"))
+
+
 def test_empty_batch_leaves_no_csv(spark, folder):
     sinks.write_csv(frame(spark, []), folder("csv"), 0)
     with pytest.raises(Exception):

@@ -104,3 +104,54 @@ def test_no_table_yet(spark, tmp_path):
     assert sinks.date_folders(spark, str(tmp_path / "none")) == {}
     with pytest.raises(Exception):
         sinks.read_current(spark, str(tmp_path / "none")).count()
+
+
+def test_a_date_is_few_files_without_adaptive_execution(spark, tmp_path):
+    """As in streams with state, where each task wrote a file of every date."""
+    path, keys = str(tmp_path / "t"), ["window_start", "user_id"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for b in range(2):
+            sinks.upsert(rows(spark, [(d, h, f"u{h}", float(b)) for d in range(6) for h in range(20 + b)]), path, b, keys)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {len(glob.glob(f"{folder}/*.parquet")) for folder in glob.glob(f"{path}/date=*/batch_id=*")} == {1}
+    got = current(spark, path)
+    assert len(got) == 6 * 21 and set(got.values()) == {1.0}
+
+
+def test_a_large_date_is_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 10)
+    path = str(tmp_path / "t")
+    many = [(0, i % 24, f"u{i}", float(i)) for i in range(400)] + [(1, 1, "u", 1.0)] + [(1, 2, None, 2.0)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sinks.upsert(rows(spark, many), path, 0, ["window_start", "user_id"])
+        sinks.upsert(rows(spark, [(0, 0, "u0", -1.0), (1, 2, None, 3.0)]), path, 1, ["window_start", "user_id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = {(w, u): v for w, u, v in rows(spark, many + [(0, 0, "u0", -1.0), (1, 2, None, 3.0)]).collect()}
+    assert current(spark, path) == want and sinks.read_current(spark, path).count() == len(want)
+    assert len(glob.glob(f"{path}/date=2024-01-01/batch_id=0/*.parquet")) > 1
+
+
+def test_newest_versions_of_numbers_are_not_sorted(spark):
+    versions = spark.createDataFrame([("a", 0, 1, 1.0), ("a", 1, None, 2.0), ("b", 0, 3, None)], "k string, batch_id long, n long, x double")
+    newest = sinks.latest_version(versions, ["k"])
+    assert "SortAggregate" not in newest._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, newest.collect())) == [("a", None, 2.0), ("b", 3, None)]
+    named = versions.withColumn("s", F.concat("k", F.col("batch_id").cast("string")))
+    assert sorted(map(tuple, sinks.latest_version(named, ["k"]).collect())) == [("a", None, 2.0, "a1"), ("b", 3, None, "b0")]
+
+
+def test_a_csv_batch_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    batch = spark.createDataFrame(spark.sparkContext.parallelize([("a", 1), ("b", 2)], 2).map(counted), "s string, n long")
+    sinks.write_csv(batch, str(tmp_path / "csv"), 0)
+    assert seen.value == 2
+    assert sorted(map(tuple, spark.read.option("header", "true").csv(f"{tmp_path}/csv/batch_id=0").collect())) == [("a", "1"), ("b", "2")]
