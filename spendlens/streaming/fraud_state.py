@@ -67,9 +67,11 @@ def featured(rows: pd.DataFrame, amounts: list, seconds: list, counts: list):
     in_hour = upto[np.searchsorted(times, sec, "right")] - upto[np.searchsorted(times, sec - HOUR, "left")]
     out = rows.assign(avg_last_10=mean, std_last_10=deviation, count_last_hour=in_hour)
     keep = times >= times[-1] - HOUR
-    merged = pd.Series(weights[order][keep]).groupby(times[keep]).sum()
+    merged, places = np.unique(times[keep], return_inverse=True)
+    sums = np.zeros(len(merged), dtype="int64")
+    np.add.at(sums, places, weights[order][keep])
     tail = np.concatenate([known, rows["amount"].to_numpy(dtype=float)])[-HISTORY_ROWS:]
-    return out, tail.tolist(), [int(s) for s in merged.index], [int(c) for c in merged]
+    return out, tail.tolist(), merged.tolist(), sums.tolist()
 
 
 def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -14,32 +14,36 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spendlens import domain
 from spendlens.operators import fraud, timeline
+from spendlens.session import use_rocksdb
 from spendlens.streaming.fraud_state import FEATURES, featured
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROWS_PER_PIECE = 10_000
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Timers and lists in state need this store; to be called before the query starts."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 def _micros(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64")
 
 
 # --- fraud features, each row once ----------------------------------------------------------------------
 
-#: A waiting row: the time in microseconds, and all columns of a transaction but the time.
-OTHERS = [f for f in domain.TRANSACTION_SCHEMA.fields if f.name != "timestamp"]
-WAITING = T.StructType([T.StructField("micros", T.LongType()), *OTHERS])
+#: All columns of a transaction but the time.
+OTHERS = [f.name for f in domain.TRANSACTION_SCHEMA.fields if f.name != "timestamp"]
+
+
+def _joined(blocks: list[tuple[np.ndarray, list]]) -> tuple[np.ndarray, list]:
+    """Times in microseconds, and an array of each other column, of several blocks of rows."""
+    return np.concatenate([b[0] for b in blocks]), [np.concatenate(c) for c in zip(*[b[1] for b in blocks])]
+
+
+def _taken(block: tuple[np.ndarray, list], which: np.ndarray) -> tuple[np.ndarray, list]:
+    return block[0][which], [c[which] for c in block[1]]
 
 
 class OrderedFeatures(StatefulProcessor):
@@ -47,7 +51,8 @@ class OrderedFeatures(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
+        # Blocks of rows as one value each: single rows would be converted column by column on their way in and out.
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.past = handle.getValueState("past", "amounts binary")
         self.timer = handle.getValueState("timer", "at long")
 
@@ -64,9 +69,9 @@ class OrderedFeatures(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for piece in rows:
-            micros = _micros(piece["timestamp"])
-            columns = [micros, *[piece[f.name].astype(object).where(piece[f.name].notna(), None) for f in OTHERS]]
-            self.waiting.appendList(list(zip(*[c.tolist() for c in columns])))
+            micros = _micros(piece["timestamp"]).to_numpy()
+            columns = [c if c.dtype == object else c.astype(object).where(c.notna(), None) for c in (piece[n] for n in OTHERS)]
+            self.waiting.appendValue((pickle.dumps((micros, [c.to_numpy() for c in columns])),))
             first = int(micros.min()) if first is None else min(first, int(micros.min()))
         if first is not None:
             self.wake(first // 1_000_000)
@@ -75,19 +80,23 @@ class OrderedFeatures(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         watermark = 1000 * timerValues.getCurrentWatermarkInMs()
-        due, later = [], []
-        for row in self.waiting.get():
-            (due if (row[0] // 1_000_000 + 1) * 1_000_000 <= watermark else later).append(tuple(row))
+        waiting = _joined([pickle.loads(value[0]) for value in self.waiting.get()])
+        passed = (waiting[0] // 1_000_000 + 1) * 1_000_000 <= watermark
         self.waiting.clear()
-        if later:
-            self.waiting.put(later)
-            self.wake(min(row[0] for row in later) // 1_000_000)
-        if not due:
+        if not passed.all():
+            later = _taken(waiting, ~passed)
+            for start in range(0, len(later[0]), ROWS_PER_PIECE):
+                self.waiting.appendValue((pickle.dumps(_taken(later, slice(start, start + ROWS_PER_PIECE))),))
+            self.wake(int(later[0].min()) // 1_000_000)
+        if not passed.any():
             return
-        rows = pd.DataFrame(due, columns=[f.name for f in WAITING.fields])
-        rows["timestamp"] = pd.to_datetime(rows.pop("micros"), unit="us")
+        micros, columns = _taken(waiting, passed)
+        ids, times = columns[OTHERS.index("transaction_id")].tolist(), micros.tolist()
+        order = np.array(sorted(range(len(times)), key=lambda i: (times[i], ids[i] is None, ids[i] or "")))
+        micros, columns = _taken((micros, columns), order)
+        rows = pd.DataFrame(dict(zip(OTHERS, columns)), copy=False)
         rows["amount"] = rows["amount"].astype(float)
-        rows = rows.sort_values(["timestamp", "transaction_id"])
+        rows["timestamp"] = micros.view("datetime64[us]")
         past = pickle.loads(self.past.get()[0]) if self.past.exists() else ([], [], [])
         out, *past = featured(rows, *past)
         self.past.update((pickle.dumps(past),))

@@ -5,6 +5,7 @@ import random
 import time
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from helpers import START, close, frame, skewed_rows, tx
 from pyspark.sql import functions as F
@@ -79,6 +80,68 @@ def test_rows_come_when_the_watermark_has_passed_them(spark, folder):
     same(features(spark, folder, "10 minutes"), L.recent_history(frame(spark, rows)).collect())
 
 
+class Kept:
+    """A state variable outside of Spark."""
+
+    def __init__(self):
+        self.values = []
+
+    def exists(self):
+        return bool(self.values)
+
+    def get(self):
+        return iter(self.values) if self.listed else self.values[0]
+
+    def appendValue(self, value):
+        self.values.append(value)
+
+    def update(self, value):
+        self.values = [value]
+
+    def clear(self):
+        self.values = []
+
+
+class Handle:
+    def getListState(self, *_):
+        return self.made(True)
+
+    def getValueState(self, *_):
+        return self.made(False)
+
+    def made(self, listed):
+        out = Kept()
+        out.listed = listed
+        return out
+
+    def registerTimer(self, at):
+        self.at = at
+
+    def deleteTimer(self, at):
+        pass
+
+
+def test_waiting_rows_are_one_value_each_batch():
+    class Watermark:
+        def getCurrentWatermarkInMs(self):
+            return int(1000 * (START.replace(tzinfo=dt.timezone.utc).timestamp() + 200))
+
+    features = ordered.OrderedFeatures()
+    features.init(handle := Handle())
+    rows = [tx(i, "u", None if i == 4 else i, (7 * i) % 40 * 10) for i in range(40)]
+    pieces = [pd.DataFrame(rows[k:k + 20]) for k in (0, 20)]
+    for p in pieces:
+        p["amount"] = p["amount"].astype(float)
+    assert not list(features.handleInputRows(("u",), iter(pieces), None)) and len(features.waiting.values) == 2
+    out = pd.concat(features.handleExpiredTimer(("u",), Watermark(), None))
+    due = sorted((r for r in rows if r["timestamp"] < START + dt.timedelta(seconds=200)), key=lambda r: r["timestamp"])
+    assert out["transaction_id"].tolist() == [r["transaction_id"] for r in due]
+    assert out["timestamp"].tolist() == [r["timestamp"] for r in due]
+    assert out["ip_address"].tolist() == [None] * len(due) and out["count_last_hour"].tolist() == list(range(1, len(due) + 1))
+    assert len(features.waiting.values) == 1
+    assert handle.at == 1000 * int(START.replace(tzinfo=dt.timezone.utc).timestamp() + 201)
+
+
 def test_rows_without_user_or_time(spark, folder):
     rows = [tx(1, "u", None, 0), tx(2, None, 7, 10), tx(3, "u", 9, 0, timestamp=None), tx(4, "u", 3, 20, merchant=None)]
     add(spark, rows, folder("in"))
