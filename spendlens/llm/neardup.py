@@ -36,6 +36,8 @@ SHINGLE = 5
 LEAST_SLOTS, MOST_SLOTS = 1 << 22, 1 << 29
 #: Rows of one key that meet in one task of a join; more are dealt over several.
 ROWS_PER_SALT = 1_000
+#: Documents that a Python worker handles at a time.
+ROWS_PER_PIECE = 500
 ODD = np.uint64(0x9E3779B97F4A7C15)
 SIGNS = "doc_id bigint, n_shingles bigint, set_high bigint, set_low bigint, bands array<bigint>"
 
@@ -108,7 +110,7 @@ def signed(documents: DataFrame, permutations: int = 60, rows: int = 5) -> DataF
             bands.append(maker.bands(hashes) if len(hashes) else [])
         return [batch.column(0), n, high, low, bands]
 
-    return map_batches(columns(documents, "doc_id", "text"), sign, SIGNS)
+    return map_batches(columns(documents, "doc_id", "text"), sign, SIGNS, ROWS_PER_PIECE)
 
 
 def shingle_sets(documents: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def shingle_sets(documents: DataFrame) -> DataFrame:
         found = [shingle_set(t) for t in batch.column(1).to_pylist()]
         return [batch.column(0), [len(s) for s in found], [s.view(np.int64) for s in found]]
 
-    return map_batches(columns(documents, "doc_id", "text"), make, "doc_id bigint, n bigint, shingles array<bigint>")
+    return map_batches(columns(documents, "doc_id", "text"), make, "doc_id bigint, n bigint, shingles array<bigint>", ROWS_PER_PIECE)
 
 
 def worth_shuffling(documents: DataFrame, ids: DataFrame) -> DataFrame:

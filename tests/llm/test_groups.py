@@ -9,6 +9,7 @@ from llm_tables import documents
 
 import corpus_pipeline
 from spendlens.llm import chat, neardup
+from spendlens.llm.common import map_batches
 from spendlens.llm.components import components
 from spendlens.llm.queries import ORACLE, QUERIES
 
@@ -216,3 +217,15 @@ def test_marks_of_no_keys(spark):
     rows = neardup.marked(spark.range(5), spark.range(0), "id")
     assert [r._marked for r in rows.collect()] == [False] * 5
     assert neardup.components(spark.createDataFrame([], "graph int, a long, b long")).count() == 0
+
+
+def test_workers_take_documents_in_pieces(spark, monkeypatch):
+    sizes = map_batches(spark.range(1200).coalesce(1), lambda b: [[b.num_rows] * b.num_rows], "n bigint", 500)
+    assert sorted(r.n for r in sizes.distinct().collect()) == [200, 500]
+    assert map_batches(spark.range(0), lambda b: [b.column(0)], "n bigint", 500).count() == 0
+    pieces = []
+    monkeypatch.setattr(neardup, "map_batches", lambda df, make, schema, rows=None: pieces.append(rows) or df)
+    docs = documents(spark, [(1, "a b c")])
+    neardup.signed(docs)
+    neardup.shingle_sets(docs)
+    assert pieces == [neardup.ROWS_PER_PIECE] * 2
