@@ -49,6 +49,10 @@ def fraud_pipeline(label: str = "is_fraud", trees: int = 100, depth: int = 10, s
     The values of a one-hot column are indexed on the driver, which suits a fixed domain. Columns whose values grow with
     the data are named in ``hashed`` and go into a vector of ``buckets`` places, whatever their number of values; many places
     would crowd out the numbers, as a tree looks at the square root of all features only.
+
+    The node that a row has reached in each tree is kept from level to level, on disk where memory is short; otherwise every
+    level would send all rows through all trees from their roots again. The forest is the same. Levels are too few to need
+    checkpoints of them.
     """
     indexed = [c for c in CATEGORICAL if c not in hashed]
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in indexed]
@@ -56,7 +60,8 @@ def fraud_pipeline(label: str = "is_fraud", trees: int = 100, depth: int = 10, s
     stages += [FeatureHasher(inputCols=[c], outputCol=f"{c}_encoded", numFeatures=buckets) for c in hashed]
     stages.append(VectorAssembler(inputCols=[f"{c}_encoded" for c in CATEGORICAL] + NUMERIC, outputCol="features"))
     stages.append(RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth,
-                                         seed=seed, featureSubsetStrategy="auto", impurity="gini"))
+                                         seed=seed, featureSubsetStrategy="auto", impurity="gini",
+                                         cacheNodeIds=True, checkpointInterval=-1))
     return Pipeline(stages=stages)
 
 

@@ -157,6 +157,13 @@ def write_features(tx: DataFrame, path: str, checkpoint: str, available_now: boo
 
 
 def read_live(spark: SparkSession, path: str, only_fraud: bool = False) -> DataFrame:
-    """The newest version of the features or scores in a folder that ``write_features`` has written."""
-    newest = sinks.read_latest(spark, path, ROW_KEY).drop(*ROW_KEY)
-    return newest.filter(F.col("prediction") == 1) if only_fraud else newest
+    """The newest version of the features or scores in a folder that ``write_features`` has written.
+
+    A row's first version comes with its own micro-batch, so only later ones can replace another; rows are not sorted or
+    aggregated to find theirs.
+    """
+    versions = spark.read.option("mergeSchema", "true").parquet(path)
+    again = versions.filter("batch_id > origin").groupBy(*ROW_KEY).agg(F.max("batch_id").alias("_newest"))
+    rows = versions.filter(F.col("prediction") == 1) if only_fraud else versions
+    newest = rows.join(again, ROW_KEY, "left").filter("_newest IS NULL OR batch_id = _newest")
+    return newest.drop(*ROW_KEY, "batch_id", "_newest")

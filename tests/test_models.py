@@ -73,6 +73,16 @@ def test_named_columns_are_hashed(labelled):
     assert model.auc > 0.9
 
 
+def test_node_ids_are_kept_and_the_forest_is_the_same(labelled):
+    """Levels do not start at the roots again; the trees are those without kept ids."""
+    rows = fraud.model_input(fraud.fraud_features(labelled)).withColumn("is_fraud", (F.col("status") == "FRAUD").cast("int"))
+    kept, plain = fraud.fraud_pipeline(trees=5, depth=6), fraud.fraud_pipeline(trees=5, depth=6)
+    assert kept.getStages()[-1].getCacheNodeIds() and kept.getStages()[-1].getCheckpointInterval() == -1
+    plain.getStages()[-1].setParams(cacheNodeIds=False, checkpointInterval=10)
+    trees = [[t.toDebugString.split("\n", 1)[1] for t in p.fit(rows.coalesce(1)).stages[-1].trees] for p in (kept, plain)]
+    assert trees[0] == trees[1] and max(map(len, trees[0])) > 100
+
+
 def test_stream_scores(spark, labelled, model, tmp_path):
     labelled.write.parquet(str(tmp_path / "in"))
     stream = sources.read_stream(spark, "parquet", domain.TRANSACTION_SCHEMA, str(tmp_path / "in"))

@@ -164,6 +164,20 @@ def test_live_fraud_features_of_unordered_files(spark, folder):
     same_history(got, L.recent_history(frame(spark, rows)).collect())
 
 
+def test_newest_scores_without_a_sort_of_all_rows(spark, folder):
+    """Fraud no more, fraud only later, fraud in both versions, fraud without a second version."""
+    columns = "origin long, row_number long, transaction_id string, prediction double"
+    for batch, rows in enumerate([[(0, 1, "a", 1.0), (0, 2, "b", 0.0), (0, 3, "c", 1.0)],
+                                  [(0, 1, "a", 0.0), (0, 2, "b", 1.0), (0, 3, "c", 1.0), (1, 1, "d", 1.0)],
+                                  [(0, 2, "b", 1.0), (2, 1, "e", 0.0)]]):
+        sinks.write_version(spark.createDataFrame(rows, columns), folder("scores"), batch)
+    got = {n: read_live(spark, folder("scores"), n) for n in (False, True)}
+    assert got[True].columns == got[False].columns == ["transaction_id", "prediction"]
+    assert sorted(map(tuple, got[False].collect())) == [("a", 0.0), ("b", 1.0), ("c", 1.0), ("d", 1.0), ("e", 0.0)]
+    assert sorted(map(tuple, got[True].collect())) == [("b", 1.0), ("c", 1.0), ("d", 1.0)]
+    assert "SortAggregate" not in got[True]._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("form", ["state", "history"])
 def test_rows_without_user_or_time_keep_their_row_features(spark, folder, form):
     rows = [tx(1, "u", 5, 0), tx(2, None, 7, 10), tx(3, "u", 9, 0, timestamp=None), tx(4, "u", 3, 20)]
