@@ -3,7 +3,8 @@ database table gets the rows again, as their connectors deliver at least once.""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -181,8 +182,9 @@ def upsert(batch: DataFrame, path: str, batch_id: int, keys: Sequence[str], date
             "batch_id", F.col("batch_id").cast("long")), allowMissingColumns=True)
     values = [c for c in merged.columns if c not in (*keys, "date", "batch_id")]
     newest = _newest(_dealt(merged, sizes, keys), ["date", "_share", *keys], values).drop("_share")
-    newest.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(path)
+    with shuffles_dropped(spark):
+        newest.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(path)
     for d in dates:
         for old in known.get(d, []):
             if old < batch_id and old != current[d]:
@@ -235,6 +237,18 @@ def _read_dates(spark: SparkSession, path: str, folders: Mapping[str, int]) -> D
         *[f"{path}/date={d}/batch_id={n}" for d, n in sorted(folders.items())])
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files; otherwise they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _store(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
@@ -252,15 +266,19 @@ def as_messages(df: DataFrame) -> DataFrame:
     return df.select(as_json().alias("value"))
 
 
+#: A compressed file is read by one task, so a file holds at most so many messages.
+MESSAGES_PER_FILE = 1_000_000
+
+
 def write_messages(df: DataFrame, topic: str, servers: str | None = None, path: str | None = None,
                    batch_id: int | None = None) -> None:
-    """JSON messages to a Kafka topic, or below ``path`` as text where there is no broker."""
+    """JSON messages to a Kafka topic, or below ``path`` as gzipped text where there is no broker."""
     messages = as_messages(df)
     if servers:
         messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
         return
     folder = f"{path}/{topic}" + ("" if batch_id is None else f"/batch_id={batch_id}")
-    messages.write.mode("overwrite").text(folder)
+    messages.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", MESSAGES_PER_FILE).text(folder)
 
 
 def write_csv(batch: DataFrame, path: str, batch_id: int) -> None:

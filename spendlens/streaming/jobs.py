@@ -76,8 +76,12 @@ def fan_out(path: str, velocity_threshold: float = 1000, servers: str | None = N
             as_of=None) -> Callable[[DataFrame, int], None]:
     """Micro-batch writer: upserted table, aggregate topic and alert topic, from one computation of the batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
+        computed = batch._jdf.queryExecution().toRdd()
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            batch.count()
+            # The rows are kept now, so the shuffle they came from may go; if a part is lost, Spark computes it again.
+            computed.cleanShuffleDependencies(True)
             sinks.upsert(batch, f"{path}/user_spending_aggregates", batch_id, SPEND_KEYS)
             sinks.write_messages(batch, "user_aggregations", servers, path, batch_id)
             found = alerts.high_velocity_alerts(batch, velocity_threshold, as_of, ["window_start", "category"])

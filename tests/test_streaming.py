@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 from helpers import by_user, close, frame, skewed_rows, tx
+from pyspark.sql import functions as F
 
 from spendlens import domain, sinks
 from spendlens.operators import aggregates as A, timeline as L
@@ -65,6 +66,53 @@ def test_changed_window_replaces_its_older_version(spark, folder):
     assert [(r.transaction_count, r.total_amount) for r in rows] == [(2, 3.0)] * 5
 
 
+def minutes_of_users(spark, folder):
+    """One file with a transaction a minute; about 5,000 windows of one or two days."""
+    add_file(spark, [tx(i, f"u{i % 50}", i % 97, 60 * i) for i in range(1000)], folder("in"))
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+
+def test_live_spend_drops_its_shuffles(spark, folder, monkeypatch):
+    minutes_of_users(spark, folder)
+    earlier, left, write = shuffle_files(spark), [], sinks.write_messages
+
+    def spy(df, topic, *args, **options):
+        left.append(sum(size for name, size in shuffle_files(spark).items() if name not in earlier))
+        write(df, topic, *args, **options)
+
+    monkeypatch.setattr(sinks, "write_messages", spy)
+    jobs.run_to_end(spark, jobs.process_transactions(stream(spark, folder("in")), folder("out"), folder("cp"), 10,
+                                                     available_now=True))
+    assert left and max(left) < 10_000, left  # of counts; the shuffle of the windows alone has over 100,000 bytes
+    assert sinks.read_current(spark, folder("out/user_spending_aggregates")).count() == 5000
+
+
+def test_upsert_keeps_the_setting_for_shuffles(spark, folder):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    sinks.upsert(A.sliding_spend(frame(spark, [tx(1, "u", 1, 0)])), folder("t"), 0, jobs.SPEND_KEYS)
+    assert spark.conf.get(key) == before
+
+
+def test_topics_are_compressed_in_files_of_bounded_length(spark, folder, monkeypatch):
+    monkeypatch.setattr(sinks, "MESSAGES_PER_FILE", 1000, raising=False)
+    minutes_of_users(spark, folder)
+    jobs.run_to_end(spark, jobs.process_transactions(stream(spark, folder("in")), folder("out"), folder("cp"), 10,
+                                                     available_now=True))
+    for topic in ("user_aggregations", "alerts"):
+        files = list(Path(folder(f"out/{topic}")).rglob("part-*"))
+        text = spark.read.text(folder(f"out/{topic}"))
+        assert sum(f.stat().st_size for f in files) < sum(len(r.value) for r in text.collect()) / 4
+        assert max(r["count"] for r in text.groupBy(F.input_file_name()).count().collect()) <= 1000
+    messages = [json.loads(r.value) for r in spark.read.text(folder("out/user_aggregations")).collect()]
+    assert len({(m["window_start"], m["user_id"]) for m in messages}) == len(messages) == 5000
+
+
 def test_replayed_batch_changes_nothing(spark, folder):
     df = frame(spark, [tx(1, "u", 1, 0), tx(2, "u", 2, 0), tx(2, "u", 3, 5)])
     for _ in range(2):
